@@ -15,7 +15,7 @@ from burnwatch.functions.health import worst_health
 from burnwatch.plans.tables import SloTables, for_service
 from burnwatch.schema import EB, RESPONSE
 
-IS_EB = "data_category = 'EB'"
+
 EB_ROWS = "_eb_rows"
 RESPONSE_ROWS = "_response_rows"
 

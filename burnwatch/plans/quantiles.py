@@ -22,8 +22,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
+def same_keys(left: str, right: str, keys: Sequence[str]) -> Column:
+    """Join condition between two aliased frames in which NULL keys match each other."""
+    return reduce(lambda a, b: a & b, [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys])
 
 
 def spread_quantiles(
@@ -74,10 +75,14 @@ def spread_quantiles(
         ).alias("_ranks"),
     ).filter(F.size("_ranks") > 0)
 
-    inside = pairs.join(
-        wanted,
-        _same_keys(pairs, wanted, keys) & pairs["_value"].between(wanted["_low"], wanted["_high"]),
-    ).select(*[pairs[k] for k in keys], "_value", "_n", "_low", "_before", "_total", "_ranks")
+    inside = (
+        pairs.alias("p")
+        .join(
+            wanted.alias("w"),
+            same_keys("p", "w", keys) & F.col("p._value").between(F.col("w._low"), F.col("w._high")),
+        )
+        .select(*[F.col(f"p.{k}") for k in keys], "_value", "_n", "_low", "_before", "_total", "_ranks")
+    )
     walk = Window.partitionBy(*keys, "_low").orderBy("_value")
     reached = inside.withColumn("_end", F.col("_before") + F.sum("_n").over(walk))
     hits = reached.select(
@@ -112,6 +117,8 @@ def gathered_quantiles(value: Column, fractions: Sequence[float]) -> Column:
 def join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Left join of two frames with at most one row per key on the right; NULL keys match each other."""
     extra = [c for c in right.columns if c not in keys]
-    return left.join(right, _same_keys(left, right, keys), "left").select(
-        *[left[c] for c in left.columns], *[right[c] for c in extra]
+    return (
+        left.alias("l")
+        .join(right.alias("r"), same_keys("l", "r", keys), "left")
+        .select(*[F.col(f"l.{c}") for c in left.columns], *[F.col(f"r.{c}") for c in extra])
     )

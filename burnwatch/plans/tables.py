@@ -29,10 +29,9 @@ class SloTables:
 
     @classmethod
     def from_pair(cls, eb: DataFrame, resp: DataFrame) -> SloTables:
-        tagged = eb.withColumn("data_category", F.lit(EB)).unionByName(
-            resp.withColumn("data_category", F.lit(RESPONSE))
-        )
-        return cls(eb, resp, tagged)
+        eb = eb.withColumn("data_category", F.lit(EB))
+        resp = resp.withColumn("data_category", F.lit(RESPONSE))
+        return cls(eb, resp, eb.unionByName(resp))
 
     @classmethod
     def from_logs(cls, logs: DataFrame) -> SloTables:
