@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from burnwatch.functions.scoring import change_severity, exceeds, or_zero, or_zero_count, percent_change
 from burnwatch.plans.quantiles import join_on_keys
-from burnwatch.plans.tables import SloTables, TimeLike, as_time, for_service, latest_time, minutes
+from burnwatch.plans.tables import SloTables, TimeLike, as_time, for_service, in_time_range, latest_time, minutes
 
 WINDOW_MINUTES = 30
 THRESHOLD_PERCENT = 20.0
@@ -39,8 +39,7 @@ def degrading_services(
     end = _anchor(tables, as_of)
     start = end - minutes(time_window_minutes)
     baseline_start = end - minutes(2 * time_window_minutes)
-    time = F.col("record_time")
-    recent = time >= start
+    recent = F.col("_recent")
     windows = {"recent": recent, "baseline": ~recent}
 
     averages = [
@@ -49,7 +48,8 @@ def degrading_services(
         for window, inside in windows.items()
     ]
     compared = (
-        tables.eb.filter(time.between(baseline_start, end))
+        in_time_range(tables.eb, baseline_start, end)
+        .withColumn("_recent", F.col("record_time") >= start)
         .groupBy("service_name")
         .agg(
             F.count_if(windows["recent"]).alias("_recent_rows"),
@@ -86,7 +86,7 @@ def degrading_services(
 
 def _trend_rows(tables: SloTables, service_name: str | None, window: float, as_of: TimeLike) -> DataFrame:
     end = _anchor(tables, as_of)
-    return for_service(tables.eb, service_name).filter(F.col("record_time").between(end - minutes(window), end))
+    return in_time_range(for_service(tables.eb, service_name), end - minutes(window), end)
 
 
 def volume_summary(

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from burnwatch.functions.scoring import at_most, burn_severity, fixed, or_zero_count, ratio_or_zero
 from burnwatch.plans.profile import eb, joined_sum, resp, service_profile
-from burnwatch.plans.tables import SloTables, TimeLike, as_time, for_service, minutes
+from burnwatch.plans.tables import SloTables, TimeLike, as_time, for_service, in_time_range, minutes
+from burnwatch.schema import EB
 
 NO_DATA = "No data found for this service"
 
@@ -15,15 +16,13 @@ BUDGET_HOURS = 4
 BURN_MINUTES = 30
 
 
-def _sli_aggregates() -> list[Column]:
+def _compliance_aggregates() -> list[Column]:
+    """What the two compliance flags and the volumes need."""
     return [
         eb.max("record_time").alias("last_update"),
         eb.avg("success_rate").alias("avg_success_rate"),
         eb.avg("error_rate").alias("avg_error_rate"),
         resp.avg("response_time_avg").alias("avg_response_time"),
-        resp.avg("response_time_p50").alias("avg_response_time_p50"),
-        resp.avg("response_time_p95").alias("avg_response_time_p95"),
-        resp.avg("response_time_p99").alias("avg_response_time_p99"),
         eb.sum("total_count").alias("_requests"),
         eb.sum("error_count").alias("_errors"),
         eb.max("target_error_slo_perc").alias("error_slo_target"),
@@ -31,7 +30,15 @@ def _sli_aggregates() -> list[Column]:
     ]
 
 
-def _sli_columns(dedupe_volume: bool) -> list[Column]:
+_PERCENTILES = ["avg_response_time_p50", "avg_response_time_p95", "avg_response_time_p99"]
+
+
+def _sli_aggregates() -> list[Column]:
+    percentiles = [resp.avg(name.removeprefix("avg_")).alias(name) for name in _PERCENTILES]
+    return _compliance_aggregates() + percentiles
+
+
+def _sli_columns(dedupe_volume: bool, percentiles: list[str] = _PERCENTILES) -> list[Column]:
     error_met = at_most(F.col("avg_error_rate"), F.col("error_slo_target"))
     response_met = at_most(F.col("avg_response_time"), F.col("response_slo_target"))
     return [
@@ -40,9 +47,7 @@ def _sli_columns(dedupe_volume: bool) -> list[Column]:
         F.col("avg_success_rate"),
         F.col("avg_error_rate"),
         F.col("avg_response_time"),
-        F.col("avg_response_time_p50"),
-        F.col("avg_response_time_p95"),
-        F.col("avg_response_time_p99"),
+        *[F.col(name) for name in percentiles],
         joined_sum(F.col("_requests"), dedupe_volume=dedupe_volume).alias("total_requests"),
         joined_sum(F.col("_errors"), dedupe_volume=dedupe_volume).alias("total_errors"),
         F.col("error_slo_target"),
@@ -70,7 +75,7 @@ def current_sli(tables: SloTables, service_name: str | None = None, *, dedupe_vo
 
 def slo_violations(tables: SloTables, *, dedupe_volume: bool = False) -> DataFrame:
     """Services that miss a target, with the reasons as codes and as sentences."""
-    sli = service_profile(tables, *_sli_aggregates()).select(*_sli_columns(dedupe_volume))
+    sli = service_profile(tables, *_compliance_aggregates()).select(*_sli_columns(dedupe_volume, percentiles=[]))
     missed = sli.filter(~F.col("overall_slo_met"))
     error_text = F.concat(
         F.lit("Error rate "), fixed(F.col("avg_error_rate"), 2),
@@ -103,17 +108,22 @@ class _Window:
 
     def __init__(self, name: str, start: Column, end: Column, *, target_is_success: bool):
         self.name = name
-        self.inside = F.coalesce(
-            (F.col("data_category") == "EB") & F.col("record_time").between(start, end), F.lit(False)
-        )
+        self.start = start
+        self.end = end
         self.target_is_success = target_is_success
 
+    def marked(self, logs: DataFrame) -> DataFrame:
+        """The rows with a flag column for the window; a scalar-subquery bound cannot stand inside an aggregate."""
+        inside = (F.col("data_category") == EB) & F.col("record_time").between(self.start, self.end)
+        return logs.withColumn(f"_in_{self.name}", F.coalesce(inside, F.lit(False)))
+
     def aggregates(self) -> list[Column]:
-        latest = F.when(self.inside, F.struct("record_time", "id"))
+        inside = F.col(f"_in_{self.name}")
+        latest = F.when(inside, F.struct("record_time", "id"))
         return [
-            F.count_if(self.inside).alias(f"{self.name}_rows"),
-            F.sum(F.when(self.inside, F.col("total_count"))).alias(f"{self.name}_requests"),
-            F.sum(F.when(self.inside, F.col("error_count"))).alias(f"{self.name}_errors"),
+            F.count_if(inside).alias(f"{self.name}_rows"),
+            F.sum(F.when(inside, F.col("total_count"))).alias(f"{self.name}_requests"),
+            F.sum(F.when(inside, F.col("error_count"))).alias(f"{self.name}_errors"),
             F.max_by("target_error_slo_perc", latest).alias(f"{self.name}_target"),
         ]
 
@@ -186,9 +196,10 @@ def error_budget(
     end = _anchor(as_of)
     start = end - minutes(time_window_hours * 60)
     window = _Window("w", start, end, target_is_success=target_is_success)
-    rows = for_service(tables.eb, service_name).filter(F.col("record_time").between(start, end))
+    rows = in_time_range(for_service(tables.eb, service_name), start, end)
     return (
-        rows.groupBy("service_name")
+        window.marked(rows)
+        .groupBy("service_name")
         .agg(*window.aggregates())
         .select("service_name", *window.budget_columns(time_window_hours))
     )
@@ -206,9 +217,10 @@ def burn_rate(
     end = _anchor(as_of)
     start = end - minutes(time_window_minutes)
     window = _Window("w", start, end, target_is_success=target_is_success)
-    rows = for_service(tables.eb, service_name).filter(F.col("record_time").between(start, end))
+    rows = in_time_range(for_service(tables.eb, service_name), start, end)
     return (
-        rows.groupBy("service_name")
+        window.marked(rows)
+        .groupBy("service_name")
         .agg(*window.aggregates())
         .select("service_name", *window.burn_columns(time_window_minutes))
     )
@@ -233,7 +245,12 @@ def service_summary(
     budget = _Window("budget", end - minutes(budget_hours * 60), end, target_is_success=target_is_success)
     burn = _Window("burn", end - minutes(burn_minutes), end, target_is_success=target_is_success)
     profile = service_profile(
-        tables, *_sli_aggregates(), *budget.aggregates(), *burn.aggregates(), service_name=service_name
+        tables,
+        *_sli_aggregates(),
+        *budget.aggregates(),
+        *burn.aggregates(),
+        service_name=service_name,
+        prepare=lambda logs: burn.marked(budget.marked(logs)),
     )
     sli = profile.select(
         *_sli_columns(dedupe_volume),

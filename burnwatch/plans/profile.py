@@ -8,6 +8,8 @@ name with a condition on the category, and the factor is applied to the sums.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,15 +52,19 @@ eb = Side(EB)
 resp = Side(RESPONSE)
 
 
-def service_profile(tables: SloTables, *aggregates: Column, service_name: str | None = None) -> DataFrame:
+def service_profile(
+    tables: SloTables,
+    *aggregates: Column,
+    service_name: str | None = None,
+    prepare: Callable[[DataFrame], DataFrame] = lambda logs: logs,
+) -> DataFrame:
     """One row per service that has error-budget rows, with the given aggregates and both row counts.
 
-    A NULL name forms a group of its own on the error-budget side and never matches a response row.
+    ``prepare`` may add columns to the rows for the aggregates to use.  A NULL name forms a group of its own on the error-budget side and never matches a response row.
     """
     usable = eb.rows | (resp.rows & F.col("service_name").isNotNull())
     return (
-        for_service(tables.logs, service_name)
-        .filter(usable)
+        prepare(for_service(tables.logs, service_name).filter(usable))
         .groupBy("service_name")
         .agg(
             F.count_if(eb.rows).alias(EB_ROWS),

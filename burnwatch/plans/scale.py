@@ -15,7 +15,7 @@ ONE_TASK_BYTES = 64 * 1024 * 1024
 def plan_bytes(df: DataFrame) -> int | None:
     """The optimizer's size estimate for the plan, the one it checks against the broadcast threshold."""
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     except AttributeError:  # no classic JVM plan at hand
         return None
 

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-from dataclasses import dataclass
+from collections.abc import Callable, Mapping
 from datetime import datetime
 from typing import Any
 
@@ -12,26 +11,45 @@ from pyspark.sql import functions as F
 
 from burnwatch.schema import EB, RESPONSE
 
+Frame = DataFrame | Callable[[], DataFrame]
 TimeLike = datetime | str | Column | None
 
+# Day partition of stored tables; not part of the record.
+PARTITION = "record_date"
+
 
-@dataclass(frozen=True)
 class SloTables:
     """Error-budget logs, response logs, and both in one frame told apart by ``data_category``.
 
     Operators that combine both sides read ``logs`` once and aggregate it with per-category conditions, so that
-    they need one shuffle and no join.
+    they need one shuffle and no join.  A frame may be given as a function that builds it when it is first used.
     """
 
-    eb: DataFrame
-    resp: DataFrame
-    logs: DataFrame
+    def __init__(self, eb: Frame, resp: Frame, logs: Frame):
+        self._frames = {EB: eb, RESPONSE: resp, "both": logs}
+
+    def _frame(self, name: str) -> DataFrame:
+        if not isinstance(self._frames[name], DataFrame):
+            self._frames[name] = self._frames[name]()
+        return self._frames[name]
+
+    @property
+    def eb(self) -> DataFrame:
+        return self._frame(EB)
+
+    @property
+    def resp(self) -> DataFrame:
+        return self._frame(RESPONSE)
+
+    @property
+    def logs(self) -> DataFrame:
+        return self._frame("both")
 
     @classmethod
     def from_pair(cls, eb: DataFrame, resp: DataFrame) -> SloTables:
         eb = eb.withColumn("data_category", F.lit(EB))
         resp = resp.withColumn("data_category", F.lit(RESPONSE))
-        return cls(eb, resp, eb.unionByName(resp))
+        return cls(eb, resp, lambda: eb.unionByName(resp))
 
     @classmethod
     def from_logs(cls, logs: DataFrame) -> SloTables:
@@ -54,6 +72,16 @@ def minutes(n: float) -> Column:
     return F.make_dt_interval(secs=F.lit(n * 60))
 
 
+def in_time_range(logs: DataFrame, start: Column | None, end: Column | None) -> DataFrame:
+    """Records between two times, both inclusive.  On a table partitioned by ``record_date`` the days are pruned too."""
+    for bound, keep in ((start, lambda c, b: c >= b), (end, lambda c, b: c <= b)):
+        if bound is not None:
+            logs = logs.filter(keep(F.col("record_time"), bound))
+            if PARTITION in logs.columns:
+                logs = logs.filter(keep(F.col(PARTITION), bound.cast("date")))
+    return logs
+
+
 def for_service(logs: DataFrame, service_name: str | None) -> DataFrame:
     return logs.filter(F.col("service_name") == F.lit(service_name)) if service_name else logs
 
@@ -66,11 +94,8 @@ def service_logs(
     limit: int | None = None,
 ) -> DataFrame:
     """Error-budget records, newest first; both time bounds are inclusive and an empty argument means no filter."""
-    logs = for_service(tables.eb, service_name)
-    if start_time is not None:
-        logs = logs.filter(F.col("record_time") >= as_time(start_time))
-    if end_time is not None:
-        logs = logs.filter(F.col("record_time") <= as_time(end_time))
+    start, end = (None if isinstance(t, str) and not t else as_time(t) for t in (start_time, end_time))
+    logs = in_time_range(for_service(tables.eb, service_name), start, end).drop(PARTITION)
     logs = logs.orderBy(F.col("record_time").desc_nulls_last(), F.col("id").desc_nulls_last())
     return logs.limit(limit) if limit else logs
 

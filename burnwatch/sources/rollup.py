@@ -6,7 +6,7 @@ severity columns.  Everything after the first aggregation is a projection over i
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from burnwatch.plans.quantiles import gathered_quantiles, join_on_keys, spread_quantiles
@@ -18,127 +18,147 @@ from burnwatch.schema import AT_RISK, EB, FIELDS, GREEN, HEALTHY, RED, RESPONSE,
 UNTIMED_SERVICE = "svc_9"
 
 _KEYS = ["_k", "record_time"]
-_SLOW_VALUE = 100
-_LATE_HOUR = 18
-
-
-def _measures() -> list[Column]:
-    """Counts and latency figures of one service and day; latency is in seconds, a hundredth of ``value``."""
-    return [
-        F.count(F.lit(1)).alias("_n"),
-        F.count_if(F.col("event_type") == "error").alias("_err"),
-        F.count_if(F.col("value") > _SLOW_VALUE).alias("_slow"),
-        F.count_if(F.hour("ts") >= _LATE_HOUR).alias("_late"),
-        (F.avg("value") / 100).alias("response_time_avg"),
-        (F.min("value") / 100).alias("response_time_min"),
-        (F.max("value") / 100).alias("response_time_max"),
-    ]
+
+
+# Counts and latency figures of one service and day; latency is in seconds, a hundredth of ``value``.
+_MEASURES = {
+    "_n": "count(1)",
+    "_err": "count_if(event_type = 'error')",
+    "_slow": "count_if(value > 100)",
+    "_late": "count_if(hour(ts) >= 18)",
+    "response_time_avg": "avg(value) / 100",
+    "response_time_min": "min(value) / 100",
+    "response_time_max": "max(value) / 100",
+}
 
 
 def daily_measures(events: DataFrame, *, quantiles: bool = True, spread: bool | None = None) -> DataFrame:
     """One row per service key and day.  ``spread`` forces the plan for the quantiles; by default the size decides."""
-    rows = events.withColumn("_k", F.col("user_id") % 10).withColumn(
-        "record_time", F.col("ts").cast("date").cast("timestamp_ntz")
-    )
+    rows = events.selectExpr("*", "user_id % 10 AS _k", "CAST(CAST(ts AS DATE) AS TIMESTAMP_NTZ) AS record_time")
+    measures = [F.expr(f"{expression} AS {name}") for name, expression in _MEASURES.items()]
     if not quantiles:
-        return rows.groupBy(*_KEYS).agg(*_measures())
+        return rows.groupBy(*_KEYS).agg(*measures)
     fractions = list(RESPONSE_QUANTILES.values())
     if spread is None:
         spread = not fits_one_task(events)
     if not spread:
-        return rows.groupBy(*_KEYS).agg(*_measures(), gathered_quantiles(F.col("value"), fractions).alias("_q"))
+        return rows.groupBy(*_KEYS).agg(*measures, gathered_quantiles(F.col("value"), fractions).alias("_q"))
     return join_on_keys(
-        rows.groupBy(*_KEYS).agg(*_measures()), spread_quantiles(rows, _KEYS, "value", fractions, "_q"), _KEYS
+        rows.groupBy(*_KEYS).agg(*measures), spread_quantiles(rows, _KEYS, "value", fractions, "_q"), _KEYS
     )
 
 
-def _health(consumed: Column) -> Column:
-    return F.when(consumed >= 100, UNHEALTHY).when(consumed >= 80, AT_RISK).otherwise(HEALTHY)
-
-
-def _severity(consumed: Column) -> Column:
-    return F.when(consumed >= 100, RED).otherwise(GREEN)
-
-
-def _log_columns(category: Column, quantiles: bool) -> list[Column]:
-    """The 83 log columns over ``daily_measures`` rows (without the percentile columns when they were not computed)."""
-    k, n, err, slow, late = (F.col(c) for c in ("_k", "_n", "_err", "_slow", "_late"))
-    service = F.concat(F.lit("svc_"), k.cast("string"))
-    target = 20.0 + 6 * (k % 5).cast("double")
-    response_target = 14.0 + 6 * (k % 4).cast("double")
-    timeliness_target = 30.0 + 20 * (k % 3).cast("double")
-    error_rate = 100.0 * err / n
-    eb_used = 100.0 * err / (n * target / 100)
-    eb_used_aspirational = 100.0 * err / (n * 0.6 * target / 100)
-    response_used = 100.0 * slow / (n * response_target / 100)
-    response_used_aspirational = 100.0 * slow / (n * 0.6 * response_target / 100)
-    late_used = 100.0 * late / (n * timeliness_target / 100)
-    allocated = F.floor(n * target / 100)
-
-    derived: dict[str, Column] = {
-        "id": F.concat(category, F.lit(":"), service, F.lit(":"), F.date_format("record_time", "yyyy-MM-dd")),
-        "service_name": service,
-        "record_time": F.col("record_time"),
-        "total_count": n,
-        "success_count": n - err,
-        "error_count": err,
-        "success_rate": 100.0 - error_rate,
-        "error_rate": error_rate,
-        "response_time_avg": F.col("response_time_avg"),
-        "response_time_min": F.col("response_time_min"),
-        "response_time_max": F.col("response_time_max"),
-        "target_error_slo_perc": target,
-        "target_response_slo_sec": 0.46 + 0.02 * (k % 5).cast("double"),
-        "eb_allocated_percent": target,
-        "eb_allocated_count": allocated,
-        "eb_consumed_percent": error_rate,
-        "eb_consumed_count": err,
-        "eb_actual_consumed_percent": eb_used,
-        "eb_left_percent": 100.0 - eb_used,
-        "eb_left_count": allocated - err,
-        "response_actual_consumed_percent": response_used,
-        "response_breached": response_used >= 100,
-        "response_breach_count": slow,
-        "response_error_rate": 100.0 * slow / n,
-        "aspirational_eb_actual_consumed_percent": eb_used_aspirational,
-        "aspirational_response_actual_consumed_percent": response_used_aspirational,
-        "timeliness_consumed_percent": late_used,
-        "timeliness_health": _health(late_used),
-        "eb_health": _health(eb_used),
-        "response_health": _health(response_used),
-        "aspirational_eb_health": _health(eb_used_aspirational),
-        "aspirational_response_health": _health(response_used_aspirational),
-        "timeliness_severity": _severity(late_used),
-        "response_severity": _severity(response_used),
-        "eb_severity": _severity(eb_used),
-        "aspirational_response_severity": _severity(response_used_aspirational),
-        "aspirational_eb_severity": _severity(eb_used_aspirational),
-        "burn_rate": error_rate / target,
-        "eb_breached": eb_used >= 100,
-        "eb_slo_status": F.when(k % 2 == 0, "APPROVED").otherwise("UNDER_REVIEW"),
-        "data_category": category,
-    }
-    for i, column in enumerate(RESPONSE_QUANTILES):
-        derived[column] = F.col("_q")[i] / 100
-    return [
-        derived.get(f.column, F.lit(f.default)).cast(f.dtype).alias(f.column)
+def _health(consumed: str) -> str:
+    return f"CASE WHEN {consumed} >= 100 THEN '{UNHEALTHY}' WHEN {consumed} >= 80 THEN '{AT_RISK}' ELSE '{HEALTHY}' END"
+
+
+def _severity(consumed: str) -> str:
+    return f"CASE WHEN {consumed} >= 100 THEN '{RED}' ELSE '{GREEN}' END"
+
+
+# Columns over the rows of ``daily_measures``: names and targets first, then the rates and used-up shares they give.
+_TARGETS = {
+    "_service": "concat('svc_', CAST(_k AS STRING))",
+    "_target": "20D + 6 * CAST(_k % 5 AS DOUBLE)",
+    "_response_target": "14D + 6 * CAST(_k % 4 AS DOUBLE)",
+    "_timeliness_target": "30D + 20 * CAST(_k % 3 AS DOUBLE)",
+    "_error_rate": "100D * _err / _n",
+}
+_SHARES = {
+    "_used": "100D * _err / (_n * _target / 100)",
+    "_used_aspirational": "100D * _err / (_n * 0.6D * _target / 100)",
+    "_response_used": "100D * _slow / (_n * _response_target / 100)",
+    "_response_used_aspirational": "100D * _slow / (_n * 0.6D * _response_target / 100)",
+    "_late_used": "100D * _late / (_n * _timeliness_target / 100)",
+    "_allocated": "floor(_n * _target / 100)",
+}
+_DERIVED = {
+    "id": "concat(_category, ':', _service, ':', date_format(record_time, 'yyyy-MM-dd'))",
+    "service_name": "_service",
+    "record_time": "record_time",
+    "total_count": "_n",
+    "success_count": "_n - _err",
+    "error_count": "_err",
+    "success_rate": "100D - _error_rate",
+    "error_rate": "_error_rate",
+    "response_time_avg": "response_time_avg",
+    "response_time_min": "response_time_min",
+    "response_time_max": "response_time_max",
+    "target_error_slo_perc": "_target",
+    "target_response_slo_sec": "0.46D + 0.02D * (_k % 5)",
+    "eb_allocated_percent": "_target",
+    "eb_allocated_count": "_allocated",
+    "eb_consumed_percent": "_error_rate",
+    "eb_consumed_count": "_err",
+    "eb_actual_consumed_percent": "_used",
+    "eb_left_percent": "100D - _used",
+    "eb_left_count": "_allocated - _err",
+    "response_actual_consumed_percent": "_response_used",
+    "response_breached": "_response_used >= 100",
+    "response_breach_count": "_slow",
+    "response_error_rate": "100D * _slow / _n",
+    "aspirational_eb_actual_consumed_percent": "_used_aspirational",
+    "aspirational_response_actual_consumed_percent": "_response_used_aspirational",
+    "timeliness_consumed_percent": "_late_used",
+    "timeliness_health": _health("_late_used"),
+    "eb_health": _health("_used"),
+    "response_health": _health("_response_used"),
+    "aspirational_eb_health": _health("_used_aspirational"),
+    "aspirational_response_health": _health("_response_used_aspirational"),
+    "timeliness_severity": _severity("_late_used"),
+    "response_severity": _severity("_response_used"),
+    "eb_severity": _severity("_used"),
+    "aspirational_response_severity": _severity("_response_used_aspirational"),
+    "aspirational_eb_severity": _severity("_used_aspirational"),
+    "burn_rate": "_error_rate / _target",
+    "eb_breached": "_used >= 100",
+    "eb_slo_status": "CASE WHEN _k % 2 = 0 THEN 'APPROVED' ELSE 'UNDER_REVIEW' END",
+    "data_category": "_category",
+    **{column: f"_q[{i}] / 100" for i, column in enumerate(RESPONSE_QUANTILES)},
+}
+
+
+def _literal(value: object) -> str:
+    if value is None:
+        return "NULL"
+    return f"'{value}'" if isinstance(value, str) else str(value)
+
+
+def _named(expressions: dict[str, str]) -> list[str]:
+    return [f"{expression} AS {name}" for name, expression in expressions.items()]
+
+
+def _log_columns(daily: DataFrame, quantiles: bool) -> DataFrame:
+    """The 83 log columns (without the percentile columns when they were not computed)."""
+    columns = [
+        f"CAST({_DERIVED.get(f.column, _literal(f.default))} AS {f.dtype}) AS {f.column}"
         for f in FIELDS
         if quantiles or f.column not in RESPONSE_QUANTILES
     ]
+    return (
+        daily.selectExpr("*", *_named(_TARGETS)).selectExpr("*", *_named(_SHARES)).selectExpr(*columns)
+    )
 
 
 def daily_tables(events: DataFrame, *, quantiles: bool = True, spread: bool | None = None) -> SloTables:
     """Both log tables over ``events(ts, user_id, event_type, value)``.
 
-    ``quantiles=False`` leaves out the percentile columns and with them their cost.
+    ``quantiles=False`` leaves out the percentile columns and with them their cost.  All three frames of the tables start
+    from one aggregation of the events; ``logs`` doubles its few rows instead of reading the events twice.
     """
     daily = daily_measures(events, quantiles=quantiles, spread=spread)
-    timed = F.concat(F.lit("svc_"), F.col("_k").cast("string")) != UNTIMED_SERVICE
-    both = daily.withColumn("_category", F.explode(F.array(F.lit(EB), F.lit(RESPONSE)))).filter(
-        (F.col("_category") == EB) | timed
-    )
+    timed = f"concat('svc_', CAST(_k AS STRING)) <> '{UNTIMED_SERVICE}'"
+
+    def of_category(category: str, rows: DataFrame) -> DataFrame:
+        return _log_columns(rows.selectExpr("*", f"'{category}' AS _category"), quantiles)
+
     return SloTables(
-        eb=daily.select(*_log_columns(F.lit(EB), quantiles)),
-        resp=daily.filter(timed).select(*_log_columns(F.lit(RESPONSE), quantiles)),
-        logs=both.select(*_log_columns(F.col("_category"), quantiles)),
+        eb=lambda: of_category(EB, daily),
+        resp=lambda: of_category(RESPONSE, daily.filter(timed)),
+        logs=lambda: _log_columns(
+            daily.selectExpr("*", f"explode(array('{EB}', '{RESPONSE}')) AS _category").filter(
+                f"_category = '{EB}' OR {timed}"
+            ),
+            quantiles,
+        ),
     )

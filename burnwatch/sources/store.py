@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from burnwatch.plans.tables import SloTables, TimeLike
+from burnwatch.plans.tables import PARTITION, SloTables, TimeLike
 from burnwatch.schema import COLUMNS, EB, RESPONSE, SERVICE_LOG_SCHEMA
 from burnwatch.sources.pages import PAGE_SIZE, kept_pages, page_items
 from burnwatch.sources.records import good_records, rejected_records, statistics_columns, typed_items
@@ -92,13 +92,13 @@ class SnapshotStore:
         if version is None:
             version = (self.versions() or [-1])[-1] + 1
         seen = Observation("load")
-        rows = records.observe(seen, *statistics_columns()).withColumn("record_date", F.col("record_time").cast("date"))
+        rows = records.observe(seen, *statistics_columns()).withColumn(PARTITION, F.col("record_time").cast("date"))
         # Rebalancing evens out the files of a day and splits the big ones.
         (
-            rows.hint("rebalance", "data_category", "record_date")
-            .sortWithinPartitions("data_category", "record_date", "service_name")
+            rows.hint("rebalance", "data_category", PARTITION)
+            .sortWithinPartitions("data_category", PARTITION, "service_name")
             .write.mode("overwrite")
-            .partitionBy("data_category", "record_date")
+            .partitionBy("data_category", PARTITION)
             .parquet(self._version_dir(version))
         )
         statistics = {name: int(value) for name, value in seen.get.items()}
@@ -136,10 +136,11 @@ class SnapshotStore:
         versions = self.versions(category)
         chosen = versions if history else versions[-1:]
         if not chosen:
-            return self.spark.createDataFrame([], SERVICE_LOG_SCHEMA)
+            empty = self.spark.createDataFrame([], SERVICE_LOG_SCHEMA)
+            return empty.withColumn(PARTITION, F.col("record_time").cast("date"))
         paths = [f"{self._version_dir(v)}/data_category={category}" for v in chosen]
         stored = self.spark.read.schema(SERVICE_LOG_SCHEMA).parquet(*paths)
-        return stored.withColumn("data_category", F.lit(category)).select(*COLUMNS)
+        return stored.withColumn("data_category", F.lit(category)).select(*COLUMNS, PARTITION)
 
     def tables(self, *, history: bool = False) -> SloTables:
         return SloTables.from_pair(self.table(EB, history=history), self.table(RESPONSE, history=history))
