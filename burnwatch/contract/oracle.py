@@ -534,9 +534,8 @@ FROM b""",
         "ingested_records": f"""{_INGEST}
 SELECT id, CAST(sid AS INTEGER) AS sid, service_name, TIMESTAMP '2024-02-01 00:00:00' AS record_time,
        CAST(total_count AS INTEGER) AS total_count, CAST(error_count AS INTEGER) AS error_count,
-       {r("error_rate", "error_rate")}, {lat("response_time_max", "response_time_max")},
-       {lat("response_time_p95", "response_time_p95")}, CAST(98 AS DOUBLE) AS target_error_slo_perc, eb_health,
-       {r("burn_rate", "burn_rate")}, eb_breached, CAST(project_id AS INTEGER) AS project_id, data_category
+       error_rate, response_time_max, response_time_p95, CAST(98 AS DOUBLE) AS target_error_slo_perc, eb_health,
+       burn_rate, eb_breached, CAST(project_id AS INTEGER) AS project_id, data_category
 FROM loaded""",
         "ingest_rejects": f"{_INGEST} SELECT page_id, pos, bad_keys FROM faulty WHERE bad_keys <> ''",
         "ingest_statistics": f"""{_INGEST}

@@ -262,7 +262,7 @@ _INGEST_COLUMNS = (
 def ingested_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages to typed, deduplicated records of both categories."""
     loaded = clean(records.good_records(_typed(spark, sf_dir)), ["page_id", "pos"])
-    return rounded(loaded.select(*_INGEST_COLUMNS))
+    return loaded.select(*_INGEST_COLUMNS)
 
 
 def ingest_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:

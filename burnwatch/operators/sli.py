@@ -147,33 +147,33 @@ class _Window:
     def allowed_percent(self) -> Column:
         return 100.0 - self.target if self.target_is_success else self.target
 
-    def budget_columns(self, hours: float) -> list[Column]:
+    def budget_columns(self, hours: float) -> dict[str, Column]:
         budget = self.allowed_percent / 100 * self.requests
         remaining = budget - self.errors
-        return [
-            F.lit(hours).alias("time_window_hours"),
-            self.requests.alias("total_requests"),
-            self.errors.alias("total_errors"),
-            self.target.alias("error_slo_target_percent"),
-            budget.alias("error_budget"),
-            self.errors.alias("errors_consumed"),
-            remaining.alias("budget_remaining"),
-            (ratio_or_zero(self.errors, budget) * 100).alias("budget_consumed_percent"),
-            F.when(remaining > 0, "healthy").otherwise("budget_exceeded").alias("status"),
-        ]
-
-    def burn_columns(self, window_minutes: float) -> list[Column]:
+        return {
+            "time_window_hours": F.lit(hours),
+            "total_requests": self.requests,
+            "total_errors": self.errors,
+            "error_slo_target_percent": self.target,
+            "error_budget": budget,
+            "errors_consumed": self.errors,
+            "budget_remaining": remaining,
+            "budget_consumed_percent": (ratio_or_zero(self.errors, budget) * 100),
+            "status": F.when(remaining > 0, "healthy").otherwise("budget_exceeded"),
+        }
+
+    def burn_columns(self, window_minutes: float) -> dict[str, Column]:
         actual = ratio_or_zero(self.errors, self.requests) * 100
         burn = ratio_or_zero(actual, self.allowed_percent)
-        return [
-            F.lit(window_minutes).alias("time_window_minutes"),
-            actual.alias("actual_error_rate"),
-            self.target.alias("error_slo_target"),
-            burn.alias("burn_rate"),
-            burn_severity(burn).alias("severity"),
-            self.requests.alias("total_requests"),
-            self.errors.alias("total_errors"),
-        ]
+        return {
+            "time_window_minutes": F.lit(window_minutes),
+            "actual_error_rate": actual,
+            "error_slo_target": self.target,
+            "burn_rate": burn,
+            "severity": burn_severity(burn),
+            "total_requests": self.requests,
+            "total_errors": self.errors,
+        }
 
 
 def _anchor(as_of: TimeLike) -> Column:
@@ -201,7 +201,7 @@ def error_budget(
         window.marked(rows)
         .groupBy("service_name")
         .agg(*window.aggregates())
-        .select("service_name", *window.budget_columns(time_window_hours))
+        .select("service_name", *_aliased(window.budget_columns(time_window_hours)))
     )
 
 
@@ -222,7 +222,7 @@ def burn_rate(
         window.marked(rows)
         .groupBy("service_name")
         .agg(*window.aggregates())
-        .select("service_name", *window.burn_columns(time_window_minutes))
+        .select("service_name", *_aliased(window.burn_columns(time_window_minutes)))
     )
 
 
@@ -278,9 +278,11 @@ def service_summary(
     )
 
 
-def _window_struct(rows: Column, columns: list[Column]) -> Column:
+def _aliased(columns: dict[str, Column]) -> list[Column]:
+    return [column.alias(name) for name, column in columns.items()]
+
+
+def _window_struct(rows: Column, columns: dict[str, Column]) -> Column:
     """The window's figures, or NULLs and an error text when the window holds no rows."""
-    values = F.struct(*columns)
-    return F.when(rows > 0, values.withField("error", F.lit(None).cast("string"))).otherwise(
-        F.when(rows > 0, values).withField("error", F.lit(NO_DATA))
-    )
+    known = {name: F.when(rows > 0, column) for name, column in columns.items()}
+    return F.struct(*_aliased(known | {"error": F.when(rows == 0, NO_DATA)}))

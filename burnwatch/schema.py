@@ -124,7 +124,14 @@ FIELDS: tuple[Field, ...] = tuple(
 
 COLUMNS: tuple[str, ...] = tuple(f.column for f in FIELDS)
 
-SERVICE_LOG_SCHEMA = T.StructType.fromDDL(", ".join(f"{f.column} {f.dtype}" for f in FIELDS))
+_TYPES = {
+    "string": T.StringType(),
+    "int": T.IntegerType(),
+    "double": T.DoubleType(),
+    "boolean": T.BooleanType(),
+    "timestamp_ntz": T.TimestampNTZType(),
+}
+SERVICE_LOG_SCHEMA = T.StructType([T.StructField(f.column, _TYPES[f.dtype]) for f in FIELDS])
 
 # Percentile columns and the fraction each one holds.
 RESPONSE_QUANTILES: dict[str, float] = {f"response_time_p{p}": p / 100 for p in (25, 50, 75, 80, 85, 90, 95, 99)}

@@ -10,138 +10,147 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from burnwatch.plans.staging import staged
 from burnwatch.plans.tables import TimeLike, as_time
 from burnwatch.schema import COLUMNS, EB, FIELDS, RESPONSE, Field
 from burnwatch.sources.pages import PAGE_SIZE, kept_pages, no_data_found, page_items, page_offsets
 
-PERCENTILES = "avgPercentiles"
 BURN_ALERT = 2.0
 
+_PERCENTILES = "avgPercentiles"
+_TYPES = {"int": "INT", "int_or_zero": "INT", "float": "DOUBLE", "str": "STRING"}
+
 
 def _path(key: str) -> str:
     """JSON path of a key; a percentile key has a dot in its own name."""
     parent, _, child = key.partition(".")
-    return f"$.{parent}['{child}']" if child else f"$.{parent}"
+    return f'$.{parent}["{child}"]' if child else f"$.{parent}"
+
+
+def _raw(key: str) -> str:
+    """The member as VARIANT: SQL NULL for an absent key, a variant null for an explicit one."""
+    return f"try_variant_get(item, '{_path(key)}', 'variant')"
 
 
-def _raw(key: str) -> Column:
-    return F.try_variant_get("item", _path(key), "variant")
+def _as(key: str, dtype: str) -> str:
+    return f"try_variant_get(item, '{_path(key)}', '{dtype}')"
 
 
-def _as(key: str, dtype: str) -> Column:
-    return F.try_variant_get("item", _path(key), dtype)
+def _member(key: str) -> str:
+    """The member in its column's type, from the one typed reading of the whole item."""
+    parent, _, child = key.partition(".")
+    return f"_typed.{parent}.`{child}`" if child else f"_typed.{parent}"
 
 
-def _kind(value: Column) -> Column:
-    return F.schema_of_variant(value)
+def _typed_item() -> str:
+    """One cast of the item to a struct: members that are absent, null or do not cast are NULL in it."""
+    members: dict[str, str] = {"key": "STRING", "transactionId": "INT", "transactionName": "STRING", "sumResponseTime": "DOUBLE"}
+    percentiles: dict[str, str] = {}
+    for f in FIELDS:
+        if f.cast in _TYPES:
+            parent, _, child = f.key.partition(".")
+            (percentiles if child else members)[child or parent] = _TYPES[f.cast]
+    inner = ", ".join(f"`{name}`: {dtype}" for name, dtype in percentiles.items())
+    members[_PERCENTILES] = f"STRUCT<{inner}>"
+    return "try_variant_get(item, '$', 'STRUCT<" + ", ".join(f"`{n}`: {t}" for n, t in members.items()) + ">')"
 
 
-def _text(key: str) -> Column:
+def _text(key: str) -> str:
     """Text of a present value; an explicit null reads ``None``.  NULL only for an absent key."""
-    return F.when(F.is_variant_null(_raw(key)), "None").otherwise(_as(key, "string"))
+    return f"coalesce({_as(key, 'string')}, CASE WHEN is_variant_null({_raw(key)}) THEN 'None' END)"
 
 
-def _truth(key: str) -> Column:
+def _truth(key: str) -> str:
     """Truth of a value: null, false, zero and anything empty are false."""
-    raw = _raw(key)
-    kind = _kind(raw)
-    return (
-        F.when(raw.isNull() | F.is_variant_null(raw), False)
-        .when(kind == "STRING", F.length(_as(key, "string")) > 0)
-        .when(kind.startswith("OBJECT") | kind.startswith("ARRAY"), ~_as(key, "string").isin("{}", "[]"))
-        .otherwise(F.coalesce(_as(key, "double") != 0, F.lit(True)))
-    )
+    raw, kind, text = _raw(key), f"schema_of_variant({_raw(key)})", _as(key, "string")
+    return f"""CASE WHEN {raw} IS NULL OR is_variant_null({raw}) THEN false
+        WHEN {kind} = 'STRING' THEN length({text}) > 0
+        WHEN startswith({kind}, 'OBJECT') OR startswith({kind}, 'ARRAY') THEN {text} NOT IN ('{{}}', '[]')
+        ELSE coalesce({_as(key, "double")} <> 0, true) END"""
 
 
-_NUMBER = {"int": "int", "float": "double", "int_or_zero": "int"}
+# Columns with a rule of their own.  ``id`` stays NULL when only the arrival position can name the record.
+_SPECIAL = {
+    "id": f"coalesce({_text('key')}, concat('platform_', {_text('transactionId')}))",
+    "app_id": "NULL",
+    "sid": _member("transactionId"),
+    "service_name": f"CASE WHEN {_raw('transactionName')} IS NULL THEN 'Unknown' ELSE {_member('transactionName')} END",
+    "record_time": "_ingest_time",
+    "response_time_max": (
+        f"coalesce({_member('sumResponseTime')}, 0D) / greatest(coalesce({_as('totalCount', 'double')}, 1D), 1D)"
+    ),
+}
 
 
-def _value(field: Field) -> Column:
-    key = field.key
+def _value(field: Field) -> str:
     if field.cast == "float":
-        return F.nanvl(F.coalesce(_as(key, "double"), F.lit(field.default)), F.lit(None))
-    if field.cast in _NUMBER:
-        return F.coalesce(_as(key, "int"), F.lit(field.default))
+        return f"nanvl(coalesce({_member(field.key)}, {field.default}D), NULL)"
+    if field.cast in ("int", "int_or_zero"):
+        return f"coalesce({_member(field.key)}, {field.default})"
     if field.cast == "bool":
-        return _truth(key)
+        return _truth(field.key)
     if field.cast == "str":
-        return F.coalesce(_text(key), F.lit(field.default))
-    return _SPECIAL[field.column]()
-
-
-def _identifier() -> Column:
-    """The record's key, else one made from its transaction; NULL when only the arrival position can tell."""
-    by_transaction = F.concat(F.lit("platform_"), _text("transactionId"))
-    return F.coalesce(_text("key"), by_transaction)
-
+        absent_or_null = f"CASE WHEN is_variant_null({_raw(field.key)}) THEN 'None' ELSE '{field.default}' END"
+        return f"coalesce({_member(field.key)}, {absent_or_null})"
+    return _SPECIAL[field.column]
 
-def _mean_time() -> Column:
-    requests = F.greatest(F.coalesce(_as("totalCount", "double"), F.lit(1.0)), F.lit(1.0))
-    return F.coalesce(_as("sumResponseTime", "double"), F.lit(0.0)) / requests
 
+def _faults() -> dict[str, str]:
+    """Per key, the condition that rejects the record."""
 
-_SPECIAL = {
-    "id": _identifier,
-    "app_id": lambda: F.lit(None),
-    "sid": lambda: _as("transactionId", "int"),
-    "service_name": lambda: F.when(_raw("transactionName").isNull(), "Unknown").otherwise(
-        _as("transactionName", "string")
-    ),
-    "record_time": lambda: F.col("_ingest_time"),
-    "response_time_max": _mean_time,
-}
-
+    def kind(value: str) -> str:
+        return f"schema_of_variant({value})"
 
-def _miscast_or_null(key: str) -> Column:
-    """A present value that is no number, where an explicit null is fine."""
-    raw = _raw(key)
-    return _as(key, "int").isNull() & raw.isNotNull() & ~F.is_variant_null(raw)
+    def unusable(key: str) -> str:
+        return f"({_member(key)} IS NULL AND {_raw(key)} IS NOT NULL)"
 
+    def miscast(key: str) -> str:
+        """A present value that is no number, where an explicit null is fine."""
+        return f"({_member(key)} IS NULL AND {_raw(key)} IS NOT NULL AND NOT is_variant_null({_raw(key)}))"
 
-def _faults() -> dict[str, Column]:
-    """Per key, the condition that rejects the record."""
-    faults: dict[str, Column] = {
-        "item": ~_kind(F.col("item")).startswith("OBJECT"),
-        PERCENTILES: ~_kind(_raw(PERCENTILES)).startswith("OBJECT"),
+    faults = {
+        "item": f"NOT startswith({kind('item')}, 'OBJECT')",
+        _PERCENTILES: f"NOT startswith({kind(_raw(_PERCENTILES))}, 'OBJECT')",
+        "transactionId": miscast("transactionId"),
     }
     for field in FIELDS:
         if field.cast in ("int", "float"):
-            faults[field.key] = _as(field.key, _NUMBER[field.cast]).isNull() & _raw(field.key).isNotNull()
+            faults[field.key] = unusable(field.key)
         elif field.cast == "int_or_zero":
-            faults[field.key] = _miscast_or_null(field.key)
-    faults["transactionId"] = _miscast_or_null("transactionId")
+            faults[field.key] = miscast(field.key)
     # These two take part in a division, where text does not pass for a number.
-    faults["totalCount"] = faults["totalCount"] | (_kind(_raw("totalCount")) == "STRING")
-    total_time = "sumResponseTime"
-    faults[total_time] = (_as(total_time, "double").isNull() & _raw(total_time).isNotNull()) | (
-        _kind(_raw(total_time)) == "STRING"
-    )
+    for key in ("totalCount", "sumResponseTime"):
+        faults[key] = f"({unusable(key)} OR {kind(_raw(key))} = 'STRING')"
     return faults
 
 
 def typed_items(items: DataFrame, ingest_time: TimeLike = None) -> DataFrame:
-    """``page_items`` rows with the 83 columns and ``bad_keys`` beside the page columns.
+    """``page_items`` rows with the 83 columns, ``bad_keys``, and the JSON text of items that have any.
 
-    A no-data item becomes a placeholder row with a NULL ``source``, like the row of an empty page: it carries its page
+    A no-data item becomes a placeholder with ``is_record`` false, like the row of an empty page: it carries its page
     through the cut of the sequence and is no record.
     """
     stamp = F.localtimestamp() if ingest_time is None else as_time(ingest_time)
     usable = items.withColumn("item", F.when(~no_data_found(F.col("item")), F.col("item")))
-    bad = F.array_compact(F.array(*[F.when(fault, key) for key, fault in _faults().items()]))
-    return usable.withColumn("_ingest_time", stamp).select(
-        "page_id",
-        "page_items",
-        "page_ends",
-        "pos",
-        bad.alias("bad_keys"),
-        F.to_json("item").alias("source"),
-        *[_value(field).cast(field.dtype).alias(field.column) for field in FIELDS],
+    bad = ", ".join(f"CASE WHEN {fault} THEN '{key}' END" for key, fault in _faults().items())
+    page = ["page_id", "page_items", "page_ends", "pos"]
+    return (
+        usable.withColumn("_ingest_time", stamp)
+        .selectExpr("*", f"{_typed_item()} AS _typed")
+        .selectExpr("*", f"array_compact(array({bad})) AS bad_keys")
+        .selectExpr(
+            *page,
+            "item IS NOT NULL AS is_record",
+            "bad_keys",
+            "CASE WHEN size(bad_keys) > 0 THEN to_json(item) END AS source",
+            *[f"CAST({_value(field)} AS {field.dtype}) AS {field.column}" for field in FIELDS],
+        )
     )
 
 
 def good_records(typed: DataFrame) -> DataFrame:
     """Accepted records of both categories with their arrival position, every record with an id."""
-    good = typed.filter(F.col("source").isNotNull() & (F.size("bad_keys") == 0) & F.col("data_category").isin(EB, RESPONSE))
+    good = typed.filter(F.col("is_record") & (F.size("bad_keys") == 0) & F.col("data_category").isin(EB, RESPONSE))
     arrival = ["page_id", "pos"]
     named = good.filter(F.col("id").isNotNull()).select(*COLUMNS, *arrival)
     # Only records without any identifier need their position in the whole sequence.
@@ -152,16 +161,18 @@ def good_records(typed: DataFrame) -> DataFrame:
 
 def rejected_records(typed: DataFrame) -> DataFrame:
     """Rejected records with the keys at fault and their JSON text."""
-    return typed.filter(F.col("source").isNotNull() & (F.size("bad_keys") > 0)).select(
-        "page_id", "pos", "bad_keys", "source"
-    )
+    return typed.filter(F.col("is_record") & (F.size("bad_keys") > 0)).select("page_id", "pos", "bad_keys", "source")
 
 
 def records_from_pages(
-    pages: DataFrame, *, page_size: int = PAGE_SIZE, ingest_time: TimeLike = None
+    pages: DataFrame, *, page_size: int = PAGE_SIZE, ingest_time: TimeLike = None, staging: str | None = None
 ) -> DataFrame:
-    """Lazy chain from ``(page_id, body)`` to typed items inside the sequence."""
-    return kept_pages(typed_items(page_items(pages), ingest_time), page_size)
+    """``(page_id, body)`` to typed items inside the sequence.
+
+    The pages are parsed once, into a staging table, because the end of the sequence and the positions of its pages are
+    only known after all of them have been looked at.
+    """
+    return kept_pages(staged(typed_items(page_items(pages), ingest_time), staging), page_size)
 
 
 def load_statistics(logs: DataFrame) -> DataFrame:

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from burnwatch.plans.tables import PARTITION, SloTables, TimeLike
 from burnwatch.schema import COLUMNS, EB, RESPONSE, SERVICE_LOG_SCHEMA
-from burnwatch.sources.pages import PAGE_SIZE, kept_pages, page_items
-from burnwatch.sources.records import good_records, rejected_records, statistics_columns, typed_items
+from burnwatch.sources.pages import PAGE_SIZE
+from burnwatch.sources.records import good_records, records_from_pages, rejected_records, statistics_columns
 
 _MARKERS = {EB: "_EB", RESPONSE: "_RESPONSE"}
 
@@ -121,8 +121,7 @@ class SnapshotStore:
         if version is None:
             version = (self.versions() or [-1])[-1] + 1
         staging = f"{self.root}/staging/version={version}"
-        typed_items(page_items(pages), ingest_time).write.mode("overwrite").parquet(staging)
-        kept = kept_pages(self.spark.read.parquet(staging), page_size)
+        kept = records_from_pages(pages, page_size=page_size, ingest_time=ingest_time, staging=staging)
         if kept.isEmpty():
             raise ValueError("no page could be read")
         rejected_records(kept).write.mode("overwrite").parquet(f"{self.root}/rejected/version={version}")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from burnwatch.plans.staging import staged
 from burnwatch.sources.pages import page_items
 from burnwatch.sources.records import good_records, rejected_records, typed_items
 from burnwatch.sources.store import SnapshotStore, clean
@@ -23,9 +24,7 @@ def load_batch(store: SnapshotStore, pages: DataFrame, batch_id: int) -> None:
 
     Landed pages of a continuous feed are all wanted: the end-of-sequence rules of a refresh do not apply.
     """
-    staging = f"{store.root}/staging/version={batch_id}"
-    typed_items(page_items(pages)).write.mode("overwrite").parquet(staging)
-    typed = store.spark.read.parquet(staging)
+    typed = staged(typed_items(page_items(pages)), f"{store.root}/staging/version={batch_id}")
     rejected_records(typed).write.mode("overwrite").parquet(f"{store.root}/rejected/version={batch_id}")
     store.write(clean(good_records(typed), ["page_id", "pos"]), batch_id)
 
