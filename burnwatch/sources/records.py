@@ -21,96 +21,104 @@ _PERCENTILES = "avgPercentiles"
 _TYPES = {"int": "INT", "int_or_zero": "INT", "float": "DOUBLE", "str": "STRING"}
 
 
-def _path(key: str) -> str:
-    """JSON path of a key; a percentile key has a dot in its own name."""
+def _member(frame: str, key: str) -> str:
+    """A member in one of the readings of the item; a percentile key has a dot in its own name."""
     parent, _, child = key.partition(".")
-    return f'$.{parent}["{child}"]' if child else f"$.{parent}"
+    return f"{frame}.{parent}.`{child}`" if child else f"{frame}.{parent}"
 
 
-def _raw(key: str) -> str:
-    """The member as VARIANT: SQL NULL for an absent key, a variant null for an explicit one."""
-    return f"try_variant_get(item, '{_path(key)}', 'variant')"
+def _typed(key: str) -> str:
+    """The member in its column's type; NULL when it is absent, null or does not cast."""
+    return _member("_typed", key)
 
 
-def _as(key: str, dtype: str) -> str:
-    return f"try_variant_get(item, '{_path(key)}', '{dtype}')"
+def _raw(key: str) -> str:
+    """The member as it is: SQL NULL for an absent key, a variant null for an explicit one."""
+    return _member("_raw", key)
 
 
-def _member(key: str) -> str:
-    """The member in its column's type, from the one typed reading of the whole item."""
-    parent, _, child = key.partition(".")
-    return f"_typed.{parent}.`{child}`" if child else f"_typed.{parent}"
+def _readings() -> tuple[str, str]:
+    """Two casts of the whole item to a struct, typed and raw.
 
-
-def _typed_item() -> str:
-    """One cast of the item to a struct: members that are absent, null or do not cast are NULL in it."""
-    members: dict[str, str] = {"key": "STRING", "transactionId": "INT", "transactionName": "STRING", "sumResponseTime": "DOUBLE"}
+    Each walks the item once, which is much cheaper than looking up some eighty members one by one.
+    """
+    members = {"key": "STRING", "transactionId": "INT", "transactionName": "STRING", "sumResponseTime": "DOUBLE"}
     percentiles: dict[str, str] = {}
     for f in FIELDS:
         if f.cast in _TYPES:
             parent, _, child = f.key.partition(".")
             (percentiles if child else members)[child or parent] = _TYPES[f.cast]
-    inner = ", ".join(f"`{name}`: {dtype}" for name, dtype in percentiles.items())
-    members[_PERCENTILES] = f"STRUCT<{inner}>"
-    return "try_variant_get(item, '$', 'STRUCT<" + ", ".join(f"`{n}`: {t}" for n, t in members.items()) + ">')"
+    flags = [f.key for f in FIELDS if f.cast == "bool"]
+
+    def struct(columns: dict[str, str]) -> str:
+        return "STRUCT<" + ", ".join(f"`{name}`: {dtype}" for name, dtype in columns.items()) + ">"
+
+    typed = members | {_PERCENTILES: struct(percentiles)}
+    raw = dict.fromkeys([*members, *flags], "VARIANT") | {_PERCENTILES: struct(dict.fromkeys(percentiles, "VARIANT"))}
+    return f"try_variant_get(item, '$', '{struct(typed)}')", f"try_variant_get(item, '$', '{struct(raw)}')"
+
+
+def _kind(value: str) -> str:
+    return f"schema_of_variant({value})"
 
 
 def _text(key: str) -> str:
     """Text of a present value; an explicit null reads ``None``.  NULL only for an absent key."""
-    return f"coalesce({_as(key, 'string')}, CASE WHEN is_variant_null({_raw(key)}) THEN 'None' END)"
+    raw = _raw(key)
+    return f"CASE WHEN is_variant_null({raw}) THEN 'None' ELSE try_variant_get({raw}, '$', 'string') END"
 
 
 def _truth(key: str) -> str:
     """Truth of a value: null, false, zero and anything empty are false."""
-    raw, kind, text = _raw(key), f"schema_of_variant({_raw(key)})", _as(key, "string")
+    raw = _raw(key)
+    kind, text = _kind(raw), f"try_variant_get({raw}, '$', 'string')"
     return f"""CASE WHEN {raw} IS NULL OR is_variant_null({raw}) THEN false
         WHEN {kind} = 'STRING' THEN length({text}) > 0
         WHEN startswith({kind}, 'OBJECT') OR startswith({kind}, 'ARRAY') THEN {text} NOT IN ('{{}}', '[]')
-        ELSE coalesce({_as(key, "double")} <> 0, true) END"""
+        ELSE coalesce(try_variant_get({raw}, '$', 'double') <> 0, true) END"""
 
 
 # Columns with a rule of their own.  ``id`` stays NULL when only the arrival position can name the record.
 _SPECIAL = {
     "id": f"coalesce({_text('key')}, concat('platform_', {_text('transactionId')}))",
     "app_id": "NULL",
-    "sid": _member("transactionId"),
-    "service_name": f"CASE WHEN {_raw('transactionName')} IS NULL THEN 'Unknown' ELSE {_member('transactionName')} END",
+    "sid": _typed("transactionId"),
+    "service_name": f"CASE WHEN {_raw('transactionName')} IS NULL THEN 'Unknown' ELSE {_typed('transactionName')} END",
     "record_time": "_ingest_time",
     "response_time_max": (
-        f"coalesce({_member('sumResponseTime')}, 0D) / greatest(coalesce({_as('totalCount', 'double')}, 1D), 1D)"
+        f"coalesce({_typed('sumResponseTime')}, 0D)"
+        f" / greatest(coalesce(try_variant_get({_raw('totalCount')}, '$', 'double'), 1D), 1D)"
     ),
 }
 
 
 def _value(field: Field) -> str:
     if field.cast == "float":
-        return f"nanvl(coalesce({_member(field.key)}, {field.default}D), NULL)"
+        return f"nanvl(coalesce({_typed(field.key)}, {field.default}D), NULL)"
     if field.cast in ("int", "int_or_zero"):
-        return f"coalesce({_member(field.key)}, {field.default})"
+        return f"coalesce({_typed(field.key)}, {field.default})"
     if field.cast == "bool":
         return _truth(field.key)
     if field.cast == "str":
         absent_or_null = f"CASE WHEN is_variant_null({_raw(field.key)}) THEN 'None' ELSE '{field.default}' END"
-        return f"coalesce({_member(field.key)}, {absent_or_null})"
+        return f"coalesce({_typed(field.key)}, {absent_or_null})"
     return _SPECIAL[field.column]
 
 
 def _faults() -> dict[str, str]:
     """Per key, the condition that rejects the record."""
 
-    def kind(value: str) -> str:
-        return f"schema_of_variant({value})"
-
     def unusable(key: str) -> str:
-        return f"({_member(key)} IS NULL AND {_raw(key)} IS NOT NULL)"
+        return f"({_typed(key)} IS NULL AND {_raw(key)} IS NOT NULL)"
 
     def miscast(key: str) -> str:
         """A present value that is no number, where an explicit null is fine."""
-        return f"({_member(key)} IS NULL AND {_raw(key)} IS NOT NULL AND NOT is_variant_null({_raw(key)}))"
+        return f"({_typed(key)} IS NULL AND {_raw(key)} IS NOT NULL AND NOT is_variant_null({_raw(key)}))"
 
+    percentiles = _kind(f"try_variant_get(item, '$.{_PERCENTILES}', 'variant')")
     faults = {
-        "item": f"NOT startswith({kind('item')}, 'OBJECT')",
-        _PERCENTILES: f"NOT startswith({kind(_raw(_PERCENTILES))}, 'OBJECT')",
+        "item": f"NOT startswith({_kind('item')}, 'OBJECT')",
+        _PERCENTILES: f"NOT startswith({percentiles}, 'OBJECT')",
         "transactionId": miscast("transactionId"),
     }
     for field in FIELDS:
@@ -120,7 +128,7 @@ def _faults() -> dict[str, str]:
             faults[field.key] = miscast(field.key)
     # These two take part in a division, where text does not pass for a number.
     for key in ("totalCount", "sumResponseTime"):
-        faults[key] = f"({unusable(key)} OR {kind(_raw(key))} = 'STRING')"
+        faults[key] = f"({unusable(key)} OR {_kind(_raw(key))} = 'STRING')"
     return faults
 
 
@@ -134,9 +142,10 @@ def typed_items(items: DataFrame, ingest_time: TimeLike = None) -> DataFrame:
     usable = items.withColumn("item", F.when(~no_data_found(F.col("item")), F.col("item")))
     bad = ", ".join(f"CASE WHEN {fault} THEN '{key}' END" for key, fault in _faults().items())
     page = ["page_id", "page_items", "page_ends", "pos"]
+    typed, raw = _readings()
     return (
         usable.withColumn("_ingest_time", stamp)
-        .selectExpr("*", f"{_typed_item()} AS _typed")
+        .selectExpr("*", f"{typed} AS _typed", f"{raw} AS _raw")
         .selectExpr("*", f"array_compact(array({bad})) AS bad_keys")
         .selectExpr(
             *page,
