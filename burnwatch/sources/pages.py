@@ -15,7 +15,7 @@ PAGE_SIZE = 200
 
 def read_page_files(spark: SparkSession, path: str) -> DataFrame:
     """``(page_id, body)`` from one file per page; the page number is the last run of digits in the file name."""
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     number = F.regexp_extract(F.col("_metadata.file_name"), r"(\d+)\D*$", 1)
     return files.select(number.cast("bigint").alias("page_id"), F.col("value").alias("body"))
 

@@ -7,12 +7,12 @@ absent from null.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from burnwatch.plans.staging import staged
 from burnwatch.plans.tables import TimeLike, as_time
-from burnwatch.schema import COLUMNS, EB, FIELDS, RESPONSE, Field
+from burnwatch.schema import COLUMNS, EB, FIELDS, RESPONSE, UNHEALTHY, Field
 from burnwatch.sources.pages import PAGE_SIZE, kept_pages, no_data_found, page_items, page_offsets
 
 BURN_ALERT = 2.0
@@ -186,17 +186,13 @@ def records_from_pages(
 
 def load_statistics(logs: DataFrame) -> DataFrame:
     """One row of counts over loaded records of both categories."""
-    return logs.agg(*statistics_columns())
-
-
-def statistics_columns() -> list[Column]:
     is_eb = F.col("data_category") == EB
-    unhealthy = F.col("eb_health") == "UNHEALTHY"
-    either = unhealthy | (F.col("response_health") == "UNHEALTHY")
-    return [
+    unhealthy = F.col("eb_health") == UNHEALTHY
+    either = unhealthy | (F.col("response_health") == UNHEALTHY)
+    return logs.agg(
         F.count_if(is_eb).alias("eb_records"),
         F.count_if(F.col("data_category") == RESPONSE).alias("response_records"),
         F.count_if(is_eb & either).alias("unhealthy_records"),
         F.count_if(is_eb & unhealthy).alias("eb_unhealthy_records"),
         F.count_if(is_eb & (F.col("burn_rate") > BURN_ALERT)).alias("high_burn_records"),
-    ]
+    )

@@ -12,13 +12,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 from burnwatch.plans.tables import PARTITION, SloTables, TimeLike
 from burnwatch.schema import COLUMNS, EB, RESPONSE, SERVICE_LOG_SCHEMA
 from burnwatch.sources.pages import PAGE_SIZE
-from burnwatch.sources.records import good_records, records_from_pages, rejected_records, statistics_columns
+from burnwatch.sources.records import good_records, load_statistics, records_from_pages, rejected_records
 
 _MARKERS = {EB: "_EB", RESPONSE: "_RESPONSE"}
 
@@ -79,6 +79,9 @@ class SnapshotStore:
             return found
         return [v for v in found if self._exists(f"{self._version_dir(v)}/{_MARKERS[category]}")]
 
+    def _reader(self) -> DataFrameReader:
+        return self.spark.read.schema(SERVICE_LOG_SCHEMA).option("basePath", f"{self.root}/logs")
+
     def _exists(self, path: str) -> bool:
         fs, p = self._fs(path)
         return fs.exists(p)
@@ -88,11 +91,13 @@ class SnapshotStore:
         fs.create(p, True).close()
 
     def write(self, records: DataFrame, version: int | None = None) -> LoadResult:
-        """Write cleaned records of both categories as a new version, count them on the way, publish what has rows."""
+        """Write cleaned records of both categories as a new version, count what was written, publish what has rows.
+
+        The counts are read back from the few columns they need, which stays right when tasks of the write were repeated.
+        """
         if version is None:
             version = (self.versions() or [-1])[-1] + 1
-        seen = Observation("load")
-        rows = records.observe(seen, *statistics_columns()).withColumn(PARTITION, F.col("record_time").cast("date"))
+        rows = records.withColumn(PARTITION, F.col("record_time").cast("date"))
         # Rebalancing evens out the files of a day and splits the big ones.
         (
             rows.hint("rebalance", "data_category", PARTITION)
@@ -101,7 +106,8 @@ class SnapshotStore:
             .partitionBy("data_category", PARTITION)
             .parquet(self._version_dir(version))
         )
-        statistics = {name: int(value) for name, value in seen.get.items()}
+        written = self._reader().parquet(self._version_dir(version))
+        statistics = load_statistics(written).first().asDict()
         published = []
         for category, count in ((EB, "eb_records"), (RESPONSE, "response_records")):
             if statistics[count] > 0:
@@ -138,8 +144,7 @@ class SnapshotStore:
             empty = self.spark.createDataFrame([], SERVICE_LOG_SCHEMA)
             return empty.withColumn(PARTITION, F.col("record_time").cast("date"))
         paths = [f"{self._version_dir(v)}/data_category={category}" for v in chosen]
-        stored = self.spark.read.schema(SERVICE_LOG_SCHEMA).parquet(*paths)
-        return stored.withColumn("data_category", F.lit(category)).select(*COLUMNS, PARTITION)
+        return self._reader().parquet(*paths).select(*COLUMNS, PARTITION)
 
     def tables(self, *, history: bool = False) -> SloTables:
         return SloTables.from_pair(self.table(EB, history=history), self.table(RESPONSE, history=history))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from burnwatch.functions.scoring import burn_severity, ratio_or_zero
+from burnwatch.streaming.clock import utc_clock, with_instant
 
 
 def sliding_burn_rate(
@@ -20,7 +21,8 @@ def sliding_burn_rate(
     Events are first counted per slide, so that the overlapping windows expand those counts and not the events.  On a
     stream give a ``watermark``; rows later than it are dropped.
     """
-    rows = events if watermark is None else events.withWatermark("ts", watermark)
+    instants = with_instant(events)
+    rows = instants if watermark is None else instants.withWatermark("ts", watermark)
     slices = rows.groupBy((F.col("user_id") % 10).alias("_k"), F.window("ts", slide).alias("_slice")).agg(
         F.count(F.lit(1)).alias("_n"), F.count_if(F.col("event_type") == "error").alias("_err")
     )
@@ -31,8 +33,8 @@ def sliding_burn_rate(
     target = 20.0 + 6 * (F.col("_k") % 5).cast("double")
     return windows.select(
         F.concat(F.lit("svc_"), F.col("_k").cast("string")).alias("service_name"),
-        F.col("_window.start").alias("window_start"),
-        F.col("_window.end").alias("window_end"),
+        utc_clock(F.col("_window.start")).alias("window_start"),
+        utc_clock(F.col("_window.end")).alias("window_end"),
         "total_requests",
         "total_errors",
         actual.alias("actual_error_rate"),

@@ -14,7 +14,7 @@ from burnwatch.sources.store import SnapshotStore, clean
 
 def page_stream(spark: SparkSession, path: str, *, files_per_batch: int = 1000) -> DataFrame:
     """``(page_id, body)`` of newly landed page files."""
-    files = spark.readStream.option("wholetext", True).option("maxFilesPerTrigger", files_per_batch).text(path)
+    files = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path, wholetext=True)
     number = F.regexp_extract(F.col("_metadata.file_name"), r"(\d+)\D*$", 1)
     return files.select(number.cast("bigint").alias("page_id"), F.col("value").alias("body"))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from burnwatch.streaming.clock import utc_clock, with_instant
+
 
 def daily_indicators(events: DataFrame, *, watermark: str = "1 hour", accuracy: int = 10_000) -> DataFrame:
     """Volume, error and latency figures per service and day, emitted once the watermark has passed the day.
@@ -14,7 +16,8 @@ def daily_indicators(events: DataFrame, *, watermark: str = "1 hour", accuracy:
     """
     quantiles = F.percentile_approx("value", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)), F.lit(accuracy))
     daily = (
-        events.withWatermark("ts", watermark)
+        with_instant(events)
+        .withWatermark("ts", watermark)
         .groupBy((F.col("user_id") % 10).alias("_k"), F.window("ts", "1 day").alias("_day"))
         .agg(
             F.count(F.lit(1)).alias("total_count"),
@@ -25,7 +28,7 @@ def daily_indicators(events: DataFrame, *, watermark: str = "1 hour", accuracy:
     )
     return daily.select(
         F.concat(F.lit("svc_"), F.col("_k").cast("string")).alias("service_name"),
-        F.col("_day.start").alias("record_time"),
+        utc_clock(F.col("_day.start")).alias("record_time"),
         "total_count",
         "error_count",
         (100.0 * F.col("error_count") / F.col("total_count")).alias("error_rate"),

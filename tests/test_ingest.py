@@ -1,0 +1,324 @@
+"""Page rules, record rules and the snapshot store."""
+
+from __future__ import annotations
+
+import json
+from datetime import date, datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from burnwatch.operators import health
+from burnwatch.plans.tables import service_logs
+from burnwatch.schema import COLUMNS, EB, RESPONSE, SERVICE_LOG_SCHEMA
+from burnwatch.sources.pages import kept_pages, page_items, page_offsets, read_page_files
+from burnwatch.sources.records import good_records, rejected_records, typed_items
+from burnwatch.sources.store import SnapshotStore, clean
+from burnwatch.sources.timerange import resolve_range
+
+STAMP = "2024-02-01 00:00:00"
+BASE = {"key": "k", "transactionName": "s", "totalCount": 3}
+
+
+@pytest.fixture(scope="module")
+def pages(spark):
+    def build(*bodies):
+        texts = [b if isinstance(b, str) else json.dumps(b) for b in bodies]
+        return spark.createDataFrame(list(enumerate(texts)), "page_id long, body string")
+
+    return build
+
+
+@pytest.mark.parametrize(
+    ("body", "count"),
+    [
+        ({"summary": [{"a": 1}, {"a": 2}]}, 2),
+        ({"summary": "text"}, 1),
+        ([{"a": 1}, {"a": 2}, {"a": 3}], 3),
+        ({"a": 1}, 1),
+        ([], 0),
+        (5, 0),
+        ("{broken", 0),
+        ("", 0),
+        ({"summary": []}, 0),
+    ],
+)
+def test_envelopes(pages, body, count):
+    assert page_items(pages(body)).filter("item IS NOT NULL").count() == count
+
+
+def kept_ids(pages, *bodies, page_size=2):
+    items = kept_pages(page_items(pages(*bodies)), page_size)
+    return sorted({r.page_id for r in items.collect()})
+
+
+FULL = [{"a": 1}, {"a": 2}]
+
+
+@pytest.mark.parametrize(
+    ("bodies", "expected"),
+    [
+        ((FULL, FULL, []), [0, 1]),
+        ((FULL, [{"a": 1}], FULL), [0, 1]),
+        ((FULL, [{"noDataFound": True}], FULL), [0]),
+        ((FULL, "{broken", FULL), [0]),
+        (([{"noDataFound": True}, {"noDataFound": True}], FULL, [{"a": 1}]), [0, 1, 2]),
+        ((FULL, FULL), [0, 1]),
+        ((FULL + FULL, FULL, []), [0, 1]),
+    ],
+)
+def test_sequence(pages, bodies, expected):
+    assert kept_ids(pages, *bodies) == expected
+
+
+def test_missing_page_ends_the_sequence(pages):
+    gap = pages(FULL, FULL, FULL, FULL).filter("page_id <> 2")
+    assert sorted({r.page_id for r in kept_pages(page_items(gap), 2).collect()}) == [0, 1]
+    late = pages(FULL, FULL).filter("page_id <> 0")
+    assert kept_pages(page_items(late), 2).count() == 0
+
+
+def test_offsets_are_the_same_for_any_block(pages):
+    items = page_items(pages(FULL, FULL + FULL, FULL, [{"a": 1}]))
+    for block in (1, 2, 100):
+        found = {r.page_id: r.page_offset for r in page_offsets(items, block).collect()}
+        assert found == {0: 0, 1: 2, 2: 6, 3: 8}
+
+
+def one(pages, item):
+    return typed_items(page_items(pages([item])), STAMP)
+
+
+ACCEPTED = [
+    ({}, "total_count", 3),
+    ({"totalCount": 12.9}, "total_count", 12),
+    ({"totalCount": True}, "total_count", 1),
+    ({"errorCount": "12"}, "error_count", 12),
+    ({"errorRate": "1.5"}, "error_rate", 1.5),
+    ({"projectId": None}, "project_id", 0),
+    ({"projectId": 7}, "project_id", 7),
+    ({"aspirationalResponseConsumedCount": None}, "aspirational_response_consumed_count", 0),
+    ({}, "response_time_p95", 0.0),
+    ({"avgPercentiles": {"95.0": 1.25}}, "response_time_p95", 1.25),
+    ({"avgPercentiles": {"25.0": 0.5}}, "response_time_min", 0.5),
+    ({"avgPercentiles": {}}, "response_time_p99", 0.0),
+    ({"responseBreached": "false"}, "response_breached", True),
+    ({"responseBreached": ""}, "response_breached", False),
+    ({"responseBreached": None}, "response_breached", False),
+    ({"responseBreached": 0}, "response_breached", False),
+    ({"responseBreached": 2}, "response_breached", True),
+    ({"responseBreached": []}, "response_breached", False),
+    ({"responseBreached": {"x": 1}}, "response_breached", True),
+    ({"responseBreached": False}, "response_breached", False),
+    ({"ebHealth": None}, "eb_health", "None"),
+    ({"ebHealth": "AT_RISK"}, "eb_health", "AT_RISK"),
+    ({"transactionName": None}, "service_name", None),
+    ({"sumResponseTime": 5, "totalCount": 0}, "response_time_max", 5.0),
+    ({"sumResponseTime": 5, "totalCount": 2.5}, "response_time_max", 2.0),
+    ({"burnRate": "nan"}, "burn_rate", None),
+    ({}, "response_success_rate", 100.0),
+    ({}, "target_error_slo_perc", 98.0),
+    ({}, "app_id", None),
+    ({"transactionId": 9}, "sid", 9),
+    ({"key": None}, "id", "None"),
+    ({}, "data_category", "EB"),
+]
+
+
+def test_accepted_records(pages):
+    items = [BASE | change for change, _, _ in ACCEPTED]
+    rows = {r.pos: r for r in typed_items(page_items(pages(items)), STAMP).collect()}
+    for pos, (change, column, expected) in enumerate(ACCEPTED):
+        assert rows[pos].bad_keys == [], change
+        assert rows[pos][column] == expected, (change, column)
+    assert rows[0].record_time == datetime(2024, 2, 1)
+
+
+REJECTED = [
+    ({"totalCount": None}, ["totalCount"]),
+    ({"totalCount": "12"}, ["totalCount"]),
+    ({"totalCount": 3_000_000_000}, ["totalCount"]),
+    ({"errorCount": "1.5"}, ["errorCount"]),
+    ({"errorCount": [1]}, ["errorCount"]),
+    ({"burnRate": "fast"}, ["burnRate"]),
+    ({"burnRate": None, "errorRate": None}, ["errorRate", "burnRate"]),
+    ({"avgPercentiles": None}, ["avgPercentiles"]),
+    ({"avgPercentiles": [1]}, ["avgPercentiles"]),
+    ({"avgPercentiles": {"50.0": None}}, ["avgPercentiles.50.0"]),
+    ({"sumResponseTime": "5"}, ["sumResponseTime"]),
+    ({"sumResponseTime": None}, ["sumResponseTime"]),
+    ({"projectId": "x"}, ["projectId"]),
+    ({"transactionId": "x"}, ["transactionId"]),
+]
+
+
+def test_rejected_records(pages):
+    items = [BASE | change for change, _ in REJECTED] + [7, BASE]
+    typed = typed_items(page_items(pages(items)), STAMP)
+    rows = {r.pos: r for r in rejected_records(typed).collect()}
+    for pos, (change, keys) in enumerate(REJECTED):
+        assert rows[pos].bad_keys == keys, change
+        assert json.loads(rows[pos].source) == items[pos]
+    assert rows[len(REJECTED)].bad_keys == ["item"]
+    assert len(rows) == len(REJECTED) + 1
+    assert good_records(typed).count() == 1
+
+
+def test_categories_and_no_data(pages):
+    items = [BASE | {"key": str(i)} | change for i, change in enumerate(
+        [{}, {"dataCategory": "EB"}, {"dataCategory": "RESPONSE"}, {"dataCategory": None}, {"dataCategory": "OTHER"},
+         {"noDataFound": True}, {"noDataFound": 1}, {"noDataFound": "true"}, {"noDataFound": False}]
+    )]
+    found = {r.id: r.data_category for r in good_records(one_page(pages, items)).collect()}
+    assert found == {"0": EB, "1": EB, "2": RESPONSE, "7": EB, "8": EB}
+
+
+def one_page(pages, items):
+    return typed_items(page_items(pages(items)), STAMP)
+
+
+def test_identifiers(pages):
+    first = [{"transactionId": 7}, {"transactionId": None}, {}, {"noDataFound": True}]
+    typed = typed_items(page_items(pages(first, [{}, {"key": 5}])), STAMP)
+    ids = {(r.page_id, r.pos): r.id for r in good_records(typed).collect()}
+    assert ids == {
+        (0, 0): "platform_7",
+        (0, 1): "platform_None",
+        (0, 2): "platform_2",
+        (1, 0): "platform_4",
+        (1, 1): "5",
+    }
+
+
+def test_last_copy_wins_per_category(pages):
+    items = [
+        BASE | {"totalCount": 1},
+        BASE | {"totalCount": 2, "dataCategory": "RESPONSE"},
+        BASE | {"totalCount": 3},
+        BASE | {"totalCount": 4, "ebHealth": "AT_RISK"},
+    ]
+    typed = typed_items(page_items(pages(items, [BASE | {"totalCount": 5}])), STAMP)
+    rows = clean(good_records(typed), ["page_id", "pos"]).collect()
+    assert {(r.data_category, r.total_count, r.eb_health) for r in rows} == {(EB, 5, "HEALTHY"), (RESPONSE, 2, "HEALTHY")}
+    assert len(rows) == 2
+
+
+def test_many_copies_of_one_id(spark):
+    """A hot id is reduced before the shuffle and keeps its last copy."""
+    copies = spark.range(20_000).select(
+        *[F.lit(None).cast(f.dataType).alias(f.name) for f in SERVICE_LOG_SCHEMA if f.name not in ("id", "total_count", "record_time", "data_category")],
+        F.lit("hot").alias("id"),
+        F.col("id").cast("int").alias("total_count"),
+        F.lit(0).cast("long").alias("record_time"),
+        F.lit(EB).alias("data_category"),
+        F.col("id").alias("pos"),
+    )
+    (row,) = clean(copies.select(*COLUMNS, "pos"), ["pos"]).collect()
+    assert (row.total_count, row.record_time) == (19_999, datetime(1970, 1, 1))
+
+
+@pytest.mark.parametrize(
+    ("dtype", "values", "expected"),
+    [
+        ("long", [0, 1_704_067_200_123], [datetime(1970, 1, 1), datetime(2024, 1, 1, 0, 0, 0, 123000)]),
+        ("double", [86_400_000.0, float("nan")], [datetime(1970, 1, 2)]),
+        ("string", ["2024-01-01T05:00:00", "2024-01-02", "soon", None], [datetime(2024, 1, 1, 5), datetime(2024, 1, 2)]),
+    ],
+)
+def test_record_times(spark, logs, dtype, values, expected):
+    times = spark.createDataFrame([(f"i{n}", v) for n, v in enumerate(values)], f"id string, record_time {dtype}")
+    base = logs({}).drop("id", "record_time")
+    rows = clean(times.join(base).select(*COLUMNS, F.lit(1).alias("pos")), ["pos"]).collect()
+    assert sorted(r.record_time for r in rows) == expected
+
+
+def test_rows_without_id_are_dropped(logs):
+    assert clean(logs({"id": None}, {"id": "x"}).withColumn("pos", F.lit(1)), ["pos"]).count() == 1
+
+
+@pytest.fixture()
+def store(spark, tmp_path):
+    return SnapshotStore(spark, str(tmp_path / "store"))
+
+
+def item(key, category=EB, **extra):
+    return {"key": key, "transactionName": "svc", "totalCount": 10, "dataCategory": category} | extra
+
+
+def test_load_replaces_the_snapshot(store, pages):
+    first = store.load_pages(
+        pages([item("a", ebHealth="UNHEALTHY", burnRate=3), item("b", responseHealth="UNHEALTHY"), item("r", RESPONSE)]),
+        page_size=10,
+        ingest_time=STAMP,
+    )
+    assert first.published == (EB, RESPONSE)
+    assert first.statistics == {
+        "eb_records": 2,
+        "response_records": 1,
+        "unhealthy_records": 2,
+        "eb_unhealthy_records": 1,
+        "high_burn_records": 1,
+    }
+    assert store.tables().eb.select(*COLUMNS).dtypes == [(f.name, f.dataType.simpleString()) for f in SERVICE_LOG_SCHEMA]
+    # The second load has no response records and one bad record: the response table stays as it was.
+    second = store.load_pages(pages([item("c"), item("d", totalCount=None)]), page_size=10, ingest_time="2024-02-02 00:00:00")
+    assert second.published == (EB,)
+    assert [r.bad_keys for r in store.rejected(second.version).collect()] == [["totalCount"]]
+    t = store.tables()
+    assert [r.id for r in t.eb.collect()] == ["c"]
+    assert [r.id for r in t.resp.collect()] == ["r"]
+    assert health.composite_health_score(t).first().service_name == "svc"
+    history = store.tables(history=True)
+    assert sorted(r.id for r in history.eb.collect()) == ["a", "b", "c"]
+    since = service_logs(history, start_time="2024-02-02 00:00:00")
+    assert [r.id for r in since.collect()] == ["c"]
+    assert "record_date" not in since.columns
+    plan = since._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(record_date" in plan
+
+
+def test_a_load_without_records_keeps_the_old_snapshot(store, pages):
+    store.load_pages(pages([item("a")]), page_size=10)
+    result = store.load_pages(pages([item("b", totalCount="bad")]), page_size=10)
+    assert result.published == ()
+    assert [r.id for r in store.tables().eb.collect()] == ["a"]
+    with pytest.raises(ValueError):
+        store.load_pages(pages("{broken"), page_size=10)
+    assert [r.id for r in store.tables().eb.collect()] == ["a"]
+
+
+def test_an_unpublished_version_is_not_read(store, pages, spark):
+    store.load_pages(pages([item("a")]), page_size=10)
+    # What a load leaves behind when it dies before publishing.
+    spark.range(1).write.parquet(f"{store.root}/logs/version=1")
+    assert [r.id for r in store.tables().eb.collect()] == ["a"]
+    assert store.load_pages(pages([item("b")]), page_size=10).version == 2
+    assert [r.id for r in store.tables().eb.collect()] == ["b"]
+
+
+def test_empty_store(store):
+    assert store.tables().eb.count() == 0
+    assert health.composite_health_score(store.tables()).count() == 0
+
+
+def test_page_files(spark, tmp_path):
+    for n, body in enumerate([FULL, {"summary": FULL}]):
+        (tmp_path / f"run7_page_{n:04d}.json").write_text(json.dumps(body, indent=1))
+    found = read_page_files(spark, str(tmp_path))
+    assert {(r.page_id, r.item is not None) for r in page_items(found).collect()} == {(0, True), (1, True)}
+
+
+def test_time_ranges():
+    today = date(2024, 3, 10)
+    assert resolve_range(today) == (datetime(2024, 3, 3), datetime(2024, 3, 11))
+    assert resolve_range(today, last_days=60)[0] == datetime(2024, 1, 10)
+    assert resolve_range(today, start=date(2024, 3, 1), end=date(2024, 3, 1)) == (datetime(2024, 3, 1), datetime(2024, 3, 2))
+    assert resolve_range(today, start=date(2024, 1, 1), end=date(2024, 2, 29)) == (datetime(2024, 1, 1), datetime(2024, 3, 1))
+    for bad in (
+        {"start": date(2024, 1, 1), "end": date(2024, 3, 1)},
+        {"start": date(2024, 3, 2), "end": date(2024, 3, 1)},
+        {"start": date(2024, 3, 2)},
+        {"last_days": 6},
+    ):
+        with pytest.raises(ValueError):
+            resolve_range(today, **bad)
