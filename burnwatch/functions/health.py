@@ -2,34 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from burnwatch.schema import AT_RISK, HEALTHY, UNHEALTHY
 
 
-def health_rank(health: Column) -> Column:
-    return F.when(health == UNHEALTHY, 2).when(health == AT_RISK, 1).otherwise(0)
+def health_rank(health: str) -> str:
+    return f"CASE WHEN {health} = '{UNHEALTHY}' THEN 2 WHEN {health} = '{AT_RISK}' THEN 1 ELSE 0 END"
 
 
-def health_name(rank: Column) -> Column:
+def health_name(rank: str) -> str:
     """Inverse of ``health_rank``; a NULL rank (no rows on that side) reads as HEALTHY."""
-    return F.when(rank == 2, UNHEALTHY).when(rank == 1, AT_RISK).otherwise(HEALTHY)
+    return f"CASE WHEN {rank} = 2 THEN '{UNHEALTHY}' WHEN {rank} = 1 THEN '{AT_RISK}' ELSE '{HEALTHY}' END"
 
 
-def worst_health(health: Column, where: Column | None = None) -> Column:
+def worst_health(health: str, where: str | None = None) -> str:
     """Aggregate: the worst health over the rows where ``where`` holds (all rows when not given)."""
-    rank = health_rank(health) if where is None else F.when(where, health_rank(health))
-    return health_name(F.max(rank))
+    rank = health_rank(health)
+    return health_name(f"max({rank})" if where is None else f"max(CASE WHEN {where} THEN {rank} END)")
 
 
-def healthy_flag(health: Column) -> Column:
-    return F.when(health == HEALTHY, 1).otherwise(0)
+def healthy_count(healths: list[str]) -> str:
+    return " + ".join(f"CASE WHEN {health} = '{HEALTHY}' THEN 1L ELSE 0L END" for health in healths)
 
 
-def colour_count(colour: str, *severities: Column) -> Column:
+def colour_count(colour: str, severities: list[str]) -> str:
     """How many of the severity columns show this colour."""
-    total = F.lit(0)
-    for severity in severities:
-        total = total + F.when(severity == colour, 1).otherwise(0)
-    return total
+    return " + ".join(f"CASE WHEN {severity} = '{colour}' THEN 1L ELSE 0L END" for severity in severities)

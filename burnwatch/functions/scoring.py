@@ -2,63 +2,67 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
-
-def at_most(value: Column, ceiling: Column) -> Column:
+def at_most(value: str, ceiling: str) -> str:
     """``value <= ceiling`` where a missing side counts as not met."""
-    return F.coalesce(value <= ceiling, F.lit(False))
+    return f"coalesce({value} <= {ceiling}, false)"
 
 
-def exceeds(value: Column, floor: Column | float) -> Column:
+def exceeds(value: str, floor: str) -> str:
     """``value > floor`` where a missing side counts as no."""
-    return F.coalesce(value > floor, F.lit(False))
+    return f"coalesce({value} > {floor}, false)"
 
 
-def percent_change(baseline: Column, current: Column) -> Column:
+def percent_change(baseline: str, current: str) -> str:
     """Change in percent; from a zero baseline any rise is 100 and anything else 0."""
-    return F.when(baseline == 0, F.when(current > 0, 100.0).otherwise(0.0)).otherwise(
-        F.try_divide(current - baseline, baseline) * 100
-    )
+    from_zero = f"CASE WHEN {current} > 0 THEN 100D ELSE 0D END"
+    return f"CASE WHEN {baseline} = 0 THEN {from_zero} ELSE try_divide({current} - {baseline}, {baseline}) * 100 END"
 
 
-def change_severity(error_change: Column, *others: Column) -> Column:
-    largest = F.greatest(error_change, *others)
+def change_severity(error_change: str, *others: str) -> str:
+    largest = f"greatest({', '.join((error_change, *others))})"
     return (
-        F.when(error_change.isNull(), "minor")
-        .when(largest > 100, "critical")
-        .when(largest > 50, "warning")
-        .otherwise("minor")
+        f"CASE WHEN {error_change} IS NULL THEN 'minor' WHEN {largest} > 100 THEN 'critical'"
+        f" WHEN {largest} > 50 THEN 'warning' ELSE 'minor' END"
     )
 
 
-def burn_severity(burn_rate: Column) -> Column:
+def burn_severity(burn: str) -> str:
     return (
-        F.when(burn_rate < 1, "healthy")
-        .when(burn_rate < 2, "warning")
-        .when(burn_rate < 10, "critical")
-        .otherwise("emergency")
+        f"CASE WHEN {burn} < 1 THEN 'healthy' WHEN {burn} < 2 THEN 'warning'"
+        f" WHEN {burn} < 10 THEN 'critical' ELSE 'emergency' END"
     )
 
 
-def risk_level(score: Column) -> Column:
-    return F.when(score >= 70, "critical").when(score >= 50, "high").when(score >= 30, "medium").otherwise("low")
+def risk_level(score: str) -> str:
+    return (
+        f"CASE WHEN {score} >= 70 THEN 'critical' WHEN {score} >= 50 THEN 'high'"
+        f" WHEN {score} >= 30 THEN 'medium' ELSE 'low' END"
+    )
 
 
-def ratio_or_zero(numerator: Column, denominator: Column) -> Column:
+def ratio_or_zero(numerator: str, denominator: str) -> str:
     """``numerator / denominator``, and 0 unless the denominator is positive."""
-    return F.when(denominator > 0, F.try_divide(numerator, denominator)).otherwise(0.0)
+    return f"(CASE WHEN {denominator} > 0 THEN try_divide({numerator}, {denominator}) ELSE 0D END)"
 
 
-def fixed(value: Column, digits: int) -> Column:
+def fixed(value: str, digits: int) -> str:
     """Text with a fixed number of decimals; a missing number reads ``nan``."""
-    return F.when(value.isNull(), "nan").otherwise(F.format_string(f"%.{digits}f", value))
+    return f"CASE WHEN {value} IS NULL THEN 'nan' ELSE format_string('%.{digits}f', {value}) END"
+
+
+def sentence(*parts: str) -> str:
+    """Concatenation of expressions; give literal text through ``words``."""
+    return f"concat({', '.join(parts)})"
+
+
+def words(text: str) -> str:
+    return f"'{text}'"
 
 
-def or_zero(value: Column) -> Column:
-    return F.coalesce(value, F.lit(0.0))
+def or_zero(value: str) -> str:
+    return f"coalesce({value}, 0D)"
 
 
-def or_zero_count(value: Column) -> Column:
-    return F.coalesce(value.cast("bigint"), F.lit(0).cast("bigint"))
+def or_zero_count(value: str) -> str:
+    return f"coalesce(CAST({value} AS BIGINT), 0L)"

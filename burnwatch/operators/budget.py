@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from burnwatch.functions import aggregate
 from burnwatch.functions.scoring import or_zero, or_zero_count
 from burnwatch.plans.profile import eb, resp, service_profile
 from burnwatch.plans.tables import SloTables
@@ -14,25 +15,26 @@ def breach_vs_error_analysis(tables: SloTables, service_name: str | None = None)
     """Whether a service is rather slow (breaches above errors) or rather broken (errors above breaches)."""
     services = service_profile(
         tables,
-        resp.avg("response_error_rate").alias("_breach_rate"),
-        eb.avg("error_rate").alias("_error_rate"),
-        resp.avg("response_breach_count").alias("_breaches"),
-        eb.avg("error_count").alias("_errors"),
-        resp.avg("response_time_p95").alias("_p95"),
+        {
+            "_breach_rate": resp.avg("response_error_rate"),
+            "_error_rate": eb.avg("error_rate"),
+            "_breaches": resp.avg("response_breach_count"),
+            "_errors": eb.avg("error_count"),
+            "_p95": resp.avg("response_time_p95"),
+        },
         service_name=service_name,
     )
-    breach, error = F.col("_breach_rate"), F.col("_error_rate")
-    return services.orderBy(breach.desc_nulls_last(), F.col("service_name").asc_nulls_last()).select(
+    return services.orderBy(
+        F.col("_breach_rate").desc_nulls_last(), F.col("service_name").asc_nulls_last()
+    ).selectExpr(
         "service_name",
-        or_zero(breach).alias("avg_breach_rate"),
-        or_zero(error).alias("avg_error_rate"),
-        or_zero_count(F.col("_breaches")).alias("avg_breach_count"),
-        or_zero_count(F.col("_errors")).alias("avg_error_count"),
-        or_zero(F.col("_p95")).alias("avg_p95"),
-        F.when(breach > error, "LATENCY_ISSUE")
-        .when(error > breach, "RELIABILITY_ISSUE")
-        .otherwise("BALANCED")
-        .alias("issue_type"),
+        f"{or_zero('_breach_rate')} AS avg_breach_rate",
+        f"{or_zero('_error_rate')} AS avg_error_rate",
+        f"{or_zero_count('_breaches')} AS avg_breach_count",
+        f"{or_zero_count('_errors')} AS avg_error_count",
+        f"{or_zero('_p95')} AS avg_p95",
+        """CASE WHEN _breach_rate > _error_rate THEN 'LATENCY_ISSUE'
+           WHEN _error_rate > _breach_rate THEN 'RELIABILITY_ISSUE' ELSE 'BALANCED' END AS issue_type""",
     )
 
 
@@ -46,19 +48,17 @@ def budget_exhausted_services(tables: SloTables) -> DataFrame:
         "burn_rate",
         "eb_health",
     ]
-    consumed = F.col("eb_actual_consumed_percent")
+    exhausted = tables.eb.filter("eb_actual_consumed_percent >= 100 OR eb_left_count < 0")
     return (
-        tables.eb.filter((consumed >= 100) | (F.col("eb_left_count") < 0))
-        .groupBy(*state)
-        .agg(F.avg("error_rate").alias("_error_rate"))
-        .orderBy(consumed.desc_nulls_last(), *[F.col(c).asc_nulls_last() for c in state])
-        .select(
+        aggregate(exhausted, state, {"_error_rate": "avg(error_rate)"})
+        .orderBy(F.col("eb_actual_consumed_percent").desc_nulls_last(), *[F.col(c).asc_nulls_last() for c in state])
+        .selectExpr(
             "service_name",
-            or_zero(consumed).alias("eb_actual_consumed_percent"),
-            or_zero_count(F.col("eb_left_count")).alias("eb_left_count"),
-            or_zero(F.col("aspirational_eb_actual_consumed_percent")).alias("aspirational_eb_actual_consumed_percent"),
-            or_zero(F.col("burn_rate")).alias("burn_rate"),
-            F.coalesce("eb_health", F.lit("UNKNOWN")).alias("eb_health"),
-            or_zero(F.col("_error_rate")).alias("avg_error_rate"),
+            f"{or_zero('eb_actual_consumed_percent')} AS eb_actual_consumed_percent",
+            f"{or_zero_count('eb_left_count')} AS eb_left_count",
+            f"{or_zero('aspirational_eb_actual_consumed_percent')} AS aspirational_eb_actual_consumed_percent",
+            f"{or_zero('burn_rate')} AS burn_rate",
+            "coalesce(eb_health, 'UNKNOWN') AS eb_health",
+            f"{or_zero('_error_rate')} AS avg_error_rate",
         )
     )

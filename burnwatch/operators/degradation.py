@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from burnwatch.functions import aggregate, named
 from burnwatch.functions.scoring import change_severity, exceeds, or_zero, or_zero_count, percent_change
 from burnwatch.plans.quantiles import join_on_keys
 from burnwatch.plans.tables import SloTables, TimeLike, as_time, for_service, in_time_range, latest_time, minutes
@@ -18,12 +19,18 @@ _METRICS = {
     "response_time_p95": "response_time_p95",
     "response_time_p99": "response_time_p99",
 }
+_CHANGES = [f"{metric}_change_percent" for metric in _METRICS]
 
 
 def _anchor(tables: SloTables, as_of: TimeLike) -> Column:
     return latest_time(tables.eb) if as_of is None else as_time(as_of)
 
 
+def _change(metric: str) -> str:
+    change = percent_change(f"{metric}_baseline", f"{metric}_recent")
+    return or_zero(change) if metric in ("response_time_p95", "response_time_p99") else change
+
+
 def degrading_services(
     tables: SloTables,
     time_window_minutes: float = WINDOW_MINUTES,
@@ -38,48 +45,36 @@ def degrading_services(
     """
     end = _anchor(tables, as_of)
     start = end - minutes(time_window_minutes)
-    baseline_start = end - minutes(2 * time_window_minutes)
-    recent = F.col("_recent")
-    windows = {"recent": recent, "baseline": ~recent}
-
-    averages = [
-        F.avg(F.when(inside, F.col(column))).alias(f"{metric}_{window}")
+    rows = in_time_range(tables.eb, end - minutes(2 * time_window_minutes), end).withColumn(
+        "_recent", F.col("record_time") >= start
+    )
+    windows = {"recent": "_recent", "baseline": "NOT _recent"}
+    averages = {
+        f"{metric}_{window}": f"avg(CASE WHEN {inside} THEN {column} END)"
         for metric, column in _METRICS.items()
         for window, inside in windows.items()
-    ]
+    }
+    volumes = {
+        "_recent_rows": "count_if(_recent)",
+        "_baseline_rows": "count_if(NOT _recent)",
+        "_requests": "sum(CASE WHEN _recent THEN total_count END)",
+        "_errors": "sum(CASE WHEN _recent THEN error_count END)",
+    }
     compared = (
-        in_time_range(tables.eb, baseline_start, end)
-        .withColumn("_recent", F.col("record_time") >= start)
-        .groupBy("service_name")
-        .agg(
-            F.count_if(windows["recent"]).alias("_recent_rows"),
-            F.count_if(windows["baseline"]).alias("_baseline_rows"),
-            F.sum(F.when(recent, F.col("total_count"))).alias("_requests"),
-            F.sum(F.when(recent, F.col("error_count"))).alias("_errors"),
-            *averages,
-        )
-        .filter((F.col("_recent_rows") > 0) & (F.col("_baseline_rows") > 0))
+        aggregate(rows, ["service_name"], volumes | averages)
+        .filter("_recent_rows > 0 AND _baseline_rows > 0")
+        .selectExpr("*", *named({f"{metric}_change_percent": _change(metric) for metric in _METRICS}))
     )
-
-    changes = {m: percent_change(F.col(f"{m}_baseline"), F.col(f"{m}_recent")) for m in _METRICS}
-    for metric in ("response_time_p95", "response_time_p99"):
-        changes[metric] = or_zero(changes[metric])
-    for metric, change in changes.items():
-        compared = compared.withColumn(f"{metric}_change_percent", change)
-    change_columns = [F.col(f"{m}_change_percent") for m in _METRICS]
-    degrading = F.lit(False)
-    for change in change_columns:
-        degrading = degrading | exceeds(change, threshold_percent)
-    largest = F.when(change_columns[0].isNotNull(), F.greatest(*change_columns))
+    largest = F.expr(f"CASE WHEN {_CHANGES[0]} IS NOT NULL THEN greatest({', '.join(_CHANGES)}) END")
     return (
-        compared.filter(degrading)
+        compared.filter(" OR ".join(exceeds(change, f"{float(threshold_percent)}D") for change in _CHANGES))
         .orderBy(largest.desc_nulls_last(), F.col("service_name").asc_nulls_last())
-        .select(
+        .selectExpr(
             "service_name",
             *[f"{m}_{part}" for m in _METRICS for part in ("recent", "baseline", "change_percent")],
-            or_zero_count(F.col("_requests")).alias("total_requests_recent"),
-            or_zero_count(F.col("_errors")).alias("total_errors_recent"),
-            change_severity(*change_columns).alias("severity"),
+            f"{or_zero_count('_requests')} AS total_requests_recent",
+            f"{or_zero_count('_errors')} AS total_errors_recent",
+            f"{change_severity(*_CHANGES)} AS severity",
         )
     )
 
@@ -89,6 +84,14 @@ def _trend_rows(tables: SloTables, service_name: str | None, window: float, as_o
     return in_time_range(for_service(tables.eb, service_name), end - minutes(window), end)
 
 
+_SUMMARY = {
+    "total_volume": or_zero_count("sum(total_count)"),
+    "total_errors": or_zero_count("sum(error_count)"),
+    "avg_error_rate": or_zero("avg(error_rate)"),
+    "avg_response_time": or_zero("avg(response_time_avg)"),
+}
+
+
 def volume_summary(
     tables: SloTables,
     service_name: str | None = None,
@@ -97,16 +100,7 @@ def volume_summary(
     as_of: TimeLike = None,
 ) -> DataFrame:
     """Total volume and mean rates per service over the window."""
-    return (
-        _trend_rows(tables, service_name, time_window_minutes, as_of)
-        .groupBy("service_name")
-        .agg(
-            or_zero_count(F.sum("total_count")).alias("total_volume"),
-            or_zero_count(F.sum("error_count")).alias("total_errors"),
-            or_zero(F.avg("error_rate")).alias("avg_error_rate"),
-            or_zero(F.avg("response_time_avg")).alias("avg_response_time"),
-        )
-    )
+    return aggregate(_trend_rows(tables, service_name, time_window_minutes, as_of), ["service_name"], _SUMMARY)
 
 
 def volume_trends(
@@ -121,19 +115,18 @@ def volume_trends(
     The series stays in rows instead of an array, so its length per service is not limited by a task.
     """
     rows = _trend_rows(tables, service_name, time_window_minutes, as_of)
-    points = rows.select(
+    points = rows.selectExpr(
         "service_name",
-        F.lit(time_window_minutes).alias("time_window_minutes"),
-        F.col("record_time").alias("timestamp"),
-        F.col("id").alias("_id"),
-        or_zero_count(F.col("total_count")).alias("total_requests"),
-        or_zero_count(F.col("error_count")).alias("errors"),
-        or_zero(F.col("error_rate")).alias("error_rate"),
-        or_zero(F.col("response_time_avg")).alias("response_time"),
+        f"{time_window_minutes} AS time_window_minutes",
+        "record_time AS timestamp",
+        "id AS _id",
+        f"{or_zero_count('total_count')} AS total_requests",
+        f"{or_zero_count('error_count')} AS errors",
+        f"{or_zero('error_rate')} AS error_rate",
+        f"{or_zero('response_time_avg')} AS response_time",
     )
-    summary = volume_summary(tables, service_name, time_window_minutes, as_of=as_of).select(
-        "service_name",
-        F.struct("total_volume", "total_errors", "avg_error_rate", "avg_response_time").alias("summary"),
+    summary = aggregate(rows, ["service_name"], _SUMMARY).selectExpr(
+        "service_name", f"struct({', '.join(_SUMMARY)}) AS summary"
     )
     return (
         join_on_keys(points, summary, ["service_name"])

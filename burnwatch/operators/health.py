@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from burnwatch.functions.health import colour_count, healthy_flag, worst_health
+from burnwatch.functions import aggregate, named
+from burnwatch.functions.health import colour_count, healthy_count, worst_health
 from burnwatch.functions.scoring import or_zero, or_zero_count, ratio_or_zero
 from burnwatch.plans.profile import eb, joined_sum, resp, service_profile
 from burnwatch.plans.tables import SloTables
@@ -16,37 +17,44 @@ def service_health_overview(tables: SloTables, *, dedupe_volume: bool = False) -
     """One row: how many services are in each health state, fleet volume and error rate."""
     services = service_profile(
         tables,
-        eb.worst("eb_health").alias("eb_health"),
-        resp.worst("response_health").alias("response_health"),
-        eb.sum("total_count").alias("_requests"),
-        eb.sum("error_count").alias("_errors"),
+        {
+            "eb_health": eb.worst("eb_health"),
+            "response_health": resp.worst("response_health"),
+            "_requests": eb.sum("total_count"),
+            "_errors": eb.sum("error_count"),
+        },
     )
-    eb_health, response_health = F.col("eb_health"), F.col("response_health")
-    totals = services.agg(
-        F.count(F.lit(1)).alias("total_services"),
-        F.count_if(eb_health == HEALTHY).alias("eb_healthy_services"),
-        F.count_if(eb_health == AT_RISK).alias("eb_at_risk_services"),
-        F.count_if(~eb_health.isin(HEALTHY, AT_RISK)).alias("eb_unhealthy_services"),
-        F.count_if(response_health == HEALTHY).alias("response_healthy_services"),
-        F.count_if(response_health != HEALTHY).alias("response_unhealthy_services"),
-        or_zero_count(F.sum(joined_sum(F.col("_requests"), dedupe_volume=dedupe_volume))).alias("total_requests"),
-        or_zero_count(F.sum(joined_sum(F.col("_errors"), dedupe_volume=dedupe_volume))).alias("total_errors"),
+    requests = joined_sum("_requests", dedupe_volume=dedupe_volume)
+    errors = joined_sum("_errors", dedupe_volume=dedupe_volume)
+    totals = aggregate(
+        services,
+        [],
+        {
+            "total_services": "count(1)",
+            "eb_healthy_services": f"count_if(eb_health = '{HEALTHY}')",
+            "eb_at_risk_services": f"count_if(eb_health = '{AT_RISK}')",
+            "eb_unhealthy_services": f"count_if(eb_health NOT IN ('{HEALTHY}', '{AT_RISK}'))",
+            "response_healthy_services": f"count_if(response_health = '{HEALTHY}')",
+            "response_unhealthy_services": f"count_if(response_health <> '{HEALTHY}')",
+            "total_requests": or_zero_count(f"sum({requests})"),
+            "total_errors": or_zero_count(f"sum({errors})"),
+        },
     )
-    return totals.select(
+    return totals.selectExpr(
         "total_services",
         "eb_healthy_services",
         "eb_at_risk_services",
         "eb_unhealthy_services",
         "response_healthy_services",
         "response_unhealthy_services",
-        F.col("eb_healthy_services").alias("healthy_services"),
-        F.col("eb_at_risk_services").alias("degraded_services"),
-        F.col("eb_unhealthy_services").alias("violated_services"),
-        F.col("eb_unhealthy_services").alias("unhealthy_services"),
+        "eb_healthy_services AS healthy_services",
+        "eb_at_risk_services AS degraded_services",
+        "eb_unhealthy_services AS violated_services",
+        "eb_unhealthy_services AS unhealthy_services",
         "total_requests",
         "total_errors",
-        (ratio_or_zero(F.col("total_errors"), F.col("total_requests")) * 100).alias("overall_error_rate"),
-        (ratio_or_zero(F.col("eb_healthy_services"), F.col("total_services")) * 100).alias("health_percentage"),
+        f"{ratio_or_zero('total_errors', 'total_requests')} * 100 AS overall_error_rate",
+        f"{ratio_or_zero('eb_healthy_services', 'total_services')} * 100 AS health_percentage",
     )
 
 
@@ -54,38 +62,41 @@ def aspirational_slo_gap(tables: SloTables) -> DataFrame:
     """Services healthy against the standard target and unhealthy against the aspirational one."""
     services = service_profile(
         tables,
-        eb.worst("eb_health").alias("eb_health"),
-        eb.worst("aspirational_eb_health").alias("aspirational_eb_health"),
-        resp.worst("response_health").alias("response_health"),
-        resp.worst("aspirational_response_health").alias("aspirational_response_health"),
-        eb.avg("eb_actual_consumed_percent").alias("_standard"),
-        eb.avg("aspirational_eb_actual_consumed_percent").alias("_aspirational"),
-        eb.avg("burn_rate").alias("_burn"),
+        {
+            "eb_health": eb.worst("eb_health"),
+            "aspirational_eb_health": eb.worst("aspirational_eb_health"),
+            "response_health": resp.worst("response_health"),
+            "aspirational_response_health": resp.worst("aspirational_response_health"),
+            "_standard": eb.avg("eb_actual_consumed_percent"),
+            "_aspirational": eb.avg("aspirational_eb_actual_consumed_percent"),
+            "_burn": eb.avg("burn_rate"),
+        },
     )
-    budget_gap = (F.col("eb_health") == HEALTHY) & (F.col("aspirational_eb_health") == UNHEALTHY)
-    response_gap = (F.col("response_health") == HEALTHY) & (F.col("aspirational_response_health") == UNHEALTHY)
-    return services.filter(budget_gap | response_gap).select(
+    gap = " OR ".join(
+        f"({side}_health = '{HEALTHY}' AND aspirational_{side}_health = '{UNHEALTHY}')" for side in ("eb", "response")
+    )
+    return services.filter(gap).selectExpr(
         "service_name",
         "eb_health",
         "aspirational_eb_health",
         "response_health",
         "aspirational_response_health",
-        or_zero(F.col("_standard")).alias("std_eb_consumed"),
-        or_zero(F.col("_aspirational")).alias("asp_eb_consumed"),
-        or_zero(F.col("_burn")).alias("avg_burn_rate"),
+        f"{or_zero('_standard')} AS std_eb_consumed",
+        f"{or_zero('_aspirational')} AS asp_eb_consumed",
+        f"{or_zero('_burn')} AS avg_burn_rate",
     )
 
 
 def timeliness_issues(tables: SloTables) -> DataFrame:
     """Services with unhealthy timeliness, split by the response health recorded on the same rows."""
-    return (
-        tables.eb.filter(F.col("timeliness_health") == UNHEALTHY)
-        .groupBy("service_name", "timeliness_health", "response_health")
-        .agg(
-            or_zero(F.avg("timeliness_consumed_percent")).alias("avg_timeliness_consumed"),
-            or_zero(F.avg("response_time_p95")).alias("avg_p95"),
-            or_zero(F.avg("error_rate")).alias("avg_error_rate"),
-        )
+    return aggregate(
+        tables.eb.filter(f"timeliness_health = '{UNHEALTHY}'"),
+        ["service_name", "timeliness_health", "response_health"],
+        {
+            "avg_timeliness_consumed": or_zero("avg(timeliness_consumed_percent)"),
+            "avg_p95": or_zero("avg(response_time_p95)"),
+            "avg_error_rate": or_zero("avg(error_rate)"),
+        },
     )
 
 
@@ -98,25 +109,21 @@ def composite_health_score(tables: SloTables) -> DataFrame:
         "aspirational_eb_health": eb,
         "aspirational_response_health": resp,
     }
-    services = service_profile(
-        tables,
-        *[side.worst(name).alias(name) for name, side in dimensions.items()],
-        eb.avg("burn_rate").alias("_burn"),
-    )
-    healthy = sum((healthy_flag(F.col(name)) for name in dimensions), F.lit(0)).cast("bigint")
+    worst = {name: side.worst(name) for name, side in dimensions.items()}
+    services = service_profile(tables, worst | {"_burn": eb.avg("burn_rate")})
     return (
-        services.withColumn("healthy_dimensions", healthy)
+        services.selectExpr("*", f"{healthy_count(list(dimensions))} AS healthy_dimensions")
         .orderBy(
             F.col("healthy_dimensions").asc_nulls_last(),
             F.col("_burn").desc_nulls_last(),
             F.col("service_name").asc_nulls_last(),
         )
-        .select(
+        .selectExpr(
             "service_name",
             "healthy_dimensions",
-            (F.col("healthy_dimensions") / 5.0 * 100).alias("health_score"),
+            "healthy_dimensions / 5D * 100 AS health_score",
             *dimensions,
-            or_zero(F.col("_burn")).alias("avg_burn_rate"),
+            f"{or_zero('_burn')} AS avg_burn_rate",
         )
     )
 
@@ -126,73 +133,70 @@ def severity_heatmap(tables: SloTables) -> DataFrame:
 
     Both sides are reduced to their distinct colour combinations first, so the join handles combinations, not rows.
     """
-    budget = tables.eb.groupBy("service_name", "eb_severity", "timeliness_severity", "aspirational_eb_severity").agg(
-        F.avg("burn_rate").alias("_burn")
+    budget = aggregate(
+        tables.eb,
+        ["service_name", "eb_severity", "timeliness_severity", "aspirational_eb_severity"],
+        {"_burn": "avg(burn_rate)"},
     )
     response = tables.resp.select("service_name", "response_severity", "aspirational_response_severity").distinct()
     severities = [
-        F.col(name)
-        for name in (
-            "response_severity",
-            "eb_severity",
-            "timeliness_severity",
-            "aspirational_response_severity",
-            "aspirational_eb_severity",
-        )
+        "response_severity",
+        "eb_severity",
+        "timeliness_severity",
+        "aspirational_response_severity",
+        "aspirational_eb_severity",
     ]
+    counts = {"red_count": colour_count(RED, severities), "green_count": colour_count(GREEN, severities)}
     return (
         budget.join(response, "service_name", "left")
-        .withColumn("red_count", colour_count(RED, *severities).cast("bigint"))
-        .withColumn("green_count", colour_count(GREEN, *severities).cast("bigint"))
+        .selectExpr("*", *named(counts))
         .orderBy(
             F.col("red_count").desc(),
             F.col("_burn").desc_nulls_last(),
-            F.col("service_name").asc_nulls_last(),
-            *[severity.asc_nulls_last() for severity in severities],
+            *[F.col(c).asc_nulls_last() for c in ("service_name", *severities)],
         )
-        .select(
+        .selectExpr(
             "service_name",
             "red_count",
             "green_count",
             "response_severity",
             "eb_severity",
             "timeliness_severity",
-            or_zero(F.col("_burn")).alias("avg_burn_rate"),
+            f"{or_zero('_burn')} AS avg_burn_rate",
         )
     )
 
 
 def slo_governance_status(tables: SloTables) -> DataFrame:
     """Services whose worst budget health is not HEALTHY, graded by it and by their average burn rate."""
-    services = tables.eb.groupBy("service_name").agg(
-        F.avg("burn_rate").alias("_burn"),
-        worst_health(F.col("eb_health")).alias("eb_health"),
-        worst_health(F.col("response_health")).alias("response_health"),
-        F.coalesce(F.bool_or("eb_breached"), F.lit(False)).alias("eb_breached"),
-        F.avg("eb_left_percent").alias("_left"),
-    )
-    unhealthy = F.col("eb_health") == UNHEALTHY
-    status = (
-        F.when(unhealthy & (F.col("_burn") > 5.0), "CRITICAL")
-        .when(unhealthy, "NEEDS_REVIEW")
-        .when(F.col("eb_health") == AT_RISK, "AT_RISK")
-        .otherwise("HEALTHY")
+    services = aggregate(
+        tables.eb,
+        ["service_name"],
+        {
+            "_burn": "avg(burn_rate)",
+            "eb_health": worst_health("eb_health"),
+            "response_health": worst_health("response_health"),
+            "eb_breached": "coalesce(bool_or(eb_breached), false)",
+            "_left": "avg(eb_left_percent)",
+        },
     )
+    status = f"""CASE WHEN eb_health = '{UNHEALTHY}' AND _burn > 5 THEN 'CRITICAL'
+        WHEN eb_health = '{UNHEALTHY}' THEN 'NEEDS_REVIEW' WHEN eb_health = '{AT_RISK}' THEN 'AT_RISK' ELSE 'HEALTHY' END"""
     return (
-        services.filter(F.col("eb_health").isin(UNHEALTHY, AT_RISK))
+        services.filter(f"eb_health IN ('{UNHEALTHY}', '{AT_RISK}')")
         .orderBy(F.col("_burn").desc_nulls_last(), F.col("service_name").asc_nulls_last())
-        .select(
+        .selectExpr(
             "service_name",
-            status.alias("governance_status"),
-            or_zero(F.col("_burn")).alias("avg_burn_rate"),
+            f"{status} AS governance_status",
+            f"{or_zero('_burn')} AS avg_burn_rate",
             "eb_health",
             "response_health",
             "eb_breached",
-            or_zero(F.col("_left")).alias("eb_left_percent"),
+            f"{or_zero('_left')} AS eb_left_percent",
         )
     )
 
 
 def services_by_slo_status(tables: SloTables) -> DataFrame:
     """How many error-budget rows carry each declared approval status."""
-    return tables.eb.groupBy("eb_slo_status").agg(F.count(F.lit(1)).alias("records"))
+    return aggregate(tables.eb, ["eb_slo_status"], {"records": "count(1)"})

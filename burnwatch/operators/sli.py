@@ -5,57 +5,50 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from burnwatch.functions.scoring import at_most, burn_severity, fixed, or_zero_count, ratio_or_zero
+from burnwatch.functions import aggregate, named
+from burnwatch.functions.scoring import (
+    at_most,
+    burn_severity,
+    fixed,
+    or_zero_count,
+    ratio_or_zero,
+    sentence,
+    words,
+)
 from burnwatch.plans.profile import eb, joined_sum, resp, service_profile
 from burnwatch.plans.tables import SloTables, TimeLike, as_time, for_service, in_time_range, minutes
-from burnwatch.schema import EB
 
 NO_DATA = "No data found for this service"
 
 BUDGET_HOURS = 4
 BURN_MINUTES = 30
 
-
-def _compliance_aggregates() -> list[Column]:
-    """What the two compliance flags and the volumes need."""
-    return [
-        eb.max("record_time").alias("last_update"),
-        eb.avg("success_rate").alias("avg_success_rate"),
-        eb.avg("error_rate").alias("avg_error_rate"),
-        resp.avg("response_time_avg").alias("avg_response_time"),
-        eb.sum("total_count").alias("_requests"),
-        eb.sum("error_count").alias("_errors"),
-        eb.max("target_error_slo_perc").alias("error_slo_target"),
-        eb.max("target_response_slo_sec").alias("response_slo_target"),
-    ]
-
-
-_PERCENTILES = ["avg_response_time_p50", "avg_response_time_p95", "avg_response_time_p99"]
-
-
-def _sli_aggregates() -> list[Column]:
-    percentiles = [resp.avg(name.removeprefix("avg_")).alias(name) for name in _PERCENTILES]
-    return _compliance_aggregates() + percentiles
-
-
-def _sli_columns(dedupe_volume: bool, percentiles: list[str] = _PERCENTILES) -> list[Column]:
-    error_met = at_most(F.col("avg_error_rate"), F.col("error_slo_target"))
-    response_met = at_most(F.col("avg_response_time"), F.col("response_slo_target"))
-    return [
-        F.col("service_name"),
-        F.col("last_update"),
-        F.col("avg_success_rate"),
-        F.col("avg_error_rate"),
-        F.col("avg_response_time"),
-        *[F.col(name) for name in percentiles],
-        joined_sum(F.col("_requests"), dedupe_volume=dedupe_volume).alias("total_requests"),
-        joined_sum(F.col("_errors"), dedupe_volume=dedupe_volume).alias("total_errors"),
-        F.col("error_slo_target"),
-        F.col("response_slo_target"),
-        error_met.alias("error_slo_met"),
-        response_met.alias("response_slo_met"),
-        (error_met & response_met).alias("overall_slo_met"),
-    ]
+# What the two compliance flags and the volumes need.
+_COMPLIANCE = {
+    "last_update": eb.max("record_time"),
+    "avg_success_rate": eb.avg("success_rate"),
+    "avg_error_rate": eb.avg("error_rate"),
+    "avg_response_time": resp.avg("response_time_avg"),
+    "_requests": eb.sum("total_count"),
+    "_errors": eb.sum("error_count"),
+    "error_slo_target": eb.max("target_error_slo_perc"),
+    "response_slo_target": eb.max("target_response_slo_sec"),
+}
+_PERCENTILES = {f"avg_response_time_{p}": resp.avg(f"response_time_{p}") for p in ("p50", "p95", "p99")}
+_SLI = _COMPLIANCE | _PERCENTILES
+
+_ERROR_MET = at_most("avg_error_rate", "error_slo_target")
+_RESPONSE_MET = at_most("avg_response_time", "response_slo_target")
+
+
+def _volumes_and_flags(dedupe_volume: bool) -> dict[str, str]:
+    return {
+        "total_requests": joined_sum("_requests", dedupe_volume=dedupe_volume),
+        "total_errors": joined_sum("_errors", dedupe_volume=dedupe_volume),
+        "error_slo_met": _ERROR_MET,
+        "response_slo_met": _RESPONSE_MET,
+        "overall_slo_met": f"{_ERROR_MET} AND {_RESPONSE_MET}",
+    }
 
 
 def _by_volume(df: DataFrame) -> DataFrame:
@@ -68,36 +61,48 @@ def current_sli(tables: SloTables, service_name: str | None = None, *, dedupe_vo
     Volumes count every error-budget row once per response row of the service, as a row-level join would;
     ``dedupe_volume`` counts each row once.  A service without response rows does not meet the response target.
     """
+    added = _volumes_and_flags(dedupe_volume)
     return _by_volume(
-        service_profile(tables, *_sli_aggregates(), service_name=service_name).select(*_sli_columns(dedupe_volume))
+        service_profile(tables, _SLI, service_name=service_name).selectExpr(
+            "service_name",
+            "last_update",
+            "avg_success_rate",
+            "avg_error_rate",
+            "avg_response_time",
+            *_PERCENTILES,
+            *named({name: added[name] for name in ("total_requests", "total_errors")}),
+            "error_slo_target",
+            "response_slo_target",
+            *named({name: added[name] for name in added if name.endswith("_met")}),
+        )
     )
 
 
 def slo_violations(tables: SloTables, *, dedupe_volume: bool = False) -> DataFrame:
     """Services that miss a target, with the reasons as codes and as sentences."""
-    sli = service_profile(tables, *_compliance_aggregates()).select(*_sli_columns(dedupe_volume, percentiles=[]))
-    missed = sli.filter(~F.col("overall_slo_met"))
-    error_text = F.concat(
-        F.lit("Error rate "), fixed(F.col("avg_error_rate"), 2),
-        F.lit("% exceeds target "), fixed(F.col("error_slo_target"), 2), F.lit("%"),
+    error_text = sentence(
+        words("Error rate "), fixed("avg_error_rate", 2), words("% exceeds target "), fixed("error_slo_target", 2), words("%")
     )
-    response_text = F.concat(
-        F.lit("Response time "), fixed(F.col("avg_response_time"), 3),
-        F.lit("s exceeds target "), fixed(F.col("response_slo_target"), 3), F.lit("s"),
+    response_text = sentence(
+        words("Response time "), fixed("avg_response_time", 3), words("s exceeds target "), fixed("response_slo_target", 3), words("s")
     )
 
-    def reasons(error: Column, response: Column) -> Column:
-        return F.array_compact(
-            F.array(F.when(~F.col("error_slo_met"), error), F.when(~F.col("response_slo_met"), response))
+    def reasons(error: str, response: str) -> str:
+        return (
+            f"array_compact(array(CASE WHEN NOT error_slo_met THEN {error} END,"
+            f" CASE WHEN NOT response_slo_met THEN {response} END))"
         )
 
     return _by_volume(
-        missed.select(
+        service_profile(tables, _COMPLIANCE)
+        .selectExpr("*", *named(_volumes_and_flags(dedupe_volume)))
+        .filter("NOT overall_slo_met")
+        .selectExpr(
             "service_name",
-            reasons(error_text, response_text).alias("violations"),
-            reasons(F.lit("ERROR_RATE"), F.lit("RESPONSE_TIME")).alias("violation_codes"),
-            F.col("avg_error_rate").alias("error_rate"),
-            F.col("avg_response_time").alias("response_time"),
+            f"{reasons(error_text, response_text)} AS violations",
+            f"{reasons(words('ERROR_RATE'), words('RESPONSE_TIME'))} AS violation_codes",
+            "avg_error_rate AS error_rate",
+            "avg_response_time AS response_time",
             "total_requests",
         )
     )
@@ -110,63 +115,46 @@ class _Window:
         self.name = name
         self.start = start
         self.end = end
-        self.target_is_success = target_is_success
+        self.rows = f"{name}_rows"
+        self.target = f"{name}_target"
+        self.requests = or_zero_count(f"{name}_requests")
+        self.errors = or_zero_count(f"{name}_errors")
+        self.allowed_percent = f"(100D - {self.target})" if target_is_success else self.target
 
     def marked(self, logs: DataFrame) -> DataFrame:
         """The rows with a flag column for the window; a scalar-subquery bound cannot stand inside an aggregate."""
-        inside = (F.col("data_category") == EB) & F.col("record_time").between(self.start, self.end)
+        inside = F.expr(eb.rows) & F.col("record_time").between(self.start, self.end)
         return logs.withColumn(f"_in_{self.name}", F.coalesce(inside, F.lit(False)))
 
-    def aggregates(self) -> list[Column]:
-        inside = F.col(f"_in_{self.name}")
-        latest = F.when(inside, F.struct("record_time", "id"))
-        return [
-            F.count_if(inside).alias(f"{self.name}_rows"),
-            F.sum(F.when(inside, F.col("total_count"))).alias(f"{self.name}_requests"),
-            F.sum(F.when(inside, F.col("error_count"))).alias(f"{self.name}_errors"),
-            F.max_by("target_error_slo_perc", latest).alias(f"{self.name}_target"),
-        ]
-
-    @property
-    def rows(self) -> Column:
-        return F.col(f"{self.name}_rows")
-
-    @property
-    def requests(self) -> Column:
-        return or_zero_count(F.col(f"{self.name}_requests"))
-
-    @property
-    def errors(self) -> Column:
-        return or_zero_count(F.col(f"{self.name}_errors"))
-
-    @property
-    def target(self) -> Column:
-        return F.col(f"{self.name}_target")
-
-    @property
-    def allowed_percent(self) -> Column:
-        return 100.0 - self.target if self.target_is_success else self.target
-
-    def budget_columns(self, hours: float) -> dict[str, Column]:
-        budget = self.allowed_percent / 100 * self.requests
-        remaining = budget - self.errors
+    def aggregates(self) -> dict[str, str]:
+        inside = f"_in_{self.name}"
+        latest = f"CASE WHEN {inside} THEN struct(record_time, id) END"
         return {
-            "time_window_hours": F.lit(hours),
+            self.rows: f"count_if({inside})",
+            f"{self.name}_requests": f"sum(CASE WHEN {inside} THEN total_count END)",
+            f"{self.name}_errors": f"sum(CASE WHEN {inside} THEN error_count END)",
+            self.target: f"max_by(target_error_slo_perc, {latest})",
+        }
+
+    def budget_columns(self, hours: float) -> dict[str, str]:
+        budget = f"({self.allowed_percent} / 100 * {self.requests})"
+        return {
+            "time_window_hours": f"{hours}",
             "total_requests": self.requests,
             "total_errors": self.errors,
             "error_slo_target_percent": self.target,
             "error_budget": budget,
             "errors_consumed": self.errors,
-            "budget_remaining": remaining,
-            "budget_consumed_percent": (ratio_or_zero(self.errors, budget) * 100),
-            "status": F.when(remaining > 0, "healthy").otherwise("budget_exceeded"),
+            "budget_remaining": f"({budget} - {self.errors})",
+            "budget_consumed_percent": f"{ratio_or_zero(self.errors, budget)} * 100",
+            "status": f"CASE WHEN {budget} - {self.errors} > 0 THEN 'healthy' ELSE 'budget_exceeded' END",
         }
 
-    def burn_columns(self, window_minutes: float) -> dict[str, Column]:
-        actual = ratio_or_zero(self.errors, self.requests) * 100
+    def burn_columns(self, window_minutes: float) -> dict[str, str]:
+        actual = f"({ratio_or_zero(self.errors, self.requests)} * 100)"
         burn = ratio_or_zero(actual, self.allowed_percent)
         return {
-            "time_window_minutes": F.lit(window_minutes),
+            "time_window_minutes": f"{window_minutes}",
             "actual_error_rate": actual,
             "error_slo_target": self.target,
             "burn_rate": burn,
@@ -175,6 +163,12 @@ class _Window:
             "total_errors": self.errors,
         }
 
+    def as_struct(self, columns: dict[str, str]) -> str:
+        """The window's figures, or NULLs and an error text when the window holds no rows."""
+        known = {name: f"CASE WHEN {self.rows} > 0 THEN {column} END" for name, column in columns.items()}
+        known["error"] = f"CASE WHEN {self.rows} = 0 THEN '{NO_DATA}' END"
+        return "named_struct(" + ", ".join(f"'{name}', {column}" for name, column in known.items()) + ")"
+
 
 def _anchor(as_of: TimeLike) -> Column:
     """End of the window: the wall clock unless the caller gives a time."""
@@ -194,14 +188,9 @@ def error_budget(
     The budget is target/100 of the requests; ``target_is_success`` reads the target as a success rate instead.
     """
     end = _anchor(as_of)
-    start = end - minutes(time_window_hours * 60)
-    window = _Window("w", start, end, target_is_success=target_is_success)
-    rows = in_time_range(for_service(tables.eb, service_name), start, end)
-    return (
-        window.marked(rows)
-        .groupBy("service_name")
-        .agg(*window.aggregates())
-        .select("service_name", *_aliased(window.budget_columns(time_window_hours)))
+    window = _Window("w", end - minutes(time_window_hours * 60), end, target_is_success=target_is_success)
+    return _windowed(tables, service_name, window).selectExpr(
+        "service_name", *named(window.budget_columns(time_window_hours))
     )
 
 
@@ -215,17 +204,17 @@ def burn_rate(
 ) -> DataFrame:
     """Observed error rate over the allowed one, per service, over the window ending at ``as_of``."""
     end = _anchor(as_of)
-    start = end - minutes(time_window_minutes)
-    window = _Window("w", start, end, target_is_success=target_is_success)
-    rows = in_time_range(for_service(tables.eb, service_name), start, end)
-    return (
-        window.marked(rows)
-        .groupBy("service_name")
-        .agg(*window.aggregates())
-        .select("service_name", *_aliased(window.burn_columns(time_window_minutes)))
+    window = _Window("w", end - minutes(time_window_minutes), end, target_is_success=target_is_success)
+    return _windowed(tables, service_name, window).selectExpr(
+        "service_name", *named(window.burn_columns(time_window_minutes))
     )
 
 
+def _windowed(tables: SloTables, service_name: str | None, window: _Window) -> DataFrame:
+    rows = in_time_range(for_service(tables.eb, service_name), window.start, window.end)
+    return aggregate(window.marked(rows), ["service_name"], window.aggregates())
+
+
 def service_summary(
     tables: SloTables,
     service_name: str | None = None,
@@ -246,43 +235,17 @@ def service_summary(
     burn = _Window("burn", end - minutes(burn_minutes), end, target_is_success=target_is_success)
     profile = service_profile(
         tables,
-        *_sli_aggregates(),
-        *budget.aggregates(),
-        *burn.aggregates(),
+        _SLI | budget.aggregates() | burn.aggregates(),
         service_name=service_name,
         prepare=lambda logs: burn.marked(budget.marked(logs)),
     )
-    sli = profile.select(
-        *_sli_columns(dedupe_volume),
-        _window_struct(budget.rows, budget.budget_columns(budget_hours)).alias("error_budget"),
-        _window_struct(burn.rows, burn.burn_columns(burn_minutes)).alias("burn_rate"),
-    )
-    return sli.select(
+    return profile.selectExpr("*", *named(_volumes_and_flags(dedupe_volume))).selectExpr(
         "service_name",
-        F.struct(
-            F.col("avg_success_rate").alias("success_rate"),
-            F.col("avg_error_rate").alias("error_rate"),
-            F.col("avg_response_time").alias("response_time_avg"),
-            F.col("avg_response_time_p50").alias("response_time_p50"),
-            F.col("avg_response_time_p95").alias("response_time_p95"),
-            F.col("avg_response_time_p99").alias("response_time_p99"),
-            F.col("total_requests"),
-        ).alias("sli"),
-        F.struct(
-            F.col("error_slo_target").alias("error_rate_target"),
-            F.col("response_slo_target").alias("response_time_target"),
-        ).alias("slo_targets"),
-        F.struct("error_slo_met", "response_slo_met", "overall_slo_met").alias("slo_compliance"),
-        "error_budget",
-        "burn_rate",
+        """struct(avg_success_rate AS success_rate, avg_error_rate AS error_rate, avg_response_time AS response_time_avg,
+           avg_response_time_p50 AS response_time_p50, avg_response_time_p95 AS response_time_p95,
+           avg_response_time_p99 AS response_time_p99, total_requests) AS sli""",
+        "struct(error_slo_target AS error_rate_target, response_slo_target AS response_time_target) AS slo_targets",
+        "struct(error_slo_met, response_slo_met, overall_slo_met) AS slo_compliance",
+        f"{budget.as_struct(budget.budget_columns(budget_hours))} AS error_budget",
+        f"{burn.as_struct(burn.burn_columns(burn_minutes))} AS burn_rate",
     )
-
-
-def _aliased(columns: dict[str, Column]) -> list[Column]:
-    return [column.alias(name) for name, column in columns.items()]
-
-
-def _window_struct(rows: Column, columns: dict[str, Column]) -> Column:
-    """The window's figures, or NULLs and an error text when the window holds no rows."""
-    known = {name: F.when(rows > 0, column) for name, column in columns.items()}
-    return F.struct(*_aliased(known | {"error": F.when(rows == 0, NO_DATA)}))

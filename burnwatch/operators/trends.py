@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from burnwatch.functions.scoring import exceeds, fixed, or_zero, or_zero_count, risk_level
+from burnwatch.functions import aggregate
+from burnwatch.functions.scoring import exceeds, fixed, or_zero, or_zero_count, risk_level, sentence, words
 from burnwatch.plans.quantiles import gathered_quantiles, join_on_keys, spread_quantiles
 from burnwatch.plans.scale import fits_one_task
 from burnwatch.plans.tables import SloTables, for_service
@@ -15,6 +16,65 @@ MIN_ROWS = 3
 _FRACTIONS = (0.5, 0.95, 0.99)
 
 
+def _near(value: str, target: str) -> str:
+    return exceeds(value, f"{target} * 0.7D")
+
+
+# Condition, points, code and sentence of each risk factor, over the latest record, the slopes and the spread of error rates.
+_RULES: tuple[tuple[str, int, str, str], ...] = (
+    (
+        exceeds("error_slope", "0.1D"),
+        30,
+        "ERROR_TREND",
+        sentence(words("Error rate trending upward (slope: "), fixed("error_slope", 3), words(")")),
+    ),
+    (
+        exceeds("response_slope", "0.001D"),
+        20,
+        "RESPONSE_TREND",
+        sentence(words("Response time trending upward (slope: "), fixed("response_slope", 3), words(")")),
+    ),
+    (
+        _near("error_rate", "target_error_slo_perc"),
+        25,
+        "ERROR_NEAR_TARGET",
+        sentence(
+            words("Error rate at "), fixed("error_rate", 2), words("% (target: "), fixed("target_error_slo_perc", 2), words("%)")
+        ),
+    ),
+    (
+        _near("response_time_avg", "target_response_slo_sec"),
+        25,
+        "RESPONSE_NEAR_TARGET",
+        sentence(
+            words("Response time at "),
+            fixed("response_time_avg", 3),
+            words("s (target: "),
+            fixed("target_response_slo_sec", 3),
+            words("s)"),
+        ),
+    ),
+    (
+        exceeds("error_std", "5D"),
+        15,
+        "ERROR_VOLATILE",
+        sentence(words("High error rate volatility (std: "), fixed("error_std", 2), words(")")),
+    ),
+    (
+        exceeds("error_rate", "target_error_slo_perc"),
+        40,
+        "ERROR_VIOLATION",
+        words("Currently violating error rate SLO"),
+    ),
+    (
+        exceeds("response_time_avg", "target_response_slo_sec"),
+        40,
+        "RESPONSE_VIOLATION",
+        words("Currently violating response time SLO"),
+    ),
+)
+
+
 def service_risk(tables: SloTables, *, spread: bool | None = None) -> DataFrame:
     """Risk score, level and reasons for every service with at least three records and one reason.
 
@@ -37,71 +97,41 @@ def service_risk(tables: SloTables, *, spread: bool | None = None) -> DataFrame:
         indexed,
         "service_name",
         ["record_time", "id"],
-        {"_error_slope": "error_rate", "_response_slope": "response_time_avg"},
-    )
-    latest = F.max_by(
-        F.struct("error_rate", "response_time_avg", "target_error_slo_perc", "target_response_slo_sec", "total_count"),
-        F.struct("record_time", "id"),
+        {"error_slope": "error_rate", "response_slope": "response_time_avg"},
     )
+    latest = "max_by(struct(error_rate, response_time_avg, target_error_slo_perc, target_response_slo_sec, total_count), struct(record_time, id))"
     services = (
-        history.groupBy("service_name")
-        .agg(F.count(F.lit(1)).alias("_rows"), F.stddev_samp("error_rate").alias("_std"), latest.alias("_latest"))
-        .filter(F.col("_rows") >= MIN_ROWS)
-        .select("service_name", "_std", "_latest.*")
+        aggregate(history, ["service_name"], {"_rows": "count(1)", "error_std": "stddev_samp(error_rate)", "_latest": latest})
+        .filter(f"_rows >= {MIN_ROWS}")
+        .selectExpr("service_name", "error_std", "_latest.*")
     )
     frame = join_on_keys(services, slopes, ["service_name"])
 
-    error, response = F.col("error_rate"), F.col("response_time_avg")
-    error_target, response_target = F.col("target_error_slo_perc"), F.col("target_response_slo_sec")
-    error_slope, response_slope, std = F.col("_error_slope"), F.col("_response_slope"), F.col("_std")
-    # Each rule: condition, points, code, sentence.
-    rules: list[tuple[Column, int, str, Column]] = [
-        (exceeds(error_slope, 0.1), 30, "ERROR_TREND",
-         _sentence("Error rate trending upward (slope: ", fixed(error_slope, 3), ")")),
-        (exceeds(response_slope, 0.001), 20, "RESPONSE_TREND",
-         _sentence("Response time trending upward (slope: ", fixed(response_slope, 3), ")")),
-        (exceeds(error, error_target * 0.7), 25, "ERROR_NEAR_TARGET",
-         _sentence("Error rate at ", fixed(error, 2), "% (target: ", fixed(error_target, 2), "%)")),
-        (exceeds(response, response_target * 0.7), 25, "RESPONSE_NEAR_TARGET",
-         _sentence("Response time at ", fixed(response, 3), "s (target: ", fixed(response_target, 3), "s)")),
-        (exceeds(std, 5.0), 15, "ERROR_VOLATILE",
-         _sentence("High error rate volatility (std: ", fixed(std, 2), ")")),
-        (exceeds(error, error_target), 40, "ERROR_VIOLATION",
-         _sentence("Currently violating error rate SLO")),
-        (exceeds(response, response_target), 40, "RESPONSE_VIOLATION",
-         _sentence("Currently violating response time SLO")),
-    ]
-    score = sum((F.when(holds, points).otherwise(0) for holds, points, _, _ in rules), F.lit(0))
+    score = " + ".join(f"CASE WHEN {holds} THEN {points} ELSE 0 END" for holds, points, _, _ in _RULES)
+    texts = ", ".join(f"CASE WHEN {holds} THEN {text} END" for holds, _, _, text in _RULES)
+    codes = ", ".join(f"CASE WHEN {holds} THEN '{code}' END" for holds, _, code, _ in _RULES)
     return (
-        frame.withColumn("risk_score", score)
-        .withColumn("risk_factors", F.array_compact(F.array(*[F.when(h, text) for h, _, _, text in rules])))
-        .withColumn("risk_codes", F.array_compact(F.array(*[F.when(h, code) for h, _, code, _ in rules])))
-        .filter(F.size("risk_factors") > 0)
-        .select(
+        frame.selectExpr(
+            "*",
+            f"{score} AS risk_score",
+            f"array_compact(array({texts})) AS risk_factors",
+            f"array_compact(array({codes})) AS risk_codes",
+        )
+        .filter("size(risk_factors) > 0")
+        .selectExpr(
             "service_name",
-            risk_level(F.col("risk_score")).alias("risk_level"),
+            f"{risk_level('risk_score')} AS risk_level",
             "risk_score",
             "risk_factors",
             "risk_codes",
-            F.struct(
-                error.alias("error_rate"),
-                response.alias("response_time"),
-                or_zero_count(F.col("total_count")).alias("total_requests"),
-            ).alias("current_metrics"),
-            F.struct(
-                error_target.alias("error_rate_target"), response_target.alias("response_time_target")
-            ).alias("slo_targets"),
-            F.struct(
-                error_slope.alias("error_rate_slope"), response_slope.alias("response_time_slope")
-            ).alias("trends"),
+            f"""struct(error_rate, response_time_avg AS response_time, {or_zero_count('total_count')} AS total_requests)
+                AS current_metrics""",
+            "struct(target_error_slo_perc AS error_rate_target, target_response_slo_sec AS response_time_target) AS slo_targets",
+            "struct(error_slope AS error_rate_slope, response_slope AS response_time_slope) AS trends",
         )
     )
 
 
-def _sentence(*parts: str | Column) -> Column:
-    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
-
-
 def predict_issues_today(tables: SloTables, *, spread: bool | None = None) -> DataFrame:
     """Services at high or critical risk, highest score first."""
     return (
@@ -128,73 +158,53 @@ def historical_patterns(
     if spread is None:
         spread = not fits_one_task(history)
     values = {"_error_q": "error_rate", "_response_q": "response_time_avg"}
-    stats = [
-        F.count(F.lit(1)).alias("data_points"),
-        F.struct(F.min("record_time").alias("start"), F.max("record_time").alias("end")).alias("time_range"),
-        _moments("error_rate", "error_rate", "error_rate").alias("_error"),
-        _moments("response_time_avg", "response_time_min", "response_time_max").alias("_response"),
-        F.struct(
-            or_zero_count(F.sum("total_count")).alias("total_requests"),
-            or_zero(F.avg("total_count")).alias("avg_requests_per_period"),
-            or_zero_count(F.max("total_count")).alias("peak_requests"),
-            or_zero_count(F.min("total_count")).alias("min_requests"),
-        ).alias("traffic_stats"),
-    ]
+    stats = {
+        "data_points": "count(1)",
+        "time_range": "struct(min(record_time) AS start, max(record_time) AS end)",
+        "_error": _moments("error_rate", "error_rate", "error_rate"),
+        "_response": _moments("response_time_avg", "response_time_min", "response_time_max"),
+        "traffic_stats": f"""struct({or_zero_count('sum(total_count)')} AS total_requests,
+            {or_zero('avg(total_count)')} AS avg_requests_per_period,
+            {or_zero_count('max(total_count)')} AS peak_requests, {or_zero_count('min(total_count)')} AS min_requests)""",
+    }
     if spread:
-        frame = history.groupBy(*key).agg(*stats)
+        frame = aggregate(history, key, stats)
         for out, column in values.items():
             frame = join_on_keys(frame, spread_quantiles(history, key, column, _FRACTIONS, out), key)
     else:
-        frame = history.groupBy(*key).agg(
-            *stats, *[gathered_quantiles(F.col(column), _FRACTIONS).alias(out) for out, column in values.items()]
-        )
+        quantiles = {out: gathered_quantiles(column, _FRACTIONS) for out, column in values.items()}
+        frame = aggregate(history, key, stats | quantiles)
     # At most 24 rows per service reach the second aggregation.
-    hourly = (
-        history.filter(F.col("record_time").isNotNull())
-        .groupBy(*key, F.hour("record_time").alias("hour"))
-        .agg(
-            F.avg("error_rate").alias("error_rate"),
-            F.avg("response_time_avg").alias("response_time_avg"),
-            or_zero_count(F.sum("total_count")).alias("total_count"),
-        )
-        .groupBy(*key)
-        .agg(
-            F.map_from_entries(
-                F.sort_array(
-                    F.collect_list(F.struct("hour", F.struct("error_rate", "response_time_avg", "total_count")))
-                )
-            ).alias("hourly_patterns")
-        )
+    by_hour = aggregate(
+        history.filter("record_time IS NOT NULL").selectExpr("*", "hour(record_time) AS hour"),
+        [*key, "hour"],
+        {
+            "error_rate": "avg(error_rate)",
+            "response_time_avg": "avg(response_time_avg)",
+            "total_count": or_zero_count("sum(total_count)"),
+        },
     )
+    entry = "struct(hour, struct(error_rate, response_time_avg, total_count))"
+    hourly = aggregate(by_hour, key, {"hourly_patterns": f"map_from_entries(sort_array(collect_list({entry})))"})
     return (
         join_on_keys(frame, hourly, key)
         .orderBy(F.col("service_name").asc_nulls_last())
-        .select(
+        .selectExpr(
             "service_name",
             "data_points",
             "time_range",
-            _with_quantiles("_error", "_error_q").alias("error_rate_stats"),
-            _with_quantiles("_response", "_response_q").alias("response_time_stats"),
+            f"{_with_quantiles('_error', '_error_q')} AS error_rate_stats",
+            f"{_with_quantiles('_response', '_response_q')} AS response_time_stats",
             "traffic_stats",
             "hourly_patterns",
         )
     )
 
 
-def _moments(column: str, lowest: str, highest: str) -> Column:
-    return F.struct(
-        F.avg(column).alias("mean"),
-        F.stddev_samp(column).alias("std"),
-        F.min(lowest).alias("min"),
-        F.max(highest).alias("max"),
-    )
+def _moments(column: str, lowest: str, highest: str) -> str:
+    return f"struct(avg({column}) AS mean, stddev_samp({column}) AS std, min({lowest}) AS min, max({highest}) AS max)"
 
 
-def _with_quantiles(moments: str, quantiles: str) -> Column:
-    values = F.col(quantiles)
-    return F.struct(
-        *[F.col(f"{moments}.{name}").alias(name) for name in ("mean", "std", "min", "max")],
-        values[0].alias("p50"),
-        values[1].alias("p95"),
-        values[2].alias("p99"),
-    )
+def _with_quantiles(moments: str, quantiles: str) -> str:
+    fields = ", ".join(f"{moments}.{name} AS {name}" for name in ("mean", "std", "min", "max"))
+    return f"struct({fields}, {quantiles}[0] AS p50, {quantiles}[1] AS p95, {quantiles}[2] AS p99)"

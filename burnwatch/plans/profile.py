@@ -10,14 +10,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
+from burnwatch.functions import aggregate
 from burnwatch.functions.health import worst_health
 from burnwatch.plans.tables import SloTables, for_service
 from burnwatch.schema import EB, RESPONSE
 
-
 EB_ROWS = "_eb_rows"
 RESPONSE_ROWS = "_response_rows"
 
@@ -26,26 +25,19 @@ class Side:
     """Aggregates over the rows of one category."""
 
     def __init__(self, category: str):
-        self.category = category
-
-    @property
-    def rows(self) -> Column:
-        return F.col("data_category") == self.category
-
-    def col(self, name: str) -> Column:
-        return F.when(self.rows, F.col(name))
+        self.rows = f"data_category = '{category}'"
 
-    def avg(self, name: str) -> Column:
-        return F.avg(self.col(name))
+    def avg(self, column: str) -> str:
+        return f"avg(CASE WHEN {self.rows} THEN {column} END)"
 
-    def max(self, name: str) -> Column:
-        return F.max(self.col(name))
+    def max(self, column: str) -> str:
+        return f"max(CASE WHEN {self.rows} THEN {column} END)"
 
-    def sum(self, name: str) -> Column:
-        return F.sum(self.col(name))
+    def sum(self, column: str) -> str:
+        return f"sum(CASE WHEN {self.rows} THEN {column} END)"
 
-    def worst(self, name: str) -> Column:
-        return worst_health(F.col(name), self.rows)
+    def worst(self, column: str) -> str:
+        return worst_health(column, self.rows)
 
 
 eb = Side(EB)
@@ -54,27 +46,22 @@ resp = Side(RESPONSE)
 
 def service_profile(
     tables: SloTables,
-    *aggregates: Column,
+    aggregates: dict[str, str],
+    *,
     service_name: str | None = None,
     prepare: Callable[[DataFrame], DataFrame] = lambda logs: logs,
 ) -> DataFrame:
     """One row per service that has error-budget rows, with the given aggregates and both row counts.
 
-    ``prepare`` may add columns to the rows for the aggregates to use.  A NULL name forms a group of its own on the error-budget side and never matches a response row.
+    ``prepare`` may add columns to the rows for the aggregates to use.  A NULL name forms a group of its own on the
+    error-budget side and never matches a response row.
     """
-    usable = eb.rows | (resp.rows & F.col("service_name").isNotNull())
-    return (
-        prepare(for_service(tables.logs, service_name).filter(usable))
-        .groupBy("service_name")
-        .agg(
-            F.count_if(eb.rows).alias(EB_ROWS),
-            F.count_if(resp.rows).alias(RESPONSE_ROWS),
-            *aggregates,
-        )
-        .filter(F.col(EB_ROWS) > 0)
-    )
-
-
-def joined_sum(total: Column, *, dedupe_volume: bool = False) -> Column:
+    usable = f"{eb.rows} OR ({resp.rows} AND service_name IS NOT NULL)"
+    counts = {EB_ROWS: f"count_if({eb.rows})", RESPONSE_ROWS: f"count_if({resp.rows})"}
+    rows = prepare(for_service(tables.logs, service_name).filter(usable))
+    return aggregate(rows, ["service_name"], counts | aggregates).filter(f"{EB_ROWS} > 0")
+
+
+def joined_sum(total: str, *, dedupe_volume: bool = False) -> str:
     """An error-budget SUM as the row product of both sides gives it; ``dedupe_volume`` keeps the plain sum."""
-    return total if dedupe_volume else total * F.greatest(F.col(RESPONSE_ROWS), F.lit(1))
+    return total if dedupe_volume else f"{total} * greatest({RESPONSE_ROWS}, 1)"

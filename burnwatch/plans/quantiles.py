@@ -109,9 +109,9 @@ def spread_quantiles(
     return found.select(*keys, F.array(*[interpolated(p) for p in fractions]).alias(output))
 
 
-def gathered_quantiles(value: Column, fractions: Sequence[float]) -> Column:
+def gathered_quantiles(value: str, fractions: Sequence[float]) -> str:
     """Aggregate for inputs known to be small: the built-in exact percentile, one array for all fractions."""
-    return F.percentile(value, F.array(*[F.lit(float(p)) for p in fractions]))
+    return f"percentile({value}, array({', '.join(f'{float(p)}D' for p in fractions)}))"
 
 
 def join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from burnwatch.functions import aggregate
+
 
 def _ascending(order: Sequence[str]) -> list[Column]:
     return [F.col(c).asc_nulls_last() for c in order]
@@ -20,11 +22,8 @@ def _ascending(order: Sequence[str]) -> list[Column]:
 def gathered_slopes(df: DataFrame, key: str, order: Sequence[str], values: dict[str, str]) -> DataFrame:
     """``key`` plus one slope per entry of ``values`` (output name -> value column); 0 where none is defined."""
     position = F.row_number().over(Window.partitionBy(key).orderBy(*_ascending(order)))
-    return (
-        df.withColumn("_x", position.cast("double"))
-        .groupBy(key)
-        .agg(*[F.coalesce(F.regr_slope(value, "_x"), F.lit(0.0)).alias(out) for out, value in values.items()])
-    )
+    slopes = {out: f"coalesce(regr_slope({value}, _x), 0D)" for out, value in values.items()}
+    return aggregate(df.withColumn("_x", position.cast("double")), [key], slopes)
 
 
 def spread_slopes(df: DataFrame, key: str, order: Sequence[str], values: dict[str, str]) -> DataFrame:

@@ -7,8 +7,8 @@ severity columns.  Everything after the first aggregation is a projection over i
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from burnwatch.functions import aggregate, named
 from burnwatch.plans.quantiles import gathered_quantiles, join_on_keys, spread_quantiles
 from burnwatch.plans.scale import fits_one_task
 from burnwatch.plans.tables import SloTables
@@ -35,16 +35,15 @@ _MEASURES = {
 def daily_measures(events: DataFrame, *, quantiles: bool = True, spread: bool | None = None) -> DataFrame:
     """One row per service key and day.  ``spread`` forces the plan for the quantiles; by default the size decides."""
     rows = events.selectExpr("*", "user_id % 10 AS _k", "CAST(CAST(ts AS DATE) AS TIMESTAMP_NTZ) AS record_time")
-    measures = [F.expr(f"{expression} AS {name}") for name, expression in _MEASURES.items()]
     if not quantiles:
-        return rows.groupBy(*_KEYS).agg(*measures)
+        return aggregate(rows, _KEYS, _MEASURES)
     fractions = list(RESPONSE_QUANTILES.values())
     if spread is None:
         spread = not fits_one_task(events)
     if not spread:
-        return rows.groupBy(*_KEYS).agg(*measures, gathered_quantiles(F.col("value"), fractions).alias("_q"))
+        return aggregate(rows, _KEYS, _MEASURES | {"_q": gathered_quantiles("value", fractions)})
     return join_on_keys(
-        rows.groupBy(*_KEYS).agg(*measures), spread_quantiles(rows, _KEYS, "value", fractions, "_q"), _KEYS
+        aggregate(rows, _KEYS, _MEASURES), spread_quantiles(rows, _KEYS, "value", fractions, "_q"), _KEYS
     )
 
 
@@ -124,10 +123,6 @@ def _literal(value: object) -> str:
     return f"'{value}'" if isinstance(value, str) else str(value)
 
 
-def _named(expressions: dict[str, str]) -> list[str]:
-    return [f"{expression} AS {name}" for name, expression in expressions.items()]
-
-
 def _log_columns(daily: DataFrame, quantiles: bool) -> DataFrame:
     """The 83 log columns (without the percentile columns when they were not computed)."""
     columns = [
@@ -136,7 +131,7 @@ def _log_columns(daily: DataFrame, quantiles: bool) -> DataFrame:
         if quantiles or f.column not in RESPONSE_QUANTILES
     ]
     return (
-        daily.selectExpr("*", *_named(_TARGETS)).selectExpr("*", *_named(_SHARES)).selectExpr(*columns)
+        daily.selectExpr("*", *named(_TARGETS)).selectExpr("*", *named(_SHARES)).selectExpr(*columns)
     )
 
 

@@ -29,16 +29,17 @@ def sliding_burn_rate(
     windows = slices.groupBy("_k", F.window(F.window_time("_slice"), window, slide).alias("_window")).agg(
         F.sum("_n").alias("total_requests"), F.sum("_err").alias("total_errors")
     )
-    actual = ratio_or_zero(F.col("total_errors"), F.col("total_requests")) * 100
-    target = 20.0 + 6 * (F.col("_k") % 5).cast("double")
-    return windows.select(
-        F.concat(F.lit("svc_"), F.col("_k").cast("string")).alias("service_name"),
+    rated = windows.selectExpr(
+        "*", f"{ratio_or_zero('total_errors', 'total_requests')} * 100 AS actual", "20D + 6 * CAST(_k % 5 AS DOUBLE) AS target"
+    )
+    return rated.select(
+        F.expr("concat('svc_', CAST(_k AS STRING)) AS service_name"),
         utc_clock(F.col("_window.start")).alias("window_start"),
         utc_clock(F.col("_window.end")).alias("window_end"),
         "total_requests",
         "total_errors",
-        actual.alias("actual_error_rate"),
-        target.alias("error_slo_target"),
-        (actual / target).alias("burn_rate"),
-        burn_severity(actual / target).alias("severity"),
+        F.col("actual").alias("actual_error_rate"),
+        F.col("target").alias("error_slo_target"),
+        F.expr("actual / target AS burn_rate"),
+        F.expr(f"{burn_severity('actual / target')} AS severity"),
     )
