@@ -15,6 +15,11 @@ def named(columns: dict[str, str]) -> list[str]:
     return [f"{expression} AS {name}" for name, expression in columns.items()]
 
 
+def number(value: float) -> str:
+    """A numeric literal of the value's own type; plain decimals would read as DECIMAL."""
+    return f"{value}D" if isinstance(value, float) else str(value)
+
+
 def aggregate(df: DataFrame, keys: list[str], columns: dict[str, str]) -> DataFrame:
     """Group by the keys and compute the named aggregates."""
     return df.groupBy(*keys).agg(*[F.expr(text) for text in named(columns)])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from burnwatch.functions import aggregate, named
+from burnwatch.functions import aggregate, named, number
 from burnwatch.functions.scoring import change_severity, exceeds, or_zero, or_zero_count, percent_change
 from burnwatch.plans.quantiles import join_on_keys
 from burnwatch.plans.tables import SloTables, TimeLike, as_time, for_service, in_time_range, latest_time, minutes
@@ -67,7 +67,7 @@ def degrading_services(
     )
     largest = F.expr(f"CASE WHEN {_CHANGES[0]} IS NOT NULL THEN greatest({', '.join(_CHANGES)}) END")
     return (
-        compared.filter(" OR ".join(exceeds(change, f"{float(threshold_percent)}D") for change in _CHANGES))
+        compared.filter(" OR ".join(exceeds(change, number(float(threshold_percent))) for change in _CHANGES))
         .orderBy(largest.desc_nulls_last(), F.col("service_name").asc_nulls_last())
         .selectExpr(
             "service_name",
@@ -117,7 +117,7 @@ def volume_trends(
     rows = _trend_rows(tables, service_name, time_window_minutes, as_of)
     points = rows.selectExpr(
         "service_name",
-        f"{time_window_minutes} AS time_window_minutes",
+        f"{number(time_window_minutes)} AS time_window_minutes",
         "record_time AS timestamp",
         "id AS _id",
         f"{or_zero_count('total_count')} AS total_requests",

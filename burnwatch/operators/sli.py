@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from burnwatch.functions import aggregate, named
+from burnwatch.functions import aggregate, named, number
 from burnwatch.functions.scoring import (
     at_most,
     burn_severity,
@@ -139,7 +139,7 @@ class _Window:
     def budget_columns(self, hours: float) -> dict[str, str]:
         budget = f"({self.allowed_percent} / 100 * {self.requests})"
         return {
-            "time_window_hours": f"{hours}",
+            "time_window_hours": number(hours),
             "total_requests": self.requests,
             "total_errors": self.errors,
             "error_slo_target_percent": self.target,
@@ -154,7 +154,7 @@ class _Window:
         actual = f"({ratio_or_zero(self.errors, self.requests)} * 100)"
         burn = ratio_or_zero(actual, self.allowed_percent)
         return {
-            "time_window_minutes": f"{window_minutes}",
+            "time_window_minutes": number(window_minutes),
             "actual_error_rate": actual,
             "error_slo_target": self.target,
             "burn_rate": burn,

@@ -10,7 +10,7 @@ from burnwatch.functions.scoring import exceeds, fixed, or_zero, or_zero_count,
 from burnwatch.plans.quantiles import gathered_quantiles, join_on_keys, spread_quantiles
 from burnwatch.plans.scale import fits_one_task
 from burnwatch.plans.tables import SloTables, for_service
-from burnwatch.plans.trend import gathered_slopes, spread_slopes
+from burnwatch.plans.trend import gathered_trends, spread_trends
 
 MIN_ROWS = 3
 _FRACTIONS = (0.5, 0.95, 0.99)
@@ -80,33 +80,21 @@ def service_risk(tables: SloTables, *, spread: bool | None = None) -> DataFrame:
 
     ``spread`` forces the plan for the row index behind the slopes; by default the input size decides.
     """
-    history = tables.eb.select(
-        "service_name",
-        "record_time",
-        "id",
-        "error_rate",
-        "response_time_avg",
-        "target_error_slo_perc",
-        "target_response_slo_sec",
-        "total_count",
-    )
-    indexed = history.select("service_name", "record_time", "id", "error_rate", "response_time_avg")
+    latest = ["error_rate", "response_time_avg", "target_error_slo_perc", "target_response_slo_sec", "total_count"]
+    history = tables.eb.select("service_name", "record_time", "id", *latest)
     if spread is None:
-        spread = not fits_one_task(indexed)
-    slopes = (spread_slopes if spread else gathered_slopes)(
-        indexed,
-        "service_name",
-        ["record_time", "id"],
-        {"error_slope": "error_rate", "response_slope": "response_time_avg"},
-    )
-    latest = "max_by(struct(error_rate, response_time_avg, target_error_slo_perc, target_response_slo_sec, total_count), struct(record_time, id))"
-    services = (
-        aggregate(history, ["service_name"], {"_rows": "count(1)", "error_std": "stddev_samp(error_rate)", "_latest": latest})
-        .filter(f"_rows >= {MIN_ROWS}")
-        .selectExpr("service_name", "error_std", "_latest.*")
+        spread = not fits_one_task(history)
+    frame = (
+        (spread_trends if spread else gathered_trends)(
+            history,
+            "service_name",
+            ["record_time", "id"],
+            {"error": "error_rate", "response": "response_time_avg"},
+            latest,
+        )
+        .filter(f"rows >= {MIN_ROWS}")
+        .selectExpr("service_name", "error_slope", "response_slope", "error_std", "latest.*")
     )
-    frame = join_on_keys(services, slopes, ["service_name"])
-
     score = " + ".join(f"CASE WHEN {holds} THEN {points} ELSE 0 END" for holds, points, _, _ in _RULES)
     texts = ", ".join(f"CASE WHEN {holds} THEN {text} END" for holds, _, _, text in _RULES)
     codes = ", ".join(f"CASE WHEN {holds} THEN '{code}' END" for holds, _, code, _ in _RULES)

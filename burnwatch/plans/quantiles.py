@@ -21,6 +21,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from burnwatch.plans.scale import range_cuts
+
 
 def same_keys(left: str, right: str, keys: Sequence[str]) -> Column:
     """Join condition between two aliased frames in which NULL keys match each other."""
@@ -42,7 +44,7 @@ def spread_quantiles(
     )
 
     chunks = (
-        pairs.repartitionByRange(*keys, "_value")
+        pairs.repartitionByRange(*range_cuts(df.select(*keys, value)), *keys, "_value")
         .withColumn("_chunk", F.spark_partition_id())
         .groupBy(*keys, "_chunk")
         .agg(F.sum("_n").alias("_rows"), F.min("_value").alias("_low"), F.max("_value").alias("_high"))

@@ -7,19 +7,38 @@ no group can outgrow a task whatever its share of the rows.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 
 ONE_TASK_BYTES = 64 * 1024 * 1024
+RANGE_BYTES = 512 * 1024 * 1024
+MAX_RANGES = 20_000
+# The optimizer stands in a huge number for a size it does not know.
+UNKNOWN_BYTES = 2**60
 
 
 def plan_bytes(df: DataFrame) -> int | None:
-    """The optimizer's size estimate for the plan, the one it checks against the broadcast threshold."""
+    """The optimizer's size estimate for the plan, the one it checks against the broadcast threshold; None if unknown."""
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     except AttributeError:  # no classic JVM plan at hand
         return None
+    return size if size < UNKNOWN_BYTES else None
 
 
 def fits_one_task(df: DataFrame, limit: int = ONE_TASK_BYTES) -> bool:
     size = plan_bytes(df)
     return size is not None and size <= limit
+
+
+def range_cuts(df: DataFrame) -> list[int]:
+    """How many ranges to cut a frame into, as the leading argument of ``repartitionByRange``.
+
+    At least the session's shuffle partitions, and more when that would make ranges too big for a task to sort in memory.
+    """
+    size = plan_bytes(df)
+    if size is None:
+        return []
+    configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return [max(configured, min(math.ceil(size / RANGE_BYTES), MAX_RANGES))]

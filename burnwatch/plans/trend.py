@@ -1,8 +1,10 @@
-"""Least-squares slope of a value against the row's position in its group.
+"""Trend of a value against the row's position in its group: least-squares slope, spread, and the last row.
 
-``gathered_slopes`` numbers the rows with a window over the whole group.  ``spread_slopes`` cuts the ordered rows into
-range partitions, numbers them within each (group, partition) piece, reduces a piece to a few moments, and merges the pieces
-of a group with each piece's offset, so a group of any size is numbered and summed by many tasks.
+``gathered_trends`` numbers the rows with a window over the whole group.  ``spread_trends`` cuts the ordered rows into
+range partitions, numbers them within each (group, partition) piece, reduces a piece to its last row and a few moments,
+and merges the pieces of a group with each piece's offset, so a group of any size is numbered and summed by many tasks.
+Both read their input once and return the key, ``rows``, ``latest`` (a struct of the wanted columns) and, per value,
+``<name>_slope`` (0 where none is defined) and ``<name>_std`` (sample deviation).
 """
 
 from __future__ import annotations
@@ -12,52 +14,59 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from burnwatch.functions import aggregate
+from burnwatch.functions import aggregate, named
+from burnwatch.plans.scale import range_cuts
 
 
 def _ascending(order: Sequence[str]) -> list[Column]:
     return [F.col(c).asc_nulls_last() for c in order]
 
 
-def gathered_slopes(df: DataFrame, key: str, order: Sequence[str], values: dict[str, str]) -> DataFrame:
-    """``key`` plus one slope per entry of ``values`` (output name -> value column); 0 where none is defined."""
+def gathered_trends(
+    df: DataFrame, key: str, order: Sequence[str], values: dict[str, str], latest: Sequence[str]
+) -> DataFrame:
     position = F.row_number().over(Window.partitionBy(key).orderBy(*_ascending(order)))
-    slopes = {out: f"coalesce(regr_slope({value}, _x), 0D)" for out, value in values.items()}
-    return aggregate(df.withColumn("_x", position.cast("double")), [key], slopes)
+    columns = {"rows": "count(1)", "latest": f"max_by(struct({', '.join(latest)}), _x)"}
+    for name, value in values.items():
+        columns[f"{name}_slope"] = f"coalesce(regr_slope({value}, _x), 0D)"
+        columns[f"{name}_std"] = f"stddev_samp({value})"
+    return aggregate(df.withColumn("_x", position.cast("double")), [key], columns)
 
 
-def spread_slopes(df: DataFrame, key: str, order: Sequence[str], values: dict[str, str]) -> DataFrame:
-    """Same result as ``gathered_slopes`` with no group held in one task."""
-    pieces = df.repartitionByRange(F.col(key).asc_nulls_last(), *_ascending(order)).withColumn(
-        "_piece", F.spark_partition_id()
-    )
+def spread_trends(
+    df: DataFrame, key: str, order: Sequence[str], values: dict[str, str], latest: Sequence[str]
+) -> DataFrame:
+    cut = df.repartitionByRange(*range_cuts(df), F.col(key).asc_nulls_last(), *_ascending(order))
+    pieces = cut.withColumn("_piece", F.spark_partition_id())
     local = F.row_number().over(Window.partitionBy(key, "_piece").orderBy(*_ascending(order)))
-    moments: list[Column] = [F.count(F.lit(1)).alias("_rows")]
-    for out, value in values.items():
-        x = F.when(F.col(value).isNotNull(), F.col("_x"))
-        moments += [
-            F.count(value).alias(f"_n_{out}"),
-            F.avg(x).alias(f"_mx_{out}"),
-            F.avg(value).alias(f"_my_{out}"),
-            F.var_pop(x).alias(f"_vx_{out}"),
-            F.covar_pop(x, value).alias(f"_cxy_{out}"),
-        ]
-    summed = pieces.withColumn("_x", local.cast("double")).groupBy(key, "_piece").agg(*moments)
-
-    # One row per piece from here on.
-    before = Window.partitionBy(key).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(key)
-    placed = summed.withColumn("_offset", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
-    for out in values:
-        n = F.col(f"_n_{out}")
-        placed = placed.withColumn(f"_mx_{out}", F.col(f"_mx_{out}") + F.col("_offset"))
-        for axis in ("x", "y"):
-            mean = F.try_divide(F.sum(n * F.col(f"_m{axis}_{out}")).over(whole), F.sum(n).over(whole))
-            placed = placed.withColumn(f"_d{axis}_{out}", F.col(f"_m{axis}_{out}") - mean)
-    slopes = []
-    for out in values:
-        n, dx, dy = F.col(f"_n_{out}"), F.col(f"_dx_{out}"), F.col(f"_dy_{out}")
-        sxy = F.sum(n * (F.col(f"_cxy_{out}") + dx * dy))
-        sxx = F.sum(n * (F.col(f"_vx_{out}") + dx * dx))
-        slopes.append(F.when(sxx > 0, F.try_divide(sxy, sxx)).otherwise(0.0).alias(out))
-    return placed.groupBy(key).agg(*slopes)
+    moments = {"_rows": "count(1)", "_latest": f"max_by(struct({', '.join(latest)}), _x)"}
+    for name, value in values.items():
+        x = f"CASE WHEN {value} IS NOT NULL THEN _x END"
+        moments |= {
+            f"_n_{name}": f"count({value})",
+            f"_mx_{name}": f"avg({x})",
+            f"_my_{name}": f"avg({value})",
+            f"_vx_{name}": f"var_pop({x})",
+            f"_vy_{name}": f"var_pop({value})",
+            f"_cxy_{name}": f"covar_pop({x}, {value})",
+        }
+    summed = aggregate(pieces.withColumn("_x", local.cast("double")), [key, "_piece"], moments)
+
+    # One row per piece from here on: shift the positions by the rows before the piece, then take distances from the mean.
+    whole = f"OVER (PARTITION BY {key})"
+    before = f"OVER (PARTITION BY {key} ORDER BY _piece ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    placed = summed.selectExpr("*", f"coalesce(sum(_rows) {before}, 0L) AS _offset")
+    distances = {}
+    for name in values:
+        for axis, mean in (("x", f"(_mx_{name} + _offset)"), ("y", f"_my_{name}")):
+            total = f"sum(_n_{name} * {mean}) {whole}"
+            distances[f"_d{axis}_{name}"] = f"{mean} - try_divide({total}, sum(_n_{name}) {whole})"
+    merged = {"rows": "sum(_rows)", "latest": "max_by(_latest, _piece)"}
+    for name in values:
+        n, dx, dy = f"_n_{name}", f"_dx_{name}", f"_dy_{name}"
+        sxx = f"sum({n} * (_vx_{name} + {dx} * {dx}))"
+        syy = f"sum({n} * (_vy_{name} + {dy} * {dy}))"
+        sxy = f"sum({n} * (_cxy_{name} + {dx} * {dy}))"
+        merged[f"{name}_slope"] = f"CASE WHEN {sxx} > 0 THEN try_divide({sxy}, {sxx}) ELSE 0D END"
+        merged[f"{name}_std"] = f"CASE WHEN sum({n}) > 1 THEN sqrt({syy} / (sum({n}) - 1)) END"
+    return aggregate(placed.selectExpr("*", *named(distances)), [key], merged)

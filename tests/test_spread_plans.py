@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from burnwatch.operators import trends
 from burnwatch.plans.quantiles import spread_quantiles
-from burnwatch.plans.trend import gathered_slopes, spread_slopes
+from burnwatch.plans.trend import gathered_trends, spread_trends
 from burnwatch.sources.rollup import daily_tables
 
 FRACTIONS = [0.0, 0.25, 0.5, 0.95, 0.99, 1.0]
@@ -47,20 +47,26 @@ def test_weighted_quantiles(spark):
     assert row.q == pytest.approx(list(np.quantile([1, 1, 1, 2, 9, 9, 9, 9, 9, 9], [0.3, 0.5])))
 
 
-def test_slopes_agree(spark):
+def test_trends_agree(spark):
     rng = random.Random(3)
     data = [("hot", t // 3, f"i{t:05d}", 0.01 * t + rng.random(), rng.random() if t % 7 else None) for t in range(2500)]
     data += [("few", t, f"i{t}", float(t * t), 1.0) for t in range(4)] + [("one", 0, "i", 2.0, 2.0)]
     df = spark.createDataFrame(data, "s string, t int, id string, y double, z double").repartition(4)
-    values = {"ys": "y", "zs": "z"}
-    short = {r.s: (r.ys, r.zs) for r in gathered_slopes(df, "s", ["t", "id"], values).collect()}
-    spread = {r.s: (r.ys, r.zs) for r in spread_slopes(df, "s", ["t", "id"], values).collect()}
+    values = {"y": "y", "z": "z"}
+    columns = ["y_slope", "z_slope", "y_std", "z_std", "rows"]
+    short, spread = (
+        {r.s: r for r in plan(df, "s", ["t", "id"], values, ["id", "y"]).collect()}
+        for plan in (gathered_trends, spread_trends)
+    )
     assert set(short) == set(spread)
     for s in short:
-        assert spread[s] == pytest.approx(short[s], abs=1e-9)
+        assert [spread[s][c] for c in columns] == pytest.approx([short[s][c] for c in columns], abs=1e-9)
+        assert spread[s].latest == short[s].latest
     hot = [row for row in data if row[0] == "hot"]
-    assert spread["hot"][0] == pytest.approx(np.polyfit(range(len(hot)), [r[3] for r in hot], 1)[0], abs=1e-9)
-    assert spread["one"] == (0.0, 0.0)
+    assert spread["hot"].y_slope == pytest.approx(np.polyfit(range(len(hot)), [r[3] for r in hot], 1)[0], abs=1e-9)
+    assert spread["hot"].y_std == pytest.approx(np.std([r[3] for r in hot], ddof=1))
+    assert spread["hot"].latest.id == "i02499"
+    assert (spread["one"].y_slope, spread["one"].y_std) == (0.0, None)
 
 
 @pytest.fixture(scope="module")
