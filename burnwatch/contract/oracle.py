@@ -6,13 +6,13 @@ tables and ``joined`` their left join by service name, row by row, so the sums s
 
 from __future__ import annotations
 
-from burnwatch.contract.queries import DIGITS, LATENCY_DIGITS, SERVICE, WEEK_MINUTES
+from burnwatch.contract.queries import DIGITS, LATENCY_DIGITS, SERVICE, WEEK_MINUTES, digits
 from burnwatch.schema import FIELDS, RESPONSE_QUANTILES
 from burnwatch.sources.pages import PAGE_SIZE
 
 
-def r(expression: str, name: str, digits: int = DIGITS) -> str:
-    return f"round({expression}, {digits}) AS {name}"
+def r(expression: str, name: str, places: int = DIGITS) -> str:
+    return f"round({expression}, {places}) AS {name}"
 
 
 def lat(expression: str, name: str) -> str:
@@ -303,7 +303,7 @@ def _plain_logs() -> str:
         if f.dtype != "double":
             out.append(f.column)
         else:
-            out.append(r(f.column, f.column))
+            out.append(r(f.column, f.column, digits(f.column)))
     return ", ".join(out)
 
 

@@ -30,9 +30,9 @@ from burnwatch.streaming.burn import sliding_burn_rate
 Query = Callable[[SparkSession, str], DataFrame]
 
 DIGITS = 6
-# Latencies have at most six decimals, so their averages over days can fall on a rounding tie in the sixth place; four places
-# avoid that.  Single days are compared in six.
-LATENCY_DIGITS = 4
+# Daily percentiles have at most six decimals, so their averages over days can fall on a rounding tie in the sixth place, where
+# two right sums may differ.  In the ninth place there is no tie unless the number of days is a multiple of 16.
+LATENCY_DIGITS = 9
 WEEK_MINUTES = 7 * 24 * 60
 SERVICE = "svc_3"
 
@@ -49,13 +49,14 @@ def tables(spark: SparkSession, sf_dir: str, *, quantiles: bool = False) -> SloT
     return daily_tables(events(spark, sf_dir), quantiles=quantiles)
 
 
-def rounded(df: DataFrame, latency_digits: int = LATENCY_DIGITS) -> DataFrame:
-    """All doubles rounded; latency columns (response time, p50, p95, p99) to fewer places."""
+def digits(name: str) -> int:
+    """Places to round a column to: more for latencies (response time, p50, p95, p99)."""
+    latency = any(part in name for part in ("response_time", "response_slo", "_p50", "_p95", "_p99"))
+    return LATENCY_DIGITS if latency and "change" not in name and "slope" not in name else DIGITS
 
-    def digits(name: str) -> int:
-        latency = any(part in name for part in ("response_time", "response_slo", "_p50", "_p95", "_p99"))
-        return latency_digits if latency and "change" not in name and "slope" not in name else DIGITS
 
+def rounded(df: DataFrame) -> DataFrame:
+    """All doubles rounded."""
     return df.selectExpr(
         *[
             f"round(`{f.name}`, {digits(f.name)}) AS `{f.name}`" if f.dataType.typeName() == "double" else f"`{f.name}`"
@@ -139,17 +140,17 @@ def hourly_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def daily_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both log tables in all their columns."""
-    return rounded(tables(spark, sf_dir, quantiles=True).logs, DIGITS)
+    return rounded(tables(spark, sf_dir, quantiles=True).logs)
 
 
 def all_service_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(service_logs(tables(spark, sf_dir, quantiles=True)), DIGITS)
+    return rounded(service_logs(tables(spark, sf_dir, quantiles=True)))
 
 
 def service_logs_of_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tables(spark, sf_dir, quantiles=True)
     end = latest_time(t.eb)
-    return rounded(service_logs(t, SERVICE, end - minutes(WEEK_MINUTES), end, limit=5), DIGITS)
+    return rounded(service_logs(t, SERVICE, end - minutes(WEEK_MINUTES), end, limit=5))
 
 
 def adhoc_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
