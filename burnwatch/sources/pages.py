@@ -33,21 +33,22 @@ def page_items(pages: DataFrame) -> DataFrame:
     A page without items keeps one row with a NULL item, so that its effect on the sequence is not lost.
     ``page_items`` is the length of the page and ``page_ends`` marks a page that must not be used.
     """
-    parsed = pages.withColumn("_root", F.try_parse_json("body"))
-    root = F.col("_root")
-    kind = F.schema_of_variant(root)
-    summary = F.try_variant_get(root, "$.summary", "variant")
-    items = (
-        F.when(kind.startswith("OBJECT"), F.when(F.schema_of_variant(summary).startswith("ARRAY"), summary).otherwise(root))
-        .when(kind.startswith("ARRAY"), root)
+    # Casting tells an object or a list from anything else without building the schema of a whole page.
+    listed = (
+        pages.selectExpr("page_id", "try_parse_json(body) AS _root")
+        .selectExpr(
+            "page_id",
+            "_root",
+            "try_variant_get(_root, '$', 'array<variant>') AS _list",
+            "try_variant_get(_root, '$', 'struct<summary: variant>') AS _object",
+        )
+        .selectExpr(
+            "page_id",
+            """coalesce(_list, try_variant_get(_object.summary, '$', 'array<variant>'),
+               CASE WHEN _object IS NOT NULL THEN array(_root) END) AS _items""",
+        )
     )
-    as_list = F.try_variant_get(items, "$", "array<variant>")
-    whole = F.when(F.schema_of_variant(items).startswith("ARRAY"), as_list).otherwise(
-        F.when(items.isNotNull(), F.array(items))
-    )
-    listed = parsed.withColumn("_items", whole)
-    count = F.coalesce(F.size("_items"), F.lit(0))
-    count = F.when(F.col("_items").isNull(), 0).otherwise(count)
+    count = F.when(F.col("_items").isNull(), 0).otherwise(F.size("_items"))
     lone_no_data = (count == 1) & no_data_found(F.get("_items", 0))
     return listed.select(
         "page_id",

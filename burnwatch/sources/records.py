@@ -115,10 +115,10 @@ def _faults() -> dict[str, str]:
         """A present value that is no number, where an explicit null is fine."""
         return f"({_typed(key)} IS NULL AND {_raw(key)} IS NOT NULL AND NOT is_variant_null({_raw(key)}))"
 
-    percentiles = _kind(f"try_variant_get(item, '$.{_PERCENTILES}', 'variant')")
+    # Only an object casts to a struct.
     faults = {
-        "item": f"NOT startswith({_kind('item')}, 'OBJECT')",
-        _PERCENTILES: f"NOT startswith({percentiles}, 'OBJECT')",
+        "item": "item IS NOT NULL AND _typed IS NULL",
+        _PERCENTILES: f"{_typed(_PERCENTILES)} IS NULL AND try_variant_get(item, '$.{_PERCENTILES}', 'variant') IS NOT NULL",
         "transactionId": miscast("transactionId"),
     }
     for field in FIELDS:
