@@ -1,7 +1,8 @@
 """Byte-level BPE encoding and decoding by a two-tier lookup.
 
 Tier one is a minimal perfect hash over the vocabulary: a pre-token that is a vocabulary entry is resolved by one probe.
-Tier two merges the bytes of a miss on a linked list, taking the lowest rank from a heap, the leftmost on ties.
+Tier two merges the bytes of a miss on a linked list, taking the lowest rank from a heap, the leftmost on ties; what two neighbours become is
+looked up by their ids.
 A vocabulary is a constant of the model (tens of thousands of entries), so it is read on the driver and broadcast.
 """
 
@@ -10,6 +11,7 @@ from __future__ import annotations
 import base64
 import heapq
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -27,7 +29,7 @@ PLAIN_PATTERN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s
 # Fixed value: the pre-token pattern for which PLAIN_PATTERN is an equal form on plain texts.
 FAST_FOR = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pre-tokens remembered in a task before its memory is emptied.
-MEMO = 200_000
+MEMO = 300_000
 #: Ids or bytes gathered before a batch is handed on.
 FLUSH = 1_000_000
 
@@ -82,6 +84,8 @@ class Vocabulary:
     pattern: str
     find: PerfectHash
     by_id: dict[int, bytes] = field(default_factory=dict)
+    bytes_: list[int] = field(default_factory=list)
+    pairs: dict[int, int] = field(default_factory=dict)
 
     @staticmethod
     def read(path: str, pattern: str) -> Vocabulary:
@@ -89,43 +93,55 @@ class Vocabulary:
         with open(path, "rb") as lines:
             pairs = [(base64.b64decode(token), int(rank)) for token, rank in (x.split() for x in lines if x.strip())]
         tokens, ids = [p[0] for p in pairs], [p[1] for p in pairs]
-        return Vocabulary(tokens, ids, pattern, PerfectHash.build(tokens), dict(zip(ids, tokens, strict=True)))
+        out = Vocabulary(tokens, ids, pattern, PerfectHash.build(tokens), dict(zip(ids, tokens, strict=True)))
+        out.bytes_ = [out.rank(bytes([b])) for b in range(256)]
+        if None in out.bytes_:
+            raise ValueError(f"{path} has no entry for some single byte")
+        out.pairs = out.joined()
+        return out
 
     def rank(self, piece: bytes) -> int | None:
         i = self.find(piece)
         return self.ids[i] if self.tokens[i] == piece else None
 
+    def joined(self) -> dict[int, int]:
+        """The id that two adjacent ids become, for all pairs of tokens whose bytes together are a token."""
+        numbers = dict(zip(self.tokens, self.ids, strict=True))
+        out = {}
+        for token, number in numbers.items():
+            for cut in range(1, len(token)):
+                left, right = numbers.get(token[:cut]), numbers.get(token[cut:])
+                if left is not None and right is not None:
+                    out[left << 20 | right] = number
+        return out
+
     def merge(self, piece: bytes) -> list[int]:
-        """Ids of a piece that is no entry itself: byte pairs of the lowest rank join first, the leftmost on ties."""
-        n = len(piece)
-        end = list(range(1, n + 1))  # where the part that starts here ends; 0 once it was joined to its left
-        before = list(range(-1, n))
-        heap: list[tuple[int, int, int]] = []
-
-        def offer(start: int) -> None:
-            if start >= 0 and end[start] < n:
-                stop = end[end[start]]
-                rank = self.rank(piece[start:stop])
-                if rank is not None:
-                    heapq.heappush(heap, (rank, start, stop))
-
-        for start in range(n - 1):
-            offer(start)
+        """Ids of a piece that is no entry itself: pairs of the lowest rank join first, the leftmost on ties."""
+        n, join, pop, push = len(piece), self.pairs.get, heapq.heappop, heapq.heappush
+        ids = [self.bytes_[b] for b in piece]  # -1 once joined to what stands before
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        # An entry of the heap is rank * n + place of the left part.
+        found = map(join, [x << 20 | y for x, y in zip(ids, ids[1:], strict=False)])
+        heap = [rank * n + i for i, rank in enumerate(found) if rank is not None]
+        heapq.heapify(heap)
         while heap:
-            _, start, stop = heapq.heappop(heap)
-            middle = end[start]
-            if not middle or middle >= n or end[middle] != stop:
-                continue  # one of the two parts has changed since
-            end[start], end[middle] = stop, 0
-            if stop < n:
-                before[stop] = start
-            offer(start)
-            offer(before[start])
-        ids, start = [], 0
-        while start < n:
-            ids.append(self.rank(piece[start : end[start]]))
-            start = end[start]
-        return ids
+            rank, i = divmod(pop(heap), n)
+            j, left = after[i], ids[i]
+            if left < 0 or j >= n or join(left << 20 | ids[j]) != rank:
+                continue  # one of the two has changed since
+            ids[i], ids[j] = rank, -1
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                next_rank = join(rank << 20 | ids[k])
+                if next_rank is not None:
+                    push(heap, next_rank * n + i)
+            k = before[i]
+            if k >= 0:
+                next_rank = join(ids[k] << 20 | rank)
+                if next_rank is not None:
+                    push(heap, next_rank * n + k)
+        return [x for x in ids if x >= 0]
 
     def encode(self, piece: str) -> list[int]:
         """Ids of a pre-token; a lone surrogate counts as U+FFFD."""
@@ -135,21 +151,37 @@ class Vocabulary:
 
 
 class Memo(dict):
-    """Ids by pre-token; emptied when full, so that its size is bounded."""
+    """Ids by pre-token, of bounded size: when full, what was not asked for since it was last full goes."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         super().__init__()
         self.vocabulary = vocabulary
+        self.older: dict[str, list[int]] = {}
 
     def __missing__(self, piece: str) -> list[int]:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.vocabulary.encode(piece)
+            if len(piece) > 64:
+                return ids
         if len(self) >= MEMO:
+            self.older = dict(self)
             self.clear()
-        ids = self.vocabulary.encode(piece)
-        if len(piece) <= 64:
-            self[piece] = ids
+        self[piece] = ids
         return ids
 
 
+#: The memo of this worker process, by the broadcast it belongs to; tasks that follow each other share it.
+_memo: dict[int, Memo] = {}
+
+
+def _memo_of(number: int, vocabulary: Vocabulary) -> Memo:
+    if number not in _memo:
+        _memo.clear()
+        _memo[number] = Memo(vocabulary)
+    return _memo[number]
+
+
 def _rows(batch: pa.RecordBatch, column: pa.Array, name: str, start: int, stop: int) -> pa.RecordBatch:
     """The rows from start to stop with the column appended, in place of one of the same name."""
     kept = [i for i, n in enumerate(batch.schema.names) if n != name]
@@ -170,10 +202,11 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str =
     of any length (the ids of one text are in memory at a time, and batches are handed on by size).
     """
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
+    number = uuid.uuid4().int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = shared.value
-        memo, slow = Memo(vocab), regex.compile(vocab.pattern)
+        memo, slow = _memo_of(number, vocab), regex.compile(vocab.pattern)
         for batch in batches:
             column = batch.column(batch.schema.names.index(text))
             start, flat, ends = 0, [], [0]
