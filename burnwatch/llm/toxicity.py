@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from burnwatch.llm.staging import staged
 
@@ -50,8 +51,11 @@ class Known(dict):
     def __init__(self, numbers: dict[str, int]) -> None:
         super().__init__()
         self.numbers = numbers
+        self.starts = {term[: BEGINNINGS[0]] for term in numbers}
 
     def __missing__(self, word: str) -> list[int]:
+        if word[: BEGINNINGS[0]] not in self.starts:
+            return []
         if len(self) >= MEMO:
             self.clear()
         self[word] = found = [self.numbers[t] for t in terms_of(word) if t in self.numbers]
@@ -59,9 +63,11 @@ class Known(dict):
 
     def counts(self, text: str | None) -> dict[int, int]:
         out: dict[int, int] = {}
-        for word, n in Counter(WORD.findall((text or "").lower())).items():
-            for i in self[word]:
-                out[i] = out.get(i, 0) + n
+        starts, at = self.starts, BEGINNINGS[0]
+        for word in WORD.findall((text or "").lower()):
+            if word[:at] in starts:
+                for i in self[word]:
+                    out[i] = out.get(i, 0) + 1
         return out
 
 
@@ -77,7 +83,7 @@ def vector(counts: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndar
 class Index:
     """Weights by term and example, and their maxima by term and block of examples."""
 
-    weights: np.ndarray  # terms x examples
+    weights: np.ndarray  # blocks x terms x examples of a block
     maxima: np.ndarray  # terms x blocks
     ids: np.ndarray
     toxic: np.ndarray
@@ -87,30 +93,40 @@ class Index:
         # Examples whose heaviest terms are equal stand together, which makes the maxima of their block tight.
         heaviest = [tuple(t[np.argsort(-w, kind="stable")[:3]]) for t, w in vectors]
         order = sorted(range(len(vectors)), key=lambda i: (heaviest[i], ids[i]))
-        weights = np.zeros((n_terms, -(-max(1, len(order)) // BLOCK) * BLOCK), np.float32)
+        weights = np.zeros((-(-max(1, len(order)) // BLOCK), n_terms, BLOCK), np.float32)
         for column, i in enumerate(order):
-            weights[vectors[i][0], column] = vectors[i][1]
-        maxima = weights.reshape(n_terms, -1, BLOCK).max(axis=2)
-        return Index(weights, maxima, ids[order], toxic[order])
+            weights[column // BLOCK, vectors[i][0], column % BLOCK] = vectors[i][1]
+        return Index(weights, np.ascontiguousarray(weights.max(axis=2).T), ids[order], toxic[order])
+
+    def column(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Terms and weights of an example."""
+        weights = self.weights[i // BLOCK, :, i % BLOCK]
+        terms = np.flatnonzero(weights)
+        return terms, weights[terms].astype(np.float64)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Columns and cosines of the k nearest examples that share a term, by cosine, then example id."""
-        bounds = weights @ self.maxima[terms]
+        query = weights.astype(np.float32)
+        bounds = query @ self.maxima[terms]
         order = np.argsort(-bounds, kind="stable")
-        order = order[bounds[order] > 0]
-        columns, cosines, kth, at, step = np.empty(0, np.int64), np.empty(0), 0.0, 0, 2
+        order = order[: np.count_nonzero(bounds > 0)]
+        columns, cosines, kth, at, step = np.empty(0, np.int64), np.empty(0), 0.0, 0, 4
         while at < len(order) and bounds[order[at]] >= kth - 1e-5:
             blocks = order[at : at + step]
-            at, step = at + step, min(step * 2, 64)
-            found = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            found = found[(found < len(self.ids)) & (found != without)]
-            scores = np.round(weights @ self.weights[np.ix_(terms, found)].astype(np.float64), 6)
-            keep = (scores > 0) & (scores >= kth)
-            columns, cosines = np.concatenate([columns, found[keep]]), np.concatenate([cosines, scores[keep]])
-            best = np.lexsort((self.ids[columns], -cosines))[:k]
-            columns, cosines = columns[best], cosines[best]
-            kth = cosines[-1] if len(cosines) == k else 0.0
-        return columns, cosines
+            at, step = at + step, step * 2
+            scores = (query @ self.weights[blocks[:, None], terms]).ravel()
+            keep = np.flatnonzero((scores > 0) & (scores >= kth - 1e-5))
+            found = blocks[keep // BLOCK] * BLOCK + keep % BLOCK
+            real = (found < len(self.ids)) & (found != without)
+            columns = np.concatenate([columns, found[real]])
+            cosines = np.concatenate([cosines, np.round(scores[keep[real]].astype(np.float64), 6)])
+            if len(columns) > k:
+                best = np.lexsort((self.ids[columns], -cosines))[:k]
+                columns, cosines, kth = columns[best], cosines[best], cosines[best[-1]]
+            elif len(columns) == k:
+                kth = cosines.min()
+        best = np.lexsort((self.ids[columns], -cosines))
+        return columns[best], cosines[best]
 
 
 @dataclass
@@ -255,10 +271,10 @@ def fit(
 
     votes, seen, w = np.zeros(len(rows)), np.zeros(len(rows), bool), np.array([weight[int(t)] for t in index.toxic])
     for column in range(len(rows)):
-        t = np.flatnonzero(index.weights[:, column])
+        t, weights = index.column(column)
         if len(t):
             seen[column] = True
-            votes[column] = model.vote(*index.nearest(t, index.weights[t, column].astype(np.float64), k, without=column))
+            votes[column] = model.vote(*index.nearest(t, weights, k, without=column))
     if seen.any():
         model.slope, model.shift = calibration(votes[seen], index.toxic[seen], w[seen])
     share = totals[1] / (totals[1] + totals[0])
@@ -313,9 +329,7 @@ def score(docs: DataFrame, model: Model | None, evidence: bool = True) -> DataFr
         empty = {"score": F.lit(0.0), "predicted": F.lit(0), "evidence": F.array().cast(EVIDENCE)}
         return rest.withColumns({name: empty[name] for name in added})
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = rest.schema
-    for name, dtype in added.items():
-        schema = schema.add(name, dtype)
+    schema = T.StructType([*rest.schema.fields, *(T.StructField(n, T.DataType.fromDDL(t)) for n, t in added.items())])
     item = pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
