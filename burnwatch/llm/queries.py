@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from burnwatch.llm import bpe, chat, html_text, toxicity, urls, vectors
+from burnwatch.llm import bpe, chat, html_text, ngram_join, suffix_dedup, toxicity, urls, vectors
 
 #: Host, path and verdict of each rule.
 URL_RULES = [
@@ -48,6 +48,20 @@ def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"), window=200).select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
 @cache
 def bpe_vocabulary() -> bpe.Vocabulary:
     return bpe.Vocabulary.read(public_tokenizers.path(BPE_RANKS), public_tokenizers.PATTERN)
@@ -93,6 +107,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_filter": op3_url_filter,
     "op4_main_text": op4_main_text,
     "op5_top_k": op5_top_k,
+    "op6_suffix_dedup": op6_suffix_dedup,
+    "op8_ngram_join": op8_ngram_join,
     "op9_bpe": op9_bpe,
     "op10_chat": op10_chat,
 }
