@@ -3,8 +3,8 @@
 Sets are ordered by one global order, rare n-grams first. Two sets that are alike share an n-gram among the first few of both, so documents meet under
 those. In each such group one document is the hub: its set walks prefix trees of the others' sets, from the most frequent n-gram down, adding
 up overlaps once for all sets that begin alike and leaving a subtree when the n-grams that remain cannot reach the bound. The hub then leaves
-the group. Groups whose documents are all connected are done; the others go on with their next hub. So no group's pairs are ever listed, while every
-pair that is not connected already is tested.
+the group. Groups whose documents are all connected are done; the others go on, with four times as many hubs in each round. So the pairs of a large group
+of copies are never listed, while every pair that sizes and places allow, and that is not connected already, is tested.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from burnwatch.llm.components import components
@@ -302,51 +302,68 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         for batch in batches:
             ids, digests, tokens = (batch.column(i).to_pylist() for i in range(3))
             for start in range(0, len(ids), 1024):
-                firsts = []
+                firsts, sizes = [], []
                 for raw in tokens[start : start + 1024]:
                     own = unpacked(raw)
                     take = len(own) - least_overlap(len(own), percent) + 1
-                    keys = rank.ranks(own)
-                    if take < len(own):
-                        # Tokens are sorted by hash, so a stable choice by rank keeps that order within a rank.
-                        own = own[np.argsort(keys, kind="stable")[:take]]
-                    firsts.append(own)
+                    # Sorted by hash before, so a stable sort by rank gives the global order.
+                    firsts.append(own[np.argsort(rank.ranks(own), kind="stable")[:take]])
+                    sizes.append(len(own))
                 counts = [len(x) for x in firsts]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate(firsts).astype(np.int64)),
-                        pa.array(np.repeat(np.array(ids[start : start + 1024], np.int64), counts)),
-                        pa.array(np.repeat(np.array([int.from_bytes(d[:8], "little", signed=True) for d in digests[start : start + 1024]]), counts)),
-                    ],
-                    names=["token", "doc_id", "set"],
-                )
+                short = np.array([int.from_bytes(d[:8], "little", signed=True) for d in digests[start : start + 1024]])
+                numbers = {
+                    "token": np.concatenate(firsts).astype(np.int64),
+                    "doc_id": np.repeat(np.array(ids[start : start + 1024], np.int64), counts),
+                    "set": np.repeat(short, counts),
+                    "n": np.repeat(np.array(sizes, np.int32), counts),
+                    "place": np.concatenate([np.arange(c, dtype=np.int32) for c in counts]),
+                }
+                yield pa.RecordBatch.from_pydict({name: pa.array(x) for name, x in numbers.items()})
 
     filled = sets.where("n > 0 AND doc_id IS NOT NULL")
-    met = filled.select("doc_id", "digest", "tokens").mapInArrow(heads, "token long, doc_id long, set long")
+    met = filled.select("doc_id", "digest", "tokens").mapInArrow(heads, "token long, doc_id long, set long, n int, place int")
     # Copies of a set meet under the same n-grams; the smallest stands for them.
-    met = met.repartition("token").groupBy("token", "set").agg(F.min("doc_id").alias("doc_id"))
-    sizes = met.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
-    groups = staged(met.join(sizes, "token").select("token", "doc_id"))
+    met = met.repartition("token").groupBy("token", "set").agg(*(F.min(c).alias(c) for c in ("doc_id", "n", "place")))
+    sizes = met.groupBy("token").agg(F.count("*").alias("members")).where("members > 1")
+    groups = staged(met.join(sizes, "token").select("token", "doc_id", "n", "place"))
 
-    links = None
-    labels = None
+    links = labels = None
+    hubs_each = 1
     while not groups.isEmpty():
-        hubs = groups.groupBy("token").agg(F.min(F.struct(F.xxhash64("doc_id").alias("h"), "doc_id")).alias("x")).select("token", F.col("x.doc_id").alias("hub"))
-        rest = staged(groups.join(hubs, "token").where("doc_id <> hub"))
-        pairs = rest.select("hub", F.col("doc_id").alias("member"))
+        turn = F.row_number().over(Window.partitionBy("token").orderBy(F.xxhash64("doc_id"), "doc_id"))
+        ranked = staged(groups.withColumn("turn", turn))
+        hubs = ranked.where(F.col("turn") <= hubs_each).select(
+            "token", F.col("doc_id").alias("hub"), F.col("n").alias("hub_n"), F.col("place").alias("hub_place"), F.col("turn").alias("hub_turn")
+        )
+        # What two sets can share at most, when they share the n-gram at these places.
+        most = F.least("place", "hub_place") + 1 + F.least(F.col("n") - F.col("place"), F.col("hub_n") - F.col("hub_place")) - 1
+        pairs = (
+            ranked.join(hubs, "token")
+            .where(F.col("turn") > F.col("hub_turn"))
+            .where((100 * most >= percent * (F.col("n") + F.col("hub_n") - most)) & (F.col("doc_id") != F.col("hub")))
+            .select("hub", F.col("doc_id").alias("member"))
+            .distinct()
+        )
         if labels is not None:
             label = labels.select(F.col("node").alias("member"), F.col("component").alias("c1"))
             other = labels.select(F.col("node").alias("hub"), F.col("component").alias("c2"))
             pairs = pairs.join(label, "member", "left").join(other, "hub", "left").where("c1 IS NULL OR c2 IS NULL OR c1 <> c2").select("hub", "member")
-        found = staged(_tested(staged(pairs.distinct()), sets, order, percent))
-        links = found if links is None else links.unionByName(found)
-        labels = staged(components(links))
-        named = rest.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id"))
+        pairs = staged(pairs)
+        if not pairs.isEmpty():
+            found = staged(_tested(pairs, sets, order, percent))
+            links = found if labels is None else labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found)
+            labels = staged(components(links))
+        rest = ranked.where(F.col("turn") > hubs_each).select("token", "doc_id", "n", "place")
+        named = rest.withColumn("component", F.col("doc_id"))
+        if labels is not None:
+            named = rest.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+        named = named.withColumn("c", F.coalesce("component", "doc_id"))
         open_groups = named.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("token")
-        after = staged(rest.select("token", "doc_id").join(open_groups, "token"))
-        drop_staged(groups)
-        drop_staged(rest)
+        after = staged(rest.join(open_groups, "token"))
+        for table in (groups, ranked, pairs):
+            drop_staged(table)
         groups = after
+        hubs_each *= 4
 
     firsts = filled.groupBy("digest").agg(F.min("doc_id").alias("first"))
     named = firsts if labels is None else firsts.join(labels.withColumnRenamed("node", "first"), "first", "left")
