@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from burnwatch.llm import bpe, chat, html_text, ngram_join, suffix_dedup, toxicity, urls, vectors
+from burnwatch.llm import bpe, chat, html_text, ngram_join, order_minhash, suffix_dedup, toxicity, urls, vectors
 
 #: Host, path and verdict of each rule.
 URL_RULES = [
@@ -58,6 +58,20 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = order_minhash.against_next(_table(spark, sf_dir, "documents"))
+    signature, edited = F.col("signature"), F.col("edited_signature")
+    return found.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        order_minhash.fingerprint(signature).alias("fingerprint"),
+        order_minhash.fingerprint(edited).alias("edited_fingerprint"),
+        order_minhash.likeness(signature, edited).alias("near_edited"),
+        order_minhash.likeness(signature, F.col("next_signature")).alias("near_next"),
+    )
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"), size=4, percent=85)
 
@@ -108,6 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_main_text": op4_main_text,
     "op5_top_k": op5_top_k,
     "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_order_minhash": op7_order_minhash,
     "op8_ngram_join": op8_ngram_join,
     "op9_bpe": op9_bpe,
     "op10_chat": op10_chat,
