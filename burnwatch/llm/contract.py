@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from burnwatch.llm.oracle import ORACLE
-from burnwatch.llm.queries import QUERIES
+from burnwatch.llm.queries import QUERIES as OPERATORS
+
+QUERIES = {**OPERATORS, "pipeline": corpus_pipeline.run}
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from burnwatch.llm import bpe, chat, html_text, ngram_join, order_minhash, suffix_dedup, toxicity, urls, vectors
+from burnwatch.llm import bpe, chat, html_text, mixing, ngram_join, order_minhash, suffix_dedup, toxicity, urls, vectors
 
 #: Host, path and verdict of each rule.
 URL_RULES = [
@@ -35,6 +35,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs, repetition_limit=2.0).select("doc_id", "source", "epoch", "turn")
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return urls.judge_urls(_table(spark, sf_dir, "pages"), rules)
@@ -118,6 +123,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_mixing": op2_mixing,
     "op3_url_filter": op3_url_filter,
     "op4_main_text": op4_main_text,
     "op5_top_k": op5_top_k,

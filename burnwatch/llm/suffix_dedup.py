@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from burnwatch.llm.staging import staged
 
@@ -91,7 +92,7 @@ def anchors(pieces: list[np.ndarray], window: int) -> tuple[np.ndarray, ...]:
     return piece, grams[p].view(np.int64), stretch.view(np.int64), p - base, first - base, final - base
 
 
-ROW = "doc_id long, key long, gram long, stretch long, anchor int, first int, last int"
+ROW = "key long, check int, gram long, stretch long, anchor int, first int, last int"
 
 
 def _anchor_rows(docs: DataFrame, window: int) -> DataFrame:
@@ -103,13 +104,13 @@ def _anchor_rows(docs: DataFrame, window: int) -> DataFrame:
         def out() -> pa.RecordBatch:
             piece, gram, stretch, p, first, last = anchors(pieces, window)
             shift = np.array([o[2] for o in owners])[piece]
-            ids = pa.array([o[0] for o in owners], pa.int64()).take(pa.array(piece))
-            keys = pa.array(np.array([o[1] for o in owners], np.int64)[piece])
+            keys = pa.array(np.array([o[0] for o in owners], np.int64)[piece])
+            checks = pa.array(np.array([o[1] for o in owners], np.int32)[piece])
             numbers = [pa.array((x + shift).astype(np.int32)) for x in (p, first, last)]
-            return pa.RecordBatch.from_arrays([ids, keys, pa.array(gram), pa.array(stretch), *numbers], names=["doc_id", "key", "gram", "stretch", "anchor", "first", "last"])
+            return pa.RecordBatch.from_arrays([keys, checks, pa.array(gram), pa.array(stretch), *numbers], names=["key", "check", "gram", "stretch", "anchor", "first", "last"])
 
         for batch in batches:
-            ids, keys, texts = (batch.column(i) for i in range(3))
+            keys, checks, texts = (batch.column(i) for i in range(3))
             for i in range(batch.num_rows):
                 raw = np.frombuffer(texts[i].as_py(), np.uint8)
                 for start in range(0, len(raw) - window + 1, CHUNK):
@@ -119,12 +120,12 @@ def _anchor_rows(docs: DataFrame, window: int) -> DataFrame:
                         yield out()
                         pieces, owners, size = [], [], 0
                     pieces.append(piece)
-                    owners.append((ids[i].as_py(), keys[i].as_py(), start))
+                    owners.append((keys[i].as_py(), checks[i].as_py(), start))
                     size += len(piece)
         if pieces:
             yield out()
 
-    return docs.where(F.length("bytes") >= window).select("doc_id", "key", "bytes").mapInArrow(run, ROW)
+    return docs.where(F.length("bytes") >= window).select("key", "check", "bytes").mapInArrow(run, ROW)
 
 
 def common_lengths(x: np.ndarray, y: np.ndarray, hashes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -242,7 +243,7 @@ def repeated_windows(groups: np.ndarray, stretches: list[bytes], before: np.ndar
     return most, least
 
 
-SPAN = "doc_id long, key long, start int, stop int"
+SPAN = "key long, check int, start int, stop int"
 
 
 def _sorted_spans(stretches: DataFrame, window: int) -> DataFrame:
@@ -252,18 +253,18 @@ def _sorted_spans(stretches: DataFrame, window: int) -> DataFrame:
         held: list[tuple] = []
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
-            doc, key, gram, anchor, first, raw = map(list, zip(*rows, strict=True))
+            key, check, gram, anchor, first, raw = map(list, zip(*rows, strict=True))
             anchor, first = np.array(anchor), np.array(first)
             most, least = repeated_windows(np.array(gram), raw, anchor - first, window)
             hit = np.flatnonzero(most >= 0)
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array([doc[i] for i in hit], pa.int64()),
                     pa.array([key[i] for i in hit], pa.int64()),
+                    pa.array([check[i] for i in hit], pa.int32()),
                     pa.array((anchor - most)[hit].astype(np.int32)),
                     pa.array((anchor - least + window)[hit].astype(np.int32)),
                 ],
-                names=["doc_id", "key", "start", "stop"],
+                names=["key", "check", "start", "stop"],
             )
 
         for batch in batches:
@@ -275,49 +276,48 @@ def _sorted_spans(stretches: DataFrame, window: int) -> DataFrame:
         if held:
             yield out(held)
 
-    columns = ["doc_id", "key", "gram", "anchor", "first", "bytes"]
+    columns = ["key", "check", "gram", "anchor", "first", "bytes"]
     return stretches.select(*columns).repartition("gram").sortWithinPartitions("gram").mapInArrow(run, SPAN)
 
 
 def _counted_spans(stretches: DataFrame, window: int) -> DataFrame:
     """The same for grams with very many stretches: every window is a row, and equal ones are counted with partial sums."""
     rows = stretches.select(
-        "doc_id", "key", "gram", "anchor", F.posexplode(F.sequence(F.col("first"), F.col("last"))).alias("at", "start"), "bytes"
+        "key", "check", F.posexplode(F.sequence(F.col("first"), F.col("last"))).alias("at", "start"), "bytes"
     ).select(
-        "doc_id", "key", "start", F.sha2(F.expr(f"substring(bytes, at + 1, {window})"), 256).alias("content")
+        "key", "check", "start", F.sha2(F.expr(f"substring(bytes, at + 1, {window})"), 256).alias("content")
     )
     twice = rows.groupBy("content").agg(F.count("*").alias("n")).where("n > 1").select("content")
-    return rows.join(twice, "content").select("doc_id", "key", "start", (F.col("start") + window).alias("stop"))
+    return rows.join(twice, "content").select("key", "check", "start", (F.col("start") + window).alias("stop"))
 
 
-def repeated_spans(docs: DataFrame, window: int = 200, group: int = GROUP) -> DataFrame:
-    """(doc_id, key, bytes, spans) of each row of (doc_id, text): the text's UTF-8 bytes and the merged spans of bytes in windows that start elsewhere too."""
+def repeated_spans(docs: DataFrame, window: int = 200, group: int = GROUP, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns in `carry`, `bytes` and `spans` of each row of (doc_id, text): the text's UTF-8 bytes and spans, sorted, of bytes in windows that start elsewhere too."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    # Two hashes stand for a row; equal rows share them, and count twice where windows are counted.
     source = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.xxhash64("doc_id", "text").alias("key"),
-        F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("bytes"),
+        *carry, F.xxhash64("doc_id", text).alias("_key"), F.hash(text, F.col("doc_id")).alias("_check"), text.cast("binary").alias("bytes")
     )
-    rows = staged(_anchor_rows(source, window)).repartition("gram")
-    kinds = rows.groupBy("gram", "stretch").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "key", "anchor", "first")).alias("one"))
+    rows = staged(_anchor_rows(source.select(F.col("_key").alias("key"), F.col("_check").alias("check"), "bytes"), window)).repartition("gram")
+    kinds = rows.groupBy("gram", "stretch").agg(F.count("*").alias("copies"), F.min(F.struct("key", "check", "anchor", "first")).alias("one"))
     grams = kinds.groupBy("gram").agg(F.sum("copies").alias("rows"), F.count("*").alias("kinds")).where("rows > 1")
     known = staged(
         rows.join(grams, "gram").join(kinds, ["gram", "stretch"]).select(
-            "doc_id", "key", "gram", "anchor", "first", "last", "copies", "kinds",
-            F.struct("doc_id", "key", "anchor", "first").eqNullSafe(F.col("one")).alias("speaks"),
+            "key", "check", "gram", "anchor", "first", "last", "copies", "kinds",
+            (F.struct("key", "check", "anchor", "first") == F.col("one")).alias("speaks"),
         )
     )
-    whole = known.where("copies > 1").select("doc_id", "key", F.col("first").alias("start"), (F.col("last") + window).alias("stop"))
-    # Stretches that occur once, and one for each kind that occurs more often, meet by gram. Rows that are copies of each other in all columns may speak twice;
-    # they are kinds of more than one copy, so that changes nothing.
-    edges = known.where("kinds > 1 AND (copies = 1 OR speaks)").groupBy("doc_id", "key").agg(
+    whole = known.where("copies > 1").select("key", "check", F.col("first").alias("start"), (F.col("last") + window).alias("stop"))
+    # Stretches that occur once, and one for each kind that occurs more often, meet by gram.
+    edges = known.where("kinds > 1 AND (copies = 1 OR speaks)").groupBy(F.col("key").alias("_key"), F.col("check").alias("_check")).agg(
         F.collect_set(F.struct("gram", "anchor", "first", "last", "kinds")).alias("edges")
     )
-    texts = source.repartition("key")
+    texts = source.repartition("_key", "_check")
     stretches = staged(
-        texts.join(edges.withColumnRenamed("doc_id", "d"), (F.col("doc_id").eqNullSafe(F.col("d"))) & (texts["key"] == edges["key"]))
-        .select("doc_id", texts["key"], "bytes", F.explode("edges").alias("e"))
+        texts.join(edges, ["_key", "_check"])
+        .select(F.col("_key").alias("key"), F.col("_check").alias("check"), "bytes", F.explode("edges").alias("e"))
         .select(
-            "doc_id", "key", "e.gram", "e.anchor", "e.first", "e.last", "e.kinds",
+            "key", "check", "e.gram", "e.anchor", "e.first", "e.last", "e.kinds",
             F.expr(f"substring(bytes, e.first + 1, e.last - e.first + {window})").alias("bytes"),
         )
         .distinct()
@@ -325,24 +325,30 @@ def repeated_spans(docs: DataFrame, window: int = 200, group: int = GROUP) -> Da
     parts = _sorted_spans(stretches.where(F.col("kinds") <= group), window)
     if not stretches.where(F.col("kinds") > group).isEmpty():
         parts = parts.unionByName(_counted_spans(stretches.where(F.col("kinds") > group), window))
-    spans = whole.unionByName(parts).groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
-    return texts.join(spans.withColumnRenamed("doc_id", "d"), (F.col("doc_id").eqNullSafe(F.col("d"))) & (texts["key"] == spans["key"]), "left").select(
-        "doc_id", texts["key"], "bytes", F.sort_array(F.coalesce("spans", F.array().cast("array<struct<start:int,stop:int>>"))).alias("spans")
+    spans = whole.unionByName(parts).groupBy(F.col("key").alias("_key"), F.col("check").alias("_check")).agg(
+        F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans")
+    )
+    return texts.join(spans, ["_key", "_check"], "left").select(
+        *carry, "bytes", F.coalesce("spans", F.array().cast("array<struct<start:int,stop:int>>")).alias("spans")
     )
 
 
-def remove_repeats(docs: DataFrame, window: int = 200, group: int = GROUP) -> DataFrame:
-    """One row per row of (doc_id, text): doc_id, kept (bytes), spans (array of the maximal removed runs, start and stop), n_bytes.
+def remove_repeats(docs: DataFrame, window: int = 200, group: int = GROUP, carry: tuple[str, ...] = ("doc_id",), as_text: bool = False) -> DataFrame:
+    """One row per row of (doc_id, text): the columns in `carry`, then kept, spans (the maximal removed runs, start and stop in bytes), n_bytes.
 
     Every byte covered by a string of `window` bytes that also starts anywhere else, in the same or another row, is removed; overlaps count, and strings are
     judged on the input. Null texts are empty; texts shorter than `window` are kept whole; repeated rows lose what they share, which is all of it from `window`
-    bytes on; rows may share a doc_id or have none. Other columns are ignored. What is kept need not be valid UTF-8 where two characters shared first bytes.
+    bytes on; rows may share a doc_id or have none. Columns that are not carried are ignored. `kept` is bytes; with `as_text` it is a string, without the
+    rests of characters that were cut in two.
     """
+    given = T.StructType([*docs.select(*carry).schema.fields, T.StructField("kept", T.StringType() if as_text else T.BinaryType())])
+    given = T.StructType([*given.fields, *T.StructType.fromDDL("spans array<struct<start:int,stop:int>>, n_bytes long").fields])
+    names = [f.name for f in given.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept, merged = [], []
-            for raw, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            kept, merged, sizes = [], [], []
+            for raw, spans in zip(*(batch.columns[i].to_pylist() for i in (-2, -1)), strict=True):
                 runs: list[dict] = []
                 for span in spans:
                     if runs and span["start"] <= runs[-1]["stop"]:
@@ -350,16 +356,15 @@ def remove_repeats(docs: DataFrame, window: int = 200, group: int = GROUP) -> Da
                     else:
                         runs.append(dict(span))
                 edges = [0, *(x for r in runs for x in (r["start"], r["stop"])), len(raw)]
-                kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
+                rest = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+                kept.append(rest.decode("utf-8", "ignore") if as_text else rest)
                 merged.append(runs)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0), pa.array(kept, pa.binary()),
-                    pa.array(merged, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))),
-                    pa.array([len(x) for x in batch.column(1).to_pylist()], pa.int64()),
-                ],
-                names=["doc_id", "kept", "spans", "n_bytes"],
-            )
-
-    found = repeated_spans(docs, window, group).select("doc_id", "bytes", "spans")
-    return found.mapInArrow(run, "doc_id long, kept binary, spans array<struct<start:int,stop:int>>, n_bytes long")
+                sizes.append(len(raw))
+            added = [
+                pa.array(kept, pa.string() if as_text else pa.binary()),
+                pa.array(merged, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))),
+                pa.array(sizes, pa.int64()),
+            ]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *added], names=names)
+
+    return repeated_spans(docs, window, group, carry).mapInArrow(run, given)
