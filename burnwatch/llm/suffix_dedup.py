@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -298,32 +298,30 @@ def repeated_spans(docs: DataFrame, window: int = 200, group: int = GROUP, carry
     source = docs.select(
         *carry, F.xxhash64("doc_id", text).alias("_key"), F.hash(text, F.col("doc_id")).alias("_check"), text.cast("binary").alias("bytes")
     )
-    rows = staged(_anchor_rows(source.select(F.col("_key").alias("key"), F.col("_check").alias("check"), "bytes"), window)).repartition("gram")
-    kinds = rows.groupBy("gram", "stretch").agg(F.count("*").alias("copies"), F.min(F.struct("key", "check", "anchor", "first")).alias("one"))
-    grams = kinds.groupBy("gram").agg(F.sum("copies").alias("rows"), F.count("*").alias("kinds")).where("rows > 1")
-    known = staged(
-        rows.join(grams, "gram").join(kinds, ["gram", "stretch"]).select(
-            "key", "check", "gram", "anchor", "first", "last", "copies", "kinds",
-            (F.struct("key", "check", "anchor", "first") == F.col("one")).alias("speaks"),
-        )
-    )
+    # One shuffle by gram serves all counts: how often a gram and a stretch occur, how many kinds of stretches a gram has, and one row that speaks for each.
+    rows = _anchor_rows(source.select(F.col("_key").alias("key"), F.col("_check").alias("check"), "bytes"), window).repartition("gram")
+    kind, gram = Window.partitionBy("gram", "stretch"), Window.partitionBy("gram")
+    speaks = F.row_number().over(kind.orderBy("key", "check", "anchor")) == 1
+    counted = rows.withColumn("speaks", speaks).withColumn("copies", F.count("*").over(kind))
+    counted = counted.withColumn("rows", F.count("*").over(gram)).withColumn("kinds", F.count_if("speaks").over(gram))
+    known = staged(counted.where("rows > 1").select("key", "check", "gram", "anchor", "first", "last", "copies", "kinds", "speaks"))
     whole = known.where("copies > 1").select("key", "check", F.col("first").alias("start"), (F.col("last") + window).alias("stop"))
     # Stretches that occur once, and one for each kind that occurs more often, meet by gram.
     edges = known.where("kinds > 1 AND (copies = 1 OR speaks)").groupBy(F.col("key").alias("_key"), F.col("check").alias("_check")).agg(
         F.collect_set(F.struct("gram", "anchor", "first", "last", "kinds")).alias("edges")
     )
+    # The texts are shuffled once, for the stretches and for the result, which are one plan.
     texts = source.repartition("_key", "_check")
-    stretches = staged(
+    stretches = (
         texts.join(edges, ["_key", "_check"])
         .select(F.col("_key").alias("key"), F.col("_check").alias("check"), "bytes", F.explode("edges").alias("e"))
         .select(
             "key", "check", "e.gram", "e.anchor", "e.first", "e.last", "e.kinds",
             F.expr(f"substring(bytes, e.first + 1, e.last - e.first + {window})").alias("bytes"),
         )
-        .distinct()
     )
     parts = _sorted_spans(stretches.where(F.col("kinds") <= group), window)
-    if not stretches.where(F.col("kinds") > group).isEmpty():
+    if not known.where(F.col("kinds") > group).isEmpty():
         parts = parts.unionByName(_counted_spans(stretches.where(F.col("kinds") > group), window))
     spans = whole.unionByName(parts).groupBy(F.col("key").alias("_key"), F.col("check").alias("_check")).agg(
         F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans")
