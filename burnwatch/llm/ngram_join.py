@@ -3,7 +3,7 @@
 Sets are ordered by one global order, rare n-grams first. Two sets that are alike share an n-gram among the first few of both, so documents meet under
 those. In each such group one document is the hub: its set walks prefix trees of the others' sets, from the most frequent n-gram down, adding
 up overlaps once for all sets that begin alike and leaving a subtree when the n-grams that remain cannot reach the bound. The hub then leaves
-the group. Groups whose documents are all connected are done; the others go on, with four times as many hubs in each round. So the pairs of a large group
+the group. Groups whose documents are all connected are done; the others go on, with sixteen times as many hubs in each round. So the pairs of a large group
 of copies are never listed, while every pair that sizes and places allow, and that is not connected already, is tested.
 """
 
@@ -17,6 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from burnwatch.llm.components import components
 from burnwatch.llm.staging import drop_staged, staged
@@ -24,15 +25,15 @@ from burnwatch.llm.staging import drop_staged, staged
 #: Bytes of an n-gram's hash.
 WIDTH = 6
 #: Text hashed at a time.
-CHUNK = 1 << 21
+CHUNK = 1 << 18
 #: Frequent n-grams that the global order puts last; a bounded list, and any list gives the same links.
 FREQUENT = 65_536
 #: How often one task must meet an n-gram to report it as possibly frequent.
 REPORTED = 4
 #: Sets in one prefix tree at most.
 TREE = 256
-#: Ids that are broadcast to pick sets at most; beyond it they are joined by shuffle.
-BROADCAST_IDS = 1_000_000
+#: Pairs of ids that are broadcast at most; beyond it they are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
 
 _rng = np.random.default_rng(20_240_501)
 _BYTES = _rng.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -112,31 +113,16 @@ def unpacked(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n, digest, tokens) of each text."""
+def token_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
+    for i in range(len(column)):
+        yield shingles(word_hashes((column[i].as_py() or "").encode("utf-8", "replace").lower()), size)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            for start in range(0, batch.num_rows, 512):
-                n, digests, tokens = [], [], []
-                for text in texts.slice(start, 512).to_pylist():
-                    found = shingles(word_hashes((text or "").encode("utf-8", "replace").lower()), size)
-                    n.append(len(found))
-                    tokens.append(packed(found))
-                    digests.append(xxhash.xxh3_128_digest(tokens[-1]))
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(start, 512), pa.array(n, pa.int32()), pa.array(digests), pa.array(tokens)], names=["doc_id", "n", "digest", "tokens"]
-                )
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n int, digest binary, tokens binary")
 
-
-def frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def frequent(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     """The n-grams that most documents hold, sorted, with about how many; at most FREQUENT."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting, size = [], 0
+        waiting, many = [], 0
 
         def report():
             tokens, n = np.unique(np.concatenate(waiting), return_counts=True)
@@ -144,17 +130,17 @@ def frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             return pa.RecordBatch.from_arrays([pa.array(tokens[keep].astype(np.int64)), pa.array(n[keep])], names=["token", "n"])
 
         for batch in batches:
-            for raw in batch.column(0).to_pylist():
-                waiting.append(unpacked(raw))
-                size += len(waiting[-1])
-                if size >= 4_000_000:
+            for tokens in token_sets(batch.column(0), size):
+                waiting.append(tokens)
+                many += len(tokens)
+                if many >= 2_000_000:
                     yield report()
-                    waiting, size = [], 0
+                    waiting, many = [], 0
         if waiting:
             yield report()
 
     top = (
-        sets.select("tokens").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+        docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
         .orderBy(F.desc("n"), "token").limit(FREQUENT).toPandas().sort_values("token")
     )
     return top["token"].to_numpy(np.uint64), top["n"].to_numpy(np.int64)
@@ -171,10 +157,14 @@ class Order:
         if not len(self.tokens):
             return np.zeros(len(tokens), np.int64)
         at = np.minimum(np.searchsorted(self.tokens, tokens), len(self.tokens) - 1)
-        return np.where(self.tokens[at] == tokens, self.n[at], 0)
+        return np.where(self.tokens[at] == tokens, np.minimum(self.n[at], 2**15 - 1), 0)
+
+    def places(self, tokens: np.ndarray) -> np.ndarray:
+        """Numbers in the global order."""
+        return self.ranks(tokens).astype(np.uint64) << np.uint64(8 * WIDTH) | tokens
 
     def sorted(self, tokens: np.ndarray) -> np.ndarray:
-        return tokens[np.lexsort((tokens, self.ranks(tokens)))]
+        return tokens[np.argsort(self.places(tokens), kind="stable")]
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -247,13 +237,99 @@ def walk(tree: Node, probe: np.ndarray, sets: list[np.ndarray], percent: int) ->
         stack += [(child, depth, overlap) for child in node.children]
 
 
-def _tested(pairs: DataFrame, sets: DataFrame, order, percent: int) -> DataFrame:
-    """The pairs (hub, member) that are alike."""
-    nodes = pairs.select(F.explode(F.array("hub", "member")).alias("doc_id")).distinct()
-    few = nodes.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    wanted = staged(sets.select("doc_id", "tokens").join(F.broadcast(nodes) if few else nodes, "doc_id", "left_semi").distinct())
-    of_members = pairs.join(wanted.withColumnRenamed("doc_id", "member"), "member")
-    rows = of_members.join(wanted.select(F.col("doc_id").alias("hub"), F.col("tokens").alias("probe")), "hub")
+def _heads(docs: DataFrame, size: int, percent: int, order) -> DataFrame:
+    """(doc_id, n, digest, heads) of each text: the size of its set, a digest of it, and its first n-grams in the global order, one of which
+    every set that is alike shares."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank = order.value
+        for batch in batches:
+            n, digests, heads = [], [], []
+            for own in token_sets(batch.column(1), size):
+                n.append(len(own))
+                digests.append(xxhash.xxh3_128_digest(own.tobytes()))
+                take = len(own) - least_overlap(len(own), percent) + 1 if len(own) else 0
+                # Sorted by hash before, so a stable sort by rank gives the global order.
+                heads.append(packed(own[np.argsort(rank.ranks(own), kind="stable")[:take]]))
+            columns = [batch.column(0), pa.array(n, pa.int32()), pa.array(digests, pa.binary()), pa.array(heads, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "digest", "heads"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, digest binary, heads binary")
+
+
+def _met(sets: DataFrame) -> DataFrame:
+    """(token, doc_id, set, n, place) of each of a document's first n-grams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1024):
+                ids, n, digests, heads = (batch.column(i).slice(start, 1024) for i in range(4))
+                firsts = [unpacked(raw) for raw in heads.to_pylist()]
+                counts = [len(x) for x in firsts]
+                short = np.array([int.from_bytes(d[:8], "little", signed=True) for d in digests.to_pylist()])
+                numbers = {
+                    "token": np.concatenate(firsts).astype(np.int64),
+                    "doc_id": np.repeat(ids.to_numpy(), counts),
+                    "set": np.repeat(short, counts),
+                    "n": np.repeat(n.to_numpy(), counts),
+                    "place": np.concatenate([np.arange(c, dtype=np.int32) for c in counts]),
+                }
+                yield pa.RecordBatch.from_pydict({name: pa.array(x) for name, x in numbers.items()})
+
+    return sets.select("doc_id", "n", "digest", "heads").mapInArrow(run, "token long, doc_id long, set long, n int, place int")
+
+
+def _tokens(docs: DataFrame, size: int) -> DataFrame:
+    """The other columns and `tokens`, the whole set, of each text."""
+    rest = docs.drop("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                tokens = pa.array([packed(x) for x in token_sets(part.column(part.num_columns - 1), size)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], tokens], names=[*part.schema.names[:-1], "tokens"])
+
+    return docs.select(*rest.columns, "text").mapInArrow(run, StructType([*rest.schema.fields, StructField("tokens", BinaryType())]))
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """Marked for broadcast if its rows, a few numbers each, are no more than BROADCAST_ROWS."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def _possible(pairs: DataFrame, sets: DataFrame, order, percent: int) -> DataFrame:
+    """The pairs (hub, member) whose first n-grams allow that they are alike.
+
+    Up to the nearer end of both heads all n-grams of both sets are known; beyond it they share at most what the smaller rest holds.
+    """
+    heads = sets.select("doc_id", "n", "heads")
+    of_members = heads.join(_small(pairs.withColumnRenamed("member", "doc_id")), "doc_id").withColumnRenamed("doc_id", "member")
+    hubs = _small(pairs.select(F.col("hub").alias("doc_id")).distinct())
+    of_hubs = heads.join(hubs, "doc_id", "left_semi").select(F.col("doc_id").alias("hub"), F.col("n").alias("hub_n"), F.col("heads").alias("hub_heads"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank = order.value
+        for batch in batches:
+            keep = []
+            for n, raw, hub_n, hub_raw in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
+                x, y = rank.places(unpacked(raw)), rank.places(unpacked(hub_raw))
+                end = min(x[-1], y[-1])
+                known, hub_known = np.searchsorted(x, end, "right"), np.searchsorted(y, end, "right")
+                common = len(np.intersect1d(x[:known], y[:hub_known], assume_unique=True))
+                keep.append(alike(common + int(min(n - known, hub_n - hub_known)), n, hub_n, percent))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    rows = of_members.join(of_hubs, "hub").select("hub", "member", "n", "heads", "hub_n", "hub_heads")
+    return rows.mapInArrow(run, "hub long, member long")
+
+
+def _tested(pairs: DataFrame, docs: DataFrame, size: int, order, percent: int) -> DataFrame:
+    """The pairs (hub, member) that are alike. Only texts in pairs are read into sets, and a member's set moves to its hubs."""
+    of_members = _tokens(docs.join(_small(pairs.withColumnRenamed("member", "doc_id")), "doc_id"), size)
+    hubs = _small(pairs.select(F.col("hub").alias("doc_id")).distinct())
+    of_hubs = _tokens(docs.join(hubs, "doc_id", "left_semi"), size).select(F.col("doc_id").alias("hub"), F.col("tokens").alias("probe"))
+    rows = of_members.withColumnRenamed("doc_id", "member").join(of_hubs, "hub")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = order.value
@@ -292,51 +368,32 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     node, so copies cost nothing. Rows that share a doc_id are one node of links, each with its own count; rows without a doc_id have no component.
     Other columns are ignored. n-grams are compared by 48-bit hashes.
     """
-    spark = docs.sparkSession
-    sets = staged(_sets(docs, size))
-    order_rows = frequent(sets)
-    order = spark.sparkContext.broadcast(Order(*order_rows))
-
-    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = order.value
-        for batch in batches:
-            ids, digests, tokens = (batch.column(i).to_pylist() for i in range(3))
-            for start in range(0, len(ids), 1024):
-                firsts, sizes = [], []
-                for raw in tokens[start : start + 1024]:
-                    own = unpacked(raw)
-                    take = len(own) - least_overlap(len(own), percent) + 1
-                    # Sorted by hash before, so a stable sort by rank gives the global order.
-                    firsts.append(own[np.argsort(rank.ranks(own), kind="stable")[:take]])
-                    sizes.append(len(own))
-                counts = [len(x) for x in firsts]
-                short = np.array([int.from_bytes(d[:8], "little", signed=True) for d in digests[start : start + 1024]])
-                numbers = {
-                    "token": np.concatenate(firsts).astype(np.int64),
-                    "doc_id": np.repeat(np.array(ids[start : start + 1024], np.int64), counts),
-                    "set": np.repeat(short, counts),
-                    "n": np.repeat(np.array(sizes, np.int32), counts),
-                    "place": np.concatenate([np.arange(c, dtype=np.int32) for c in counts]),
-                }
-                yield pa.RecordBatch.from_pydict({name: pa.array(x) for name, x in numbers.items()})
-
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    order = docs.sparkSession.sparkContext.broadcast(Order(*frequent(docs, size)))
+    sets = staged(_heads(docs, size, percent, order))
     filled = sets.where("n > 0 AND doc_id IS NOT NULL")
-    met = filled.select("doc_id", "digest", "tokens").mapInArrow(heads, "token long, doc_id long, set long, n int, place int")
     # Copies of a set meet under the same n-grams; the smallest stands for them.
-    met = met.repartition("token").groupBy("token", "set").agg(*(F.min(c).alias(c) for c in ("doc_id", "n", "place")))
+    met = _met(filled).repartition("token").groupBy("token", "set").agg(*(F.min(c).alias(c) for c in ("doc_id", "n", "place")))
     sizes = met.groupBy("token").agg(F.count("*").alias("members")).where("members > 1")
-    groups = staged(met.join(sizes, "token").select("token", "doc_id", "n", "place"))
+    shared = met.join(sizes, "token").select("token", "doc_id", "n", "place")
+    # n-grams of a head that no other document has can be shared with none: a document's `alone` of them are missing from every overlap, and
+    # at most `before` are shared before this one.
+    own = Window.partitionBy("doc_id")
+    head = F.col("n") - F.ceil(percent * F.col("n") / 100) + 1
+    shared = shared.withColumn("before", F.row_number().over(own.orderBy("place")) - 1).withColumn("alone", head - F.count("*").over(own))
+    groups = staged(shared.where(100 * (F.col("n") - F.col("alone")) >= percent * F.col("n")))
 
     links = labels = None
     hubs_each = 1
     while not groups.isEmpty():
-        turn = F.row_number().over(Window.partitionBy("token").orderBy(F.xxhash64("doc_id"), "doc_id"))
-        ranked = staged(groups.withColumn("turn", turn))
+        # Documents that keep least to themselves come first: they link most of the others.
+        turn = F.row_number().over(Window.partitionBy("token").orderBy("alone", F.xxhash64("doc_id"), "doc_id"))
+        ranked = groups.withColumn("turn", turn)
         hubs = ranked.where(F.col("turn") <= hubs_each).select(
-            "token", F.col("doc_id").alias("hub"), F.col("n").alias("hub_n"), F.col("place").alias("hub_place"), F.col("turn").alias("hub_turn")
+            "token", F.col("doc_id").alias("hub"), F.col("n").alias("hub_n"), F.col("place").alias("hub_place"), F.col("before").alias("hub_before"), F.col("turn").alias("hub_turn")
         )
         # What two sets can share at most, when they share the n-gram at these places.
-        most = F.least("place", "hub_place") + 1 + F.least(F.col("n") - F.col("place"), F.col("hub_n") - F.col("hub_place")) - 1
+        most = F.least("before", "hub_before") + F.least(F.col("n") - F.col("place"), F.col("hub_n") - F.col("hub_place"))
         pairs = (
             ranked.join(hubs, "token")
             .where(F.col("turn") > F.col("hub_turn"))
@@ -350,20 +407,21 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
             pairs = pairs.join(label, "member", "left").join(other, "hub", "left").where("c1 IS NULL OR c2 IS NULL OR c1 <> c2").select("hub", "member")
         pairs = staged(pairs)
         if not pairs.isEmpty():
-            found = staged(_tested(pairs, sets, order, percent))
+            possible = staged(_possible(pairs, filled, order, percent))
+            found = staged(_tested(possible, docs, size, order, percent))
             links = found if labels is None else labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found)
             labels = staged(components(links))
-        rest = ranked.where(F.col("turn") > hubs_each).select("token", "doc_id", "n", "place")
+        rest = ranked.where(F.col("turn") > hubs_each).drop("turn")
         named = rest.withColumn("component", F.col("doc_id"))
         if labels is not None:
             named = rest.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
         named = named.withColumn("c", F.coalesce("component", "doc_id"))
         open_groups = named.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("token")
         after = staged(rest.join(open_groups, "token"))
-        for table in (groups, ranked, pairs):
+        for table in (groups, pairs):
             drop_staged(table)
         groups = after
-        hubs_each *= 4
+        hubs_each *= 16
 
     firsts = filled.groupBy("digest").agg(F.min("doc_id").alias("first"))
     named = firsts if labels is None else firsts.join(labels.withColumnRenamed("node", "first"), "first", "left")
