@@ -80,7 +80,7 @@ def plan(rows: DataFrame, target_entropy: float | None, repetition_limit: float
     whole = F.floor(passes)
     blocks = F.pow(F.lit(2.0), F.least(F.lit(math.log2(BLOCKS)), F.ceil(F.log2(F.greatest(F.lit(1.0), F.col("docs") / BLOCK))))).cast("long")
     return staged(
-        shares.select("source", passes.alias("passes"), whole.alias("whole"), F.floor((passes - whole) * F.col("tokens")).alias("left"), blocks.alias("blocks"))
+        shares.select("source", passes.alias("passes"), whole.alias("whole"), F.floor((passes - whole) * F.col("tokens") + F.lit(1e-6)).alias("left"), blocks.alias("blocks"))
     )
 
 
