@@ -23,6 +23,11 @@ def big(expression: str, name: str) -> str:
     return f"CAST({expression} AS BIGINT) AS {name}"
 
 
+def volume(expression: str, name: str) -> str:
+    """A sum that the row product multiplies; DuckDB adds integers in 128 bits."""
+    return f"CAST({expression} AS DOUBLE) AS {name}"
+
+
 def health(consumed: str) -> str:
     return f"CASE WHEN {consumed} >= 100 THEN 'UNHEALTHY' WHEN {consumed} >= 80 THEN 'AT_RISK' ELSE 'HEALTHY' END"
 
@@ -32,10 +37,14 @@ def severity(consumed: str) -> str:
 
 
 def worst(column: str) -> str:
-    rank = f"max(CASE {column} WHEN 'UNHEALTHY' THEN 2 WHEN 'AT_RISK' THEN 1 ELSE 0 END)"
-    return f"CASE {rank} WHEN 2 THEN 'UNHEALTHY' WHEN 1 THEN 'AT_RISK' ELSE 'HEALTHY' END"
+    """One unhealthy row is enough, else one at risk; anything else counts as healthy."""
+    return (
+        f"if(coalesce(bool_or({column} = 'UNHEALTHY'), false), 'UNHEALTHY',"
+        f" if(coalesce(bool_or({column} = 'AT_RISK'), false), 'AT_RISK', 'HEALTHY'))"
+    )
 
 
+# Literals such as 2e1 are DOUBLE in both engines; plain decimals would be DECIMAL.
 _SQL_TYPES = {"string": "VARCHAR", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP"}
 
 _DERIVED = {
@@ -142,7 +151,7 @@ _SLI_SELECT = f"""
 SELECT service_name, last_update, {r("avg_success_rate", "avg_success_rate")}, {r("avg_error_rate", "avg_error_rate")},
        {lat("avg_response_time", "avg_response_time")}, {lat("p50", "avg_response_time_p50")},
        {lat("p95", "avg_response_time_p95")}, {lat("p99", "avg_response_time_p99")},
-       {big("total_requests", "total_requests")}, {big("total_errors", "total_errors")},
+       {volume("total_requests", "total_requests")}, {volume("total_errors", "total_errors")},
        {r("error_slo_target", "error_slo_target")}, {lat("response_slo_target", "response_slo_target")},
        {_ERROR_MET} AS error_slo_met, {_RESPONSE_MET} AS response_slo_met,
        {_ERROR_MET} AND {_RESPONSE_MET} AS overall_slo_met
@@ -374,6 +383,13 @@ WITH item AS (
 )
 """
 
+# Pages take turns in nine forms; every ninth is left out.
+_PAGES = f"""
+WITH page AS (
+  SELECT event_id // {PAGE_SIZE} AS page_id, count(*) AS items, count(*) FILTER (event_id % 31 <> 0) AS records FROM events GROUP BY 1
+)
+"""
+
 
 def oracle() -> dict[str, str]:
     composite = _composite()
@@ -388,13 +404,13 @@ SELECT service_name,
                       CASE WHEN NOT {_RESPONSE_MET} THEN 'RESPONSE_TIME' END) AS violation_codes,
        {big(f"CASE WHEN {_ERROR_MET} THEN 0 ELSE 1 END + CASE WHEN {_RESPONSE_MET} THEN 0 ELSE 1 END", "n_violations")},
        {r("avg_error_rate", "error_rate")}, {lat("avg_response_time", "response_time")},
-       {big("total_requests", "total_requests")}
+       {volume("total_requests", "total_requests")}
 FROM sli WHERE NOT ({_ERROR_MET} AND {_RESPONSE_MET})""",
         "service_summary": f"""{PRELUDE}, sli AS ({_SLI}){_window_sums("w", 168)}
 SELECT sli.service_name, {r("avg_success_rate", "sli_success_rate")}, {r("avg_error_rate", "sli_error_rate")},
        {lat("avg_response_time", "sli_response_time_avg")}, {lat("p50", "sli_response_time_p50")},
        {lat("p95", "sli_response_time_p95")}, {lat("p99", "sli_response_time_p99")},
-       {big("total_requests", "sli_total_requests")}, {r("error_slo_target", "slo_targets_error_rate_target")},
+       {volume("total_requests", "sli_total_requests")}, {r("error_slo_target", "slo_targets_error_rate_target")},
        {lat("response_slo_target", "slo_targets_response_time_target")},
        {_ERROR_MET} AS slo_compliance_error_slo_met, {_RESPONSE_MET} AS slo_compliance_response_slo_met,
        {_ERROR_MET} AND {_RESPONSE_MET} AS slo_compliance_overall_slo_met,
@@ -436,8 +452,8 @@ FROM eb GROUP BY service_name ORDER BY sum(total_count) DESC, service_name LIMIT
          count(*) FILTER (response_health <> 'HEALTHY') AS ru, sum(requests) AS requests, sum(errors) AS errors FROM s)
 SELECT n AS total_services, h AS eb_healthy_services, a AS eb_at_risk_services, u AS eb_unhealthy_services,
        rh AS response_healthy_services, ru AS response_unhealthy_services, h AS healthy_services,
-       a AS degraded_services, u AS violated_services, u AS unhealthy_services, {big("requests", "total_requests")},
-       {big("errors", "total_errors")}, {r("1e2 * errors / requests", "overall_error_rate")},
+       a AS degraded_services, u AS violated_services, u AS unhealthy_services, {volume("requests", "total_requests")},
+       {volume("errors", "total_errors")}, {r("1e2 * errors / requests", "overall_error_rate")},
        {r("1e2 * h / n", "health_percentage")}
 FROM t""",
         "slowest_services": f"""{PRELUDE}, s AS (
@@ -530,6 +546,20 @@ SELECT 'svc_' || k AS service_name, window_start, window_start + INTERVAL 6 HOUR
        {r("actual / target", "burn_rate")},
        CASE WHEN actual / target < 1 THEN 'healthy' WHEN actual / target < 2 THEN 'warning'
             WHEN actual / target < 10 THEN 'critical' ELSE 'emergency' END AS severity
+FROM b""",
+        "window_burn_rate_uneven": f"""
+WITH placed AS (
+  SELECT user_id % 10 AS k, date_trunc('hour', ts) - to_hours(CAST(i AS INTEGER)) AS window_start, ts, event_type
+  FROM events, range(2) offsets(i)
+), w AS (
+  SELECT k, CAST(window_start AS TIMESTAMP) AS window_start, count(*) AS n, count(*) FILTER (event_type = 'error') AS err
+  FROM placed WHERE ts < window_start + INTERVAL 90 MINUTE GROUP BY 1, 2
+), b AS (SELECT *, 1e2 * err / n AS actual, 2e1 + 6 * (k % 5) AS target FROM w)
+SELECT 'svc_' || k AS service_name, window_start, window_start + INTERVAL 90 MINUTE AS window_end, n AS total_requests,
+       err AS total_errors, {r("actual", "actual_error_rate")}, {r("target", "error_slo_target")},
+       {r("actual / target", "burn_rate")},
+       CASE WHEN actual / target < 1 THEN 'healthy' WHEN actual / target < 2 THEN 'warning'
+            WHEN actual / target < 10 THEN 'critical' ELSE 'emergency' END AS severity
 FROM b""",
         "ingested_records": f"""{_INGEST}
 SELECT id, CAST(sid AS INTEGER) AS sid, service_name, TIMESTAMP '2024-02-01 00:00:00' AS record_time,
@@ -538,6 +568,14 @@ SELECT id, CAST(sid AS INTEGER) AS sid, service_name, TIMESTAMP '2024-02-01 00:0
        burn_rate, eb_breached, CAST(project_id AS INTEGER) AS project_id, data_category
 FROM loaded""",
         "ingest_rejects": f"{_INGEST} SELECT page_id, pos, bad_keys FROM faulty WHERE bad_keys <> ''",
+        "page_problems": f"""{_PAGES}
+SELECT page_id, CASE page_id % 9 WHEN 4 THEN 'unreadable' WHEN 7 THEN 'missing' ELSE 'short' END AS reason
+FROM page WHERE (page_id % 9 = 4 OR page_id % 9 IN (2, 3, 7) AND page_id < (SELECT max(page_id) FROM page WHERE page_id % 9 <> 7))""",
+        "page_counts": f"""{_PAGES}
+SELECT page_id,
+       CAST(CASE page_id % 9 WHEN 2 THEN 1 WHEN 3 THEN 2 WHEN 4 THEN 0 WHEN 5 THEN 0 WHEN 6 THEN 0 ELSE records END AS BIGINT) AS records,
+       CAST(CASE page_id % 9 WHEN 2 THEN 1 WHEN 3 THEN 2 WHEN 4 THEN NULL WHEN 5 THEN 0 WHEN 6 THEN 1 ELSE items END AS BIGINT) AS items
+FROM page WHERE page_id % 9 <> 7""",
         "ingest_statistics": f"""{_INGEST}
 SELECT count(*) FILTER (data_category = 'EB') AS eb_records, count(*) FILTER (data_category = 'RESPONSE') AS response_records,
        count(*) FILTER (data_category = 'EB' AND eb_health = 'UNHEALTHY') AS unhealthy_records,

@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from burnwatch.contract.fixture import EVENT_RULES
 from burnwatch.operators import budget, degradation, health, rankings, sli, trends
 from burnwatch.plans.tables import (
     SloTables,
@@ -46,7 +47,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tables(spark: SparkSession, sf_dir: str, *, quantiles: bool = False) -> SloTables:
-    return daily_tables(events(spark, sf_dir), quantiles=quantiles)
+    return daily_tables(events(spark, sf_dir), EVENT_RULES, quantiles=quantiles)
 
 
 def digits(name: str) -> int:
@@ -177,7 +178,12 @@ def composite_health_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def window_burn_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(sliding_burn_rate(events(spark, sf_dir), window="6 hours", slide="1 hour"))
+    return rounded(sliding_burn_rate(events(spark, sf_dir), EVENT_RULES, window="6 hours", slide="1 hour"))
+
+
+def window_burn_rate_uneven(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A window that is no multiple of its slide."""
+    return rounded(sliding_burn_rate(events(spark, sf_dir), EVENT_RULES, window="90 minutes", slide="1 hour"))
 
 
 # --- ingest: every event becomes one JSON item of a page of 200 ---
@@ -281,6 +287,33 @@ def ingest_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.load_statistics(clean(records.good_records(_typed(spark, sf_dir)), ["page_id", "pos"]))
 
 
+def pages_of_all_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as lists, objects, single items, short, broken, empty and missing ones."""
+    page, body = F.col("page_id"), F.col("body")
+    return event_pages(spark, sf_dir).filter(page % 9 != 7).select(
+        page,
+        F.when(page % 9 == 1, F.expr("substr(body, 12, length(body) - 12)"))
+        .when(page % 9 == 2, F.concat(F.lit('{"key":"one_'), page.cast("string"), F.lit('","dataCategory":"EB"}')))
+        .when(page % 9 == 3, F.lit('{"summary":[{"key":"s1"},{"key":"s2"}]}'))
+        .when(page % 9 == 4, F.lit("{broken"))
+        .when(page % 9 == 5, F.lit('{"summary":[]}'))
+        .when(page % 9 == 6, F.lit('[{"noDataFound":true}]'))
+        .otherwise(body)
+        .alias("body"),
+    )
+
+
+def page_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    landed = pages_of_all_forms(spark, sf_dir)
+    return page_source.page_problems(landed, page_source.page_items(landed)).select("page_id", "reason")
+
+
+def page_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is loaded of each landed page."""
+    typed = records.records_from_pages(pages_of_all_forms(spark, sf_dir), ingest_time="2024-02-01 00:00:00")
+    return typed.groupBy("page_id").agg(F.count_if("is_record").alias("records"), F.max("page_items").cast("bigint").alias("items"))
+
+
 QUERIES: dict[str, Query] = {
     "current_sli": _over_tables(sli.current_sli, quantiles=True),
     "current_sli_one_service": _over_tables(sli.current_sli, quantiles=True, service_name=SERVICE),
@@ -318,7 +351,10 @@ QUERIES: dict[str, Query] = {
     "time_range": _over_tables(time_range),
     "daily_rollup": daily_rollup,
     "window_burn_rate": window_burn_rate,
+    "window_burn_rate_uneven": window_burn_rate_uneven,
     "ingested_records": ingested_records,
     "ingest_rejects": ingest_rejects,
+    "page_problems": page_problems,
+    "page_counts": page_counts,
     "ingest_statistics": ingest_statistics,
 }

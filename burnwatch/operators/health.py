@@ -36,8 +36,8 @@ def service_health_overview(tables: SloTables, *, dedupe_volume: bool = False) -
             "eb_unhealthy_services": f"count_if(eb_health NOT IN ('{HEALTHY}', '{AT_RISK}'))",
             "response_healthy_services": f"count_if(response_health = '{HEALTHY}')",
             "response_unhealthy_services": f"count_if(response_health <> '{HEALTHY}')",
-            "total_requests": or_zero_count(f"sum({requests})"),
-            "total_errors": or_zero_count(f"sum({errors})"),
+            "total_requests": or_zero(f"sum({requests})"),
+            "total_errors": or_zero(f"sum({errors})"),
         },
     )
     return totals.selectExpr(

@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from burnwatch.functions import aggregate
 from burnwatch.functions.scoring import exceeds, fixed, or_zero, or_zero_count, risk_level, sentence, words
-from burnwatch.plans.quantiles import gathered_quantiles, join_on_keys, spread_quantiles
-from burnwatch.plans.scale import fits_one_task
+from burnwatch.plans.quantiles import join_on_keys, spread_quantiles
 from burnwatch.plans.tables import SloTables, for_service
-from burnwatch.plans.trend import gathered_trends, spread_trends
+from burnwatch.plans.trend import spread_trends
 
 MIN_ROWS = 3
 _FRACTIONS = (0.5, 0.95, 0.99)
@@ -75,17 +74,12 @@ _RULES: tuple[tuple[str, int, str, str], ...] = (
 )
 
 
-def service_risk(tables: SloTables, *, spread: bool | None = None) -> DataFrame:
-    """Risk score, level and reasons for every service with at least three records and one reason.
-
-    ``spread`` forces the plan for the row index behind the slopes; by default the input size decides.
-    """
+def service_risk(tables: SloTables) -> DataFrame:
+    """Risk score, level and reasons for every service with at least three records and one reason."""
     latest = ["error_rate", "response_time_avg", "target_error_slo_perc", "target_response_slo_sec", "total_count"]
     history = tables.eb.select("service_name", "record_time", "id", *latest)
-    if spread is None:
-        spread = not fits_one_task(history)
     frame = (
-        (spread_trends if spread else gathered_trends)(
+        spread_trends(
             history,
             "service_name",
             ["record_time", "id"],
@@ -120,18 +114,16 @@ def service_risk(tables: SloTables, *, spread: bool | None = None) -> DataFrame:
     )
 
 
-def predict_issues_today(tables: SloTables, *, spread: bool | None = None) -> DataFrame:
+def predict_issues_today(tables: SloTables) -> DataFrame:
     """Services at high or critical risk, highest score first."""
     return (
-        service_risk(tables, spread=spread)
+        service_risk(tables)
         .filter(F.col("risk_level").isin("high", "critical"))
         .orderBy(F.col("risk_score").desc(), F.col("service_name").asc_nulls_last())
     )
 
 
-def historical_patterns(
-    tables: SloTables, service_name: str | None = None, *, spread: bool | None = None
-) -> DataFrame:
+def historical_patterns(tables: SloTables, service_name: str | None = None) -> DataFrame:
     """Statistics of error rate, latency and traffic per service over its whole history, and a map by hour of day."""
     history = for_service(tables.eb, service_name).select(
         "service_name",
@@ -143,8 +135,6 @@ def historical_patterns(
         "total_count",
     )
     key = ["service_name"]
-    if spread is None:
-        spread = not fits_one_task(history)
     values = {"_error_q": "error_rate", "_response_q": "response_time_avg"}
     stats = {
         "data_points": "count(1)",
@@ -155,13 +145,13 @@ def historical_patterns(
             {or_zero('avg(total_count)')} AS avg_requests_per_period,
             {or_zero_count('max(total_count)')} AS peak_requests, {or_zero_count('min(total_count)')} AS min_requests)""",
     }
-    if spread:
-        frame = aggregate(history, key, stats)
-        for out, column in values.items():
-            frame = join_on_keys(frame, spread_quantiles(history, key, column, _FRACTIONS, out), key)
-    else:
-        quantiles = {out: gathered_quantiles(column, _FRACTIONS) for out, column in values.items()}
-        frame = aggregate(history, key, stats | quantiles)
+    frame = aggregate(history, key, stats)
+    # Both columns take one pass: the name of the column is one more key.
+    pairs = history.select("service_name", F.explode(F.create_map(*[x for c in values.values() for x in (F.lit(c), F.col(c))])).alias("_column", "_v"))
+    found = spread_quantiles(pairs, [*key, "_column"], "_v", _FRACTIONS, "_q")
+    for out, column in values.items():
+        of_column = found.filter(F.col("_column") == column).select(*key, F.col("_q").alias(out))
+        frame = join_on_keys(frame, of_column, key)
     # At most 24 rows per service reach the second aggregation.
     by_hour = aggregate(
         history.filter("record_time IS NOT NULL").selectExpr("*", "hour(record_time) AS hour"),

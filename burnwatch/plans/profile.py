@@ -63,5 +63,9 @@ def service_profile(
 
 
 def joined_sum(total: str, *, dedupe_volume: bool = False) -> str:
-    """An error-budget SUM as the row product of both sides gives it; ``dedupe_volume`` keeps the plain sum."""
-    return total if dedupe_volume else f"{total} * greatest({RESPONSE_ROWS}, 1)"
+    """An error-budget SUM as the row product of both sides gives it; ``dedupe_volume`` keeps the plain sum.
+
+    The product of a sum and a row count can pass 64 bits, so it is taken in 38 digits and handed out as a DOUBLE.
+    """
+    rows = "1" if dedupe_volume else f"greatest({RESPONSE_ROWS}, 1)"
+    return f"CAST(CAST({total} AS DECIMAL(38, 0)) * {rows} AS DOUBLE)"

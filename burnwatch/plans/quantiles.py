@@ -111,11 +111,6 @@ def spread_quantiles(
     return found.select(*keys, F.array(*[interpolated(p) for p in fractions]).alias(output))
 
 
-def gathered_quantiles(value: str, fractions: Sequence[float]) -> str:
-    """Aggregate for inputs known to be small: the built-in exact percentile, one array for all fractions."""
-    return f"percentile({value}, array({', '.join(f'{float(p)}D' for p in fractions)}))"
-
-
 def join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Left join of two frames with at most one row per key on the right; NULL keys match each other."""
     extra = [c for c in right.columns if c not in keys]

@@ -1,9 +1,4 @@
-"""Size check for plans that may put one group into one task.
-
-Some exact results (a percentile, a row index) have a short plan that gathers each group in one task and a longer one that
-spreads a group over many tasks.  The short plan is used only when the *whole* input is known to be small, so that
-no group can outgrow a task whatever its share of the rows.
-"""
+"""How finely to cut a frame into ranges."""
 
 from __future__ import annotations
 
@@ -11,9 +6,7 @@ import math
 
 from pyspark.sql import DataFrame
 
-ONE_TASK_BYTES = 64 * 1024 * 1024
 RANGE_BYTES = 512 * 1024 * 1024
-MAX_RANGES = 20_000
 # The optimizer stands in a huge number for a size it does not know.
 UNKNOWN_BYTES = 2**60
 
@@ -27,18 +20,13 @@ def plan_bytes(df: DataFrame) -> int | None:
     return size if size < UNKNOWN_BYTES else None
 
 
-def fits_one_task(df: DataFrame, limit: int = ONE_TASK_BYTES) -> bool:
-    size = plan_bytes(df)
-    return size is not None and size <= limit
-
-
 def range_cuts(df: DataFrame) -> list[int]:
     """How many ranges to cut a frame into, as the leading argument of ``repartitionByRange``.
 
-    At least the session's shuffle partitions, and more when that would make ranges too big for a task to sort in memory.
+    The plan is the same for every size. At least the session's shuffle partitions, and more when that would make ranges too big for a task to sort in memory.
     """
     size = plan_bytes(df)
     if size is None:
         return []
     configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return [max(configured, min(math.ceil(size / RANGE_BYTES), MAX_RANGES))]
+    return [max(configured, math.ceil(size / RANGE_BYTES))]

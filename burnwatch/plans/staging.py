@@ -1,27 +1,15 @@
-"""Intermediate tables in the folder the cluster shares for checkpoints."""
+"""Intermediate tables under a path that the cluster shares."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
 
-SHARED_DIR = "spark.checkpoint.dir"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a folder of this machine only where none is set, as in local tests."""
-    configured = spark.conf.get(SHARED_DIR, None)
-    return configured or tempfile.mkdtemp(prefix="burnwatch-")
-
-
-def staged(df: DataFrame, path: str | None = None) -> DataFrame:
+def staged(df: DataFrame, path: str) -> DataFrame:
     """Write the frame as Parquet and read it back.
 
     What follows then reads only the columns it needs, any number of times, and a lost executor costs a re-read
     instead of a recomputation.
     """
-    path = path or f"{shared_dir(df.sparkSession)}/staged-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

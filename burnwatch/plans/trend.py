@@ -1,9 +1,9 @@
 """Trend of a value against the row's position in its group: least-squares slope, spread, and the last row.
 
-``gathered_trends`` numbers the rows with a window over the whole group.  ``spread_trends`` cuts the ordered rows into
+``spread_trends`` cuts the ordered rows into
 range partitions, numbers them within each (group, partition) piece, reduces a piece to its last row and a few moments,
 and merges the pieces of a group with each piece's offset, so a group of any size is numbered and summed by many tasks.
-Both read their input once and return the key, ``rows``, ``latest`` (a struct of the wanted columns) and, per value,
+It reads its input once and returns the key, ``rows``, ``latest`` (a struct of the wanted columns) and, per value,
 ``<name>_slope`` (0 where none is defined) and ``<name>_std`` (sample deviation).
 """
 
@@ -22,17 +22,6 @@ def _ascending(order: Sequence[str]) -> list[Column]:
     return [F.col(c).asc_nulls_last() for c in order]
 
 
-def gathered_trends(
-    df: DataFrame, key: str, order: Sequence[str], values: dict[str, str], latest: Sequence[str]
-) -> DataFrame:
-    position = F.row_number().over(Window.partitionBy(key).orderBy(*_ascending(order)))
-    columns = {"rows": "count(1)", "latest": f"max_by(struct({', '.join(latest)}), _x)"}
-    for name, value in values.items():
-        columns[f"{name}_slope"] = f"coalesce(regr_slope({value}, _x), 0D)"
-        columns[f"{name}_std"] = f"stddev_samp({value})"
-    return aggregate(df.withColumn("_x", position.cast("double")), [key], columns)
-
-
 def spread_trends(
     df: DataFrame, key: str, order: Sequence[str], values: dict[str, str], latest: Sequence[str]
 ) -> DataFrame:

@@ -1,8 +1,11 @@
 """Landed JSON pages -> items.
 
 A refresh is a sequence of pages numbered from 0.  A page body is ``{"summary": [...]}``, a bare list, or a single object;
-anything else holds no items.  The sequence ends before an empty page, a lone no-data item, an unreadable page or a missing
-page, and after a page shorter than the page size.
+anything else holds no items.  Every landed page is loaded; ``page_problems`` names the pages that hold nothing readable, numbers
+that are missing, and short pages before the last.
+
+A server that pages until it runs dry ends its sequence before an empty page, a lone no-data item, an unreadable or a missing page, and after
+a page shorter than the page size.  ``kept_pages`` applies that rule where it is asked for.
 """
 
 from __future__ import annotations
@@ -14,10 +17,16 @@ PAGE_SIZE = 200
 
 
 def read_page_files(spark: SparkSession, path: str) -> DataFrame:
-    """``(page_id, body)`` from one file per page; the page number is the last run of digits in the file name."""
-    files = spark.read.text(path, wholetext=True)
+    """``(page_id, path, body)`` from one file per page."""
+    return with_page_number(spark.read.text(path, wholetext=True))
+
+
+def with_page_number(files: DataFrame) -> DataFrame:
+    """The page number is the last run of digits in the file name; NULL for a stray file without any."""
     number = F.regexp_extract(F.col("_metadata.file_name"), r"(\d+)\D*$", 1)
-    return files.select(number.cast("bigint").alias("page_id"), F.col("value").alias("body"))
+    return files.select(
+        number.try_cast("bigint").alias("page_id"), F.col("_metadata.file_path").alias("path"), F.col("value").alias("body")
+    )
 
 
 def is_true(value: Column) -> Column:
@@ -31,11 +40,12 @@ def page_items(pages: DataFrame) -> DataFrame:
     """One row per item, ``(page_id, page_items, page_ends, pos, item)``.
 
     A page without items keeps one row with a NULL item, so that its effect on the sequence is not lost.
-    ``page_items`` is the length of the page and ``page_ends`` marks a page that must not be used.
+    ``page_items`` is the length of the page, NULL if it could not be read, and ``page_ends`` marks a page that ends a server's sequence.
+    Pages without a number are no part of it; ``page_problems`` reports them.
     """
     # Casting tells an object or a list from anything else without building the schema of a whole page.
     listed = (
-        pages.selectExpr("page_id", "try_parse_json(body) AS _root")
+        pages.filter("page_id IS NOT NULL").selectExpr("page_id", "try_parse_json(body) AS _root")
         .selectExpr(
             "page_id",
             "_root",
@@ -48,12 +58,12 @@ def page_items(pages: DataFrame) -> DataFrame:
                CASE WHEN _object IS NOT NULL THEN array(_root) END) AS _items""",
         )
     )
-    count = F.when(F.col("_items").isNull(), 0).otherwise(F.size("_items"))
+    count = F.when(F.col("_items").isNotNull(), F.size("_items"))
     lone_no_data = (count == 1) & no_data_found(F.get("_items", 0))
     return listed.select(
         "page_id",
         count.alias("page_items"),
-        ((count == 0) | F.coalesce(lone_no_data, F.lit(False))).alias("page_ends"),
+        ((F.coalesce(count, F.lit(0)) == 0) | F.coalesce(lone_no_data, F.lit(False))).alias("page_ends"),
         F.posexplode_outer("_items").alias("pos", "item"),
     )
 
@@ -62,6 +72,29 @@ def no_data_found(item: Column) -> Column:
     return is_true(F.try_variant_get(item, "$.noDataFound", "variant"))
 
 
+def page_problems(pages: DataFrame, items: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:
+    """``(page_id, path, reason)`` of what a load should not pass over in silence.
+
+    ``unnumbered``: a file without a number, not loaded; ``unreadable``: broken, no envelope, or larger than JSON can be parsed in one piece, not
+    loaded; ``missing``: the first number of a gap (from 0 on); ``short``: fewer items than the page size before the last page, loaded.
+    """
+    path = F.col("path") if "path" in pages.columns else F.lit(None).cast("string").alias("path")
+    stray = pages.filter("page_id IS NULL").select("page_id", path, F.lit("unnumbered").alias("reason"))
+    facts = items.groupBy("page_id").agg(F.max("page_items").alias("n"), F.bool_or("page_ends").alias("ends"))
+    last = facts.agg(F.max("page_id")).scalar()
+    following = facts.select((F.col("page_id") + 1).alias("page_id")).unionByName(
+        facts.agg(F.count("*").alias("n")).filter("n > 0").select(F.lit(0).cast("bigint").alias("page_id"))
+    )
+    missing = following.distinct().join(facts, "page_id", "left_anti").filter(F.col("page_id") < last)
+    reason = F.when(F.col("n").isNull(), "unreadable").when(
+        (F.col("n") < page_size) & ~F.col("ends") & (F.col("page_id") < last), "short"
+    )
+    none = F.lit(None).cast("string").alias("path")
+    return stray.unionByName(missing.select("page_id", none, F.lit("missing").alias("reason"))).unionByName(
+        facts.select("page_id", none, reason.alias("reason")).filter("reason IS NOT NULL")
+    )
+
+
 def kept_pages(items: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:
     """The rows of ``page_items`` (or of anything derived from it) that belong to pages inside the sequence.
 
@@ -74,7 +107,7 @@ def kept_pages(items: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:
     )
     missing = following.join(ids, "page_id", "left_anti").agg(F.min("page_id")).scalar()
     first_excluded = items.agg(
-        F.min(F.when(F.col("page_ends"), page).when(F.col("page_items") < page_size, page + 1))
+        F.min(F.when(F.col("page_ends"), page).when(F.coalesce("page_items", F.lit(0)) < page_size, page + 1))
     ).scalar()
     return items.filter((page < missing) & (page < F.coalesce(first_excluded, page + 1)))
 
@@ -84,7 +117,7 @@ def page_offsets(items: DataFrame, block: int = 10_000) -> DataFrame:
 
     The running sum is taken within blocks of pages and then over the block totals.
     """
-    pages = items.groupBy("page_id").agg(F.max("page_items").alias("_n"))
+    pages = items.groupBy("page_id").agg(F.coalesce(F.max("page_items"), F.lit(0)).alias("_n"))
     blocked = pages.withColumn("_block", F.floor(F.col("page_id") / block))
     totals = blocked.groupBy("_block").agg(F.sum("_n").alias("_total"))
     before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)

@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from burnwatch.plans.staging import staged
 from burnwatch.plans.tables import TimeLike, as_time
 from burnwatch.schema import COLUMNS, EB, FIELDS, RESPONSE, UNHEALTHY, Field
 from burnwatch.sources.pages import PAGE_SIZE, kept_pages, no_data_found, page_items, page_offsets
@@ -132,13 +131,23 @@ def _faults() -> dict[str, str]:
     return faults
 
 
-def typed_items(items: DataFrame, ingest_time: TimeLike = None) -> DataFrame:
+def event_time(key: str) -> str:
+    """The time that an item carries: a number is epoch milliseconds, text is parsed, anything else is NULL."""
+    value = f"try_variant_get(item, '$.{key}', 'variant')"
+    return f"""CASE WHEN schema_of_variant({value}) = 'STRING' THEN try_cast(try_variant_get(item, '$.{key}', 'string') AS TIMESTAMP_NTZ)
+        ELSE timestampadd(MILLISECOND, try_variant_get(item, '$.{key}', 'bigint'), TIMESTAMP_NTZ '1970-01-01 00:00:00') END"""
+
+
+def typed_items(items: DataFrame, ingest_time: TimeLike = None, event_time_key: str | None = None) -> DataFrame:
     """``page_items`` rows with the 83 columns, ``bad_keys``, and the JSON text of items that have any.
 
     A no-data item becomes a placeholder with ``is_record`` false, like the row of an empty page: it carries its page
-    through the cut of the sequence and is no record.
+    through the cut of the sequence and is no record.  Records carry the time of the load, or with ``event_time_key`` the time
+    under that key of the item.
     """
     stamp = F.localtimestamp() if ingest_time is None else as_time(ingest_time)
+    if event_time_key is not None:
+        stamp = F.expr(event_time(event_time_key))
     usable = items.withColumn("item", F.when(~no_data_found(F.col("item")), F.col("item")))
     bad = ", ".join(f"CASE WHEN {fault} THEN '{key}' END" for key, fault in _faults().items())
     page = ["page_id", "page_items", "page_ends", "pos"]
@@ -174,14 +183,21 @@ def rejected_records(typed: DataFrame) -> DataFrame:
 
 
 def records_from_pages(
-    pages: DataFrame, *, page_size: int = PAGE_SIZE, ingest_time: TimeLike = None, staging: str | None = None
+    pages: DataFrame,
+    *,
+    page_size: int = PAGE_SIZE,
+    ingest_time: TimeLike = None,
+    event_time_key: str | None = None,
+    stop_at_short_page: bool = False,
 ) -> DataFrame:
-    """``(page_id, body)`` to typed items inside the sequence.
+    """``(page_id, body)`` to typed items of every page; nothing runs before the result is used.
 
-    The pages are parsed once, into a staging table, because the end of the sequence and the positions of its pages are
-    only known after all of them have been looked at.
+    ``stop_at_short_page`` keeps only pages inside a server's sequence (see ``kept_pages``).
     """
-    return kept_pages(staged(typed_items(page_items(pages), ingest_time), staging), page_size)
+    items = page_items(pages)
+    if stop_at_short_page:
+        items = kept_pages(items, page_size)
+    return typed_items(items, ingest_time, event_time_key)
 
 
 def load_statistics(logs: DataFrame) -> DataFrame:

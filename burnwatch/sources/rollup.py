@@ -6,45 +6,75 @@ severity columns.  Everything after the first aggregation is a projection over i
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from datetime import date, timedelta
+
 from pyspark.sql import DataFrame
 
 from burnwatch.functions import aggregate, named
-from burnwatch.plans.quantiles import gathered_quantiles, join_on_keys, spread_quantiles
-from burnwatch.plans.scale import fits_one_task
+from burnwatch.plans.quantiles import join_on_keys, spread_quantiles
 from burnwatch.plans.tables import SloTables
 from burnwatch.schema import AT_RISK, EB, FIELDS, GREEN, HEALTHY, RED, RESPONSE, RESPONSE_QUANTILES, UNHEALTHY
 
-# The rollup has no response-time view of this service, so that one service has error-budget rows only.
-UNTIMED_SERVICE = "svc_9"
-
-_KEYS = ["_k", "record_time"]
+_KEYS = ["_service", "record_time"]
 
 
-# Counts and latency figures of one service and day; latency is in seconds, a hundredth of ``value``.
-_MEASURES = {
-    "_n": "count(1)",
-    "_err": "count_if(event_type = 'error')",
-    "_slow": "count_if(value > 100)",
-    "_late": "count_if(hour(ts) >= 18)",
-    "response_time_avg": "avg(value) / 100",
-    "response_time_min": "min(value) / 100",
-    "response_time_max": "max(value) / 100",
-}
+@dataclass(frozen=True)
+class EventRules:
+    """How raw events become service logs: SQL expressions, over a row of the events or, for targets and the status, over ``_service``.
 
+    Targets are percentages of requests that may fail, be slow or come late; ``unit`` is how many of ``value`` make a second.
+    """
 
-def daily_measures(events: DataFrame, *, quantiles: bool = True, spread: bool | None = None) -> DataFrame:
-    """One row per service key and day.  ``spread`` forces the plan for the quantiles; by default the size decides."""
-    rows = events.selectExpr("*", "user_id % 10 AS _k", "CAST(CAST(ts AS DATE) AS TIMESTAMP_NTZ) AS record_time")
+    service: str = "service_name"
+    time: str = "ts"
+    value: str = "value"
+    unit: float = 1.0
+    error: str = "event_type = 'error'"
+    slow: str = "value > 1"
+    late: str = "false"
+    error_target: str = "1D"
+    response_target: str = "5D"
+    response_seconds: str = "1D"
+    timeliness_target: str = "5D"
+    status: str = "'APPROVED'"
+    timed: str = "true"
+
+
+def _measures(rules: EventRules) -> dict[str, str]:
+    """Counts and latency figures of one service and day; latency is in seconds."""
+    return {
+        "_n": "count(1)",
+        "_err": f"count_if({rules.error})",
+        "_slow": f"count_if({rules.slow})",
+        "_late": f"count_if({rules.late})",
+        "response_time_avg": f"avg({rules.value}) / {rules.unit}D",
+        "response_time_min": f"min({rules.value}) / {rules.unit}D",
+        "response_time_max": f"max({rules.value}) / {rules.unit}D",
+    }
+
+
+def in_days(events: DataFrame, rules: EventRules, start: date | None, end: date | None) -> DataFrame:
+    """Events from the first moment of ``start`` to the last of ``end``, by a filter on the time column itself, which a scan can use."""
+    if start is not None:
+        events = events.filter(f"{rules.time} >= TIMESTAMP_NTZ '{start}'")
+    if end is not None:
+        events = events.filter(f"{rules.time} < TIMESTAMP_NTZ '{end + timedelta(days=1)}'")
+    return events
+
+
+def daily_measures(
+    events: DataFrame, rules: EventRules, *, quantiles: bool = True, start: date | None = None, end: date | None = None
+) -> DataFrame:
+    """One row per service and day."""
+    rows = in_days(events, rules, start, end).selectExpr(
+        "*", f"{rules.service} AS _service", f"CAST(CAST({rules.time} AS DATE) AS TIMESTAMP_NTZ) AS record_time", f"{rules.value} AS _v"
+    )
+    daily = aggregate(rows, _KEYS, _measures(rules))
     if not quantiles:
-        return aggregate(rows, _KEYS, _MEASURES)
+        return daily
     fractions = list(RESPONSE_QUANTILES.values())
-    if spread is None:
-        spread = not fits_one_task(events)
-    if not spread:
-        return aggregate(rows, _KEYS, _MEASURES | {"_q": gathered_quantiles("value", fractions)})
-    return join_on_keys(
-        aggregate(rows, _KEYS, _MEASURES), spread_quantiles(rows, _KEYS, "value", fractions, "_q"), _KEYS
-    )
+    return join_on_keys(daily, spread_quantiles(rows, _KEYS, "_v", fractions, "_q"), _KEYS)
 
 
 def _health(consumed: str) -> str:
@@ -55,14 +85,19 @@ def _severity(consumed: str) -> str:
     return f"CASE WHEN {consumed} >= 100 THEN '{RED}' ELSE '{GREEN}' END"
 
 
-# Columns over the rows of ``daily_measures``: names and targets first, then the rates and used-up shares they give.
-_TARGETS = {
-    "_service": "concat('svc_', CAST(_k AS STRING))",
-    "_target": "20D + 6 * CAST(_k % 5 AS DOUBLE)",
-    "_response_target": "14D + 6 * CAST(_k % 4 AS DOUBLE)",
-    "_timeliness_target": "30D + 20 * CAST(_k % 3 AS DOUBLE)",
-    "_error_rate": "100D * _err / _n",
-}
+# Columns over the rows of ``daily_measures``: targets first, then the rates and used-up shares they give.
+def _targets(rules: EventRules) -> dict[str, str]:
+    return {
+        "_target": f"CAST({rules.error_target} AS DOUBLE)",
+        "_response_target": f"CAST({rules.response_target} AS DOUBLE)",
+        "_timeliness_target": f"CAST({rules.timeliness_target} AS DOUBLE)",
+        "_response_seconds": rules.response_seconds,
+        "_status": rules.status,
+        "_unit": f"{rules.unit}D",
+        "_error_rate": "100D * _err / _n",
+    }
+
+
 _SHARES = {
     "_used": "100D * _err / (_n * _target / 100)",
     "_used_aspirational": "100D * _err / (_n * 0.6D * _target / 100)",
@@ -84,7 +119,7 @@ _DERIVED = {
     "response_time_min": "response_time_min",
     "response_time_max": "response_time_max",
     "target_error_slo_perc": "_target",
-    "target_response_slo_sec": "0.46D + 0.02D * (_k % 5)",
+    "target_response_slo_sec": "_response_seconds",
     "eb_allocated_percent": "_target",
     "eb_allocated_count": "_allocated",
     "eb_consumed_percent": "_error_rate",
@@ -111,9 +146,9 @@ _DERIVED = {
     "aspirational_eb_severity": _severity("_used_aspirational"),
     "burn_rate": "_error_rate / _target",
     "eb_breached": "_used >= 100",
-    "eb_slo_status": "CASE WHEN _k % 2 = 0 THEN 'APPROVED' ELSE 'UNDER_REVIEW' END",
+    "eb_slo_status": "_status",
     "data_category": "_category",
-    **{column: f"_q[{i}] / 100" for i, column in enumerate(RESPONSE_QUANTILES)},
+    **{column: f"_q[{i}] / _unit" for i, column in enumerate(RESPONSE_QUANTILES)},
 }
 
 
@@ -123,37 +158,38 @@ def _literal(value: object) -> str:
     return f"'{value}'" if isinstance(value, str) else str(value)
 
 
-def _log_columns(daily: DataFrame, quantiles: bool) -> DataFrame:
-    """The 83 log columns (without the percentile columns when they were not computed)."""
+def log_columns(daily: DataFrame, rules: EventRules, *, quantiles: bool = True) -> DataFrame:
+    """The 83 log columns (without the percentile columns when they were not computed) of measures with a ``_category``."""
     columns = [
         f"CAST({_DERIVED.get(f.column, _literal(f.default))} AS {f.dtype}) AS {f.column}"
         for f in FIELDS
         if quantiles or f.column not in RESPONSE_QUANTILES
     ]
-    return (
-        daily.selectExpr("*", *named(_TARGETS)).selectExpr("*", *named(_SHARES)).selectExpr(*columns)
+    return daily.selectExpr("*", *named(_targets(rules))).selectExpr("*", *named(_SHARES)).selectExpr(*columns)
+
+
+def of_both_categories(daily: DataFrame, rules: EventRules) -> DataFrame:
+    """Measures once per category; a service that is not timed has error-budget rows only."""
+    return daily.selectExpr("*", f"explode(array('{EB}', '{RESPONSE}')) AS _category").filter(
+        f"_category = '{EB}' OR ({rules.timed})"
     )
 
 
-def daily_tables(events: DataFrame, *, quantiles: bool = True, spread: bool | None = None) -> SloTables:
-    """Both log tables over ``events(ts, user_id, event_type, value)``.
+def daily_tables(
+    events: DataFrame, rules: EventRules, *, quantiles: bool = True, start: date | None = None, end: date | None = None
+) -> SloTables:
+    """Both log tables over raw events, of the days from ``start`` to ``end`` where given.
 
     ``quantiles=False`` leaves out the percentile columns and with them their cost.  All three frames of the tables start
     from one aggregation of the events; ``logs`` doubles its few rows instead of reading the events twice.
     """
-    daily = daily_measures(events, quantiles=quantiles, spread=spread)
-    timed = f"concat('svc_', CAST(_k AS STRING)) <> '{UNTIMED_SERVICE}'"
+    daily = daily_measures(events, rules, quantiles=quantiles, start=start, end=end)
 
     def of_category(category: str, rows: DataFrame) -> DataFrame:
-        return _log_columns(rows.selectExpr("*", f"'{category}' AS _category"), quantiles)
+        return log_columns(rows.selectExpr("*", f"'{category}' AS _category"), rules, quantiles=quantiles)
 
     return SloTables(
         eb=lambda: of_category(EB, daily),
-        resp=lambda: of_category(RESPONSE, daily.filter(timed)),
-        logs=lambda: _log_columns(
-            daily.selectExpr("*", f"explode(array('{EB}', '{RESPONSE}')) AS _category").filter(
-                f"_category = '{EB}' OR {timed}"
-            ),
-            quantiles,
-        ),
+        resp=lambda: of_category(RESPONSE, daily.filter(rules.timed)),
+        logs=lambda: log_columns(of_both_categories(daily, rules), rules, quantiles=quantiles),
     )

@@ -2,7 +2,10 @@
 
     <root>/logs/version=<n>/data_category=EB|RESPONSE/record_date=<day>/*.parquet
     <root>/logs/version=<n>/_EB, _RESPONSE      (markers: that table of this version is published)
-    <root>/rejected/version=<n>/*.parquet
+    <root>/rejected/version=<n>/*.parquet           rejected records
+    <root>/problems/version=<n>/*.parquet           pages that were missing, short or unreadable
+    <root>/claims/version=<n>                        taken numbers
+    <root>/streams/<query>/batch=<n>                 loaded micro-batches
 
 A load writes a new version in one pass and publishes each table it has rows for; readers take the newest published
 version.  A failed or empty load publishes nothing, so the previous snapshot stays readable throughout.
@@ -10,15 +13,16 @@ version.  A failed or empty load publishes nothing, so the previous snapshot sta
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
-from burnwatch.plans.tables import PARTITION, SloTables, TimeLike
+from burnwatch.plans.staging import staged
+from burnwatch.plans.tables import PARTITION, SloTables, TimeLike, as_time, in_time_range
 from burnwatch.schema import COLUMNS, EB, RESPONSE, SERVICE_LOG_SCHEMA
-from burnwatch.sources.pages import PAGE_SIZE
-from burnwatch.sources.records import good_records, load_statistics, records_from_pages, rejected_records
+from burnwatch.sources.pages import PAGE_SIZE, kept_pages, page_items, page_problems
+from burnwatch.sources.records import good_records, load_statistics, rejected_records, typed_items
 
 _MARKERS = {EB: "_EB", RESPONSE: "_RESPONSE"}
 
@@ -53,6 +57,7 @@ class LoadResult:
     version: int
     statistics: dict[str, int]
     published: tuple[str, ...]
+    problems: dict[str, int] = field(default_factory=dict)
 
 
 class SnapshotStore:
@@ -90,20 +95,40 @@ class SnapshotStore:
         fs, p = self._fs(f"{self._version_dir(version)}/{_MARKERS[category]}")
         fs.create(p, True).close()
 
-    def write(self, records: DataFrame, version: int | None = None) -> LoadResult:
+    def _create(self, path: str, text: str = "") -> bool:
+        """Create a small file; False if it is there already."""
+        fs, p = self._fs(path)
+        try:
+            out = fs.create(p, False)
+        except Exception:
+            if fs.exists(p):
+                return False
+            raise
+        out.write(bytearray(text.encode()))
+        out.close()
+        return True
+
+    def claim(self) -> int:
+        """A version number of the caller's own: writers at the same time get different ones."""
+        version = (self.versions() or [-1])[-1] + 1
+        while not self._create(f"{self.root}/claims/version={version}"):
+            version += 1
+        return version
+
+    def write(self, records: DataFrame, version: int | None = None, problems: dict[str, int] | None = None) -> LoadResult:
         """Write cleaned records of both categories as a new version, count what was written, publish what has rows.
 
-        The counts are read back from the few columns they need, which stays right when tasks of the write were repeated.
+        The counts are read back from the few columns they need, which stays right when tasks of the write were repeated.  A version that is
+        there already is never written over.
         """
         if version is None:
-            version = (self.versions() or [-1])[-1] + 1
+            version = self.claim()
         rows = records.withColumn(PARTITION, F.col("record_time").cast("date"))
         # Rebalancing evens out the files of a day and splits the big ones.
         (
             rows.hint("rebalance", "data_category", PARTITION)
             .sortWithinPartitions("data_category", PARTITION, "service_name")
-            .write.mode("overwrite")
-            .partitionBy("data_category", PARTITION)
+            .write.partitionBy("data_category", PARTITION)
             .parquet(self._version_dir(version))
         )
         written = self._reader().parquet(self._version_dir(version))
@@ -113,7 +138,7 @@ class SnapshotStore:
             if statistics[count] > 0:
                 self._publish(version, category)
                 published.append(category)
-        return LoadResult(version, statistics, tuple(published))
+        return LoadResult(version, statistics, tuple(published), problems or {})
 
     def load_pages(
         self,
@@ -121,30 +146,64 @@ class SnapshotStore:
         *,
         page_size: int = PAGE_SIZE,
         ingest_time: TimeLike = None,
-        version: int | None = None,
+        event_time_key: str | None = None,
+        stop_at_short_page: bool = False,
     ) -> LoadResult:
-        """One refresh: parse pages once into a staging table, cut the sequence, split off rejects, clean and publish."""
-        if version is None:
-            version = (self.versions() or [-1])[-1] + 1
+        """One refresh: parse pages once into a staging table, split off rejects and page problems, clean and publish.
+
+        Every landed page is loaded unless ``stop_at_short_page`` asks for a server's sequence.  A refresh without records publishes nothing; it is an
+        error only if there were pages and none could be read.
+        """
+        version = self.claim()
         staging = f"{self.root}/staging/version={version}"
-        kept = records_from_pages(pages, page_size=page_size, ingest_time=ingest_time, staging=staging)
-        if kept.isEmpty():
-            raise ValueError("no page could be read")
-        rejected_records(kept).write.mode("overwrite").parquet(f"{self.root}/rejected/version={version}")
-        return self.write(clean(good_records(kept), ["page_id", "pos"]), version)
+        try:
+            items = staged(typed_items(page_items(pages), ingest_time, event_time_key), staging)
+            problems = page_problems(pages, items, page_size)
+            problems.write.parquet(f"{self.root}/problems/version={version}")
+            counts = {row["reason"]: row["count"] for row in self.problems(version).groupBy("reason").count().collect()}
+            if counts.get("unreadable") and items.filter("page_items IS NOT NULL").isEmpty():
+                raise ValueError("no page could be read")
+            kept = kept_pages(items, page_size) if stop_at_short_page else items
+            rejected_records(kept).write.parquet(f"{self.root}/rejected/version={version}")
+            return self.write(clean(good_records(kept), ["page_id", "pos"]), version, counts)
+        finally:
+            fs, p = self._fs(staging)
+            fs.delete(p, True)
+
+    def load_batch(self, pages: DataFrame, stream: str, batch: int) -> LoadResult | None:
+        """Load a micro-batch once: a batch of a stream that was published before is passed over when it is replayed."""
+        done = f"{self.root}/streams/{stream}/batch={batch}"
+        if self._exists(done):
+            return None
+        result = self.load_pages(pages)
+        self._create(done, str(result.version))
+        return result
+
+    def problems(self, version: int) -> DataFrame:
+        """``(page_id, path, reason)`` of a load's pages."""
+        return self.spark.read.parquet(f"{self.root}/problems/version={version}")
 
     def rejected(self, version: int) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/rejected/version={version}")
 
-    def table(self, category: str, *, history: bool = False) -> DataFrame:
-        """The newest published snapshot of one table, or all published ones with ``history``."""
+    def table(self, category: str, *, history: bool = False, latest: bool = False) -> DataFrame:
+        """The newest published snapshot of one table; all published ones with ``history``; of those the newest row per id with ``latest``."""
         versions = self.versions(category)
-        chosen = versions if history else versions[-1:]
+        chosen = versions if history or latest else versions[-1:]
         if not chosen:
             empty = self.spark.createDataFrame([], SERVICE_LOG_SCHEMA)
             return empty.withColumn(PARTITION, F.col("record_time").cast("date"))
         paths = [f"{self._version_dir(v)}/data_category={category}" for v in chosen]
-        return self._reader().parquet(*paths).select(*COLUMNS, PARTITION)
-
-    def tables(self, *, history: bool = False) -> SloTables:
-        return SloTables.from_pair(self.table(EB, history=history), self.table(RESPONSE, history=history))
+        rows = self._reader().parquet(*paths)
+        if latest:
+            rest = [c for c in [*COLUMNS, PARTITION] if c != "id"]
+            rows = rows.groupBy("id").agg(F.max_by(F.struct(*rest), "version").alias("_last")).select("id", "_last.*")
+        return rows.select(*COLUMNS, PARTITION)
+
+    def tables(
+        self, *, history: bool = False, latest: bool = False, start: TimeLike = None, end: TimeLike = None
+    ) -> SloTables:
+        """Both tables (see ``table``), of records between two times where given; the days outside are not read."""
+        low, high = as_time(start), as_time(end)
+        eb, resp = (in_time_range(self.table(c, history=history, latest=latest), low, high) for c in (EB, RESPONSE))
+        return SloTables.from_pair(eb, resp)

@@ -3,34 +3,26 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from burnwatch.plans.staging import staged
-from burnwatch.sources.pages import page_items
-from burnwatch.sources.records import good_records, rejected_records, typed_items
-from burnwatch.sources.store import SnapshotStore, clean
+from burnwatch.sources.pages import with_page_number
+from burnwatch.sources.store import SnapshotStore
 
 
 def page_stream(spark: SparkSession, path: str, *, files_per_batch: int = 1000) -> DataFrame:
-    """``(page_id, body)`` of newly landed page files."""
-    files = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path, wholetext=True)
-    number = F.regexp_extract(F.col("_metadata.file_name"), r"(\d+)\D*$", 1)
-    return files.select(number.cast("bigint").alias("page_id"), F.col("value").alias("body"))
+    """``(page_id, path, body)`` of newly landed page files."""
+    return with_page_number(spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path, wholetext=True))
 
 
-def load_batch(store: SnapshotStore, pages: DataFrame, batch_id: int) -> None:
-    """Load one micro-batch as the version of its number, so that a replayed batch overwrites its own version.
+def continuous_ingest(store: SnapshotStore, pages: DataFrame, checkpoint: str) -> DataStreamWriter:
+    """A writer that loads every micro-batch into the store; the caller sets the trigger and starts it.
 
-    Landed pages of a continuous feed are all wanted: the end-of-sequence rules of a refresh do not apply.
+    Each batch becomes a version of its own, known by the query's id, which the checkpoint keeps, and the batch's number: a replayed batch is
+    loaded once, and a new checkpoint does not touch what is there.  ``store.tables(latest=True)`` is the current view over all batches.
     """
-    typed = staged(typed_items(page_items(pages)), f"{store.root}/staging/version={batch_id}")
-    rejected_records(typed).write.mode("overwrite").parquet(f"{store.root}/rejected/version={batch_id}")
-    store.write(clean(good_records(typed), ["page_id", "pos"]), batch_id)
 
+    def load(batch: DataFrame, batch_id: int) -> None:
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "stream"
+        store.load_batch(batch, query, batch_id)
 
-def continuous_ingest(store: SnapshotStore, pages: DataFrame, checkpoint: str) -> DataStreamWriter:
-    """A writer that loads every micro-batch into the store; the caller sets the trigger and starts it."""
-    return pages.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
-        lambda batch, batch_id: load_batch(store, batch, batch_id)
-    )
+    return pages.writeStream.option("checkpointLocation", checkpoint).foreachBatch(load)

@@ -315,10 +315,90 @@ def test_time_ranges():
     assert resolve_range(today, start=date(2024, 3, 1), end=date(2024, 3, 1)) == (datetime(2024, 3, 1), datetime(2024, 3, 2))
     assert resolve_range(today, start=date(2024, 1, 1), end=date(2024, 2, 29)) == (datetime(2024, 1, 1), datetime(2024, 3, 1))
     for bad in (
-        {"start": date(2024, 1, 1), "end": date(2024, 3, 1)},
+        {"start": date(2024, 1, 1), "end": date(2024, 3, 1), "max_days": 60},
         {"start": date(2024, 3, 2), "end": date(2024, 3, 1)},
         {"start": date(2024, 3, 2)},
-        {"last_days": 6},
+        {"last_days": -1},
     ):
         with pytest.raises(ValueError):
             resolve_range(today, **bad)
+
+
+def loaded(store, **options):
+    return sorted(r.id for r in store.tables(**options).eb.collect())
+
+
+@pytest.mark.parametrize(
+    ("bodies", "ids", "problems"),
+    [
+        (([item("a"), item("b")], [item("c")], [item("d"), item("e")]), "abcde", {"short": 1}),
+        (([item("a")], "{broken", [item("b")], [item("c")]), "abc", {"unreadable": 1, "short": 2}),
+        (([item("a"), item("b")], [], [{"noDataFound": True}], [item("c"), item("d")]), "abcd", {}),
+    ],
+)
+def test_every_landed_page_is_loaded(store, pages, bodies, ids, problems):
+    result = store.load_pages(pages(*bodies), page_size=2)
+    assert loaded(store) == list(ids)
+    assert result.problems == problems
+
+
+def test_the_rule_of_a_server_is_an_option(store, pages):
+    store.load_pages(pages([item("a")], [item("b")]), page_size=2, stop_at_short_page=True)
+    assert loaded(store) == ["a"]
+
+
+def test_gaps_are_reported_and_what_follows_is_loaded(store, pages):
+    landed = pages([item("x")], [item("a")], [item("y")], [item("z")], [item("b")]).filter("page_id IN (1, 4)")
+    result = store.load_pages(landed, page_size=1)
+    assert loaded(store) == ["a", "b"]
+    assert result.problems == {"missing": 2}
+    assert sorted((r.page_id, r.reason) for r in store.problems(result.version).collect()) == [(0, "missing"), (2, "missing")]
+
+
+@pytest.mark.parametrize("body", [{"summary": []}, [{"noDataFound": True}]])
+def test_a_quiet_refresh_keeps_the_old_snapshot(store, pages, body):
+    store.load_pages(pages([item("a")]))
+    assert store.load_pages(pages(body)).published == ()
+    assert loaded(store) == ["a"]
+
+
+def test_stray_files_are_reported(spark, store, tmp_path):
+    (tmp_path / "page_0.json").write_text(json.dumps([item("a")]))
+    (tmp_path / "notes.txt").write_text("hello")
+    result = store.load_pages(read_page_files(spark, str(tmp_path)))
+    assert loaded(store) == ["a"] and result.problems == {"unnumbered": 1}
+    assert [r.path.endswith("notes.txt") for r in store.problems(result.version).collect()] == [True]
+
+
+def test_latest_row_of_each_id(store, pages):
+    store.load_pages(pages([item("same", totalCount=1), item("old")]), ingest_time=STAMP)
+    store.load_pages(pages([item("same", totalCount=2), item("new")]), ingest_time=STAMP)
+    assert loaded(store, latest=True) == ["new", "old", "same"]
+    assert loaded(store, history=True) == ["new", "old", "same", "same"]
+    counts = {r.id: r.total_count for r in store.tables(latest=True).eb.collect()}
+    assert counts["same"] == 2
+    assert store.tables(latest=True, start="2024-02-02").eb.count() == 0
+
+
+def test_writers_take_different_versions(store):
+    assert [store.claim() for _ in range(3)] == [0, 1, 2]
+
+
+def test_a_replayed_batch_is_loaded_once_and_overwrites_nothing(store, pages):
+    store.load_pages(pages([item("a"), item("b")]))
+    assert store.load_batch(pages([item("c")]), "q1", 0) is not None
+    assert store.load_batch(pages([item("c")]), "q1", 0) is None
+    assert store.load_batch(pages([item("d")]), "q2", 0) is not None
+    assert loaded(store, history=True) == ["a", "b", "c", "d"]
+
+
+def test_event_times(store, pages):
+    items = [
+        item("ms", at=1706745600000),
+        item("text", at="2024-02-03 04:05:06"),
+        item("bad", at="soon"),
+        item("none"),
+    ]
+    store.load_pages(pages(items), event_time_key="at")
+    times = {r.id: r.record_time for r in store.tables().eb.collect()}
+    assert times == {"ms": datetime(2024, 2, 1), "text": datetime(2024, 2, 3, 4, 5, 6)}

@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
+from burnwatch import SloTables
 from burnwatch.operators import budget, degradation, health, rankings, sli, trends
 from burnwatch.plans.tables import all_services, run_sql, service_logs, time_range
 from burnwatch.schema import GREEN, RED
@@ -410,3 +411,13 @@ def test_invariants(tables):
         assert r.healthy_dimensions == dims.count("HEALTHY")
     missed = {r.service_name for r in sli.current_sli(t).collect() if not r.overall_slo_met}
     assert {r.service_name for r in sli.slo_violations(t).collect()} == missed
+
+
+def test_row_products_beyond_64_bits(tables):
+    """Two sides of 50,000 rows whose product of volumes and rows passes 2^63."""
+    from pyspark.sql import functions as F
+
+    t = tables([{"service_name": "a"}], [{"service_name": "a"}])
+    many = t.logs.withColumn("total_count", F.lit(2_000_000_000)).withColumn("_i", F.explode(F.sequence(F.lit(1), F.lit(100_000)))).drop("_i")
+    (row,) = health.service_health_overview(SloTables.from_logs(many)).collect()
+    assert row.total_requests == 2e9 * 100_000 * 100_000

@@ -6,10 +6,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from burnwatch.contract.oracle import oracle
+from burnwatch.contract.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.01"
-QUERIES = entry_points.queries()
-SQL = entry_points.oracle_sql()
+SQL = oracle()
 TYPES = {
     "bigint": "BIGINT",
     "int": "INTEGER",

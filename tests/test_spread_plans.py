@@ -9,10 +9,23 @@ import pytest
 from pyspark.sql import functions as F
 
 from burnwatch.operators import trends
+from pyspark.sql import Window
 from burnwatch.plans.quantiles import spread_quantiles
-from burnwatch.plans.trend import gathered_trends, spread_trends
+from burnwatch.contract.fixture import EVENT_RULES
+from burnwatch.functions import aggregate
+from burnwatch.plans.trend import spread_trends
 from burnwatch.sources.rollup import daily_tables
 
+def gathered_trends(df, key, order, values, latest):
+    """The short form, which numbers the rows with a window over the whole group."""
+    position = F.row_number().over(Window.partitionBy(key).orderBy(*[F.col(c).asc_nulls_last() for c in order]))
+    columns = {"rows": "count(1)", "latest": f"max_by(struct({', '.join(latest)}), _x)"}
+    for name, value in values.items():
+        columns[f"{name}_slope"] = f"coalesce(regr_slope({value}, _x), 0D)"
+        columns[f"{name}_std"] = f"stddev_samp({value})"
+    return aggregate(df.withColumn("_x", position.cast("double")), [key], columns)
+
+
 FRACTIONS = [0.0, 0.25, 0.5, 0.95, 0.99, 1.0]
 
 
@@ -79,25 +92,28 @@ def rows_of(frame):
 
 
 def test_rollup_agrees(events):
-    quantiles = [f"round(response_time_p{p}, 9) AS p{p}" for p in (25, 50, 75, 80, 85, 90, 95, 99)]
-    short, spread = (
-        daily_tables(events, spread=flag).logs.selectExpr("id", "total_count", *quantiles) for flag in (False, True)
-    )
-    assert rows_of(short) == rows_of(spread)
+    fractions = [25, 50, 75, 80, 85, 90, 95, 99]
+    quantiles = [f"round(response_time_p{p}, 9) AS p{p}" for p in fractions]
+    spread = daily_tables(events, EVENT_RULES).eb.selectExpr("service_name", "record_time", "total_count", *quantiles)
+    arrays = ", ".join(f"{p / 100}D" for p in fractions)
+    short = events.groupBy(
+        F.expr("concat('svc_', CAST(user_id % 10 AS STRING)) AS service_name"), F.expr("CAST(CAST(ts AS DATE) AS TIMESTAMP_NTZ) AS record_time")
+    ).agg(F.count("*").alias("total_count"), F.expr(f"percentile(value, array({arrays})) AS q"))
+    short = short.selectExpr("service_name", "record_time", "total_count", *[f"round(q[{i}] / 100, 9) AS p{p}" for i, p in enumerate(fractions)])
+    assert sorted(map(tuple, spread.collect())) == sorted(map(tuple, short.collect()))
 
 
 def test_operators_agree(events):
-    t = daily_tables(events, quantiles=False)
-    short, spread = (rows_of(trends.service_risk(t, spread=flag)) for flag in (False, True))
-    assert [(r.service_name, r.risk_score, r.risk_codes) for r in short] == [
-        (r.service_name, r.risk_score, r.risk_codes) for r in spread
-    ]
-    for a, b in zip(short, spread):
-        assert b.trends.error_rate_slope == pytest.approx(a.trends.error_rate_slope, abs=1e-9)
-    short, spread = (rows_of(trends.historical_patterns(t, spread=flag)) for flag in (False, True))
-    for a, b in zip(short, spread):
-        assert list(b.error_rate_stats) == pytest.approx(list(a.error_rate_stats))
-        assert list(b.response_time_stats) == pytest.approx(list(a.response_time_stats))
+    t = daily_tables(events, EVENT_RULES, quantiles=False)
+    latest = ["error_rate"]
+    short = {r.service_name: r for r in gathered_trends(t.eb, "service_name", ["record_time", "id"], {"y": "error_rate"}, latest).collect()}
+    for row in trends.service_risk(t).collect():
+        assert row.trends.error_rate_slope == pytest.approx(short[row.service_name].y_slope, abs=1e-9)
+    exact = t.eb.groupBy("service_name").agg(F.expr("percentile(error_rate, array(0.5D, 0.95D, 0.99D)) AS q"))
+    exact = {r.service_name: r.q for r in exact.collect()}
+    for row in trends.historical_patterns(t).collect():
+        s = row.error_rate_stats
+        assert [s.p50, s.p95, s.p99] == pytest.approx(exact[row.service_name])
 
 
 def test_row_counts_are_exact(spark):
