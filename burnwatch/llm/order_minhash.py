@@ -117,11 +117,11 @@ def with_keys(docs: DataFrame) -> DataFrame:
 
 
 def next_rows(keyed: DataFrame) -> DataFrame:
-    """(key, check, n, next_key, next_check): each distinct row and the one after it by doc_id, the first after the last.
+    """(doc_id, key, check, n, copies, next_key, next_check): each distinct row and the one after it by doc_id, the first after the last.
 
     Only ids and hashes move: ranges of ids are sorted apart, and the first rows of the ranges, one for each, tell what follows a range's last.
     """
-    rows = keyed.select("doc_id", "key", "check", F.char_length("text").alias("n")).distinct()
+    rows = keyed.groupBy("doc_id", "key", "check", F.char_length("text").alias("n")).agg(F.count("*").alias("copies"))
     ranged = staged(rows.repartitionByRange("doc_id", "key", "check").withColumn("part", F.spark_partition_id()))
     order = ["doc_id", "key", "check"]
     this = F.struct(*order)
@@ -130,8 +130,8 @@ def next_rows(keyed: DataFrame) -> DataFrame:
     following = firsts.select("part", F.coalesce(F.lead("first").over(every), F.first("first").over(every)).alias("after"))
     within = ranged.withColumn("within", F.lead(this).over(Window.partitionBy("part").orderBy(*order)))
     return within.join(following, "part").select(
-        "key", "check", "n", F.coalesce("within", "after").alias("next")
-    ).select("key", "check", "n", F.col("next.key").alias("next_key"), F.col("next.check").alias("next_check"))
+        "doc_id", "key", "check", "n", "copies", F.coalesce("within", "after").alias("next")
+    ).select("doc_id", "key", "check", "n", "copies", F.col("next.key").alias("next_key"), F.col("next.check").alias("next_check"))
 
 
 def against_next(docs: DataFrame) -> DataFrame:
@@ -141,26 +141,27 @@ def against_next(docs: DataFrame) -> DataFrame:
     last comes the first. Null texts are empty. Equal rows count as one document in that order and have equal results; rows that share a doc_id but not a
     text follow each other by hash. A single document is its own next. Other columns are ignored.
     """
-    keyed = with_keys(docs).repartition("key", "check")
     nexts = staged(next_rows(with_keys(docs)))
+    # Texts are shuffled once, with the same columns for both of their uses.
+    texts = with_keys(docs).select("key", "check", "text").repartition("key", "check").dropDuplicates(["key", "check"])
     half = F.col("n") - F.floor(F.col("n") / 2)
-    once = keyed.dropDuplicates(["key", "check"])
-    heads = once.join(
-        nexts.select(F.col("key").alias("of_key"), F.col("check").alias("of_check"), "n", F.col("next_key").alias("key"), F.col("next_check").alias("check")),
-        ["key", "check"],
-    ).select(F.col("of_key").alias("key"), F.col("of_check").alias("check"), F.substr("text", F.lit(1), F.col("n") - half.cast("int")).alias("head"))
-    whole = keyed.join(nexts, ["key", "check"]).join(heads, ["key", "check"])
+    of_last = nexts.select(
+        F.col("key").alias("of_key"), F.col("check").alias("of_check"), "n", F.col("next_key").alias("key"), F.col("next_check").alias("check")
+    )
+    heads = texts.join(of_last, ["key", "check"]).select(
+        F.col("of_key").alias("key"), F.col("of_check").alias("check"), F.substr("text", F.lit(1), F.col("n") - half.cast("int")).alias("head")
+    )
+    whole = texts.join(nexts, ["key", "check"]).join(heads, ["key", "check"])
     edited = held(whole, edited=F.concat(F.substr("text", F.lit(1), half.cast("int")), F.col("head")))
     signed = signatures(edited, signature="text", edited_signature="edited")
     kept = staged(
         signed.select(
-            "doc_id", "key", "check", "next_key", "next_check", F.col("n").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
-            "signature", "edited_signature",
+            "doc_id", "key", "check", "copies", "next_key", "next_check", F.col("n").cast("long").alias("n_chars"),
+            F.sha2("edited", 256).alias("edited_sha256"), "signature", "edited_signature",
         )
     )
-    of_next = kept.dropDuplicates(["key", "check"]).select(
-        F.col("key").alias("next_key"), F.col("check").alias("next_check"), F.col("signature").alias("next_signature")
-    )
-    return kept.join(of_next, ["next_key", "next_check"]).select(
+    of_next = kept.select(F.col("key").alias("next_key"), F.col("check").alias("next_check"), F.col("signature").alias("next_signature"))
+    found = kept.join(of_next, ["next_key", "next_check"])
+    return found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(
         "doc_id", "n_chars", "edited_sha256", "signature", "edited_signature", "next_signature"
     )
