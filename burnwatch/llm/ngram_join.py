@@ -381,7 +381,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     own = Window.partitionBy("doc_id")
     head = F.col("n") - F.ceil(percent * F.col("n") / 100) + 1
     shared = shared.withColumn("before", F.row_number().over(own.orderBy("place")) - 1).withColumn("alone", head - F.count("*").over(own))
-    groups = staged(shared.where(100 * (F.col("n") - F.col("alone")) >= percent * F.col("n")))
+    shared = shared.where(100 * (F.col("n") - F.col("alone")) >= percent * F.col("n"))
+    groups = staged(shared.withColumn("component", F.col("doc_id")))
 
     links = labels = None
     hubs_each = 1
@@ -390,21 +391,18 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         turn = F.row_number().over(Window.partitionBy("token").orderBy("alone", F.xxhash64("doc_id"), "doc_id"))
         ranked = groups.withColumn("turn", turn)
         hubs = ranked.where(F.col("turn") <= hubs_each).select(
-            "token", F.col("doc_id").alias("hub"), F.col("n").alias("hub_n"), F.col("place").alias("hub_place"), F.col("before").alias("hub_before"), F.col("turn").alias("hub_turn")
+            "token", F.col("doc_id").alias("hub"), F.col("n").alias("hub_n"), F.col("place").alias("hub_place"), F.col("before").alias("hub_before"), F.col("turn").alias("hub_turn"),
+            F.col("component").alias("hub_component"),
         )
         # What two sets can share at most, when they share the n-gram at these places.
         most = F.least("before", "hub_before") + F.least(F.col("n") - F.col("place"), F.col("hub_n") - F.col("hub_place"))
         pairs = (
             ranked.join(hubs, "token")
-            .where(F.col("turn") > F.col("hub_turn"))
-            .where((100 * most >= percent * (F.col("n") + F.col("hub_n") - most)) & (F.col("doc_id") != F.col("hub")))
+            .where((F.col("turn") > F.col("hub_turn")) & (F.col("component") != F.col("hub_component")))
+            .where(100 * most >= percent * (F.col("n") + F.col("hub_n") - most))
             .select("hub", F.col("doc_id").alias("member"))
             .distinct()
         )
-        if labels is not None:
-            label = labels.select(F.col("node").alias("member"), F.col("component").alias("c1"))
-            other = labels.select(F.col("node").alias("hub"), F.col("component").alias("c2"))
-            pairs = pairs.join(label, "member", "left").join(other, "hub", "left").where("c1 IS NULL OR c2 IS NULL OR c1 <> c2").select("hub", "member")
         pairs = staged(pairs)
         if not pairs.isEmpty():
             possible = staged(_possible(pairs, filled, order, percent))
@@ -412,12 +410,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
             links = found if labels is None else labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found)
             labels = staged(components(links))
         rest = ranked.where(F.col("turn") > hubs_each).drop("turn")
-        named = rest.withColumn("component", F.col("doc_id"))
         if labels is not None:
-            named = rest.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-        named = named.withColumn("c", F.coalesce("component", "doc_id"))
-        open_groups = named.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("token")
-        after = staged(rest.join(open_groups, "token"))
+            now = labels.select(F.col("node").alias("doc_id"), F.col("component").alias("now"))
+            rest = rest.join(now, "doc_id", "left").withColumn("component", F.coalesce("now", "doc_id")).drop("now")
+        ends = rest.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        after = staged(rest.join(ends.where("low <> high").select("token"), "token"))
         for table in (groups, pairs):
             drop_staged(table)
         groups = after
