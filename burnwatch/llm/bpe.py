@@ -29,9 +29,9 @@ PLAIN_PATTERN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s
 # Fixed value: the pre-token pattern for which PLAIN_PATTERN is an equal form on plain texts.
 FAST_FOR = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pre-tokens remembered in a task before its memory is emptied.
-MEMO = 300_000
+MEMO = 120_000
 #: Ids or bytes gathered before a batch is handed on.
-FLUSH = 1_000_000
+FLUSH = 250_000
 
 
 @dataclass
