@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 
 # HTML's tags by role.
 RAW = {"script", "style", "title", "textarea", "noscript", "iframe", "template", "svg", "math", "object", "xmp"}
+RAW_END = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in RAW}
 INLINE = set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup "
     "time tt u var wbr br img picture source".split()
@@ -81,7 +82,6 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], int, str, int]]:
             if stack[i][0] in stop:
                 return
 
-    lower = None
     while token := TOKEN.search(page, at):
         add(page[at : token.start()])
         at = token.end()
@@ -92,9 +92,9 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], int, str, int]]:
         if tag in RAW and not ends:
             if attributes.endswith("/") and tag in ("svg", "math"):
                 continue
-            lower = lower or page.lower()
-            stop = lower.find(f"</{tag}", at)
-            at = len(page) if stop < 0 else stop
+            # Lowering the page would move its places: some letters become two.
+            stop = RAW_END[tag].search(page, at)
+            at = stop.start() if stop else len(page)
             continue
         if tag in INLINE:
             if tag == "a":
