@@ -11,6 +11,7 @@ import html
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,15 +29,18 @@ HOME = {"article", "main"}
 #: Tags that end an open `p`, and those that end an open tag of their own kind.
 SELF_CLOSING = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr"}, "th": {"tr"}, "option": {"select"}}
 
-# Words of class, id and role attributes that tell boilerplate from content.
-AWAY_WORDS = re.compile(
-    r"(?:^|[^a-z])(?:ads?|advert\w*|adverts?|banner\w*|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notice\w*|alert\w*|popup\w*|modal\w*|overlay|"
+# Words of class, id and role attributes that tell boilerplate from content. A name counts if all its parts are such words or neutral ones:
+# page-header does; no-sidebar, header-fixed and entry-title do not.
+AWAY_WORD = re.compile(
+    r"ads?|advert\w*|banner\w*|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notice\w*|alert\w*|popup\w*|modal\w*|overlay|"
     r"newsletter|subscri\w+|signup|login|sidebar\w*|widget\w*|related|recommend\w*|share\w*|sharing|social\w*|breadcrumbs?|paginat\w+|pager|"
     r"nav\w*|menu\w*|footer|header|masthead|toolbar|comments?\w*|commentlist|repl(?:y|ies)|respond|disqus|disclaimer|toc|tags?|"
-    r"contentinfo|complementary|navigation|search|form)(?:$|[^a-z])"
+    r"contentinfo|complementary|navigation|search|form"
 )
-HOME_WORDS = re.compile(
-    r"(?:^|[^a-z])(?:article\w*|main|content|story|post|entry|body-?text|articlebody)(?:$|[^a-z])"
+HOME_WORD = re.compile(r"article\w*|main|content|story|post|entry|bodytext")
+NEUTRAL = set(
+    "site page wrap wrapper inner outer container box block area section region bar list item items link links button buttons icon icons group "
+    "panel row col posts body text primary secondary global local top bottom left right".split()
 )
 TOKEN = re.compile(
     r"<!--(?s:.*?)(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)"
@@ -44,15 +48,36 @@ TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)"
 )
 ATTRIBUTE = re.compile(r"(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
-HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+QUOTED = re.compile(r"\"[^\"]*+\"|'[^']*+'")
+HIDDEN = re.compile(r"(?:\A|\s)hidden(?=[\s=/]|\Z)", re.I)
+HIDDEN_VALUE = re.compile(
+    r"(?:\A|\s)(?:style\s*=\s*(?:\"[^\"]*?|'[^']*?|[^\s\"']*?)display\s*:\s*none|aria-hidden\s*=\s*[\"']?true)", re.I
+)
 HEADING = re.compile(r"h[1-6](?:\.|\Z)")
 PUNCTUATION = re.compile(r"[.,;:!?…。、，！？；：¿¡]")
 #: Share of the mean fused ratio of a page's paths that a path must reach, where the page names no content.
 THRESHOLD = 0.5
+# Roles of blocks besides 0 and 1: in an article inside such a form or name; in a form; in something named as boilerplate; in hidden tags and
+# those of boilerplate.
+AGAIN, IN_FORM, FOUND_AWAY, GONE = 2, -1, -2, -3
+
+
+@lru_cache(maxsize=10_000)
+def name_role(name: str) -> int:
+    """1 for a name of content, FOUND_AWAY for one of boilerplate, 0 for others."""
+    parts = [x for x in re.split(r"[^a-z]+", name) if x]
+    away, home = ([bool(words.fullmatch(x)) for x in parts] for words in (AWAY_WORD, HOME_WORD))
+    if not all(a or h or x in NEUTRAL for x, a, h in zip(parts, away, home, strict=True)):
+        return 0
+    return FOUND_AWAY if any(away) else int(any(home))
+
+
+def is_hidden(attributes: str) -> bool:
+    return bool(HIDDEN_VALUE.search(attributes) or HIDDEN.search(QUOTED.sub('""', attributes)))
 
 
 def blocks(page: str) -> list[tuple[tuple[str, ...], int, str, int]]:
-    """(path, role, text, characters in links) of each block with text; role is 1 inside named content, -1 inside boilerplate."""
+    """(path, role, text, characters in links) of each block with text; role is 1 inside named content, negative inside boilerplate."""
     found = []
     stack: list[tuple[str, str, int]] = []  # tag, name on the path, role
     text: list[str] = []
@@ -118,9 +143,19 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], int, str, int]]:
         if tag not in ("html", "body"):
             words = " ".join(a or b or c for a, b, c in ATTRIBUTE.findall(attributes)).lower() if attributes else ""
             name = f"{tag}.{words}" if words else tag
-            if tag in AWAY or (words and AWAY_WORDS.search(words) and tag not in HOME) or (attributes and HIDDEN.search(attributes)):
-                role = -1
-            elif role == 0 and (tag in HOME or (words and HOME_WORDS.search(words))):
+            roles = {name_role(word) for word in words.split()}
+            if (tag in AWAY and tag != "form") or (attributes and is_hidden(attributes)):
+                role = GONE
+            elif tag in HOME:
+                if role == 0:
+                    role = 1
+                elif role in (IN_FORM, FOUND_AWAY) and FOUND_AWAY not in roles and not any(x[0] in HOME for x in stack):
+                    role = AGAIN
+            elif FOUND_AWAY in roles:
+                role = min(role, FOUND_AWAY)
+            elif tag == "form":
+                role = min(role, IN_FORM)
+            elif role == 0 and 1 in roles:
                 role = 1
         stack.append((tag, name, role))
     add(page[at:])
@@ -145,9 +180,11 @@ def content_paths(page: list[tuple[tuple[str, ...], int, str, int]]) -> set[tupl
         s = sums.setdefault((path, role), [0, 0, 0, 0])
         for i, x in enumerate((1, len(text), linked, len(PUNCTUATION.findall(text)))):
             s[i] += x
-    candidates = {k: s for k, s in sums.items() if k[1] >= 0}
-    if any(role == 1 for _, role in candidates):
-        candidates = {k: s for k, s in candidates.items() if k[1] == 1}
+    # The first of named content, articles inside boilerplate, and the rest that there is; a form with most of the rest is round the page.
+    size = {wanted: sum(s[1] for (_, role), s in sums.items() if role == wanted) for wanted in (0, IN_FORM)}
+    named = next((wanted for wanted in (1, AGAIN) if any(role == wanted for _, role in sums)), 0)
+    wanted = {named} if named else {0, IN_FORM} if size[IN_FORM] > size[0] else {0}
+    candidates = {k: s for k, s in sums.items() if k[1] in wanted}
     if not candidates:
         return set()
     # Ratio of text outside links to blocks; a list of links has next to none.
@@ -162,7 +199,7 @@ def content_paths(page: list[tuple[tuple[str, ...], int, str, int]]) -> set[tupl
         mean = sum(w * ratio[other] for w, other in zip(weights, near, strict=True)) / (sum(weights) or 1)
         blocks, n, _, marks = candidates[k]
         fused[k] = (0.5 * value + 0.5 * mean) * (1 + math.log1p(100 * marks / (n + 1)))
-    if any(role == 1 for _, role in candidates):
+    if named:
         # The page names its content: only paths that are mostly links fall out.
         return {k for k, s in candidates.items() if s[1] > 2 * s[2] or s[0] * 200 <= s[1]}
     bar = THRESHOLD * sum(fused[k] * s[1] for k, s in candidates.items()) / (sum(s[1] for s in candidates.values()) or 1)

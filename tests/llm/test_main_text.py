@@ -2,9 +2,34 @@
 
 from __future__ import annotations
 
+import pytest
+
 from burnwatch.llm import html_text
 
 
 def test_letters_that_grow_when_lowered():
     page = "<title>" + "İ" * 40 + "</TITLE><article><script>x</Script><p>İlk söz, burada.</p><p>Son söz.</p></article>"
     assert html_text.main_text(page) == "İlk söz, burada.\n\nSon söz."
+
+
+@pytest.mark.parametrize(
+    "outer",
+    ['div class="overflow-hidden"', 'div class="no-sidebar"', "div class='x with-sidebar'", 'div class="header-fixed"', "form action='/'", "div class=sidebar", "div title='is hidden here'"],
+)
+@pytest.mark.parametrize("inner", ["article", 'article class="post overflow-hidden"', "main", "div class=x"])
+def test_one_word_on_an_outer_tag(outer, inner):
+    tags = outer.split()[0], inner.split()[0]
+    page = f"<body><{outer}><{inner}><p>One text, here.</p><nav>no</nav></{tags[1]}></{tags[0]}></body>"
+    wanted = "" if (outer, inner) == ("div class=sidebar", "div class=x") else "One text, here."
+    assert html_text.main_text(page) == wanted
+
+
+@pytest.mark.parametrize("outer", ["div hidden", 'div class="a" HIDDEN=""', "div style='display: none'", "div aria-hidden=true", "nav", "aside"])
+def test_hidden_articles_stay_away(outer):
+    page = f"<{outer}><article><p>No.</p></article></{outer.split()[0]}><p>Yes, this.</p>"
+    assert html_text.main_text(page) == "Yes, this."
+
+
+def test_articles_of_a_sidebar_beside_the_main_one():
+    page = "<div class=sidebar><article><p>No.</p></article></div><div class=page-header><p>No.</p></div><article><p>Yes.</p></article>"
+    assert html_text.main_text(page) == "Yes."
