@@ -2,7 +2,8 @@
 
 A page is cut into blocks of text, each with the path of block-level tags from the root. Text length and punctuation are added up per path;
 the ratio of length to the number of blocks, smoothed over paths that share most of their tags, is fused with the punctuation ratio
-and with what the tags on the path say about their role. Paths over the threshold are content, and all their blocks are kept in page order.
+and thresholded. Paths over the threshold are content, and all their blocks are kept in page order. Where tags or names say what the content is
+(`article`, `main`, class="entry-content"), these decide instead of the threshold.
 """
 
 from __future__ import annotations
@@ -54,6 +55,7 @@ HIDDEN_VALUE = re.compile(
     r"(?:\A|\s)(?:style\s*=\s*(?:\"[^\"]*?|'[^']*?|[^\s\"']*?)display\s*:\s*none|aria-hidden\s*=\s*[\"']?true)", re.I
 )
 HEADING = re.compile(r"h[1-6](?:\.|\Z)")
+PARAGRAPH = re.compile(r"p(?:\.|\Z)")
 PUNCTUATION = re.compile(r"[.,;:!?…。、，！？；：¿¡]")
 #: Share of the mean fused ratio of a page's paths that a path must reach, where the page names no content.
 THRESHOLD = 0.5
@@ -155,7 +157,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], int, str, int]]:
                 role = min(role, FOUND_AWAY)
             elif tag == "form":
                 role = min(role, IN_FORM)
-            elif role == 0 and 1 in roles:
+            elif role == 0 and 1 in roles and not HEADING.match(tag):
                 role = 1
         stack.append((tag, name, role))
     add(page[at:])
@@ -187,6 +189,10 @@ def content_paths(page: list[tuple[tuple[str, ...], int, str, int]]) -> set[tupl
     candidates = {k: s for k, s in sums.items() if k[1] in wanted}
     if not candidates:
         return set()
+    if named:
+        # The page names its content, which decides: the short items and cells of an article would fall under a threshold. Only paths that
+        # are mostly links fall out, unless they are paragraphs.
+        return {k for k, s in candidates.items() if s[1] > 2 * s[2] or s[0] * 200 <= s[1] or (k[0] and PARAGRAPH.match(k[0][-1]))}
     # Ratio of text outside links to blocks; a list of links has next to none.
     ratio = {k: max(0.0, n - 2 * linked) / blocks for k, (blocks, n, linked, _) in candidates.items()}
     parents: dict[tuple[str, ...], list] = {}
@@ -199,9 +205,6 @@ def content_paths(page: list[tuple[tuple[str, ...], int, str, int]]) -> set[tupl
         mean = sum(w * ratio[other] for w, other in zip(weights, near, strict=True)) / (sum(weights) or 1)
         blocks, n, _, marks = candidates[k]
         fused[k] = (0.5 * value + 0.5 * mean) * (1 + math.log1p(100 * marks / (n + 1)))
-    if named:
-        # The page names its content: only paths that are mostly links fall out.
-        return {k for k, s in candidates.items() if s[1] > 2 * s[2] or s[0] * 200 <= s[1]}
     bar = THRESHOLD * sum(fused[k] * s[1] for k, s in candidates.items()) / (sum(s[1] for s in candidates.values()) or 1)
     kept = {k for k in candidates if fused[k] >= bar}
     homes = {path[:-1] for path, _ in kept}

@@ -33,3 +33,14 @@ def test_hidden_articles_stay_away(outer):
 def test_articles_of_a_sidebar_beside_the_main_one():
     page = "<div class=sidebar><article><p>No.</p></article></div><div class=page-header><p>No.</p></div><article><p>Yes.</p></article>"
     assert html_text.main_text(page) == "Yes."
+
+
+@pytest.mark.parametrize("name", ["entry-title", "post-title", "content-meta", "entry"])
+def test_a_named_heading_is_not_the_content(name):
+    page = f'<body><h1 class="{name}">Head</h1><p>A first sentence, with words.</p><p>A second one, with words.</p></body>'
+    assert html_text.main_text(page) == "Head\n\nA first sentence, with words.\n\nA second one, with words."
+
+
+def test_paragraphs_of_links_and_short_items_in_an_article():
+    page = "<article><p class=x><a href=/>A linked sentence.</a></p><ul><li>short</ul><div>" + "Long, " * 90 + "</div><div class=y><a>more</a></div></article>"
+    assert html_text.main_text(page).startswith("A linked sentence.\n\nshort\n\nLong, Long") and "more" not in html_text.main_text(page)
