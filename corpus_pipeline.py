@@ -26,17 +26,29 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five words, 80 percent) the document with the smallest doc_id; of rows that share a doc_id, one."""
+    """Of each group of near duplicates (five words, 80 percent) the document with the smallest doc_id, a null one last; of equal rows, one."""
     found = staged(ngram_join.near_duplicates(docs, size=5, percent=80))
+    if not found.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").isEmpty():
+        return _keep_one_by_text(docs)
     dropped = found.where("component_id <> doc_id").select("doc_id").distinct()
     few = dropped.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     kept = docs.join(F.broadcast(dropped) if few else dropped, "doc_id", "left_anti")
-    twice = found.where("n_shingles > 0").groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL")
-    if not twice.isEmpty():
-        kept = kept.where("doc_id IS NULL").unionByName(kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
     return kept.select(*docs.columns)
 
 
+def _keep_one_by_text(docs: DataFrame) -> DataFrame:
+    """The same where ids repeat or are null: each distinct (doc_id, text) has its own key, and texts without words all stay."""
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    found = ngram_join.near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"), size=5, percent=80).where("n_shingles > 0")
+    members = staged(found.select(F.col("doc_id").alias("_key"), "component_id").distinct())
+    smallest = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key"))["_key"]
+    ids = keyed.select("_key", "doc_id").distinct()
+    first = staged(members.join(ids, "_key").groupBy("component_id").agg(smallest.alias("_key")).select("_key"))
+    kept = keyed.join(first, "_key", "left_semi").dropDuplicates(["_key"])
+    wordless = keyed.join(members, "_key", "left_anti")
+    return kept.select(*docs.columns).unionByName(wordless.select(*docs.columns))
+
+
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the strings of 200 bytes that stand more than once; `n_chars` follows the text. No row is dropped."""
     rest = tuple(c for c in docs.columns if c != "text")
