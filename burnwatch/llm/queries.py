@@ -8,7 +8,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from burnwatch.llm import bpe, chat, html_text, mixing, ngram_join, order_minhash, suffix_dedup, toxicity, urls, vectors
+from burnwatch.llm import bpe, chat, hard_negatives, html_text, lexical, mixing, ngram_join, order_minhash, suffix_dedup, token_counts, toxicity, urls, vectors
 
 #: Host, path and verdict of each rule.
 URL_RULES = [
@@ -20,6 +20,8 @@ URL_RULES = [
 #: A conversation whose texts look like marks of other templates.
 CHAT_PROBE = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
+#: The file whose tokens are counted, and the count over which a text is long.
+COUNTED, TOKEN_LIMIT = "byte_bpe_50k.json", 512
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -122,6 +124,29 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@cache
+def merges() -> token_counts.Merges:
+    import public_tokenizers
+
+    return token_counts.Merges.read(public_tokenizers.path(COUNTED))
+
+
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", n_bytes, "text")
+    return token_counts.count_tokens(docs, merges()).withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=20)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = _table(spark, sf_dir, "embeddings").withColumn("label", moved)
+    return hard_negatives.mine(vectors, F.col("vec_id") % 100 == 0, positives=5, negatives=5, low=80, high=100, scale=256)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_mixing": op2_mixing,
@@ -133,4 +158,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_join": op8_ngram_join,
     "op9_bpe": op9_bpe,
     "op10_chat": op10_chat,
+    "op11_token_counts": op11_token_counts,
+    "op12_lexical": op12_lexical,
+    "op13_hard_negatives": op13_hard_negatives,
 }
