@@ -6,7 +6,7 @@ tables and ``joined`` their left join by service name, row by row, so the sums s
 
 from __future__ import annotations
 
-from burnwatch.contract.queries import DIGITS, LATENCY_DIGITS, SERVICE, WEEK_MINUTES, digits
+from burnwatch.contract.queries import CLEAR_AT, DIGITS, LATENCY_DIGITS, RAISE_AT, RUN_PAGES, SERVICE, WEEK_MINUTES, digits
 from burnwatch.schema import FIELDS, RESPONSE_QUANTILES
 from burnwatch.sources.pages import PAGE_SIZE
 
@@ -134,6 +134,9 @@ WITH counted AS (
 )
 """
 
+# The same by the hour.
+HOURS = PRELUDE.replace("date_trunc('day', ts)", "date_trunc('hour', ts)").replace("'%Y-%m-%d'", "'%Y-%m-%d %H'")
+
 _JOIN = "FROM eb e LEFT JOIN resp r ON e.service_name = r.service_name"
 
 _SLI = f"""
@@ -255,7 +258,7 @@ _VOLUME_SUMMARY = f"""
 """
 
 
-def _risk(only_high: bool) -> str:
+def _risk(only_high: bool, prelude: str = PRELUDE) -> str:
     rules = [
         ("error_slope > 0.1", 30, "ERROR_TREND"),
         ("response_slope > 0.001", 20, "RESPONSE_TREND"),
@@ -269,7 +272,7 @@ def _risk(only_high: bool) -> str:
     codes = ", ".join(f"CASE WHEN {c} THEN '{code}' END" for c, _, code in rules)
     n = " + ".join(f"CASE WHEN {c} THEN 1 ELSE 0 END" for c, _, _ in rules)
     keep = "score >= 50" if only_high else "n > 0"
-    return f"""{PRELUDE}, numbered AS (
+    return f"""{prelude}, numbered AS (
   SELECT *, row_number() OVER (PARTITION BY service_name ORDER BY record_time, id) AS i FROM eb
 ), fitted AS (
   SELECT service_name, count(*) AS n_rows, regr_slope(error_rate, i) AS error_slope,
@@ -291,6 +294,17 @@ FROM scored WHERE {keep}
 """
 
 
+def _moments(prefix: str, column: str, low: str, high: str, rounding) -> str:
+    return ", ".join(
+        (
+            rounding(f"avg({column})", f"{prefix}_mean"),
+            rounding(f"stddev_samp({column})", f"{prefix}_std"),
+            rounding(f"min({low})", f"{prefix}_min"),
+            rounding(f"max({high})", f"{prefix}_max"),
+        )
+    )
+
+
 def _stats(prefix: str, column: str, low: str, high: str, rounding) -> str:
     # Latency places follow the column name: p50, p95 and p99 of either prefix are latency-named.
     return ", ".join(
@@ -383,6 +397,13 @@ WITH item AS (
 )
 """
 
+_INGESTED = """
+SELECT id, CAST(sid AS INTEGER) AS sid, service_name, TIMESTAMP '2024-02-01 00:00:00' AS record_time,
+       CAST(total_count AS INTEGER) AS total_count, CAST(error_count AS INTEGER) AS error_count,
+       error_rate, response_time_max, response_time_p95, CAST(98 AS DOUBLE) AS target_error_slo_perc, eb_health,
+       burn_rate, eb_breached, CAST(project_id AS INTEGER) AS project_id, data_category
+"""
+
 # Pages take turns in nine forms; every ninth is left out.
 _PAGES = f"""
 WITH page AS (
@@ -391,6 +412,31 @@ WITH page AS (
 """
 
 
+# An alert is up from a window that reaches one threshold to the window that falls under the other.
+_ALERTS = f"""
+WITH placed AS (
+  SELECT user_id % 10 AS k, date_trunc('hour', ts) - to_hours(CAST(i AS INTEGER)) AS window_start, event_type
+  FROM events, range(6) offsets(i)
+), w AS (
+  SELECT k, CAST(window_start AS TIMESTAMP) AS window_start, count(*) AS n, count(*) FILTER (event_type = 'error') AS err
+  FROM placed GROUP BY 1, 2
+), b AS (
+  SELECT *, 1e2 * err / n / (2e1 + 6 * (k % 5)) AS burn FROM w
+), decided AS (
+  SELECT *, CASE WHEN burn >= {RAISE_AT} THEN true WHEN burn < {CLEAR_AT} THEN false END AS decision FROM b
+), stated AS (
+  SELECT *, coalesce(last_value(decision IGNORE NULLS) OVER (PARTITION BY k ORDER BY window_start), false) AS raised FROM decided
+), changed AS (
+  SELECT *, coalesce(lag(raised) OVER (PARTITION BY k ORDER BY window_start), false) AS before FROM stated
+)
+"""
+
+_BY_HOUR = f"""{HOURS}
+SELECT service_name, hour(record_time) AS hour, {r("avg(error_rate)", "error_rate")},
+       {lat("avg(response_time_avg)", "response_time_avg")}, {big("sum(total_count)", "total_count")}
+FROM eb GROUP BY 1, 2"""
+
+
 def oracle() -> dict[str, str]:
     composite = _composite()
     return {
@@ -561,12 +607,8 @@ SELECT 'svc_' || k AS service_name, window_start, window_start + INTERVAL 90 MIN
        CASE WHEN actual / target < 1 THEN 'healthy' WHEN actual / target < 2 THEN 'warning'
             WHEN actual / target < 10 THEN 'critical' ELSE 'emergency' END AS severity
 FROM b""",
-        "ingested_records": f"""{_INGEST}
-SELECT id, CAST(sid AS INTEGER) AS sid, service_name, TIMESTAMP '2024-02-01 00:00:00' AS record_time,
-       CAST(total_count AS INTEGER) AS total_count, CAST(error_count AS INTEGER) AS error_count,
-       error_rate, response_time_max, response_time_p95, CAST(98 AS DOUBLE) AS target_error_slo_perc, eb_health,
-       burn_rate, eb_breached, CAST(project_id AS INTEGER) AS project_id, data_category
-FROM loaded""",
+        "ingested_records": f"{_INGEST} {_INGESTED} FROM loaded",
+        "ingested_cut_pages": f"{_INGEST} {_INGESTED} FROM loaded",
         "ingest_rejects": f"{_INGEST} SELECT page_id, pos, bad_keys FROM faulty WHERE bad_keys <> ''",
         "page_problems": f"""{_PAGES}
 SELECT page_id, CASE page_id % 9 WHEN 4 THEN 'unreadable' WHEN 7 THEN 'missing' ELSE 'short' END AS reason
@@ -582,4 +624,70 @@ SELECT count(*) FILTER (data_category = 'EB') AS eb_records, count(*) FILTER (da
        count(*) FILTER (data_category = 'EB' AND eb_health = 'UNHEALTHY') AS eb_unhealthy_records,
        count(*) FILTER (data_category = 'EB' AND burn_rate > 2) AS high_burn_records
 FROM loaded""",
+        "run_problems": f"""
+WITH page AS (
+  SELECT DISTINCT event_id // {PAGE_SIZE} // {RUN_PAGES} AS run, event_id // {PAGE_SIZE} % {RUN_PAGES} AS page_id FROM events
+), kept AS (
+  SELECT *, max(page_id) OVER (PARTITION BY run) AS last FROM page WHERE page_id % 7 <> 3
+)
+SELECT 'run_' || run AS sequence, page_id, 'missing' AS reason
+FROM (SELECT DISTINCT run, last, unnest(range(0, last)) AS page_id FROM kept) WHERE page_id % 7 = 3""",
+        "run_records": f"""{_INGEST}, placed AS (
+  SELECT * REPLACE (CASE WHEN n % 11 <> 0 THEN id WHEN n % 3 <> 0 THEN 'platform_' || n
+                         ELSE 'platform_run_' || (n // {PAGE_SIZE} // {RUN_PAGES}) || ':' || (n // {PAGE_SIZE} % {RUN_PAGES}) || ':' || (n % {PAGE_SIZE}) END AS id)
+  FROM typed WHERE data_category IN ('EB', 'RESPONSE') AND n // {PAGE_SIZE} % {RUN_PAGES} % 7 <> 3
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY data_category, id ORDER BY 'run_' || (n // {PAGE_SIZE} // {RUN_PAGES}) DESC, n DESC) AS i FROM placed
+)
+SELECT id, CAST(sid AS INTEGER) AS sid, data_category, error_rate FROM ranked WHERE i = 1""",
+        # Where two batches have an id, the row of the later batch stays, and within one the row that arrived last.
+        "latest_records": f"""{_INGEST}, sized AS (
+  SELECT event_id // {PAGE_SIZE} AS page_id, count(*) AS items FROM events GROUP BY 1
+), offsets AS (
+  SELECT page_id, sum(items) OVER (PARTITION BY page_id % 3 ORDER BY page_id) - items AS page_offset FROM sized
+), renamed AS (
+  SELECT typed.* REPLACE (CASE WHEN typed.n % 11 = 0 AND typed.n % 3 = 0 THEN 'platform_' || CAST(page_offset + typed.n % {PAGE_SIZE} AS BIGINT) ELSE id END AS id)
+  FROM typed JOIN offsets ON typed.n // {PAGE_SIZE} = page_id WHERE data_category IN ('EB', 'RESPONSE')
+), newest AS (
+  SELECT * FROM renamed QUALIFY row_number() OVER (PARTITION BY data_category, id ORDER BY (n // {PAGE_SIZE}) % 3 DESC, n DESC) = 1
+)
+SELECT * EXCLUDE (record_time) FROM ({_INGESTED} FROM newest)""",
+        "coerced_times": """
+WITH forms AS (
+  SELECT event_id AS n, 'i' || (event_id % 5000) AS id, CAST(event_id % 100 AS INTEGER) AS total_count, event_id % 3 AS form,
+         CASE WHEN event_id % 3 < 2 THEN make_timestamp(1700000000000000 + event_id * 1000000)
+              WHEN event_id % 7 > 1 THEN CAST(date_trunc('second', ts) AS TIMESTAMP) END AS record_time
+  FROM events WHERE event_id % 10 <> 3
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY form, id ORDER BY n DESC) AS i FROM forms WHERE record_time IS NOT NULL
+)
+SELECT id, record_time, total_count FROM ranked WHERE i = 1""",
+        "burn_alerts": f"""{_ALERTS}, islands AS (
+  SELECT *, sum(CASE WHEN raised AND NOT before THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY window_start) AS alert,
+         lead(window_start) OVER (PARTITION BY k ORDER BY window_start) AS next_start
+  FROM changed
+)
+SELECT 'svc_' || k AS service_name, min(window_start) AS raised_at, CASE WHEN bool_and(next_start IS NOT NULL) THEN max(next_start) END AS cleared_at, count(*) AS windows,
+       {r("max(burn)", "peak_burn_rate")}, arg_max(window_start, (burn, -epoch(window_start))) AS peak_at,
+       CASE WHEN max(burn) < 1 THEN 'healthy' WHEN max(burn) < 2 THEN 'warning' WHEN max(burn) < 10 THEN 'critical' ELSE 'emergency' END AS severity
+FROM islands WHERE raised GROUP BY k, alert""",
+        "alert_changes": f"""{_ALERTS}
+SELECT 'svc_' || k AS service_name, window_start, CASE WHEN raised THEN 'raised' ELSE 'cleared' END AS change, {r("burn", "burn_rate")}
+FROM changed WHERE raised <> before""",
+        "hours_of_day": _BY_HOUR,
+        "hours_of_day_from_partials": _BY_HOUR,
+        "risk_from_partials": _risk(only_high=False, prelude=HOURS),
+        "history_from_partials": f"""{HOURS}
+SELECT service_name, count(*) AS data_points, min(record_time) AS time_range_start, max(record_time) AS time_range_end,
+       {_moments("error_rate_stats", "error_rate", "error_rate", "error_rate", r)},
+       {_moments("response_time_stats", "response_time_avg", "response_time_min", "response_time_max", lat)},
+       {big("sum(total_count)", "traffic_stats_total_requests")},
+       {r("avg(total_count)", "traffic_stats_avg_requests_per_period")},
+       {big("max(total_count)", "traffic_stats_peak_requests")}, {big("min(total_count)", "traffic_stats_min_requests")},
+       {", ".join(f"true AS {stats}_stats_p{p}_near" for stats in ("error_rate", "response_time") for p in (50, 95, 99))}
+FROM eb GROUP BY service_name""",
+        "answers_for_asked": f"""{PRELUDE}{_window_sums('w', 168)}, found AS (SELECT service_name, {_budget_select()} FROM w)
+SELECT a.service_name, found.* EXCLUDE (service_name, time_window_hours),
+       CASE WHEN found.service_name IS NULL THEN 'No data found for this service' END AS error
+FROM (VALUES ('svc_3'), ('svc_99'), ('svc_7')) a(service_name) LEFT JOIN found USING (service_name)""",
     }

@@ -5,13 +5,15 @@ Results are flat (no nested columns) and doubles are rounded, so that they can b
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from burnwatch.contract.fixture import EVENT_RULES
-from burnwatch.operators import budget, degradation, health, rankings, sli, trends
+from burnwatch.operators import budget, degradation, health, partials, rankings, sli, trends
+from burnwatch.plans.staging import shared_dir, staged
 from burnwatch.plans.tables import (
     SloTables,
     all_services,
@@ -21,11 +23,13 @@ from burnwatch.plans.tables import (
     service_logs,
     time_range,
 )
-from burnwatch.registry import json_rows
+from burnwatch.registry import answered, json_rows
+from burnwatch.schema import SERVICE_LOG_SCHEMA
 from burnwatch.sources import pages as page_source
 from burnwatch.sources import records
 from burnwatch.sources.rollup import daily_tables
-from burnwatch.sources.store import clean
+from burnwatch.sources.store import SnapshotStore, clean
+from burnwatch.streaming.alerts import alert_changes, burn_alerts
 from burnwatch.streaming.burn import sliding_burn_rate
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -110,33 +114,26 @@ def slo_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _risk(operator: Callable[..., DataFrame]) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = flattened(operator(tables(spark, sf_dir)))
-        return rounded(
-            found.withColumn("risk_codes", F.array_join("risk_codes", "|"))
-            .withColumn("n_factors", F.size("risk_factors").cast("bigint"))
-            .withColumn("risk_score", F.col("risk_score").cast("bigint"))
-            .drop("risk_factors")
-        )
+        return _flat_risk(operator(tables(spark, sf_dir)))
 
     return query
 
 
+def _flat_risk(found: DataFrame) -> DataFrame:
+    return rounded(
+        flattened(found).withColumn("risk_codes", F.array_join("risk_codes", "|"))
+        .withColumn("n_factors", F.size("risk_factors").cast("bigint"))
+        .withColumn("risk_score", F.col("risk_score").cast("bigint"))
+        .drop("risk_factors")
+    )
+
+
 def historical_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(flattened(trends.historical_patterns(tables(spark, sf_dir)).drop("hourly_patterns")))
 
 
 def hourly_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = trends.historical_patterns(tables(spark, sf_dir))
-    hours = found.select("service_name", F.explode("hourly_patterns").alias("hour", "pattern"))
-    return rounded(
-        hours.select(
-            "service_name",
-            F.col("hour").cast("bigint").alias("hour"),
-            "pattern.error_rate",
-            "pattern.response_time_avg",
-            "pattern.total_count",
-        )
-    )
+    return _by_hour(trends.historical_patterns(tables(spark, sf_dir)))
 
 
 def daily_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,6 +183,73 @@ def window_burn_rate_uneven(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(sliding_burn_rate(events(spark, sf_dir), EVENT_RULES, window="90 minutes", slide="1 hour"))
 
 
+#: Burn rates that raise and clear an alert in the registered queries.
+RAISE_AT, CLEAR_AT = 1.2, 0.8
+
+
+def _six_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sliding_burn_rate(events(spark, sf_dir), EVENT_RULES, window="6 hours", slide="1 hour")
+
+
+def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(burn_alerts(_six_hours(spark, sf_dir), RAISE_AT, CLEAR_AT))
+
+
+def alert_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(alert_changes(_six_hours(spark, sf_dir), RAISE_AT, CLEAR_AT))
+
+
+# --- by the hour, and from stored figures ---
+
+
+def hourly_tables(spark: SparkSession, sf_dir: str) -> SloTables:
+    return daily_tables(events(spark, sf_dir), EVENT_RULES, quantiles=False, grain="HOUR")
+
+
+def hours_of_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The map by hour of day over logs by the hour, so that all 24 hours are in it."""
+    return _by_hour(trends.historical_patterns(hourly_tables(spark, sf_dir)))
+
+
+def _by_hour(found: DataFrame) -> DataFrame:
+    hours = found.select("service_name", F.explode("hourly_patterns").alias("hour", "pattern"))
+    return rounded(hours.select("service_name", F.col("hour").cast("bigint").alias("hour"), "pattern.error_rate", "pattern.response_time_avg", "pattern.total_count"))
+
+
+def stored_partials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return staged(partials.partials(hourly_tables(spark, sf_dir)), f"{shared_dir(spark)}/partials-{uuid.uuid4().hex}")
+
+
+def hours_of_day_from_partials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _by_hour(partials.history_from(stored_partials(spark, sf_dir)))
+
+
+def risk_from_partials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat_risk(partials.risk_from(stored_partials(spark, sf_dir)))
+
+
+def history_from_partials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole history from stored figures; of the quantiles, whether their rank is as near as it should be."""
+    found = flattened(partials.history_from(stored_partials(spark, sf_dir)).drop("hourly_patterns"))
+    points = [f"{stats}_stats_p{p}" for stats in ("error_rate", "response_time") for p in (50, 95, 99)]
+    logs = hourly_tables(spark, sf_dir).eb.join(found.select("service_name", *points), "service_name")
+    shares = []
+    for point in points:
+        column = "error_rate" if point.startswith("error") else "response_time_avg"
+        fraction = int(point[-2:]) / 100
+        under, upto = F.avg((F.col(column) < F.col(point)).cast("int")), F.avg((F.col(column) <= F.col(point)).cast("int"))
+        shares.append(((under <= fraction + partials.RANK_ERROR) & (upto >= fraction - partials.RANK_ERROR)).alias(f"{point}_near"))
+    near = logs.groupBy("service_name").agg(*shares)
+    return rounded(found.drop(*points).join(near, "service_name"))
+
+
+def answers_for_asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Budgets of the services asked for: a record for each, also for one that there is no data of."""
+    t = tables(spark, sf_dir)
+    found = sli.error_budget(t, time_window_hours=168, as_of=latest_time(t.eb))
+    return rounded(answered(found, ["svc_3", "svc_99", "svc_7"])).drop("time_window_hours")
+
+
 # --- ingest: every event becomes one JSON item of a page of 200 ---
 
 
@@ -272,7 +336,7 @@ _INGEST_COLUMNS = (
 
 def ingested_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages to typed, deduplicated records of both categories."""
-    loaded = clean(records.good_records(_typed(spark, sf_dir)), ["page_id", "pos"])
+    loaded = clean(records.good_records(_typed(spark, sf_dir)), records.ARRIVAL)
     return loaded.select(*_INGEST_COLUMNS)
 
 
@@ -284,7 +348,7 @@ def ingest_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ingest_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.load_statistics(clean(records.good_records(_typed(spark, sf_dir)), ["page_id", "pos"]))
+    return records.load_statistics(clean(records.good_records(_typed(spark, sf_dir)), records.ARRIVAL))
 
 
 def pages_of_all_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -314,6 +378,62 @@ def page_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return typed.groupBy("page_id").agg(F.count_if("is_record").alias("records"), F.max("page_items").cast("bigint").alias("items"))
 
 
+def cut_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of pages that were cut into parts of a few items each, as too large ones are."""
+    none = F.lit(None).cast("string")
+    pages = event_pages(spark, sf_dir).select("page_id", none.alias("path"), none.alias("sequence"), "body")
+    parts = page_source.cut_pages(pages, part=2_000)
+    typed = records.records_from_pages(parts, ingest_time="2024-02-01 00:00:00")
+    return clean(records.good_records(typed), records.ARRIVAL).select(*_INGEST_COLUMNS)
+
+
+#: Pages of a run in the query of several runs.
+RUN_PAGES = 20
+
+
+def runs_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of several runs, each numbered from 0; every seventh page of a run is left out."""
+    page = F.col("page_id")
+    run = F.concat(F.lit("run_"), F.floor(page / RUN_PAGES).cast("string"))
+    pages = event_pages(spark, sf_dir).select(run.alias("sequence"), (page % RUN_PAGES).alias("page_id"), "body")
+    return pages.filter("page_id % 7 <> 3")
+
+
+def run_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    landed = runs_of_pages(spark, sf_dir)
+    return page_source.page_problems(landed, page_source.page_items(landed)).select("sequence", "page_id", "reason")
+
+
+def run_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How records of several runs are named: by key, by transaction, or by run, page and position."""
+    typed = records.records_from_pages(runs_of_pages(spark, sf_dir), ingest_time="2024-02-01 00:00:00")
+    return clean(records.good_records(typed), records.ARRIVAL).select("id", "sid", "data_category", "error_rate")
+
+
+def stored_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three micro-batches in a store, one of them replayed; the newest row of each id over all of them."""
+    store = SnapshotStore(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    pages = event_pages(spark, sf_dir)
+    for batch in (0, 1, 1, 2):
+        store.load_batch(pages.filter(F.col("page_id") % 3 == batch), "events", batch)
+    kept = store.tables(latest=True)
+    columns = [c for c in _INGEST_COLUMNS if c != "record_time"]
+    return kept.eb.unionByName(kept.resp).select(*columns)
+
+
+def coerced_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times as epoch milliseconds in text or number, times as text, times that are none, and ids that are missing."""
+    n = F.col("event_id")
+    ident = F.when(n % 10 != 3, F.concat(F.lit("i"), (n % 5000).cast("string")))
+    rest = [F.lit(None).cast(f.dataType).alias(f.name) for f in SERVICE_LOG_SCHEMA if f.name not in ("id", "record_time", "data_category", "total_count")]
+    shared = [ident.alias("id"), F.lit("EB").alias("data_category"), (n % 100).cast("int").alias("total_count"), n.alias("n"), *rest]
+    all_events = events(spark, sf_dir)
+    text = F.when(n % 7 == 0, F.lit("soon")).when(n % 7 == 1, F.lit(None)).otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"))
+    forms = [(0, F.lit(1_700_000_000_000) + n * 1000), (1, (F.lit(1_700_000_000_000) + n * 1000).cast("double")), (2, text)]
+    parts = [clean(all_events.filter(n % 3 == form).select(*shared, time.alias("record_time")), ["n"]) for form, time in forms]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("id", "record_time", "total_count")
+
+
 QUERIES: dict[str, Query] = {
     "current_sli": _over_tables(sli.current_sli, quantiles=True),
     "current_sli_one_service": _over_tables(sli.current_sli, quantiles=True, service_name=SERVICE),
@@ -357,4 +477,16 @@ QUERIES: dict[str, Query] = {
     "page_problems": page_problems,
     "page_counts": page_counts,
     "ingest_statistics": ingest_statistics,
+    "ingested_cut_pages": cut_pages,
+    "run_problems": run_problems,
+    "run_records": run_records,
+    "latest_records": stored_batches,
+    "coerced_times": coerced_times,
+    "burn_alerts": alerts,
+    "alert_changes": alert_log,
+    "hours_of_day": hours_of_day,
+    "hours_of_day_from_partials": hours_of_day_from_partials,
+    "risk_from_partials": risk_from_partials,
+    "history_from_partials": history_from_partials,
+    "answers_for_asked": answers_for_asked,
 }

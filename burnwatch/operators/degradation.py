@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from burnwatch.functions import aggregate, named, number
 from burnwatch.functions.scoring import change_severity, exceeds, or_zero, or_zero_count, percent_change
 from burnwatch.plans.quantiles import join_on_keys
-from burnwatch.plans.tables import SloTables, TimeLike, as_time, for_service, in_time_range, latest_time, minutes
+from burnwatch.plans.tables import SloTables, TimeLike, as_time, for_service, in_time_range, minutes
 
 WINDOW_MINUTES = 30
 THRESHOLD_PERCENT = 20.0
@@ -23,7 +23,7 @@ _CHANGES = [f"{metric}_change_percent" for metric in _METRICS]
 
 
 def _anchor(tables: SloTables, as_of: TimeLike) -> Column:
-    return latest_time(tables.eb) if as_of is None else as_time(as_of)
+    return tables.latest_time() if as_of is None else as_time(as_of)
 
 
 def _change(metric: str) -> str:

@@ -74,21 +74,20 @@ _RULES: tuple[tuple[str, int, str, str], ...] = (
 )
 
 
+TREND_VALUES = {"error": "error_rate", "response": "response_time_avg"}
+TREND_ORDER = ["record_time", "id"]
+LATEST = ["error_rate", "response_time_avg", "target_error_slo_perc", "target_response_slo_sec", "total_count"]
+
+
 def service_risk(tables: SloTables) -> DataFrame:
     """Risk score, level and reasons for every service with at least three records and one reason."""
-    latest = ["error_rate", "response_time_avg", "target_error_slo_perc", "target_response_slo_sec", "total_count"]
-    history = tables.eb.select("service_name", "record_time", "id", *latest)
-    frame = (
-        spread_trends(
-            history,
-            "service_name",
-            ["record_time", "id"],
-            {"error": "error_rate", "response": "response_time_avg"},
-            latest,
-        )
-        .filter(f"rows >= {MIN_ROWS}")
-        .selectExpr("service_name", "error_slope", "response_slope", "error_std", "latest.*")
-    )
+    history = tables.eb.select("service_name", "record_time", "id", *LATEST)
+    return judged(spread_trends(history, "service_name", TREND_ORDER, TREND_VALUES, LATEST))
+
+
+def judged(found: DataFrame) -> DataFrame:
+    """Risk of each service from its trends, spread and latest record."""
+    frame = found.filter(f"rows >= {MIN_ROWS}").selectExpr("service_name", "error_slope", "response_slope", "error_std", "latest.*")
     score = " + ".join(f"CASE WHEN {holds} THEN {points} ELSE 0 END" for holds, points, _, _ in _RULES)
     texts = ", ".join(f"CASE WHEN {holds} THEN {text} END" for holds, _, _, text in _RULES)
     codes = ", ".join(f"CASE WHEN {holds} THEN '{code}' END" for holds, _, code, _ in _RULES)

@@ -3,25 +3,25 @@
 The built-in ``percentile`` keeps every distinct value of a group in one task's memory.  ``spread_quantiles`` instead
 
 1. counts each (group, value) pair, combining on the map side, so repeated values of a hot group never travel;
-2. range-partitions the pairs, so that a big group is cut into value ranges (chunks) of even size, and reduces each
-   chunk to its row count and bounds;
-3. adds the counts up along the chunks of a group (at most one row per chunk) and so finds the chunk that
+2. puts each pair into a cell that follows from its value alone, 1/4096 of an octave wide, and adds up the rows of each cell, again combining first;
+3. adds the counts up along the cells of a group, of which there are some thousands whatever the number of rows, and so finds the cell that
    holds each wanted rank;
-4. reads only the pairs inside those chunks and walks their running counts.
+4. reads only the pairs inside those cells and walks their running counts.
 
-Chunks are identified by their value bounds, not by partition number, so the result does not depend on how a run
-happened to place the cuts.
+Steps 2 and 4 start from one exchange of the pairs.  There is one plan for every size, no job of its own to find cuts, and nothing depends on how a run places rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from burnwatch.plans.scale import range_cuts
+#: Cells of an octave, and a number above all cells of positive values.
+CELLS_OF_OCTAVE, BEYOND = 4096, 10_000_000
 
 
 def same_keys(left: str, right: str, keys: Sequence[str]) -> Column:
@@ -29,6 +29,16 @@ def same_keys(left: str, right: str, keys: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys])
 
 
+def cell(value: str) -> Column:
+    """The cell of a value: never falls as the value grows.  Infinite values and NaN, the largest, have cells of their own."""
+    size = f"CAST(floor(ln(abs(CAST({value} AS DOUBLE))) * {CELLS_OF_OCTAVE / math.log(2)!r}D) AS INT)"
+    return F.expr(
+        f"""CASE WHEN {value} = 0 THEN 0 WHEN isnan({value}) THEN {3 * BEYOND}
+            WHEN abs({value}) = double('Infinity') THEN CASE WHEN {value} > 0 THEN {3 * BEYOND - 1} ELSE {1 - 3 * BEYOND} END
+            WHEN {value} > 0 THEN {BEYOND} + {size} ELSE -{BEYOND} - {size} END"""
+    )
+
+
 def spread_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, fractions: Sequence[float], output: str, weight: str | None = None
 ) -> DataFrame:
@@ -43,18 +53,13 @@ def spread_quantiles(
         .agg(rows.alias("_n"))
     )
 
-    chunks = (
-        pairs.repartitionByRange(*range_cuts(df.select(*keys, value)), *keys, "_value")
-        .withColumn("_chunk", F.spark_partition_id())
-        .groupBy(*keys, "_chunk")
-        .agg(F.sum("_n").alias("_rows"), F.min("_value").alias("_low"), F.max("_value").alias("_high"))
-    )
-    along = Window.partitionBy(*keys).orderBy("_low")
+    pairs = pairs.withColumn("_cell", cell("_value"))
+    cells = pairs.groupBy(*keys, "_cell").agg(F.sum("_n").alias("_rows"))
+    along = Window.partitionBy(*keys).orderBy("_cell")
     whole = Window.partitionBy(*keys)
-    placed = chunks.select(
+    placed = cells.select(
         *keys,
-        "_low",
-        "_high",
+        "_cell",
         "_rows",
         (F.sum("_rows").over(along) - F.col("_rows")).alias("_before"),
         F.sum("_rows").over(whole).alias("_total"),
@@ -68,8 +73,7 @@ def spread_quantiles(
     )
     wanted = placed.select(
         *keys,
-        "_low",
-        "_high",
+        "_cell",
         "_before",
         "_total",
         F.filter(
@@ -79,13 +83,10 @@ def spread_quantiles(
 
     inside = (
         pairs.alias("p")
-        .join(
-            wanted.alias("w"),
-            same_keys("p", "w", keys) & F.col("p._value").between(F.col("w._low"), F.col("w._high")),
-        )
-        .select(*[F.col(f"p.{k}") for k in keys], "_value", "_n", "_low", "_before", "_total", "_ranks")
+        .join(wanted.alias("w"), same_keys("p", "w", [*keys, "_cell"]))
+        .select(*[F.col(f"p.{k}") for k in keys], "_value", "_n", "p._cell", "_before", "_total", "_ranks")
     )
-    walk = Window.partitionBy(*keys, "_low").orderBy("_value")
+    walk = Window.partitionBy(*keys, "_cell").orderBy("_value")
     reached = inside.withColumn("_end", F.col("_before") + F.sum("_n").over(walk))
     hits = reached.select(
         *keys,

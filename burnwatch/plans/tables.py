@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
-from datetime import datetime
+from datetime import date, datetime
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -23,10 +23,12 @@ class SloTables:
 
     Operators that combine both sides read ``logs`` once and aggregate it with per-category conditions, so that
     they need one shuffle and no join.  A frame may be given as a function that builds it when it is first used.
+    ``newest_day`` is the newest day partition of the error-budget logs where the store knows it.
     """
 
-    def __init__(self, eb: Frame, resp: Frame, logs: Frame):
+    def __init__(self, eb: Frame, resp: Frame, logs: Frame, newest_day: date | None = None):
         self._frames = {EB: eb, RESPONSE: resp, "both": logs}
+        self.newest_day = newest_day
 
     def _frame(self, name: str) -> DataFrame:
         if not isinstance(self._frames[name], DataFrame):
@@ -45,11 +47,16 @@ class SloTables:
     def logs(self) -> DataFrame:
         return self._frame("both")
 
+    def latest_time(self) -> Column:
+        """The newest record time of the error-budget logs; where the newest day is known, only that day is read for it."""
+        logs = self.eb if self.newest_day is None else self.eb.filter(F.col(PARTITION) == F.lit(self.newest_day))
+        return latest_time(logs)
+
     @classmethod
-    def from_pair(cls, eb: DataFrame, resp: DataFrame) -> SloTables:
+    def from_pair(cls, eb: DataFrame, resp: DataFrame, newest_day: date | None = None) -> SloTables:
         eb = eb.withColumn("data_category", F.lit(EB))
         resp = resp.withColumn("data_category", F.lit(RESPONSE))
-        return cls(eb, resp, lambda: eb.unionByName(resp))
+        return cls(eb, resp, lambda: eb.unionByName(resp), newest_day)
 
     @classmethod
     def from_logs(cls, logs: DataFrame) -> SloTables:
@@ -72,13 +79,14 @@ def minutes(n: float) -> Column:
     return F.make_dt_interval(secs=F.lit(n * 60))
 
 
-def in_time_range(logs: DataFrame, start: Column | None, end: Column | None) -> DataFrame:
-    """Records between two times, both inclusive.  On a table partitioned by ``record_date`` the days are pruned too."""
-    for bound, keep in ((start, lambda c, b: c >= b), (end, lambda c, b: c <= b)):
+def in_time_range(logs: DataFrame, start: Column | None, end: Column | None, *, closed: bool = True) -> DataFrame:
+    """Records between two times, the end included unless not ``closed``.  On a table partitioned by ``record_date`` the days are pruned too."""
+    until = (lambda c, b: c <= b) if closed else (lambda c, b: c < b)
+    for bound, keep, keep_day in ((start, lambda c, b: c >= b, lambda c, b: c >= b), (end, until, lambda c, b: c <= b)):
         if bound is not None:
             logs = logs.filter(keep(F.col("record_time"), bound))
             if PARTITION in logs.columns:
-                logs = logs.filter(keep(F.col(PARTITION), bound.cast("date")))
+                logs = logs.filter(keep_day(F.col(PARTITION), bound.cast("date")))
     return logs
 
 

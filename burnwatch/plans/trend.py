@@ -27,6 +27,16 @@ def spread_trends(
 ) -> DataFrame:
     cut = df.repartitionByRange(*range_cuts(df), F.col(key).asc_nulls_last(), *_ascending(order))
     pieces = cut.withColumn("_piece", F.spark_partition_id())
+    return merged_pieces(piece_moments(pieces, key, order, values, latest), key, values)
+
+
+def piece_moments(
+    pieces: DataFrame, key: str, order: Sequence[str], values: dict[str, str], latest: Sequence[str], more: dict[str, str] | None = None
+) -> DataFrame:
+    """Each (key, ``_piece``) reduced to its number of rows, its last row, and moments of each value and of its place in the piece.
+
+    Pieces of a key follow each other in the order.  ``more`` are further aggregates of the rows of a piece.
+    """
     local = F.row_number().over(Window.partitionBy(key, "_piece").orderBy(*_ascending(order)))
     moments = {"_rows": "count(1)", "_latest": f"max_by(struct({', '.join(latest)}), _x)"}
     for name, value in values.items():
@@ -39,18 +49,21 @@ def spread_trends(
             f"_vy_{name}": f"var_pop({value})",
             f"_cxy_{name}": f"covar_pop({x}, {value})",
         }
-    summed = aggregate(pieces.withColumn("_x", local.cast("double")), [key, "_piece"], moments)
+    return aggregate(pieces.withColumn("_x", local.cast("double")), [key, "_piece"], moments | (more or {}))
+
 
+def merged_pieces(summed: DataFrame, key: str, values: dict[str, str], more: dict[str, str] | None = None) -> DataFrame:
+    """Trends of each key from its pieces; ``<name>_mean`` too.  ``more`` are further aggregates over the pieces of a key."""
     # One row per piece from here on: shift the positions by the rows before the piece, then take distances from the mean.
     whole = f"OVER (PARTITION BY {key})"
-    before = f"OVER (PARTITION BY {key} ORDER BY _piece ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    before = f"OVER (PARTITION BY {key} ORDER BY _piece ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     placed = summed.selectExpr("*", f"coalesce(sum(_rows) {before}, 0L) AS _offset")
     distances = {}
     for name in values:
         for axis, mean in (("x", f"(_mx_{name} + _offset)"), ("y", f"_my_{name}")):
             total = f"sum(_n_{name} * {mean}) {whole}"
             distances[f"_d{axis}_{name}"] = f"{mean} - try_divide({total}, sum(_n_{name}) {whole})"
-    merged = {"rows": "sum(_rows)", "latest": "max_by(_latest, _piece)"}
+    merged = {"rows": "sum(_rows)", "latest": "max_by(_latest, _offset)"}
     for name in values:
         n, dx, dy = f"_n_{name}", f"_dx_{name}", f"_dy_{name}"
         sxx = f"sum({n} * (_vx_{name} + {dx} * {dx}))"
@@ -58,4 +71,5 @@ def spread_trends(
         sxy = f"sum({n} * (_cxy_{name} + {dx} * {dy}))"
         merged[f"{name}_slope"] = f"CASE WHEN {sxx} > 0 THEN try_divide({sxy}, {sxx}) ELSE 0D END"
         merged[f"{name}_std"] = f"CASE WHEN sum({n}) > 1 THEN sqrt({syy} / (sum({n}) - 1)) END"
-    return aggregate(placed.selectExpr("*", *named(distances)), [key], merged)
+        merged[f"{name}_mean"] = f"try_divide(sum({n} * _my_{name}), sum({n}))"
+    return aggregate(placed.selectExpr("*", *named(distances)), [key], merged | (more or {}))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -35,6 +35,9 @@ FUNCTIONS: dict[str, Callable[..., DataFrame]] = {
     "get_slo_governance_status": health.slo_governance_status,
 }
 
+#: What a function says of a service without data, where it is not the common text.
+NO_DATA = dict.fromkeys(("get_volume_trends", "get_historical_patterns"), "No data found for service {service}")
+
 
 def run(name: str, tables: SloTables, **parameters: Any) -> DataFrame:
     """Run a function by name; per-service functions cover all services unless ``service_name`` is given."""
@@ -43,6 +46,32 @@ def run(name: str, tables: SloTables, **parameters: Any) -> DataFrame:
     return FUNCTIONS[name](tables, **parameters)
 
 
+def ask(name: str, tables: SloTables, services: str | Sequence[str], **parameters: Any) -> DataFrame:
+    """A per-service function for the services asked for, in one job, with a record for each: where there is no data, one with an ``error`` text."""
+    asked = [services] if isinstance(services, str) else list(services)
+    wanted = F.col("service_name").isin(asked)
+    chosen = SloTables.from_pair(tables.eb.filter(wanted), tables.resp.filter(wanted), tables.newest_day)
+    if parameters.get("as_of") is None and name == "get_volume_trends":
+        # The window ends at the newest record of all services.
+        parameters["as_of"] = tables.latest_time()
+    return answered(run(name, chosen, **parameters), asked, NO_DATA.get(name, sli.NO_DATA))
+
+
+def answered(result: DataFrame, services: Sequence[str], text: str = sli.NO_DATA) -> DataFrame:
+    """The result's rows of the services, and a row for each other one with NULLs and an ``error``; the text may name the ``{service}``.
+
+    The names asked for are joined to the rows; a result that has an ``error`` column keeps it.
+    """
+    spark = result.sparkSession
+    names = spark.createDataFrame([(s, text.format(service=s)) for s in dict.fromkeys(services)], "service_name string, _none string")
+    columns = [c for c in result.columns if c != "error"]
+    found = result.withColumn("_found", F.lit(True))
+    error = F.when(F.col("_found").isNull(), F.col("_none"))
+    if "error" in result.columns:
+        error = F.coalesce("error", error)
+    return names.join(found, "service_name", "left").select(*columns, error.alias("error"))
+
+
 def json_rows(result: DataFrame) -> DataFrame:
     """One JSON text per row in column ``value``: ISO timestamps, NULLs kept, NaN as null."""
     columns = [

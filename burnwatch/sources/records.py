@@ -7,7 +7,7 @@ absent from null.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from burnwatch.plans.tables import TimeLike, as_time
@@ -15,6 +15,8 @@ from burnwatch.schema import COLUMNS, EB, FIELDS, RESPONSE, UNHEALTHY, Field
 from burnwatch.sources.pages import PAGE_SIZE, kept_pages, no_data_found, page_items, page_offsets
 
 BURN_ALERT = 2.0
+#: Columns that order records as they arrived.
+ARRIVAL = ["sequence", "page_id", "pos"]
 
 _PERCENTILES = "avgPercentiles"
 _TYPES = {"int": "INT", "int_or_zero": "INT", "float": "DOUBLE", "str": "STRING"}
@@ -143,22 +145,26 @@ def typed_items(items: DataFrame, ingest_time: TimeLike = None, event_time_key:
 
     A no-data item becomes a placeholder with ``is_record`` false, like the row of an empty page: it carries its page
     through the cut of the sequence and is no record.  Records carry the time of the load, or with ``event_time_key`` the time
-    under that key of the item.
+    under that key of the item.  ``has_id`` tells records that name themselves from those named by their place.
+
+    The readings of an item and the check of its keys are rows of their own (``inline``, ``explode``): a filter on what is derived from them then works on the finished values,
+    where it would otherwise be pushed below them and repeat the casts of the whole item for every key it touches.
     """
     stamp = F.localtimestamp() if ingest_time is None else as_time(ingest_time)
     if event_time_key is not None:
         stamp = F.expr(event_time(event_time_key))
     usable = items.withColumn("item", F.when(~no_data_found(F.col("item")), F.col("item")))
     bad = ", ".join(f"CASE WHEN {fault} THEN '{key}' END" for key, fault in _faults().items())
-    page = ["page_id", "page_items", "page_ends", "pos"]
+    page = ["sequence", "page_id", "page_items", "page_ends", "pos", "is_record", "has_id"]
     typed, raw = _readings()
+    has = " OR ".join(f"try_variant_get(item, '$.{key}', 'variant') IS NOT NULL" for key in ("key", "transactionId"))
     return (
         usable.withColumn("_ingest_time", stamp)
-        .selectExpr("*", f"{typed} AS _typed", f"{raw} AS _raw")
-        .selectExpr("*", f"array_compact(array({bad})) AS bad_keys")
+        .selectExpr("*", "item IS NOT NULL AS is_record", f"{has} AS has_id")
+        .selectExpr("*", f"inline(array(named_struct('_typed', {typed}, '_raw', {raw})))")
+        .selectExpr("*", f"explode(array(array_compact(array({bad})))) AS bad_keys")
         .selectExpr(
             *page,
-            "item IS NOT NULL AS is_record",
             "bad_keys",
             "CASE WHEN size(bad_keys) > 0 THEN to_json(item) END AS source",
             *[f"CAST({_value(field)} AS {field.dtype}) AS {field.column}" for field in FIELDS],
@@ -167,19 +173,31 @@ def typed_items(items: DataFrame, ingest_time: TimeLike = None, event_time_key:
 
 
 def good_records(typed: DataFrame) -> DataFrame:
-    """Accepted records of both categories with their arrival position, every record with an id."""
-    good = typed.filter(F.col("is_record") & (F.size("bad_keys") == 0) & F.col("data_category").isin(EB, RESPONSE))
-    arrival = ["page_id", "pos"]
-    named = good.filter(F.col("id").isNotNull()).select(*COLUMNS, *arrival)
-    # Only records without any identifier need their position in the whole sequence.
-    placed = good.filter(F.col("id").isNull()).join(page_offsets(typed), "page_id")
+    """Accepted records of both categories with their arrival position, every record with an id.
+
+    A record without key and transaction is named by its place: sequence, page and position where its page has a sequence, else its number in the whole sequence.
+    """
+    good = accepted(typed)
+    named = sourced_records(good.filter("has_id OR sequence <> ''"))
+    # Only the nameless records of a nameless sequence need their position in the whole of it.
+    placed = good.filter("NOT has_id AND sequence = ''").join(page_offsets(typed), "page_id")
     by_position = F.concat(F.lit("platform_"), (F.col("page_offset") + F.col("pos")).cast("string"))
-    return named.unionByName(placed.withColumn("id", by_position).select(*COLUMNS, *arrival))
+    return named.unionByName(placed.withColumn("id", by_position).select(*COLUMNS, *ARRIVAL))
+
+
+def accepted(typed: DataFrame) -> DataFrame:
+    return typed.filter(F.col("is_record") & (F.size("bad_keys") == 0) & F.col("data_category").isin(EB, RESPONSE))
+
+
+def sourced_records(good: DataFrame) -> DataFrame:
+    """Accepted records that name themselves or whose page is of a named sequence; row by row, so that it works on a stream."""
+    place = F.concat(F.lit("platform_"), "sequence", F.lit(":"), F.col("page_id").cast("string"), F.lit(":"), F.col("pos").cast("string"))
+    return good.withColumn("id", F.coalesce("id", place)).select(*COLUMNS, *ARRIVAL)
 
 
 def rejected_records(typed: DataFrame) -> DataFrame:
     """Rejected records with the keys at fault and their JSON text."""
-    return typed.filter(F.col("is_record") & (F.size("bad_keys") > 0)).select("page_id", "pos", "bad_keys", "source")
+    return typed.filter(F.col("is_record") & (F.size("bad_keys") > 0)).select("sequence", "page_id", "pos", "bad_keys", "source")
 
 
 def records_from_pages(
@@ -200,15 +218,20 @@ def records_from_pages(
     return typed_items(items, ingest_time, event_time_key)
 
 
-def load_statistics(logs: DataFrame) -> DataFrame:
-    """One row of counts over loaded records of both categories."""
+def statistics_columns() -> list[Column]:
+    """Counts over loaded records of both categories, as aggregates."""
     is_eb = F.col("data_category") == EB
     unhealthy = F.col("eb_health") == UNHEALTHY
     either = unhealthy | (F.col("response_health") == UNHEALTHY)
-    return logs.agg(
+    return [
         F.count_if(is_eb).alias("eb_records"),
         F.count_if(F.col("data_category") == RESPONSE).alias("response_records"),
         F.count_if(is_eb & either).alias("unhealthy_records"),
         F.count_if(is_eb & unhealthy).alias("eb_unhealthy_records"),
         F.count_if(is_eb & (F.col("burn_rate") > BURN_ALERT)).alias("high_burn_records"),
-    )
+    ]
+
+
+def load_statistics(logs: DataFrame) -> DataFrame:
+    """One row of counts over loaded records of both categories."""
+    return logs.agg(*statistics_columns())

@@ -63,12 +63,18 @@ def in_days(events: DataFrame, rules: EventRules, start: date | None, end: date
     return events
 
 
+def _period(rules: EventRules, grain: str) -> str:
+    """The start of the day or hour of an event, without a detour through instants."""
+    day = f"CAST(CAST({rules.time} AS DATE) AS TIMESTAMP_NTZ)"
+    return {"DAY": day, "HOUR": f"timestampadd(HOUR, hour({rules.time}), {day})"}[grain]
+
+
 def daily_measures(
-    events: DataFrame, rules: EventRules, *, quantiles: bool = True, start: date | None = None, end: date | None = None
+    events: DataFrame, rules: EventRules, *, quantiles: bool = True, start: date | None = None, end: date | None = None, grain: str = "DAY"
 ) -> DataFrame:
-    """One row per service and day."""
+    """One row per service and day, or hour."""
     rows = in_days(events, rules, start, end).selectExpr(
-        "*", f"{rules.service} AS _service", f"CAST(CAST({rules.time} AS DATE) AS TIMESTAMP_NTZ) AS record_time", f"{rules.value} AS _v"
+        "*", f"{rules.service} AS _service", f"{_period(rules, grain)} AS record_time", f"{rules.value} AS _v"
     )
     daily = aggregate(rows, _KEYS, _measures(rules))
     if not quantiles:
@@ -106,8 +112,12 @@ _SHARES = {
     "_late_used": "100D * _late / (_n * _timeliness_target / 100)",
     "_allocated": "floor(_n * _target / 100)",
 }
+_ID = {
+    "DAY": "concat(_category, ':', _service, ':', date_format(record_time, 'yyyy-MM-dd'))",
+    "HOUR": "concat(_category, ':', _service, ':', date_format(record_time, 'yyyy-MM-dd HH'))",
+}
 _DERIVED = {
-    "id": "concat(_category, ':', _service, ':', date_format(record_time, 'yyyy-MM-dd'))",
+    "id": _ID["DAY"],
     "service_name": "_service",
     "record_time": "record_time",
     "total_count": "_n",
@@ -158,10 +168,11 @@ def _literal(value: object) -> str:
     return f"'{value}'" if isinstance(value, str) else str(value)
 
 
-def log_columns(daily: DataFrame, rules: EventRules, *, quantiles: bool = True) -> DataFrame:
+def log_columns(daily: DataFrame, rules: EventRules, *, quantiles: bool = True, grain: str = "DAY") -> DataFrame:
     """The 83 log columns (without the percentile columns when they were not computed) of measures with a ``_category``."""
+    derived = _DERIVED | {"id": _ID[grain]}
     columns = [
-        f"CAST({_DERIVED.get(f.column, _literal(f.default))} AS {f.dtype}) AS {f.column}"
+        f"CAST({derived.get(f.column, _literal(f.default))} AS {f.dtype}) AS {f.column}"
         for f in FIELDS
         if quantiles or f.column not in RESPONSE_QUANTILES
     ]
@@ -176,20 +187,20 @@ def of_both_categories(daily: DataFrame, rules: EventRules) -> DataFrame:
 
 
 def daily_tables(
-    events: DataFrame, rules: EventRules, *, quantiles: bool = True, start: date | None = None, end: date | None = None
+    events: DataFrame, rules: EventRules, *, quantiles: bool = True, start: date | None = None, end: date | None = None, grain: str = "DAY"
 ) -> SloTables:
-    """Both log tables over raw events, of the days from ``start`` to ``end`` where given.
+    """Both log tables over raw events, of the days from ``start`` to ``end`` where given: a row per service and day, or with ``grain="HOUR"`` per hour.
 
     ``quantiles=False`` leaves out the percentile columns and with them their cost.  All three frames of the tables start
     from one aggregation of the events; ``logs`` doubles its few rows instead of reading the events twice.
     """
-    daily = daily_measures(events, rules, quantiles=quantiles, start=start, end=end)
+    daily = daily_measures(events, rules, quantiles=quantiles, start=start, end=end, grain=grain)
 
     def of_category(category: str, rows: DataFrame) -> DataFrame:
-        return log_columns(rows.selectExpr("*", f"'{category}' AS _category"), rules, quantiles=quantiles)
+        return log_columns(rows.selectExpr("*", f"'{category}' AS _category"), rules, quantiles=quantiles, grain=grain)
 
     return SloTables(
         eb=lambda: of_category(EB, daily),
         resp=lambda: of_category(RESPONSE, daily.filter(rules.timed)),
-        logs=lambda: log_columns(of_both_categories(daily, rules), rules, quantiles=quantiles),
+        logs=lambda: log_columns(of_both_categories(daily, rules), rules, quantiles=quantiles, grain=grain),
     )
