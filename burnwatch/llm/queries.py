@@ -91,8 +91,7 @@ def bpe_vocabulary() -> bpe.Vocabulary:
 
 def bpe_digests(texts: DataFrame) -> DataFrame:
     """(doc_id, text) encoded and decoded; digests of both."""
-    encoded = bpe.encode(texts.select("doc_id", "text"), bpe_vocabulary()).select("doc_id", "ids")
-    return bpe.decode(encoded, bpe_vocabulary()).select(
+    return bpe.round_trip(texts.select("doc_id", "text"), bpe_vocabulary()).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
