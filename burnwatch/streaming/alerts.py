@@ -55,7 +55,7 @@ def burn_alerts(windows: DataFrame, raise_at: float = RAISE_AT, clear_at: float
             "cleared_at": "max_by(_next, struct(window_start, window_end))",
             "windows": "count(1)",
             "peak_burn_rate": "max(burn_rate)",
-            "peak_at": "min_by(window_start, struct(-burn_rate, window_start))",
+            "peak_at": "min_by(window_start, CASE WHEN burn_rate IS NOT NULL THEN struct(-burn_rate, window_start) END)",
             "severity": f"max_by(severity, {rank})",
         },
     ).drop("_alert")
