@@ -106,7 +106,8 @@ def test_a_stream_hands_on_each_id_once(spark, tmp_path):
     land(0, item("a", 1), item("b", 1), item("a", 1), item("x", 1, totalCount=None), {"totalCount": 1, "at": "2024-01-01 01:00:00"})
     land(1, item("a", 2), item("c", 2, dataCategory="RESPONSE"), item("c", 2), item("d", 2, at="soon"))
     land(2, item("e", 20))
-    land(3, item("late", 1), item("f", 20), item("e", 20))
+    land(3, item("f", 20), item("e", 20))
+    land(4, item("late", 1))
     stream = page_stream(spark, str(landing), files_per_batch=1)
     found = run_to_end(first_records(stream, "at", watermark="6 hours"), "once", tmp_path)
     rows = sorted((r.data_category, r.id.rsplit("/")[-1], r.record_time) for r in found.collect())
