@@ -42,3 +42,18 @@ def test_odd_rows_pass_every_stage(spark, documents, tmp_path):
         for _, stage in corpus_pipeline.STAGES:
             docs = corpus_pipeline.staged(stage(spark, docs, str(tmp_path)))
         assert docs.count() == n
+
+
+def test_columns_named_like_those_of_the_operators_stay(spark, documents, tmp_path):
+    spark.read.parquet(f"{SF_DIR}/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
+    names = ("bytes", "kept", "spans", "_key", "_check", "epoch", "turn", "score", "component_id", "key", "start", "tokens")
+    docs = documents(*[(i, f"some words of text number {i} " * 3) for i in range(6)])
+    for i, name in enumerate(names):
+        docs = docs.withColumn(name, docs["doc_id"] * 100 + i)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        columns = docs.columns
+        docs = corpus_pipeline.staged(stage(spark, docs, str(tmp_path)))
+        assert docs.columns == columns
+    assert docs.count() > 0
+    for row in docs.collect():
+        assert [row[n] for n in names] == [row.doc_id * 100 + i for i in range(len(names))]
