@@ -49,26 +49,36 @@ def _keep_one_by_text(docs: DataFrame) -> DataFrame:
     return kept.select(*docs.columns).unionByName(wordless.select(*docs.columns))
 
 
+def _apart(docs: DataFrame, *own: str) -> tuple[DataFrame, dict[str, str]]:
+    """The columns that an operator has no use for under names that meet none of its own, and the way back."""
+    names = {c: f"_kept_{i}" for i, c in enumerate(docs.columns) if c not in own}
+    return docs.withColumnsRenamed(names), {new: old for old, new in names.items()}
+
+
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the strings of 200 bytes that stand more than once; `n_chars` follows the text. No row is dropped."""
-    rest = tuple(c for c in docs.columns if c != "text")
-    cut = suffix_dedup.remove_repeats(docs, window=200, carry=rest, as_text=True).withColumnRenamed("kept", "text")
-    if "n_chars" in rest:
+    apart, back = _apart(docs, "doc_id", "text")
+    rest = tuple(c for c in apart.columns if c != "text")
+    cut = suffix_dedup.remove_repeats(apart, window=200, carry=rest, as_text=True).withColumnRenamed("kept", "text").select(*apart.columns)
+    cut = cut.withColumnsRenamed(back)
+    if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return cut.select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, those of small sources up to twice, so that sources are as even as that allows."""
-    return mixing.mix(docs, repetition_limit=2.0).select(*docs.columns)
+    apart, back = _apart(docs, "doc_id", "text", "source")
+    return mixing.mix(apart, repetition_limit=2.0).select(*apart.columns).withColumnsRenamed(back).select(*docs.columns)
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each row, and whether they decode to its text."""
-    encoded = bpe.encode(docs.select("doc_id", "source", "text"), bpe_vocabulary())
-    decoded = bpe.decode(encoded, bpe_vocabulary())
-    same = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return decoded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
+    # The digest goes along instead of the text, which would travel through the workers and back.
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("digest")
+    found = bpe.round_trip(docs.select("doc_id", "source", digest, "text"), bpe_vocabulary())
+    same = F.sha2("decoded", 256) == F.col("digest")
+    return found.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
 
 
 STAGES = [
