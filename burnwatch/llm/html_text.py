@@ -1,9 +1,9 @@
 """Main text of web pages by tag-path ratios.
 
-A page is cut into blocks of text, each with the path of block-level tags from the root. Text length and punctuation are added up per path;
-the ratio of length to the number of blocks, smoothed over paths that share most of their tags, is fused with the punctuation ratio
-and thresholded. Paths over the threshold are content, and all their blocks are kept in page order. Where tags or names say what the content is
-(`article`, `main`, class="entry-content"), these decide instead of the threshold.
+A page is cut into blocks of text, each at the end of a path of block-level tags from the root. Text length and punctuation are added up per path and per
+beginning of a path. The ratio of length to the number of blocks is smoothed with those of the beginnings, nearer ones more, fused with the punctuation
+ratio and weighted by what tags and names say of the path (`article` or class="entry-content" more, paths beside such ones less, menus and forms nothing). Paths that
+reach the threshold are content, and all their blocks are kept in page order. Time grows with the page, whatever its number of paths and their depth.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -18,11 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 # HTML's tags by role.
-RAW = {"script", "style", "title", "textarea", "noscript", "iframe", "template", "svg", "math", "object", "xmp"}
+RAW = {"script", "style", "title", "textarea", "noscript", "iframe", "template", "svg", "object", "xmp", "annotation", "annotation-xml"}
 RAW_END = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in RAW}
 INLINE = set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup "
-    "time tt u var wbr br img picture source".split()
+    "time tt u var wbr br img picture source "
+    # formulas are text
+    "math semantics mrow mi mn mo ms mtext mspace msup msub msubsup mfrac msqrt mroot mstyle mpadded mphantom menclose munder mover munderover "
+    "mmultiscripts mprescripts mtable mtr mtd merror".split()
 )
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 AWAY = set("nav footer header aside form menu button select dialog head fieldset".split())
@@ -57,8 +61,12 @@ HIDDEN_VALUE = re.compile(
 HEADING = re.compile(r"h[1-6](?:\.|\Z)")
 PARAGRAPH = re.compile(r"p(?:\.|\Z)")
 PUNCTUATION = re.compile(r"[.,;:!?…。、，！？；：¿¡]")
-#: Share of the mean fused ratio of a page's paths that a path must reach, where the page names no content.
-THRESHOLD = 0.5
+#: Share of the mean fused ratio of a page's text that a path must reach.
+THRESHOLD = 0.075
+#: How much of the smoothed ratio of a beginning comes from further out.
+OUTER = 0.75
+#: What a name of content, and standing beside such content, multiply the fused ratio by.
+NAMED, BESIDE = 4.0, 0.05
 # Roles of blocks besides 0 and 1: in an article inside such a form or name; in a form; in something named as boilerplate; in hidden tags and
 # those of boilerplate.
 AGAIN, IN_FORM, FOUND_AWAY, GONE = 2, -1, -2, -3
@@ -78,10 +86,27 @@ def is_hidden(attributes: str) -> bool:
     return bool(HIDDEN_VALUE.search(attributes) or HIDDEN.search(QUOTED.sub('""', attributes)))
 
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], int, str, int]]:
-    """(path, role, text, characters in links) of each block with text; role is 1 inside named content, negative inside boilerplate."""
+class Paths:
+    """Paths as nodes of a tree; a node's parent comes before it."""
+
+    def __init__(self) -> None:
+        self.parents, self.names, self.numbers = [-1], [""], {}
+
+    def below(self, parent: int, name: str) -> int:
+        key = parent, name
+        if key not in self.numbers:
+            self.numbers[key] = len(self.parents)
+            self.parents.append(parent)
+            self.names.append(name)
+        return self.numbers[key]
+
+
+def blocks(page: str) -> tuple[Paths, list[tuple[int, int, str, int]]]:
+    """The paths, and (path, role, text, characters in links) of each block with text; role is 1 inside named content, negative inside boilerplate."""
     found = []
-    stack: list[tuple[str, str, int]] = []  # tag, name on the path, role
+    paths = Paths()
+    stack: list[tuple[str, int, int]] = []  # tag, path, role
+    open_tags: Counter = Counter()
     text: list[str] = []
     linked, in_link, at = 0, 0, 0
 
@@ -90,7 +115,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], int, str, int]]:
         if text:
             whole = " ".join(html.unescape("".join(text)).split())
             if whole:
-                found.append((tuple(x[1] for x in stack), stack[-1][2] if stack else 0, whole, min(linked, len(whole))))
+                found.append((stack[-1][1] if stack else 0, stack[-1][2] if stack else 0, whole, min(linked, len(whole))))
             text.clear()
         linked = 0
 
@@ -102,8 +127,12 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], int, str, int]]:
                 linked += len(chunk)
 
     def close(tag: str, stop: set[str] = frozenset()) -> None:
+        if not open_tags[tag]:
+            return
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] == tag:
+                for gone in stack[i:]:
+                    open_tags[gone[0]] -= 1
                 del stack[i:]
                 return
             if stack[i][0] in stop:
@@ -116,8 +145,9 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], int, str, int]]:
         if not tag:
             continue
         ends, attributes = token[1] or token[4], token[3] or token[6] or ""
-        if tag in RAW and not ends:
-            if attributes.endswith("/") and tag in ("svg", "math"):
+        if tag in RAW:
+            # What stands inside goes; the text around it goes on.
+            if ends or (attributes.endswith("/") and tag == "svg"):
                 continue
             # Lowering the page would move its places: some letters become two.
             stop = RAW_END[tag].search(page, at)
@@ -137,7 +167,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], int, str, int]]:
         if tag in VOID:
             continue
         if stack and stack[-1][0] == "p":
-            stack.pop()
+            close("p")
         if tag in SELF_CLOSING:
             close(tag, SELF_CLOSING[tag])
         role = stack[-1][2] if stack else 0
@@ -151,7 +181,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], int, str, int]]:
             elif tag in HOME:
                 if role == 0:
                     role = 1
-                elif role in (IN_FORM, FOUND_AWAY) and FOUND_AWAY not in roles and not any(x[0] in HOME for x in stack):
+                elif role in (IN_FORM, FOUND_AWAY) and FOUND_AWAY not in roles and not any(open_tags[x] for x in HOME):
                     role = AGAIN
             elif FOUND_AWAY in roles:
                 role = min(role, FOUND_AWAY)
@@ -159,63 +189,65 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], int, str, int]]:
                 role = min(role, IN_FORM)
             elif role == 0 and 1 in roles and not HEADING.match(tag):
                 role = 1
-        stack.append((tag, name, role))
+        stack.append((tag, paths.below(stack[-1][1] if stack else 0, name), role))
+        open_tags[tag] += 1
     add(page[at:])
     end_block()
-    return found
-
+    return paths, found
 
-def likeness(a: tuple[str, ...], b: tuple[str, ...]) -> float:
-    """Share of tags that two paths have in common from the root on."""
-    same = 0
-    for x, y in zip(a, b, strict=False):
-        if x != y:
-            break
-        same += 1
-    return same / max(len(a), len(b), 1)
 
-
-def content_paths(page: list[tuple[tuple[str, ...], int, str, int]]) -> set[tuple[tuple[str, ...], int]]:
+def content_paths(paths: Paths, page: list[tuple[int, int, str, int]]) -> set[tuple[int, int]]:
     """The (path, role) pairs that hold content."""
-    sums: dict[tuple[tuple[str, ...], int], list[float]] = {}
+    sums: dict[tuple[int, int], list[float]] = {}
     for path, role, text, linked in page:
         s = sums.setdefault((path, role), [0, 0, 0, 0])
         for i, x in enumerate((1, len(text), linked, len(PUNCTUATION.findall(text)))):
             s[i] += x
-    # The first of named content, articles inside boilerplate, and the rest that there is; a form with most of the rest is round the page.
-    size = {wanted: sum(s[1] for (_, role), s in sums.items() if role == wanted) for wanted in (0, IN_FORM)}
-    named = next((wanted for wanted in (1, AGAIN) if any(role == wanted for _, role in sums)), 0)
-    wanted = {named} if named else {0, IN_FORM} if size[IN_FORM] > size[0] else {0}
-    candidates = {k: s for k, s in sums.items() if k[1] in wanted}
-    if not candidates:
-        return set()
-    if named:
-        # The page names its content, which decides: the short items and cells of an article would fall under a threshold. Only paths that
-        # are mostly links fall out, unless they are paragraphs.
-        return {k for k, s in candidates.items() if s[1] > 2 * s[2] or s[0] * 200 <= s[1] or (k[0] and PARAGRAPH.match(k[0][-1]))}
-    # Ratio of text outside links to blocks; a list of links has next to none.
-    ratio = {k: max(0.0, n - 2 * linked) / blocks for k, (blocks, n, linked, _) in candidates.items()}
-    parents: dict[tuple[str, ...], list] = {}
-    for k in ratio:
-        parents.setdefault(k[0][:-1], []).append(k)
+    weights = role_weights(sums)
+    candidates = {k: s for k, s in sums.items() if weights.get(k[1], 0) > 0}
+    # Ratio of text outside links to blocks, of each path and of all that begins like it; a list of links has next to none.
+    n_blocks, length = [0.0] * len(paths.parents), [0.0] * len(paths.parents)
+    own = {}
+    for k, (count, n, linked, _) in candidates.items():
+        own[k] = max(0.0, n - 2 * linked) / count
+        n_blocks[k[0]] += count
+        length[k[0]] += max(0.0, n - 2 * linked)
+    for i in range(len(paths.parents) - 1, 0, -1):
+        n_blocks[paths.parents[i]] += n_blocks[i]
+        length[paths.parents[i]] += length[i]
+    around = [length[0] / (n_blocks[0] or 1)]
+    for i in range(1, len(paths.parents)):
+        around.append((1 - OUTER) * (length[i] / n_blocks[i] if n_blocks[i] else 0.0) + OUTER * around[paths.parents[i]])
     fused = {}
-    for k, value in ratio.items():
-        near = parents[k[0][:-1]]
-        weights = [likeness(k[0], other[0]) for other in near]
-        mean = sum(w * ratio[other] for w, other in zip(weights, near, strict=True)) / (sum(weights) or 1)
-        blocks, n, _, marks = candidates[k]
-        fused[k] = (0.5 * value + 0.5 * mean) * (1 + math.log1p(100 * marks / (n + 1)))
+    for k, (_, n, _, marks) in candidates.items():
+        smooth = 0.5 * own[k] + 0.5 * around[max(0, paths.parents[k[0]])]
+        fused[k] = weights[k[1]] * smooth * (1 + min(1.0, math.log1p(20 * marks / (n + 1))))
     bar = THRESHOLD * sum(fused[k] * s[1] for k, s in candidates.items()) / (sum(s[1] for s in candidates.values()) or 1)
-    kept = {k for k in candidates if fused[k] >= bar}
-    homes = {path[:-1] for path, _ in kept}
+    kept = {k for k, s in candidates.items() if fused[k] >= bar and not mostly_links(paths, k[0], s)}
+    homes = {paths.parents[path] for path, _ in kept}
     # A heading belongs to the text it stands beside.
-    return kept | {k for k in candidates if k[0] and HEADING.match(k[0][-1]) and k[0][:-1] in homes}
+    return kept | {k for k in candidates if HEADING.match(paths.names[k[0]]) and paths.parents[k[0]] in homes and weights[k[1]] >= 1}
+
+
+def role_weights(sums: dict[tuple[int, int], list[float]]) -> dict[int, float]:
+    """What a role is worth on this page: named content most, what stands beside it little; an article inside boilerplate counts where there is no other, and a form where most of the page is in it."""
+    size = {wanted: sum(s[1] for (_, role), s in sums.items() if role == wanted) for wanted in (0, 1, AGAIN, IN_FORM)}
+    if size[1]:
+        return {1: NAMED, 0: BESIDE}
+    if size[AGAIN]:
+        return {AGAIN: NAMED, 0: BESIDE}
+    return {0: 1.0, IN_FORM: 1.0} if size[IN_FORM] > size[0] else {0: 1.0}
+
+
+def mostly_links(paths: Paths, path: int, s: list[float]) -> bool:
+    """More than half in links, and neither paragraphs nor long blocks."""
+    return s[1] <= 2 * s[2] and s[0] * 200 > s[1] and not PARAGRAPH.match(paths.names[path])
 
 
 def main_text(page: str | None) -> str:
     """The blocks on content paths, joined by an empty line."""
-    found = blocks(page or "")
-    keep = content_paths(found)
+    paths, found = blocks(page or "")
+    keep = content_paths(paths, found)
     return "\n\n".join(text for path, role, text, _ in found if (path, role) in keep)
 
 
