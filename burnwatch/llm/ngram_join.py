@@ -15,15 +15,13 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from burnwatch.llm.components import components
 from burnwatch.llm.staging import drop_staged, staged
 
-#: Bytes of an n-gram's hash.
-WIDTH = 6
 #: Text hashed at a time.
 CHUNK = 1 << 18
 #: Frequent n-grams that the global order puts last; a bounded list, and any list gives the same links.
@@ -35,20 +33,15 @@ TREE = 256
 #: Pairs of ids that are broadcast at most; beyond it they are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
-_rng = np.random.default_rng(20_240_501)
-_BYTES = _rng.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INVERSE = pow(_BASE, -1, 2**64)
+#: Masks of the first 0 to 8 bytes of a little-endian number, and odd constants.
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_LENGTH, _SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+#: Bytes of a word that are hashed as two numbers; longer words are hashed one by one.
+SHORT = 16
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    if n:
-        out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-_UP, _DOWN = _powers(_BASE, CHUNK + 1), _powers(_BASE_INVERSE, CHUNK + 1)
+#: An order without frequent n-grams.
+_NONE_FREQUENT = np.empty(0, np.uint64), np.empty(0, np.int64)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -58,7 +51,10 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(raw: bytes) -> np.ndarray:
-    """A hash of each word of ASCII-lower-cased bytes, in order."""
+    """A hash of each word of ASCII-lower-cased bytes, in order.
+
+    Words of up to 16 bytes are taken as two numbers and mixed, longer ones by xxh3: no family of words collides by its structure, as words of one sum modulo a power of two do.
+    """
     out = []
     at = 0
     while at < len(raw):
@@ -80,11 +76,13 @@ def word_hashes(raw: bytes) -> np.ndarray:
         blank = (piece == 32) | ((piece >= 9) & (piece <= 13))
         edge = np.diff(np.concatenate(([True], blank, [True])).astype(np.int8))
         starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTES[piece] * _UP[: len(piece)], dtype=np.uint64)))
-        hashes = (sums[ends] - sums[starts]) * _DOWN[starts]
-        long = np.flatnonzero(ends - starts > CHUNK // 2)
-        hashes = _mixed(hashes + (ends - starts).astype(np.uint64))
-        for i in long:
+        lengths = ends - starts
+        # The eight bytes from each place, as one number.
+        eight = np.ndarray((len(piece) + 8,), "<u8", piece.tobytes() + bytes(SHORT), strides=(1,))
+        first = eight[starts] & _MASKS[np.minimum(lengths, 8)]
+        second = eight[starts + 8] & _MASKS[np.clip(lengths - 8, 0, 8)]
+        hashes = _mixed(_mixed(first + lengths.astype(np.uint64) * _LENGTH) + second * _SECOND)
+        for i in np.flatnonzero(lengths > SHORT).tolist():
             hashes[i] = xxhash.xxh3_64_intdigest(raw[at + starts[i] : at + ends[i]])
         out.append(hashes)
         at = stop
@@ -100,17 +98,15 @@ def shingles(words: np.ndarray, size: int) -> np.ndarray:
     h = np.full(n - width + 1, width, np.uint64)
     for i in range(width):
         h = _mixed(h * np.uint64(0xA0761D6478BD642F) + words[i : n - width + 1 + i])
-    return np.unique(h & np.uint64(2 ** (8 * WIDTH) - 1))
+    return np.unique(h)
 
 
 def packed(tokens: np.ndarray) -> bytes:
-    return tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDTH].tobytes()
+    return tokens.astype("<u8").tobytes()
 
 
 def unpacked(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // WIDTH, 8), np.uint8)
-    out[:, :WIDTH] = np.frombuffer(raw, np.uint8).reshape(-1, WIDTH)
-    return out.view("<u8").ravel()
+    return np.frombuffer(raw, "<u8")
 
 
 def token_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -141,9 +137,11 @@ def frequent(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
 
     top = (
         docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "token").limit(FREQUENT).toPandas().sort_values("token")
+        .orderBy(F.desc("n"), "token").limit(FREQUENT).toPandas()
     )
-    return top["token"].to_numpy(np.uint64), top["n"].to_numpy(np.int64)
+    tokens, n = top["token"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
+    order = np.argsort(tokens)
+    return tokens[order], n[order]
 
 
 @dataclass
@@ -160,11 +158,12 @@ class Order:
         return np.where(self.tokens[at] == tokens, np.minimum(self.n[at], 2**15 - 1), 0)
 
     def places(self, tokens: np.ndarray) -> np.ndarray:
-        """Numbers in the global order."""
-        return self.ranks(tokens).astype(np.uint64) << np.uint64(8 * WIDTH) | tokens
+        """Numbers that never fall along the global order; n-grams of one number are rare and need not be equal."""
+        return self.ranks(tokens).astype(np.uint64) << np.uint64(49) | tokens >> np.uint64(15)
 
     def sorted(self, tokens: np.ndarray) -> np.ndarray:
-        return tokens[np.argsort(self.places(tokens), kind="stable")]
+        """Tokens, ascending as given, in the global order."""
+        return tokens[np.argsort(self.ranks(tokens), kind="stable")]
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -301,7 +300,7 @@ def _small(df: DataFrame) -> DataFrame:
 def _possible(pairs: DataFrame, sets: DataFrame, order, percent: int) -> DataFrame:
     """The pairs (hub, member) whose first n-grams allow that they are alike.
 
-    Up to the nearer end of both heads all n-grams of both sets are known; beyond it they share at most what the smaller rest holds.
+    Before the nearer end of both heads all n-grams of both sets are known; from it on they share at most what the smaller rest holds.
     """
     heads = sets.select("doc_id", "n", "heads")
     of_members = heads.join(_small(pairs.withColumnRenamed("member", "doc_id")), "doc_id").withColumnRenamed("doc_id", "member")
@@ -315,8 +314,8 @@ def _possible(pairs: DataFrame, sets: DataFrame, order, percent: int) -> DataFra
             for n, raw, hub_n, hub_raw in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
                 x, y = rank.places(unpacked(raw)), rank.places(unpacked(hub_raw))
                 end = min(x[-1], y[-1])
-                known, hub_known = np.searchsorted(x, end, "right"), np.searchsorted(y, end, "right")
-                common = len(np.intersect1d(x[:known], y[:hub_known], assume_unique=True))
+                known, hub_known = np.searchsorted(x, end), np.searchsorted(y, end)
+                common = int(np.isin(x[:known], y[:hub_known]).sum())
                 keep.append(alike(common + int(min(n - known, hub_n - hub_known)), n, hub_n, percent))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
@@ -359,16 +358,11 @@ def _tested(pairs: DataFrame, docs: DataFrame, size: int, order, percent: int) -
     return rows.select("hub", "member", "tokens", "probe").sortWithinPartitions("hub").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row of (doc_id, text): doc_id, n_shingles, component_id.
+def _groups(docs: DataFrame, size: int, percent: int) -> tuple:
+    """The global order, all sets, those that can be linked, and (token, doc_id, n, place, before, alone, component) of sets that meet under an n-gram.
 
-    Words are what stands between white space (space, tab to carriage return), with A-Z in lower case. Two documents are linked when
-    100 * common n-grams >= percent * all n-grams of both; a component is what links connect, named by its smallest doc_id. Texts with fewer words
-    than `size` have their whole sequence as one n-gram; null, empty and blank texts have none and are linked with nothing. Equal sets are one
-    node, so copies cost nothing. Rows that share a doc_id are one node of links, each with its own count; rows without a doc_id have no component.
-    Other columns are ignored. n-grams are compared by 48-bit hashes.
+    One document stands for a set: the one with the smallest id.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     order = docs.sparkSession.sparkContext.broadcast(Order(*frequent(docs, size)))
     sets = staged(_heads(docs, size, percent, order))
     filled = sets.where("n > 0 AND doc_id IS NOT NULL")
@@ -382,20 +376,77 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     head = F.col("n") - F.ceil(percent * F.col("n") / 100) + 1
     shared = shared.withColumn("before", F.row_number().over(own.orderBy("place")) - 1).withColumn("alone", head - F.count("*").over(own))
     shared = shared.where(100 * (F.col("n") - F.col("alone")) >= percent * F.col("n"))
-    groups = staged(shared.withColumn("component", F.col("doc_id")))
+    return order, sets, filled, staged(shared.withColumn("component", F.col("doc_id")))
+
+
+def _hub_columns() -> list:
+    return [F.col("token"), F.col("doc_id").alias("hub"), F.col("n").alias("hub_n"), F.col("place").alias("hub_place"), F.col("before").alias("hub_before")]
+
+
+def _most() -> Column:
+    """What two sets can share at most, when they share the n-gram at these places."""
+    return F.least("before", "hub_before") + F.least(F.col("n") - F.col("place"), F.col("hub_n") - F.col("hub_place"))
+
+
+def links(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """Every link between different sets: (a, b) with a < b, where the smallest doc_id of a set stands for it.
+
+    The join itself, where `near_duplicates` needs only what connects: all sets of a group are hubs at once, so a large group of near copies that differ gives as many rows as it has links. Texts are
+    taken and compared as there; copies of a set are one node (see `link_counts`).
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    order, _, filled, groups = _groups(docs, size, percent)
+    most = _most()
+    pairs = staged(
+        groups.join(groups.select(*_hub_columns()), "token")
+        .where((F.col("doc_id") > F.col("hub")) & (100 * most >= percent * (F.col("n") + F.col("hub_n") - most)))
+        .select("hub", F.col("doc_id").alias("member")).distinct()
+    )
+    drop_staged(groups)
+    found = _tested(staged(_possible(pairs, filled, order, percent)), docs, size, order, percent)
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def link_counts(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_links) of each document: how many other documents are linked to it, copies counted each, without a row for each pair of copies.
+
+    Documents without words, and rows without a doc_id, have 0 and no row respectively.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sets = staged(_heads(docs, size, percent, docs.sparkSession.sparkContext.broadcast(Order(*_NONE_FREQUENT))).select("doc_id", "n", "digest"))
+    classes = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("first"), F.count_distinct("doc_id").alias("copies"))
+    found = links(docs, size, percent)
+    both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = both.join(classes.select(F.col("first").alias("b"), "copies"), "b").groupBy(F.col("a").alias("first")).agg(F.sum("copies").alias("others"))
+    counted = classes.join(others, "first", "left").select("digest", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    return (
+        sets.where("doc_id IS NOT NULL").join(counted, "digest", "left")
+        .groupBy("doc_id").agg(F.coalesce(F.max("n_links"), F.lit(0)).alias("n_links"))
+    )
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """One row per row of (doc_id, text): doc_id, n_shingles, component_id.
+
+    Words are what stands between white space (space, tab to carriage return), with A-Z in lower case. Two documents are linked when
+    100 * common n-grams >= percent * all n-grams of both; a component is what links connect, named by its smallest doc_id. Texts with fewer words
+    than `size` have their whole sequence as one n-gram; null, empty and blank texts have none and are linked with nothing. Equal sets are one
+    node, so copies cost nothing. Rows that share a doc_id are one node of links, each with its own count; rows without a doc_id have no component.
+    Other columns are ignored. n-grams are compared by 64-bit hashes of their words.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    order, sets, filled, groups = _groups(docs, size, percent)
 
-    links = labels = None
+    labels = None
     hubs_each = 1
     while not groups.isEmpty():
         # Documents that keep least to themselves come first: they link most of the others.
         turn = F.row_number().over(Window.partitionBy("token").orderBy("alone", F.xxhash64("doc_id"), "doc_id"))
         ranked = groups.withColumn("turn", turn)
         hubs = ranked.where(F.col("turn") <= hubs_each).select(
-            "token", F.col("doc_id").alias("hub"), F.col("n").alias("hub_n"), F.col("place").alias("hub_place"), F.col("before").alias("hub_before"), F.col("turn").alias("hub_turn"),
-            F.col("component").alias("hub_component"),
+            *_hub_columns(), F.col("turn").alias("hub_turn"), F.col("component").alias("hub_component")
         )
-        # What two sets can share at most, when they share the n-gram at these places.
-        most = F.least("before", "hub_before") + F.least(F.col("n") - F.col("place"), F.col("hub_n") - F.col("hub_place"))
+        most = _most()
         pairs = (
             ranked.join(hubs, "token")
             .where((F.col("turn") > F.col("hub_turn")) & (F.col("component") != F.col("hub_component")))
@@ -407,8 +458,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         if not pairs.isEmpty():
             possible = staged(_possible(pairs, filled, order, percent))
             found = staged(_tested(possible, docs, size, order, percent))
-            links = found if labels is None else labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found)
-            labels = staged(components(links))
+            joined = found if labels is None else labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found)
+            labels = staged(components(joined))
         rest = ranked.where(F.col("turn") > hubs_each).drop("turn")
         if labels is not None:
             now = labels.select(F.col("node").alias("doc_id"), F.col("component").alias("now"))
