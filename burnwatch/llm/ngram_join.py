@@ -366,10 +366,10 @@ def _groups(docs: DataFrame, size: int, percent: int) -> tuple:
     order = docs.sparkSession.sparkContext.broadcast(Order(*frequent(docs, size)))
     sets = staged(_heads(docs, size, percent, order))
     filled = sets.where("n > 0 AND doc_id IS NOT NULL")
-    # Copies of a set meet under the same n-grams; the smallest stands for them.
+    # Copies of a set meet under the same n-grams; the smallest stands for them. What follows by n-gram stays in the one exchange.
     met = _met(filled).repartition("token").groupBy("token", "set").agg(*(F.min(c).alias(c) for c in ("doc_id", "n", "place")))
-    sizes = met.groupBy("token").agg(F.count("*").alias("members")).where("members > 1")
-    shared = met.join(sizes, "token").select("token", "doc_id", "n", "place")
+    of_token = Window.partitionBy("token")
+    shared = met.withColumn("members", F.count("*").over(of_token)).where("members > 1").select("token", "doc_id", "n", "place")
     # n-grams of a head that no other document has can be shared with none: a document's `alone` of them are missing from every overlap, and
     # at most `before` are shared before this one.
     own = Window.partitionBy("doc_id")
@@ -379,8 +379,21 @@ def _groups(docs: DataFrame, size: int, percent: int) -> tuple:
     return order, sets, filled, staged(shared.withColumn("component", F.col("doc_id")))
 
 
-def _hub_columns() -> list:
-    return [F.col("token"), F.col("doc_id").alias("hub"), F.col("n").alias("hub_n"), F.col("place").alias("hub_place"), F.col("before").alias("hub_before")]
+_HUB = {"hub": "doc_id", "hub_n": "n", "hub_place": "place", "hub_before": "before", "hub_component": "component"}
+
+
+def _hub_columns() -> list[Column]:
+    return [F.col(column).alias(name) for name, column in _HUB.items()]
+
+
+def _ranked(rows: DataFrame) -> DataFrame:
+    """Groups that connect nothing yet in part, with each document's turn as a hub and the first hub beside it, by one exchange."""
+    whole = Window.partitionBy("token")
+    # Documents that keep least to themselves come first: they link most of the others.
+    by_turn = whole.orderBy("alone", F.xxhash64("doc_id"), "doc_id")
+    first = F.first(F.struct(*_hub_columns())).over(by_turn).alias("first")
+    ends = [F.min("component").over(whole).alias("low"), F.max("component").over(whole).alias("high")]
+    return rows.select("*", *ends, F.row_number().over(by_turn).alias("turn"), first).where("low <> high").drop("low", "high")
 
 
 def _most() -> Column:
@@ -398,7 +411,7 @@ def links(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     order, _, filled, groups = _groups(docs, size, percent)
     most = _most()
     pairs = staged(
-        groups.join(groups.select(*_hub_columns()), "token")
+        groups.join(groups.select("token", *_hub_columns()), "token")
         .where((F.col("doc_id") > F.col("hub")) & (100 * most >= percent * (F.col("n") + F.col("hub_n") - most)))
         .select("hub", F.col("doc_id").alias("member")).distinct()
     )
@@ -439,36 +452,33 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
     labels = None
     hubs_each = 1
-    while not groups.isEmpty():
-        # Documents that keep least to themselves come first: they link most of the others.
-        turn = F.row_number().over(Window.partitionBy("token").orderBy("alone", F.xxhash64("doc_id"), "doc_id"))
-        ranked = groups.withColumn("turn", turn)
-        hubs = ranked.where(F.col("turn") <= hubs_each).select(
-            *_hub_columns(), F.col("turn").alias("hub_turn"), F.col("component").alias("hub_component")
-        )
-        most = _most()
-        pairs = (
-            ranked.join(hubs, "token")
-            .where((F.col("turn") > F.col("hub_turn")) & (F.col("component") != F.col("hub_component")))
-            .where(100 * most >= percent * (F.col("n") + F.col("hub_n") - most))
-            .select("hub", F.col("doc_id").alias("member"))
-            .distinct()
-        )
-        pairs = staged(pairs)
+    most = _most()
+    ranked = staged(_ranked(groups))
+    drop_staged(groups)
+    while not ranked.isEmpty():
+        if hubs_each == 1:
+            met = ranked.where("turn > 1").select("*", "first.*")
+        else:
+            hubs = ranked.where(F.col("turn") <= hubs_each).select("token", F.col("turn").alias("hub_turn"), *_hub_columns())
+            met = ranked.join(hubs, "token").where("turn > hub_turn")
+        pairs = staged(
+            met.where("component <> hub_component").where(100 * most >= percent * (F.col("n") + F.col("hub_n") - most))
+            .select("hub", F.col("doc_id").alias("member")).distinct()
+        )
+        rest = ranked.where(F.col("turn") > hubs_each).drop("turn", "first")
+        spent = [ranked, pairs]
         if not pairs.isEmpty():
             possible = staged(_possible(pairs, filled, order, percent))
             found = staged(_tested(possible, docs, size, order, percent))
             joined = found if labels is None else labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found)
+            spent += [possible, found] if labels is None else [possible, found, labels]
             labels = staged(components(joined))
-        rest = ranked.where(F.col("turn") > hubs_each).drop("turn")
         if labels is not None:
             now = labels.select(F.col("node").alias("doc_id"), F.col("component").alias("now"))
-            rest = rest.join(now, "doc_id", "left").withColumn("component", F.coalesce("now", "doc_id")).drop("now")
-        ends = rest.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        after = staged(rest.join(ends.where("low <> high").select("token"), "token"))
-        for table in (groups, pairs):
+            rest = rest.join(now, "doc_id", "left").withColumn("component", F.coalesce("now", "component")).drop("now")
+        ranked = staged(_ranked(rest))
+        for table in spent:
             drop_staged(table)
-        groups = after
         hubs_each *= 16
 
     firsts = filled.groupBy("digest").agg(F.min("doc_id").alias("first"))
