@@ -359,7 +359,7 @@ def _tested(pairs: DataFrame, docs: DataFrame, size: int, order, percent: int) -
 
 
 def _groups(docs: DataFrame, size: int, percent: int) -> tuple:
-    """The global order, all sets, those that can be linked, and (token, doc_id, n, place, before, alone, component) of sets that meet under an n-gram.
+    """The global order, all sets, those that can be linked, and (token, doc_id, n, place, earlier, alone, component) of sets that meet under an n-gram.
 
     One document stands for a set: the one with the smallest id.
     """
@@ -370,16 +370,16 @@ def _groups(docs: DataFrame, size: int, percent: int) -> tuple:
     met = _met(filled).repartition("token").groupBy("token", "set").agg(*(F.min(c).alias(c) for c in ("doc_id", "n", "place")))
     of_token = Window.partitionBy("token")
     shared = met.withColumn("members", F.count("*").over(of_token)).where("members > 1").select("token", "doc_id", "n", "place")
-    # n-grams of a head that no other document has can be shared with none: a document's `alone` of them are missing from every overlap, and
-    # at most `before` are shared before this one.
+    # n-grams of a head that no other document has can be shared with none: a document's `alone` of them are missing from every overlap.
+    # `earlier` is the shared n-gram before this one.
     own = Window.partitionBy("doc_id")
     head = F.col("n") - F.ceil(percent * F.col("n") / 100) + 1
-    shared = shared.withColumn("before", F.row_number().over(own.orderBy("place")) - 1).withColumn("alone", head - F.count("*").over(own))
+    shared = shared.withColumn("earlier", F.lag("token").over(own.orderBy("place"))).withColumn("alone", head - F.count("*").over(own))
     shared = shared.where(100 * (F.col("n") - F.col("alone")) >= percent * F.col("n"))
     return order, sets, filled, staged(shared.withColumn("component", F.col("doc_id")))
 
 
-_HUB = {"hub": "doc_id", "hub_n": "n", "hub_place": "place", "hub_before": "before", "hub_component": "component"}
+_HUB = {"hub": "doc_id", "hub_n": "n", "hub_place": "place", "hub_earlier": "earlier", "hub_component": "component"}
 
 
 def _hub_columns() -> list[Column]:
@@ -396,9 +396,15 @@ def _ranked(rows: DataFrame) -> DataFrame:
     return rows.select("*", *ends, F.row_number().over(by_turn).alias("turn"), first).where("low <> high").drop("low", "high")
 
 
-def _most() -> Column:
-    """What two sets can share at most, when they share the n-gram at these places."""
-    return F.least("before", "hub_before") + F.least(F.col("n") - F.col("place"), F.col("hub_n") - F.col("hub_place"))
+def _meets(percent: int) -> Column:
+    """Whether a document and a hub are to be tested for the n-gram that they meet under, taken for the first that they share.
+
+    From there on they share at most what the shorter rest holds. Where both have the same shared n-gram before this one, this is not the first, and they meet
+    under an earlier one; so a pair of near copies, which share long runs, comes up a few times and not once for each n-gram.
+    """
+    most = F.least(F.col("n") - F.col("place"), F.col("hub_n") - F.col("hub_place"))
+    first = F.col("earlier").isNull() | F.col("hub_earlier").isNull() | (F.col("earlier") != F.col("hub_earlier"))
+    return first & (100 * most >= percent * (F.col("n") + F.col("hub_n") - most))
 
 
 def links(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -409,10 +415,9 @@ def links(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     order, _, filled, groups = _groups(docs, size, percent)
-    most = _most()
     pairs = staged(
         groups.join(groups.select("token", *_hub_columns()), "token")
-        .where((F.col("doc_id") > F.col("hub")) & (100 * most >= percent * (F.col("n") + F.col("hub_n") - most)))
+        .where((F.col("doc_id") > F.col("hub")) & _meets(percent))
         .select("hub", F.col("doc_id").alias("member")).distinct()
     )
     drop_staged(groups)
@@ -452,7 +457,6 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
     labels = None
     hubs_each = 1
-    most = _most()
     ranked = staged(_ranked(groups))
     drop_staged(groups)
     while not ranked.isEmpty():
@@ -462,7 +466,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
             hubs = ranked.where(F.col("turn") <= hubs_each).select("token", F.col("turn").alias("hub_turn"), *_hub_columns())
             met = ranked.join(hubs, "token").where("turn > hub_turn")
         pairs = staged(
-            met.where("component <> hub_component").where(100 * most >= percent * (F.col("n") + F.col("hub_n") - most))
+            met.where("component <> hub_component").where(_meets(percent))
             .select("hub", F.col("doc_id").alias("member")).distinct()
         )
         rest = ranked.where(F.col("turn") > hubs_each).drop("turn", "first")
