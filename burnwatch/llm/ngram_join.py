@@ -161,6 +161,10 @@ class Order:
         """Numbers that never fall along the global order; n-grams of one number are rare and need not be equal."""
         return self.ranks(tokens).astype(np.uint64) << np.uint64(49) | tokens >> np.uint64(15)
 
+    def marks(self, tokens: np.ndarray) -> np.ndarray:
+        """The same in 32 bits, for bounds from above."""
+        return (self.places(tokens) >> np.uint64(32)).astype(np.uint32)
+
     def sorted(self, tokens: np.ndarray) -> np.ndarray:
         """Tokens, ascending as given, in the global order."""
         return tokens[np.argsort(self.ranks(tokens), kind="stable")]
@@ -257,25 +261,23 @@ def _heads(docs: DataFrame, size: int, percent: int, order) -> DataFrame:
 
 
 def _met(sets: DataFrame) -> DataFrame:
-    """(token, doc_id, set, n, place) of each of a document's first n-grams."""
+    """(token, doc_id, n, place) of each of a document's first n-grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 1024):
-                ids, n, digests, heads = (batch.column(i).slice(start, 1024) for i in range(4))
+                ids, n, heads = (batch.column(i).slice(start, 1024) for i in range(3))
                 firsts = [unpacked(raw) for raw in heads.to_pylist()]
                 counts = [len(x) for x in firsts]
-                short = np.array([int.from_bytes(d[:8], "little", signed=True) for d in digests.to_pylist()])
                 numbers = {
                     "token": np.concatenate(firsts).astype(np.int64),
                     "doc_id": np.repeat(ids.to_numpy(), counts),
-                    "set": np.repeat(short, counts),
                     "n": np.repeat(n.to_numpy(), counts),
                     "place": np.concatenate([np.arange(c, dtype=np.int32) for c in counts]),
                 }
                 yield pa.RecordBatch.from_pydict({name: pa.array(x) for name, x in numbers.items()})
 
-    return sets.select("doc_id", "n", "digest", "heads").mapInArrow(run, "token long, doc_id long, set long, n int, place int")
+    return sets.select("doc_id", "n", "heads").mapInArrow(run, "token long, doc_id long, n int, place int")
 
 
 def _tokens(docs: DataFrame, size: int) -> DataFrame:
@@ -303,22 +305,29 @@ def _possible(pairs: DataFrame, sets: DataFrame, order, percent: int) -> DataFra
     Before the nearer end of both heads all n-grams of both sets are known; from it on they share at most what the smaller rest holds.
     """
     heads = sets.select("doc_id", "n", "heads")
-    of_members = heads.join(_small(pairs.withColumnRenamed("member", "doc_id")), "doc_id").withColumnRenamed("doc_id", "member")
+    of_members = heads.join(_small(pairs.withColumnRenamed("member", "doc_id")), "doc_id").select(F.col("doc_id").alias("member"), "hub", "n", "heads")
     hubs = _small(pairs.select(F.col("hub").alias("doc_id")).distinct())
     of_hubs = heads.join(hubs, "doc_id", "left_semi").select(F.col("doc_id").alias("hub"), F.col("n").alias("hub_n"), F.col("heads").alias("hub_heads"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = order.value
+        for batch in batches:
+            marks = [rank.marks(unpacked(raw)).tobytes() for raw in batch.column(batch.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(marks, pa.binary())], names=batch.schema.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for n, raw, hub_n, hub_raw in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
-                x, y = rank.places(unpacked(raw)), rank.places(unpacked(hub_raw))
+                x, y = np.frombuffer(raw, np.uint32), np.frombuffer(hub_raw, np.uint32)
                 end = min(x[-1], y[-1])
                 known, hub_known = np.searchsorted(x, end), np.searchsorted(y, end)
                 common = int(np.isin(x[:known], y[:hub_known]).sum())
                 keep.append(alike(common + int(min(n - known, hub_n - hub_known)), n, hub_n, percent))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
+    # Only the marks move, half as long as the heads.
+    of_members, of_hubs = (x.mapInArrow(marked, x.schema) for x in (of_members, of_hubs))
     rows = of_members.join(of_hubs, "hub").select("hub", "member", "n", "heads", "hub_n", "hub_heads")
     return rows.mapInArrow(run, "hub long, member long")
 
@@ -366,10 +375,11 @@ def _groups(docs: DataFrame, size: int, percent: int) -> tuple:
     order = docs.sparkSession.sparkContext.broadcast(Order(*frequent(docs, size)))
     sets = staged(_heads(docs, size, percent, order))
     filled = sets.where("n > 0 AND doc_id IS NOT NULL")
-    # Copies of a set meet under the same n-grams; the smallest stands for them. What follows by n-gram stays in the one exchange.
-    met = _met(filled).repartition("token").groupBy("token", "set").agg(*(F.min(c).alias(c) for c in ("doc_id", "n", "place")))
+    # Copies of a set would meet under the same n-grams; the smallest stands for them.
+    firsts = staged(filled.groupBy("digest").agg(F.min("doc_id").alias("doc_id")))
+    met = _met(filled.join(_small(firsts), ["digest", "doc_id"]))
     of_token = Window.partitionBy("token")
-    shared = met.withColumn("members", F.count("*").over(of_token)).where("members > 1").select("token", "doc_id", "n", "place")
+    shared = met.withColumn("members", F.count("*").over(of_token)).where("members > 1").drop("members")
     # n-grams of a head that no other document has can be shared with none: a document's `alone` of them are missing from every overlap.
     # `earlier` is the shared n-gram before this one.
     own = Window.partitionBy("doc_id")
