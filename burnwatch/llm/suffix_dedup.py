@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -87,7 +88,10 @@ def anchors(pieces: list[np.ndarray], window: int) -> tuple[np.ndarray, ...]:
     last = np.concatenate((new[1:], [len(places)])) - 1
     p, first, final, piece = places[new], starts[new], starts[last], piece[new]
     shape = ((p - first) << 16 | (final - first)).astype(np.uint64)
-    stretch = _mixed(prefixes.of(first, final + window) + shape * np.uint64(0x9E3779B97F4A7C15))
+    # Stretches that occur whole more than once are told apart by this hash alone, so it has no structure that texts could meet by.
+    view, digest = memoryview(buffer.tobytes()), xxhash.xxh3_64_intdigest
+    contents = np.fromiter((digest(view[a:b]) for a, b in zip(first.tolist(), (final + window).tolist(), strict=True)), np.uint64, len(first))
+    stretch = _mixed(contents + shape * np.uint64(0x9E3779B97F4A7C15))
     base = offsets[piece]
     return piece, grams[p].view(np.int64), stretch.view(np.int64), p - base, first - base, final - base
 
