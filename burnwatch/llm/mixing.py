@@ -20,7 +20,7 @@ BLOCKS, BLOCK = 4096, 64
 BROADCAST_SOURCES = 50_000
 #: Parts that an interval of exponents is cut into at a time, and how often.
 PARTS, ROUNDS = 16, 9
-#: Widest range of exponents.
+#: The least exponent, at which all sources are alike, and the one that leaves them as they are.
 LEAST, MOST = 0.0, 1.0
 
 
@@ -36,19 +36,23 @@ def share_table(rows: DataFrame) -> DataFrame:
     return sources.withColumn("share", F.col("tokens") / F.lit(float(total)))
 
 
-def exponent_for(shares: DataFrame, target_entropy: float | None, repetition_limit: float | None) -> float:
+def exponent_for(shares: DataFrame, target_entropy: float | None, repetition_limit: float | None, sharpest: float = MOST) -> float:
     """The largest exponent whose weights have at least the entropy (in nats), or the smallest that repeats no source more than the limit times
     as often as any other; the nearest there is where none does."""
-    low, high = LEAST, MOST
+    # Relative to the largest share, so that some power is 1 whatever the exponent.
+    largest = shares.agg(F.max("share")).first()[0] or 1.0
+    relative = shares.select((F.col("share") / F.lit(largest)).alias("share"))
+    low, high = LEAST, MOST if target_entropy is None else sharpest
     for _ in range(ROUNDS):
         step = (high - low) / PARTS
-        tried = shares.select("share", F.explode(F.sequence(F.lit(0), F.lit(PARTS))).alias("i")).withColumn(
+        tried = relative.select("share", F.explode(F.sequence(F.lit(0), F.lit(PARTS))).alias("i")).withColumn(
             "power", F.pow("share", F.lit(low) + F.col("i") * F.lit(step))
         )
         ratio = F.col("power") / F.col("share")
         facts = tried.groupBy("i").agg(
-            (F.log(F.sum("power")) - F.sum(F.col("power") * F.log("power")) / F.sum("power")).alias("entropy"),
-            (F.max(ratio) / F.min(ratio)).alias("spread"),
+            # A power that is too small for a double adds nothing.
+            (F.log(F.sum("power")) - F.coalesce(F.sum(F.when(F.col("power") > 0, F.col("power") * F.log("power"))), F.lit(0.0)) / F.sum("power")).alias("entropy"),
+            F.try_divide(F.max(ratio), F.min(ratio)).alias("spread"),
         )
         found = {row["i"]: row for row in facts.collect()}
         if not found:
@@ -65,15 +69,18 @@ def exponent_for(shares: DataFrame, target_entropy: float | None, repetition_lim
     return low if target_entropy is not None else high
 
 
-def plan(rows: DataFrame, target_entropy: float | None, repetition_limit: float | None, budget: int | None) -> DataFrame:
+def plan(rows: DataFrame, target_entropy: float | None, repetition_limit: float | None, budget: int | None, sharpest: float = MOST) -> DataFrame:
     """(source, passes, whole, left, blocks) of (source, tokens, order): how often each source is passed over, in how many whole passes,
     the tokens left for the last one, and the number of its blocks."""
     shares = share_table(rows)
-    exponent = exponent_for(shares, target_entropy, repetition_limit)
-    power = F.pow("share", F.lit(exponent))
-    norm = shares.agg(F.sum(power).alias("sum"), F.max(F.col("share") / power).alias("rarest"), F.sum("tokens").alias("tokens")).first()
+    exponent = exponent_for(shares, target_entropy, repetition_limit, sharpest)
+    largest = shares.agg(F.max("share")).first()[0] or 1.0
+    power = F.pow(F.col("share") / F.lit(largest), F.lit(exponent))
+    norm = shares.agg(F.sum(power).alias("sum"), F.max(F.try_divide("share", power)).alias("rarest"), F.sum("tokens").alias("tokens")).first()
     if norm["sum"] is None:
         return shares.select("source", *(F.lit(0).cast(t).alias(n) for n, t in (("passes", "double"), ("whole", "long"), ("left", "long"), ("blocks", "long"))))
+    if budget is None and exponent > MOST:
+        budget = norm["tokens"]
     tokens = budget if budget is not None else norm["rarest"] * norm["sum"] * norm["tokens"]
     # Without a budget the source that is repeated least is passed over once; a trifle covers rounding.
     passes = F.lit(float(tokens)) * power / F.lit(norm["sum"]) / F.col("tokens") + F.lit(1e-9)
@@ -121,14 +128,15 @@ def _joined(rows: DataFrame, numbers: DataFrame) -> DataFrame:
 
 
 def mix(
-    docs: DataFrame, target_entropy: float | None = None, repetition_limit: float | None = 2.0, budget: int | None = None, seed: int = 0
+    docs: DataFrame, target_entropy: float | None = None, repetition_limit: float | None = 2.0, budget: int | None = None, seed: int = 0, sharpest: float = MOST
 ) -> DataFrame:
     """The rows of (doc_id, text, source, ...) as often as the mixture takes them, with `epoch` (from 0) and `turn` (0 to 1, where in the training order
     the row comes); columns of these names are replaced.
 
     Give either a target entropy of the weights, in nats, or a repetition limit: how often the most repeated source may be passed over for one pass of the least.
-    The budget is in tokens (words); without one it is the least that passes over every source once, so every row is kept. A budget that is smaller leaves
-    rows out, and no source exceeds its part by a token. Equal rows of one source stand or fall together. Null sources are one source; null and
+    An entropy under that of the sources as they are needs an exponent over 1: `sharpest` is the largest that is tried, and where even that leaves more entropy it is taken.
+    The budget is in tokens (words); without one it is the least that passes over every source once, so every row is kept, or with an exponent over 1, where that
+    would be a multiple of the corpus without bound, the corpus's own tokens. A budget that is smaller leaves rows out, and no source exceeds its part by a token. Equal rows of one source stand or fall together. Null sources are one source; null and
     empty texts count as one token; an empty table stays empty.
     """
     if (target_entropy is None) == (repetition_limit is None):
@@ -136,7 +144,7 @@ def mix(
     columns = [c for c in docs.columns if c not in ("epoch", "turn")]
     source = docs.select(*columns).withColumn("_order", F.xxhash64("doc_id", "text", F.lit(seed)))
     rows = staged(source.select("source", F.col("_order").alias("order"), tokens_of(F.col("text")).alias("tokens")))
-    planned = plan(rows, target_entropy, repetition_limit, budget)
+    planned = plan(rows, target_entropy, repetition_limit, budget, sharpest)
     ends = edges(rows, planned)
     numbers = planned.join(ends.withColumnRenamed("source", "_s"), planned["source"].eqNullSafe(F.col("_s")), "left").select(
         "source", *(F.col(c).alias(f"_{c}") for c in ("passes", "whole", "blocks", "edge", "last"))
