@@ -90,9 +90,11 @@ class Index:
 
     @staticmethod
     def build(vectors: list[tuple[np.ndarray, np.ndarray]], ids: np.ndarray, toxic: np.ndarray, n_terms: int) -> Index:
-        # Examples whose heaviest terms are equal stand together, which makes the maxima of their block tight.
-        heaviest = [tuple(t[np.argsort(-w, kind="stable")[:3]]) for t, w in vectors]
-        order = sorted(range(len(vectors)), key=lambda i: (heaviest[i], ids[i]))
+        # Examples whose heaviest terms are equal stand together, which makes the maxima of their block tight. The order, which decides between equal cosines,
+        # follows from terms, weights and labels; an id has no part in it.
+        by_term = [(t[o], w[o]) for t, w in vectors for o in [np.argsort(t)]]
+        heaviest = [tuple(t[np.argsort(-w, kind="stable")[:3]]) for t, w in by_term]
+        order = sorted(range(len(vectors)), key=lambda i: (heaviest[i], by_term[i][0].tolist(), by_term[i][1].tolist(), toxic[i]))
         weights = np.zeros((-(-max(1, len(order)) // BLOCK), n_terms, BLOCK), np.float32)
         for column, i in enumerate(order):
             weights[column // BLOCK, vectors[i][0], column % BLOCK] = vectors[i][1]
@@ -105,7 +107,7 @@ class Index:
         return terms, weights[terms].astype(np.float64)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Columns and cosines of the k nearest examples that share a term, by cosine, then example id."""
+        """Columns and cosines of the k nearest examples that share a term, by cosine, then place in the index."""
         query = weights.astype(np.float32)
         bounds = query @ self.maxima[terms]
         order = np.argsort(-bounds, kind="stable")
@@ -121,11 +123,11 @@ class Index:
             columns = np.concatenate([columns, found[real]])
             cosines = np.concatenate([cosines, np.round(scores[keep[real]].astype(np.float64), 6)])
             if len(columns) > k:
-                best = np.lexsort((self.ids[columns], -cosines))[:k]
+                best = np.lexsort((columns, -cosines))[:k]
                 columns, cosines, kth = columns[best], cosines[best], cosines[best[-1]]
             elif len(columns) == k:
                 kth = cosines.min()
-        best = np.lexsort((self.ids[columns], -cosines))
+        best = np.lexsort((columns, -cosines))
         return columns[best], cosines[best]
 
 
