@@ -2,24 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
-SHARED_DIR = "spark.checkpoint.dir"
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in the session; one of this machine's own only where none is set, as in local tests."""
-    configured = spark.conf.get(SHARED_DIR, None)
-    if configured:
-        return configured
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = tempfile.mkdtemp(prefix="llm-")
-    return _own[app]
+from burnwatch.plans.staging import shared_dir
 
 
 def staged(df: DataFrame) -> DataFrame:
