@@ -404,6 +404,17 @@ SELECT id, CAST(sid AS INTEGER) AS sid, service_name, TIMESTAMP '2024-02-01 00:0
        burn_rate, eb_breached, CAST(project_id AS INTEGER) AS project_id, data_category
 """
 
+def _whole_ingested() -> str:
+    """All 83 columns: those that the items have, and the defaults of the others."""
+    own = {
+        "id": "id", "sid": "sid", "service_name": "service_name", "record_time": "TIMESTAMP '2024-02-01 00:00:00'", "total_count": "total_count",
+        "error_count": "error_count", "error_rate": "error_rate", "response_time_max": "response_time_max", "response_time_p95": "response_time_p95",
+        "eb_health": "eb_health", "burn_rate": "burn_rate", "eb_breached": "eb_breached", "project_id": "project_id", "data_category": "data_category",
+    }
+    columns = [f"CAST({own.get(f.column, 'NULL' if f.default is None else repr(f.default))} AS {_SQL_TYPES[f.dtype]}) AS {f.column}" for f in FIELDS]
+    return ", ".join(columns)
+
+
 # Pages take turns in nine forms; every ninth is left out.
 _PAGES = f"""
 WITH page AS (
@@ -552,6 +563,7 @@ GROUP BY service_name, eb.eb_actual_consumed_percent, eb.eb_left_count, eb.aspir
          eb.burn_rate, eb_health""",
         "composite_health": composite,
         "composite_health_json": composite,
+        "composite_health_text": f"SELECT CAST(to_json(s) AS VARCHAR) AS value FROM ({composite}) s",
         "severity_heatmap": f"""{PRELUDE}
 SELECT e.service_name, {big(_colours("#FD346E"), "red_count")}, {big(_colours("#07AE86"), "green_count")},
        r.response_severity, e.eb_severity, e.timeliness_severity, {r("avg(e.burn_rate)", "avg_burn_rate")}
@@ -609,6 +621,7 @@ SELECT 'svc_' || k AS service_name, window_start, window_start + INTERVAL 90 MIN
 FROM b""",
         "ingested_records": f"{_INGEST} {_INGESTED} FROM loaded",
         "ingested_cut_pages": f"{_INGEST} {_INGESTED} FROM loaded",
+        "ingested_whole_records": f"{_INGEST} SELECT {_whole_ingested()} FROM loaded",
         "ingest_rejects": f"{_INGEST} SELECT page_id, pos, bad_keys FROM faulty WHERE bad_keys <> ''",
         "page_problems": f"""{_PAGES}
 SELECT page_id, CASE page_id % 9 WHEN 4 THEN 'unreadable' WHEN 7 THEN 'missing' ELSE 'short' END AS reason
@@ -652,6 +665,18 @@ SELECT id, CAST(sid AS INTEGER) AS sid, data_category, error_rate FROM ranked WH
   SELECT * FROM renamed QUALIFY row_number() OVER (PARTITION BY data_category, id ORDER BY (n // {PAGE_SIZE}) % 3 DESC, n DESC) = 1
 )
 SELECT * EXCLUDE (record_time) FROM ({_INGESTED} FROM newest)""",
+        "replaced_snapshot": f"""{_INGEST}, sized AS (
+  SELECT event_id // {PAGE_SIZE} AS page_id, count(*) AS items FROM events GROUP BY 1
+), offsets AS (
+  SELECT page_id, sum(items) OVER (PARTITION BY page_id % 3 ORDER BY page_id) - items AS page_offset FROM sized
+), renamed AS (
+  SELECT typed.* REPLACE (CASE WHEN typed.n % 11 = 0 AND typed.n % 3 = 0 THEN 'platform_' || CAST(page_offset + typed.n % {PAGE_SIZE} AS BIGINT) ELSE id END AS id), page_id
+  FROM typed JOIN offsets ON typed.n // {PAGE_SIZE} = page_id
+  WHERE data_category = 'EB' AND page_id % 3 = 1 OR data_category = 'RESPONSE' AND page_id % 3 = 0
+), newest AS (
+  SELECT * FROM renamed QUALIFY row_number() OVER (PARTITION BY data_category, id ORDER BY n DESC) = 1
+)
+SELECT id, data_category, CAST(total_count AS INTEGER) AS total_count, error_rate, eb_health FROM newest""",
         "coerced_times": """
 WITH forms AS (
   SELECT event_id AS n, 'i' || (event_id % 5000) AS id, CAST(event_id % 100 AS INTEGER) AS total_count, event_id % 3 AS form,

@@ -174,6 +174,11 @@ def composite_health_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(decoded.select("row.*"))
 
 
+def composite_health_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The encoded rows as text."""
+    return json_rows(rounded(health.composite_health_score(tables(spark, sf_dir))))
+
+
 def window_burn_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(sliding_burn_rate(events(spark, sf_dir), EVENT_RULES, window="6 hours", slide="1 hour"))
 
@@ -340,6 +345,11 @@ def ingested_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loaded.select(*_INGEST_COLUMNS)
 
 
+def ingested_whole_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in all 83 columns."""
+    return clean(records.good_records(_typed(spark, sf_dir)), records.ARRIVAL)
+
+
 def ingest_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     rejected = records.rejected_records(_typed(spark, sf_dir))
     return rejected.select(
@@ -421,6 +431,16 @@ def stored_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.eb.unionByName(kept.resp).select(*columns)
 
 
+def replaced_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two loads, the second without response records: its error-budget records replace the others, the response records stay."""
+    store = SnapshotStore(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    pages = event_pages(spark, sf_dir)
+    store.load_pages(pages.filter("page_id % 3 = 0"))
+    store.load_pages(pages.filter("page_id % 3 = 1").withColumn("body", F.replace("body", F.lit('"RESPONSE"'), F.lit('"NONE"'))))
+    kept = store.tables()
+    return kept.eb.unionByName(kept.resp).select("id", "data_category", "total_count", "error_rate", "eb_health")
+
+
 def coerced_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Times as epoch milliseconds in text or number, times as text, times that are none, and ids that are missing."""
     n = F.col("event_id")
@@ -461,6 +481,7 @@ QUERIES: dict[str, Query] = {
     "budget_exhausted": _over_tables(budget.budget_exhausted_services),
     "composite_health": _over_tables(health.composite_health_score),
     "composite_health_json": composite_health_json,
+    "composite_health_text": composite_health_text,
     "severity_heatmap": _over_tables(health.severity_heatmap),
     "governance_status": _over_tables(health.slo_governance_status),
     "services_by_slo_status": _over_tables(health.services_by_slo_status),
@@ -480,7 +501,9 @@ QUERIES: dict[str, Query] = {
     "ingested_cut_pages": cut_pages,
     "run_problems": run_problems,
     "run_records": run_records,
+    "ingested_whole_records": ingested_whole_records,
     "latest_records": stored_batches,
+    "replaced_snapshot": replaced_snapshot,
     "coerced_times": coerced_times,
     "burn_alerts": alerts,
     "alert_changes": alert_log,
