@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from burnwatch.llm import bpe, mixing, ngram_join, suffix_dedup, toxicity
 from burnwatch.llm.queries import bpe_vocabulary
-from burnwatch.llm.staging import staged
+from burnwatch.llm.staging import drop_staged, staged
 
 #: Ids of dropped documents that are broadcast at most; beyond it they are joined by shuffle.
 BROADCAST_IDS = 1_000_000
@@ -89,12 +89,13 @@ STAGES = [
     ("byte-level BPE", to_tokens),
 ]
 
-#: SQL cannot express the stages; tests hold each against a plain form.
+#: SQL cannot express the stages; `tests/llm/test_pipeline_stages.py` holds each against a plain form.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir))
+        before, docs = docs, staged(stage(spark, docs, sf_dir))
+        drop_staged(before)  # leaves the given table, which is none of its own
     return STAGES[-1][1](spark, docs, sf_dir)
