@@ -57,6 +57,7 @@ def signatures(df: DataFrame, **texts: str) -> DataFrame:
     """The frame with an array of ints by each new name, the signature of the text column that it names.
 
     Null, empty and blank texts have an empty signature; a text of fewer than k words is one k-mer; equal texts have equal signatures.
+    Very long texts are taken whole; k-mers from the 2^24th of a text on count as standing in one place, so their order among themselves is not told apart.
     """
     for name, text in texts.items():
         kept = [c for c in df.columns if c != name]

@@ -33,7 +33,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: st
     verdict is `default` and the rule null. Rules with a null or empty host fit nothing; repeated rules count once.
 
     Null urls and urls without `://` have empty hosts and paths and fit no rule. Repeated rows, also under one key, are judged each;
-    other columns are ignored. Work is done per distinct (host, path), so a url that many rows share is expanded once.
+    other columns are ignored. Urls may be of any length; one has as many expressions as suffixes of its host times beginnings of its path, and only those as long as some rule count. Work is done per distinct (host, path), so a url that many rows share is expanded once.
     """
     rules = (
         rules.select("host", F.coalesce("path", F.lit("")).alias("path"), "verdict")
