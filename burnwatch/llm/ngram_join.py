@@ -30,8 +30,8 @@ FREQUENT = 65_536
 REPORTED = 4
 #: Sets in one prefix tree at most.
 TREE = 256
-#: Pairs of ids that are broadcast at most; beyond it they are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Rows of ids and digests that are broadcast at most, some 45 MB; beyond it they are joined by shuffle.
+BROADCAST_ROWS = 300_000
 
 #: Masks of the first 0 to 8 bytes of a little-endian number, and odd constants.
 _MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
