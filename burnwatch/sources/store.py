@@ -7,6 +7,7 @@
     <root>/claims/version=<n>                        taken numbers
     <root>/streams/<query>/batch=<n>                 the version that a micro-batch was given
     <root>/current/merge=<m>/data_category=.../record_date=<day>/*.parquet
+    <root>/partials/merge=<m>/record_date=<day>/*.parquet      hourly figures of the error-budget rows of those days, where asked for
     <root>/manifests/<k>                             which merge holds each day of the current view, and which versions are in it
 
 A load writes a new version in one pass and publishes it by creating one small file; readers take the newest version that has rows of their table.
@@ -29,6 +30,7 @@ from pyspark.sql import Column, DataFrame, DataFrameReader, Observation, SparkSe
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from burnwatch.operators.partials import partials
 from burnwatch.plans.staging import staged
 from burnwatch.plans.tables import PARTITION, SloTables, TimeLike, as_time, in_time_range
 from burnwatch.schema import COLUMNS, EB, RESPONSE, SERVICE_LOG_SCHEMA
@@ -77,9 +79,12 @@ class LoadResult:
 
 
 class SnapshotStore:
-    def __init__(self, spark: SparkSession, root: str):
+    """``partials=True`` keeps hourly figures (see ``operators.partials``) of every day of the current view beside its rows."""
+
+    def __init__(self, spark: SparkSession, root: str, *, partials: bool = False):
         self.spark = spark
         self.root = root.rstrip("/")
+        self._keep_partials = partials
         self._known: dict[int, dict] = {}
 
     # Paths and markers go through the Hadoop file system of the path, so any shared store works.
@@ -287,6 +292,10 @@ class SnapshotStore:
                 .parquet(f"{self.root}/current/{merge}")
             )
             after = {c: {d: m for d, m in held.items() if (c, d) not in touched} for c, held in days.items()}
+            if self._keep_partials and self._exists(f"{self.root}/current/{merge}/data_category={EB}"):
+                written = self._reader("current", _CURRENT_SCHEMA).parquet(f"{self.root}/current/{merge}/data_category={EB}").select(*COLUMNS)
+                figures = partials(SloTables.from_pair(written, written.limit(0)))
+                figures.hint("rebalance", PARTITION).write.partitionBy(PARTITION).parquet(f"{self.root}/partials/{merge}")
             for c in (EB, RESPONSE):
                 for name in self._names(f"current/{merge}/data_category={c}"):
                     after[c][name.split("=")[1]] = merge
@@ -301,10 +310,20 @@ class SnapshotStore:
         used = {merge for held in manifest["days"].values() for merge in held.values()}
         unused = [m for m in self._names("current") if m not in used]
         for merge in unused:
-            fs, p = self._fs(f"{self.root}/current/{merge}")
-            fs.delete(p, True)
+            for folder in ("current", "partials"):
+                fs, p = self._fs(f"{self.root}/{folder}/{merge}")
+                fs.delete(p, True)
         return len(unused)
 
+    def partials(self) -> DataFrame:
+        """Hourly figures of all days of the current view, as of its last update; risk and history come from them without reading the logs."""
+        _, manifest = self._manifest()
+        paths = [f"{self.root}/partials/{merge}/{PARTITION}={day}" for day, merge in manifest["days"][EB].items()]
+        missing = sorted({merge for merge in manifest["days"][EB].values()} - set(self._names("partials")))
+        if missing or not paths:
+            raise ValueError("the current view is empty or has days that were merged without partials")
+        return self.spark.read.option("basePath", f"{self.root}/partials").parquet(*paths).drop("merge")
+
     # --- readers ---
 
     def problems(self, version: int) -> DataFrame:

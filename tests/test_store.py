@@ -9,6 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from burnwatch.operators import degradation
+from burnwatch.operators.partials import history_from, risk_from
+from burnwatch.operators.trends import service_risk
 from burnwatch.schema import EB, RESPONSE
 from burnwatch.sources import store as store_module
 from burnwatch.sources.store import SnapshotStore, _ranges
@@ -199,3 +201,36 @@ def test_each_version_is_found_by_one_listing(store, pages, monkeypatch):
     assert other.versions(EB) == other.versions(EB) == [0, 1, 2]
     assert len(reads) == 3
     assert other.tables(history=True).eb.select(F.count("*")).first()[0] == 3
+
+
+def test_stored_figures_follow_the_current_view(spark, tmp_path, pages):
+    """Risk and history from the figures of the store are those of its logs after every load, and no log file is read."""
+    store = SnapshotStore(spark, str(tmp_path / "kept"), partials=True)
+    with pytest.raises(ValueError, match="empty"):
+        store.partials()
+
+    def item_at(key, day, hour, rate):
+        return item(key, day) | {"at": f"2024-02-{day:02d} {hour:02d}:30:00", "errorRate": rate, "avgResponseTime": rate / 3}
+
+    loads = [
+        [item_at(f"a{d}-{h}", d, h, d + h / 7) for d in range(1, 6) for h in (0, 9, 23)],
+        [item_at("a3-9", 3, 9, 40.0), item_at("a9", 9, 1, 2.0), item_at("a1-0", 8, 2, 7.0)],
+        [item("only-response", 2, category=RESPONSE)],
+    ]
+    for rows in loads:
+        load(store, pages, *rows)
+        store.update_current()
+        found, wanted = (df.drop("risk_factors").collect() for df in (risk_from(store.partials()), service_risk(store.tables(latest=True))))
+        assert len(found) == len(wanted) == 1
+        for name in wanted[0].asDict():
+            assert str(found[0][name]) == str(wanted[0][name]) or name == "trends"
+        assert found[0].trends.error_rate_slope == pytest.approx(wanted[0].trends.error_rate_slope)
+        (history,) = history_from(store.partials()).collect()
+        assert history.data_points == store.tables(latest=True).eb.count()
+        assert all("/partials/" in f for f in store.partials().inputFiles())
+    store.vacuum()
+    assert store.partials().count() > 0
+    load(store, pages, item("z", 12))
+    SnapshotStore(spark, store.root).update_current()
+    with pytest.raises(ValueError, match="without partials"):
+        store.partials()
