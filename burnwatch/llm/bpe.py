@@ -23,6 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from burnwatch.llm.worker_memory import kept
+
 # Texts of these characters alone split alike under `re`, which is faster: there no number is other than a decimal
 # digit, and white space is the same for both libraries.
 PLAIN = re.compile(r"[\x00-\x1b\x20-\xa0\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ]*\Z")
@@ -30,7 +32,7 @@ PLAIN_PATTERN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s
 # Fixed value: the pre-token pattern for which PLAIN_PATTERN is an equal form on plain texts.
 FAST_FOR = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pre-tokens remembered in a task before the older half goes.
-MEMO = 500_000
+MEMO = 400_000
 #: Bytes of ids gathered before a batch is handed on.
 FLUSH = 1_000_000
 
@@ -178,17 +180,6 @@ class Memo(dict):
         return ids
 
 
-#: The memo of this worker process, by the broadcast it belongs to; tasks that follow each other share it.
-_memo: dict[int, Memo] = {}
-
-
-def _memo_of(number: int, vocabulary: Vocabulary) -> Memo:
-    if number not in _memo:
-        _memo.clear()
-        _memo[number] = Memo(vocabulary)
-    return _memo[number]
-
-
 def _rows(batch: pa.RecordBatch, column: pa.Array, name: str, start: int, stop: int) -> pa.RecordBatch:
     """The rows from start to stop with the column appended, in place of one of the same name."""
     kept = [i for i, n in enumerate(batch.schema.names) if n != name]
@@ -206,7 +197,7 @@ class _Encoder:
     """Packed ids of whole texts."""
 
     def __init__(self, number: int, vocabulary: Vocabulary) -> None:
-        self.memo, self.slow = _memo_of(number, vocabulary), regex.compile(vocabulary.pattern)
+        self.memo, self.slow = kept(("bpe", number), lambda: Memo(vocabulary)), regex.compile(vocabulary.pattern)
         self.plain = vocabulary.pattern == FAST_FOR
 
     def __call__(self, text: str) -> bytes:

@@ -21,6 +21,7 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 
 from burnwatch.llm.components import components
 from burnwatch.llm.staging import drop_staged, staged
+from burnwatch.llm.worker_memory import release
 
 #: Text hashed at a time.
 CHUNK = 1 << 18
@@ -118,6 +119,7 @@ def frequent(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     """The n-grams that most documents hold, sorted, with about how many; at most FREQUENT."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         waiting, many = [], 0
 
         def report():
@@ -245,6 +247,7 @@ def _heads(docs: DataFrame, size: int, percent: int, order) -> DataFrame:
     every set that is alike shares."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         rank = order.value
         for batch in batches:
             n, digests, heads = [], [], []

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from burnwatch.llm.staging import staged
+from burnwatch.llm.worker_memory import release
 
 GRAM = 32
 #: Bytes that are hashed at a time.
@@ -101,6 +102,7 @@ ROW = "key long, check int, gram long, stretch long, anchor int, first int, last
 
 def _anchor_rows(docs: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         pieces: list[np.ndarray] = []
         owners: list[tuple] = []
         size = 0

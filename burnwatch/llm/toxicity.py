@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from burnwatch.llm.staging import staged
+from burnwatch.llm.worker_memory import release
 
 WORD = re.compile(r"\w+")
 #: Lengths of word beginnings that are terms beside the word: compounds and inflections share them.
@@ -214,6 +215,7 @@ def document_counts(docs: DataFrame, terms: list[str]) -> tuple[int, np.ndarray]
     numbers = {t: i for i, t in enumerate(terms)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         known, held, n = Known(numbers), np.zeros(len(numbers) + 1, np.int64), 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
@@ -335,6 +337,7 @@ def score(docs: DataFrame, model: Model | None, evidence: bool = True) -> DataFr
     item = pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         model = shared.value
         known = Known({t: i for i, t in enumerate(model.terms)})
         for batch in batches:

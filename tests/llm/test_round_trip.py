@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 
-from burnwatch.llm import bpe
+from burnwatch.llm import bpe, worker_memory
 from burnwatch.llm.queries import BPE_RANKS, bpe_vocabulary
 
 
@@ -48,3 +48,14 @@ def test_ids_too_large_for_the_table_of_pairs_raise(tmp_path):
     path.write_bytes(b"\n".join(base64.b64encode(bytes([b])) + b" %d" % (b if b else 2**20) for b in range(256)))
     with pytest.raises(ValueError, match="2\\^20"):
         bpe.Vocabulary.read(str(path), "x")
+
+
+def test_a_worker_keeps_one_thing_at_a_time():
+    worker_memory.release()
+    first = worker_memory.kept("a", list)
+    assert worker_memory.kept("a", list) is first
+    other = worker_memory.kept("b", dict)
+    assert worker_memory.kept("b", dict) is other and worker_memory.kept("a", list) is not first
+    again = worker_memory.kept("a", list)
+    worker_memory.release()
+    assert worker_memory.kept("a", list) is not again
