@@ -329,9 +329,9 @@ def _possible(pairs: DataFrame, sets: DataFrame, order, percent: int) -> DataFra
                 keep.append(alike(common + int(min(n - known, hub_n - hub_known)), n, hub_n, percent))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    # Only the marks move, half as long as the heads.
+    # Only the marks move, half as long as the heads. Both sides are shuffled, so that a task has one Python worker and not two.
     of_members, of_hubs = (x.mapInArrow(marked, x.schema) for x in (of_members, of_hubs))
-    rows = of_members.join(of_hubs, "hub").select("hub", "member", "n", "heads", "hub_n", "hub_heads")
+    rows = of_members.join(of_hubs.hint("merge"), "hub").select("hub", "member", "n", "heads", "hub_n", "hub_heads")
     return rows.mapInArrow(run, "hub long, member long")
 
 
@@ -340,7 +340,7 @@ def _tested(pairs: DataFrame, docs: DataFrame, size: int, order, percent: int) -
     of_members = _tokens(docs.join(_small(pairs.withColumnRenamed("member", "doc_id")), "doc_id"), size)
     hubs = _small(pairs.select(F.col("hub").alias("doc_id")).distinct())
     of_hubs = _tokens(docs.join(hubs, "doc_id", "left_semi"), size).select(F.col("doc_id").alias("hub"), F.col("tokens").alias("probe"))
-    rows = of_members.withColumnRenamed("doc_id", "member").join(of_hubs, "hub")
+    rows = of_members.withColumnRenamed("doc_id", "member").join(of_hubs.hint("merge"), "hub")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = order.value
