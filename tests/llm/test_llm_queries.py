@@ -28,7 +28,7 @@ def rows(spark, name):
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_matches_sql(spark, name):
     duck = duckdb.connect()
-    for table in ("documents", "pages", "embeddings", "conversations"):
+    for table in ("documents", "pages", "embeddings", "conversations", "benchmark"):
         duck.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF_DIR}/{table}.parquet'")
     result = duck.execute(ORACLE[name])
     columns = [d[0] for d in result.description]
