@@ -267,6 +267,7 @@ def _met(sets: DataFrame) -> DataFrame:
     """(token, doc_id, n, place) of each of a document's first n-grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for start in range(0, batch.num_rows, 1024):
                 ids, n, heads = (batch.column(i).slice(start, 1024) for i in range(3))
@@ -288,6 +289,7 @@ def _tokens(docs: DataFrame, size: int) -> DataFrame:
     rest = docs.drop("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
@@ -313,12 +315,14 @@ def _possible(pairs: DataFrame, sets: DataFrame, order, percent: int) -> DataFra
     of_hubs = heads.join(hubs, "doc_id", "left_semi").select(F.col("doc_id").alias("hub"), F.col("n").alias("hub_n"), F.col("heads").alias("hub_heads"))
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         rank = order.value
         for batch in batches:
             marks = [rank.marks(unpacked(raw)).tobytes() for raw in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(marks, pa.binary())], names=batch.schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             keep = []
             for n, raw, hub_n, hub_raw in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
@@ -343,6 +347,7 @@ def _tested(pairs: DataFrame, docs: DataFrame, size: int, order, percent: int) -
     rows = of_members.withColumnRenamed("doc_id", "member").join(of_hubs.hint("merge"), "hub")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         rank = order.value
         hub, probe, members, sets_ = None, None, [], []
 

@@ -23,8 +23,8 @@ from burnwatch.llm.staging import staged
 from burnwatch.llm.worker_memory import release
 
 GRAM = 32
-#: Bytes that are hashed at a time.
-CHUNK = 1 << 20
+#: Bytes that are hashed at a time; a task holds some 200 bytes of numbers for each.
+CHUNK = 1 << 18
 #: Stretches that one task sorts at a time; groups of more are counted by window instead.
 GROUP = 20_000
 
@@ -256,6 +256,7 @@ def _sorted_spans(stretches: DataFrame, window: int) -> DataFrame:
     """Spans of repeated windows in stretches that are grouped by gram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         held: list[tuple] = []
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
@@ -350,6 +351,7 @@ def remove_repeats(docs: DataFrame, window: int = 200, group: int = GROUP, carry
     names = [f.name for f in given.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             kept, merged, sizes = [], [], []
             for raw, spans in zip(*(batch.columns[i].to_pylist() for i in (-2, -1)), strict=True):
