@@ -257,6 +257,8 @@ def answers_for_asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- ingest: every event becomes one JSON item of a page of 200 ---
 
+#: Parts that pages are dealt to, for each core.
+PARTS_PER_CORE = 4
 
 def _member(key: str, value: Column) -> Column:
     """``"key":value`` as JSON text; NULL (no member) when the value is NULL."""
@@ -303,10 +305,12 @@ def event_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("}"),
     )
     size = page_source.PAGE_SIZE
-    # event_id is unique, so a page gathers at most 200 items.
+    # event_id is unique, so a page gathers at most 200 items.  Parsing a page takes long for its bytes: by bytes alone Spark would join the pages to
+    # about one part per core, and one part more than cores takes twice the time.
     return (
         events(spark, sf_dir)
         .select(F.floor(n / size).alias("page_id"), n.alias("n"), item.alias("item"))
+        .repartition(PARTS_PER_CORE * spark.sparkContext.defaultParallelism, "page_id")
         .groupBy("page_id")
         .agg(F.sort_array(F.collect_list(F.struct("n", "item"))).alias("items"))
         .select(

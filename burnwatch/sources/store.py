@@ -20,6 +20,7 @@ visible by the next manifest, which is created whole or not at all; of two write
 from __future__ import annotations
 
 import json
+import math
 import time
 import uuid
 from collections.abc import Iterable
@@ -35,11 +36,14 @@ from burnwatch.plans.staging import staged
 from burnwatch.plans.tables import PARTITION, SloTables, TimeLike, as_time, in_time_range
 from burnwatch.schema import COLUMNS, EB, RESPONSE, SERVICE_LOG_SCHEMA
 from burnwatch.sources.pages import PAGE_SIZE, kept_pages, page_items, page_problems
-from burnwatch.sources.records import ARRIVAL, good_records, rejected_records, statistics_columns, typed_items
+from burnwatch.sources.records import ARRIVAL, accepted, good_records, rejected_records, statistics_columns, typed_items
 from burnwatch.sources.timerange import resolve_range
 
 #: Age from which an empty marker counts as abandoned.
 ABANDONED_SECONDS = 60
+#: Rows of one table and day that are written as one part.
+PART_ROWS = 25_000
+_PART = "_part"
 #: The version that a row of the current view came with.
 LOADED = "loaded_version"
 _CURRENT_SCHEMA = T.StructType([*SERVICE_LOG_SCHEMA.fields, T.StructField(LOADED, T.IntegerType())])
@@ -70,6 +74,22 @@ def clean(records: DataFrame, arrival: list[str]) -> DataFrame:
     )
 
 
+def day_parts(rows: DataFrame) -> int:
+    """In how many parts to write each day of a table: by the rows of the largest, so that few days are not few tasks."""
+    most = rows.groupBy("data_category", PARTITION).count().agg(F.max("count")).first()[0]
+    return max(math.ceil((most or 0) / PART_ROWS), 1)
+
+
+def _by_day(rows: DataFrame, parts: int) -> DataFrame:
+    """Rows ready to be written by table and day.  Rebalancing evens out the files of a day and joins small parts."""
+    return (
+        rows.withColumn(_PART, F.pmod(F.hash("id"), F.lit(parts)))
+        .hint("rebalance", "data_category", PARTITION, _PART)
+        .drop(_PART)
+        .sortWithinPartitions("data_category", PARTITION, "service_name")
+    )
+
+
 @dataclass(frozen=True)
 class LoadResult:
     version: int
@@ -158,8 +178,8 @@ class SnapshotStore:
             version += 1
         return version
 
-    def write(self, records: DataFrame, version: int | None = None, problems: dict[str, int] | None = None) -> LoadResult:
-        """Write cleaned records of both categories as a new version, and publish it if it has rows.
+    def write(self, records: DataFrame, version: int | None = None, problems: dict[str, int] | None = None, parts: int = 1) -> LoadResult:
+        """Write cleaned records of both categories as a new version, each day in ``parts``, and publish it if it has rows.
 
         The counts are observed on the rows as they are written, after the last shuffle: there a task that is run again counts once, since Spark
         takes the figures of the first run of each partition only.  Every attempt has a folder of its own, so nothing is written over.
@@ -170,10 +190,8 @@ class SnapshotStore:
         rows = records.withColumn(PARTITION, F.col("record_time").cast("date"))
         newest = {c: F.max(F.when(F.col("data_category") == c, F.col(PARTITION))).cast("string").alias(c) for c in (EB, RESPONSE)}
         seen = Observation()
-        # Rebalancing evens out the files of a day and splits the big ones.
         (
-            rows.hint("rebalance", "data_category", PARTITION)
-            .sortWithinPartitions("data_category", PARTITION, "service_name")
+            _by_day(rows, parts)
             .observe(seen, *statistics_columns(), *newest.values())
             .write.partitionBy("data_category", PARTITION)
             .parquet(f"{self._version_dir(version)}/{attempt}")
@@ -212,7 +230,8 @@ class SnapshotStore:
                 raise ValueError("no page could be read")
             kept = kept_pages(items, page_size) if stop_at_short_page else items
             rejected_records(kept).write.mode("overwrite").parquet(f"{self.root}/rejected/version={version}")
-            return self.write(clean(good_records(kept), ARRIVAL), version, counts)
+            parts = day_parts(accepted(items).withColumn(PARTITION, F.col("record_time").cast("date")))
+            return self.write(clean(good_records(kept), ARRIVAL), version, counts, parts)
         finally:
             fs, p = self._fs(staging)
             fs.delete(p, True)
@@ -265,6 +284,10 @@ class SnapshotStore:
         last = rows.groupBy("data_category", "id").agg(F.max_by(F.struct(*rest), LOADED).alias("_last"))
         return last.select("data_category", "id", "_last.*").select(*COLUMNS, PARTITION, LOADED)
 
+    @staticmethod
+    def _days_of(rows: DataFrame) -> set[tuple[str, str]]:
+        return {(r[0], str(r[1])) for r in rows.select("data_category", PARTITION).distinct().collect()}
+
     def update_current(self) -> int:
         """Merge versions that are not in the current view yet; the number of them.
 
@@ -275,19 +298,22 @@ class SnapshotStore:
             pending = self._pending(manifest)
             if not pending:
                 return 0
-            new = self._newest(self._rows_of(pending))
+            rows = self._rows_of(pending)
             days = manifest["days"]
-            touched = {(r[0], str(r[1])) for r in new.select("data_category", PARTITION).distinct().collect()}
-            now = self._rows_of_days(days)
-            if now is not None:
-                moved = now.join(new.select("data_category", "id"), ["data_category", "id"], "left_semi")
-                touched |= {(r[0], str(r[1])) for r in moved.select("data_category", PARTITION).distinct().collect()}
+            if len(pending) == 1:
+                newest = rows
+            else:
+                newest = rows.groupBy("data_category", "id").agg(F.max_by(PARTITION, LOADED).alias(PARTITION))
+            touched = self._days_of(newest)
+            # Whole rows are compared once, below; up to there only days and ids are read.
+            rest = self._rows_of_days({c: {d: m for d, m in held.items() if (c, d) not in touched} for c, held in days.items()})
+            if rest is not None:
+                touched |= self._days_of(rest.join(rows.select("data_category", "id"), ["data_category", "id"], "left_semi"))
             base = self._rows_of_days({c: {d: m for d, m in held.items() if (c, d) in touched} for c, held in days.items()})
-            rows = new if base is None else self._newest(base.unionByName(new))
+            rows = rows if base is None else base.unionByName(rows)
             merge = f"merge=m{uuid.uuid4().hex}"
             (
-                rows.hint("rebalance", "data_category", PARTITION)
-                .sortWithinPartitions("data_category", PARTITION, "service_name")
+                _by_day(self._newest(rows), day_parts(rows))
                 .write.partitionBy("data_category", PARTITION)
                 .parquet(f"{self.root}/current/{merge}")
             )

@@ -104,6 +104,38 @@ def test_an_id_that_moves_to_another_day_leaves_the_old_one(store, pages):
     assert current(store) == [("a", 2), ("b", 3)]
 
 
+def test_a_large_day_is_written_in_parts(spark, store, pages, monkeypatch):
+    """However few days a load has, its rows are dealt to many tasks."""
+    monkeypatch.setattr(store_module, "PART_ROWS", 5)
+    items = [item(f"k{i}", n=i, category=(EB, RESPONSE)[i % 2]) for i in range(40)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        load(store, pages, *items)
+        store.update_current()
+        load(store, pages, item("k0", n=99))
+        store.update_current()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for options in ({"history": True}, {"latest": True}):
+        assert len(store.table(RESPONSE, **options).inputFiles()) > 1
+    assert len(store.table(EB, latest=True).inputFiles()) > 1
+    assert current(store) == sorted((f"k{i}", i or 99) for i in range(0, 40, 2))
+
+
+def test_whole_rows_are_compared_once_in_a_merge(store, pages, monkeypatch):
+    compared = []
+    newest = SnapshotStore._newest
+    monkeypatch.setattr(SnapshotStore, "_newest", staticmethod(lambda rows: compared.append(1) or newest(rows)))
+    load(store, pages, item("a", 1), item("b", 1))
+    store.update_current()
+    load(store, pages, item("a", 2, n=2), item("b", 1, n=2))
+    load(store, pages, item("a", 3, n=3))
+    store.update_current()
+    assert len(compared) == 2
+    assert current(store) == [("a", 3), ("b", 2)]
+    assert {f[-2:] for f in files_read(store.table(EB, latest=True))} == {"01", "03"}
+
+
 def test_versions_not_merged_yet_are_read_beside_the_view(store, pages):
     load(store, pages, item("a", 1), item("b", 2))
     store.update_current()
